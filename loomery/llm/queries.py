@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .sparkutil import table
+from .sparkutil import held_out, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4)
+    net = langid.fit(docs.where(~held))
+    return langid.predict(docs, net, keep=[F.col("doc_id"), held.alias("held_out")])
+
+
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs), keep=["doc_id"])
+
+
+def op9_example_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 4)
+    index = toxicity.fit(docs, labels.where(~held).select("doc_id", "toxic"))
+    return toxicity.score(docs, index, keep=[F.col("doc_id"), held.alias("held_out")])
+
+
 def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -22,6 +47,9 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_convnet": op1_byte_convnet,
+    "op4_divergence_rules": op4_divergence_rules,
+    "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
 }
 

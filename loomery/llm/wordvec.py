@@ -87,10 +87,10 @@ def spans(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a run of texts: byte spans, and how many each text has."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
-        solid = ~SPACE[self.data]
+        solid = ~space[self.data]
         n = len(solid)
         before, after = np.empty(n, bool), np.empty(n, bool)
         if n:
