@@ -31,6 +31,13 @@ def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs), keep=["doc_id"])
 
 
+def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    tokens = packing.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(tokens, digests=True)
+
+
 def op9_example_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -49,6 +56,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op4_divergence_rules": op4_divergence_rules,
+    "op5_shortest_pack_first": op5_shortest_pack_first,
     "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
 }
