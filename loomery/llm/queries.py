@@ -38,6 +38,12 @@ def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens, digests=True)
 
 
+def op7_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_example_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_shortest_pack_first": op5_shortest_pack_first,
+    "op7_warc_shards": op7_warc_shards,
     "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
 }
