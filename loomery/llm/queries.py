@@ -24,6 +24,12 @@ def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, keep=[F.col("doc_id"), held.alias("held_out")])
 
 
+def op3_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -61,6 +67,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
+    "op3_deletion_variants": op3_deletion_variants,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op7_warc_shards": op7_warc_shards,
