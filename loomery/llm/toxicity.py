@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import small_batches
+from .sparkutil import sampled_ids, small_batches
 
 EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF = 2000, 512, 20.0, 3
 K, BLOCK, EPS = 15, 64, 0.05
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, e
     totals = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if not totals:
         return None
-    parts = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
+    parts = [sampled_ids(marks.where(F.col("y") == y).select("doc_id"), examples).withColumn("y", F.lit(y)) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * examples ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
