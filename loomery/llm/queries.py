@@ -44,6 +44,12 @@ def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens, digests=True)
 
 
+def op6_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op7_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_deletion_variants": op3_deletion_variants,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_shortest_pack_first": op5_shortest_pack_first,
+    "op6_relative_lz": op6_relative_lz,
     "op7_warc_shards": op7_warc_shards,
     "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
