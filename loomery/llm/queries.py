@@ -56,6 +56,12 @@ def op7_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ppm
+
+    return ppm.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7))
+
+
 def op9_example_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op6_relative_lz": op6_relative_lz,
     "op7_warc_shards": op7_warc_shards,
+    "op8_partial_matching": op8_partial_matching,
     "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
 }
