@@ -24,6 +24,12 @@ def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, keep=[F.col("doc_id"), held.alias("held_out")])
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -79,6 +85,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
+    "op2_collision_counting": op2_collision_counting,
     "op3_deletion_variants": op3_deletion_variants,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_shortest_pack_first": op5_shortest_pack_first,
