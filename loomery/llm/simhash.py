@@ -95,13 +95,13 @@ def cuts(segments: int) -> list[tuple[int, int]]:
 
 
 def variants(prints: DataFrame, tables: int, segments: int) -> DataFrame:
-    """A row for each one-wildcard variant of each segment of each fingerprint: (key, f0 ...)."""
+    """A row for each one-wildcard variant of each segment of each fingerprint: (key, f0 ..., and node if there is one)."""
     keys = []
     for t in range(tables):
         for at, n in cuts(segments):
             part = F.shiftrightunsigned(F.col(f"f{t}"), at).bitwiseAND(F.lit((1 << n) - 1))
             keys += [part.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << k))) + F.lit((t * 64 + at + k) << 32) for k in range(n)]
-    return prints.select(F.explode(F.array(*keys)).alias("key"), *[f"f{t}" for t in range(tables)])
+    return prints.select(F.explode(F.array(*keys)).alias("key"), *[f"f{t}" for t in range(tables)], *(["node"] if "node" in prints.columns else []))
 
 
 def _first_shared(diff: list[np.ndarray], segments: int) -> np.ndarray:
@@ -146,16 +146,14 @@ def stars(key: np.ndarray, prints: list[np.ndarray], max_bits: int, segments: in
     return member, root[member]
 
 
-def links(prints: DataFrame, max_bits: int, tables: int = 1, segments: int = 3, node: str = "f0") -> DataFrame:
+def links(prints: DataFrame, max_bits: int, tables: int = 1, segments: int = 3) -> DataFrame:
     """Stars (a, b) over distinct fingerprints that connect exactly what links of at most max_bits connect.
 
-    prints: distinct fingerprints f0 ... with ``node``, what a and b are to be (unique to a fingerprint).
+    prints: distinct fingerprints f0 ... and, unless f0 is to stand for them in a and b, their ``node``.
     """
     if 2 * segments * tables <= max_bits:
         raise ValueError("too few segments: all of them could differ by two bits")
-    names = [f"f{t}" for t in range(tables)]
-    spark = prints.sparkSession
-    # the nodes travel as one more word unless f0 is the node
+    names = [f"f{t}" for t in range(tables)] + (["node"] if "node" in prints.columns else [])
     every = variants(prints, tables, segments)
     counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_RUN)
     hot = written(counts, "hot")
@@ -172,13 +170,14 @@ def links(prints: DataFrame, max_bits: int, tables: int = 1, segments: int = 3,
         held: list[np.ndarray] | None = None
 
         def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, block, prints_ = cols[0], cols[1], [c.view(V.U64) for c in cols[2:]]
+            key, block, prints_ = cols[0], cols[1], [c.view(V.U64) for c in cols[2 : 2 + tables]]
+            node = cols[-1] if names[-1] == "node" else cols[2]
             if len(key) and block.any():  # blocks of one variant stand side by side: give each a number of its own
                 fresh = np.append(False, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
                 run_of = np.cumsum(fresh)
                 key = (key >> 32 << 32) | run_of
             member, centre = stars(key, prints_, max_bits, segments)
-            return pa.RecordBatch.from_arrays([pa.array(cols[2][member]), pa.array(cols[2][centre])], names=["a", "b"]) if tables == 1 else pa.RecordBatch.from_arrays([pa.array(c[w]) for w in (member, centre) for c in cols[2:]], names=[f"{s}{k}" for s in "ab" for k in range(tables)])
+            return pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[centre])], names=["a", "b"])
 
         for batch in batches:
             cols = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
@@ -195,9 +194,7 @@ def links(prints: DataFrame, max_bits: int, tables: int = 1, segments: int = 3,
         if held is not None and len(held[0]):
             yield done(held)
 
-    if tables == 1:
-        return rows.mapInArrow(run, "a long, b long").distinct()
-    return rows.mapInArrow(run, ", ".join(f"{s}{k} long" for s in "ab" for k in range(tables))).distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 4, seed: int = 42, max_bits: int = 4, segments: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -209,3 +206,29 @@ def near_duplicates(df: DataFrame, width: int = 4, seed: int = 42, max_bits: int
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     label = written(joined.join(best, "root").select("f0", "component_id"), "labels")
     return prints.join(label, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For texts that are alike by 0.8 (Jaccard, five-word shingles), fingerprints differ in acos(1.6 / 1.8) / pi of
+#: their bits, 29 of 192; five segments a word are enough for one of them to differ by one bit at most.
+SIMILAR = {"width": 5, "tables": 3, "segments": 5, "max_bits": 29}
+
+
+def similar_groups(df: DataFrame, width: int = 5, tables: int = 3, segments: int = 5, max_bits: int = 29, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, group_id) of each row with an id: group_id is the smallest id of those linked at ``SIMILAR``."""
+    words = [f"f{t}" for t in range(tables)]
+    prints = written(fingerprints(df, width, seed, tables, text, doc_id).where("doc_id is not null"), "prints")
+    classes = written(prints.groupBy(*words).agg(F.min("doc_id").alias("node")), "classes")
+    # repeated ids may stand for two classes: each class is a node by its smallest id, and equal nodes are one
+    found = components(links(classes, max_bits, tables, segments))
+    label = written(classes.join(found, "node", "left").select(*words, F.coalesce("root", "node").alias("group_id")), "labels")
+    return prints.join(label, words).select("doc_id", "group_id")
+
+
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: int) -> DataFrame:
+    """The rows of df of which one document of each group stays, that with the smallest id; null ids stay.
+
+    Of rows repeated with one id one stays.
+    """
+    first = similar_groups(df, text=text, doc_id=doc_id, **how).where("doc_id = group_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = df.join(first, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(df.where(F.col(doc_id).isNull()))
