@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are ASCII-lowered runs of letters, digits and non-ASCII characters. Examples are at most
-``EXAMPLES`` labelled rows of each class, those with the smallest hash of their id; the bound is a
-parameter. The vocabulary keeps the terms whose presence depends on the label (chi-square at least
-``LEAST_CHI2`` over the examples, at most ``TERMS`` of them), and the inverse document frequencies of
+``EXAMPLES`` labelled rows of each class, those with the smallest hash of their id, and of near copies
+among them one; the bound is a parameter. The vocabulary keeps the terms whose presence depends on the label (chi-square at least
+``LEAST_CHI2`` over the examples, and at least ``LEAST_LIFT`` times as frequent in one class as in the
+other; at most ``TERMS`` of them), and the inverse document frequencies of
 these are counted over all documents. The index stays small by those bounds and travels with the tasks.
 
 The search is exact: postings are cut into blocks of example ranks, each with its largest weight; a
@@ -28,8 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import wordvec as V
 from .sparkutil import sampled_ids, small_batches
 
-EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF = 2000, 512, 20.0, 3
+EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF, LEAST_LIFT = 2000, 512, 20.0, 3, 3.0
 K, BLOCK, EPS = 15, 64, 0.05
+BANDS = 12
 THRESHOLD = 0.3
 
 BREAK = np.ones(256, dtype=bool)
@@ -143,6 +145,33 @@ def known(vocab: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[
         yield np.unique(at[hit[a:b]], return_counts=True) if b > a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def sketch(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """``BANDS`` keys of each text, each of two minimum hashes of its runs of three terms; none for very short texts."""
+    starts, runs = V.window_hashes(hashes, first, 3)
+    cuts = np.searchsorted(starts, first)
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        least = [V.mix64(runs[a:b] + V.U64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min() for k in range(2 * BANDS)] if b > a else []
+        out.append(np.array(least, V.U64).tobytes())
+    return out
+
+
+def one_of_each(rows: list) -> list:
+    """The examples less all but the first of each family of copies and near copies: those that share a band.
+
+    Else the rare words of one text that was copied often would pass for signs of its label.
+    """
+    taken: set[tuple[int, int, int]] = set()
+    out = []
+    for r in rows:
+        least = np.frombuffer(r["sketch"], V.U64).tolist()
+        own = {(k, least[2 * k], least[2 * k + 1]) for k in range(len(least) // 2)}
+        if not own & taken:
+            out.append(r)
+        taken |= own
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, examples: int = EXAMPLES, label: str = "toxic") -> Index | None:
     """Builds the index from labelled rows of ``labels`` (doc_id and ``label``) with their texts in ``docs``.
 
@@ -159,17 +188,18 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, e
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = V.flat(batch.column(2))
-            keys, counts = [], []
+            keys, counts, sketches = [], [], []
             for i, j in V.spans(offsets):
                 h, first = terms_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sketches += sketch(h, first)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     k, c = np.unique(h[a:b], return_counts=True)
                     keys.append(k.tobytes())
                     counts.append(c.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "y", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "y", "keys", "counts", "sketch"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, keys binary, counts binary").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, keys binary, counts binary, sketch binary").collect()
+    rows = one_of_each(sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"]))
     if not rows:
         return None
     y = np.array([r["y"] for r in rows], float)
@@ -182,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, e
     c, d = n1 - a, n0 - b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * n0))
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (a + b >= LEAST_DF))
+    share1, share0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+    lift = np.maximum(share1 / share0, share0 / share1)
+    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (a + b >= LEAST_DF) & (lift >= LEAST_LIFT))
     good = np.sort(good[np.lexsort((good, -chi2[good]))[:TERMS]])
     vocab = every[good]
 
