@@ -15,7 +15,7 @@ def in_windows(windows: DataFrame, commits: DataFrame, key: list[str], slot_seco
 
     The interval join is an equality join on time slots; a window takes one row a slot that it touches.
     """
-    slot = lambda c: F.floor(F.unix_millis(c) / (1000 * slot_seconds))
+    slot = lambda c: F.floor(F.unix_millis(F.col(c).cast("timestamp")) / (1000 * slot_seconds))
     w = windows.withColumn("_slot", F.explode(F.sequence(slot("first"), slot("stop"))))
     rows = w.join(commits.withColumn("_slot", slot("at")), [*key, "_slot"]).where("at between first and stop")
     return rows.drop("_slot")

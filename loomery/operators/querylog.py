@@ -55,7 +55,7 @@ def retries(log: DataFrame, terms: Column, key: str, seconds: int = CONFIG.retry
     The interval join is an equality join on time slots of ``seconds``: a failure looks in its own and the next.
     """
     rows = log.select(key, "seq", "ts", "failed", terms.alias("terms"))
-    slot = F.floor(F.unix_millis("ts") / (1000 * seconds))
+    slot = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / (1000 * seconds))
     fails = rows.where("failed").select(key, F.col("seq").alias("fail_seq"), F.col("ts").alias("fail_ts"), F.col("terms").alias("fail_terms"), F.explode(F.array(slot, slot + 1)).alias("slot"))
     later = rows.select(key, "seq", "ts", "failed", "terms", slot.alias("slot"))
     pairs = fails.join(later, [key, "slot"]).where((F.struct("ts", "seq") > F.struct("fail_ts", "fail_seq")) & (F.col("ts") <= F.col("fail_ts") + F.expr(f"interval {seconds} seconds")) & F.arrays_overlap("terms", "fail_terms"))
