@@ -53,7 +53,7 @@ def headings(body: Column) -> Column:
 def wiki_links(body: Column) -> Column:
     """Targets of [[slug]] and [[slug|label]], distinct, in order."""
     found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def slug(text: Column, cap: int | None = 60) -> Column:

@@ -54,7 +54,7 @@ def currency(newest: DataFrame, commits: DataFrame) -> DataFrame:
 
 def parse_probe(probe: Column) -> Column:
     """Predicate and arguments of ``predicate :: a :: b``."""
-    parts = F.transform(F.split(F.coalesce(probe, F.lit("")), "::"), F.trim)
+    parts = F.transform(F.split(F.coalesce(probe, F.lit("")), "::"), lambda s: F.trim(s))
     return F.struct(F.get(parts, F.lit(0)).alias("predicate"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("args"))
 
 

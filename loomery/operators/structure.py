@@ -22,7 +22,7 @@ def lines(docs: DataFrame, key: str = "doc_ord", body: str = "body") -> DataFram
 def synth_description(body: Column, limit: int = 400) -> Column:
     """First heading and first paragraph (at most six lines), or what there is of the two."""
     heads = T.headings(body)
-    plain = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(body, F.lit("")), "(?m)^#{1,6}[ \t].*$", ""), r"\n[ \t]*\n"), F.trim), lambda p: F.regexp_replace(p, BLANKS, "") != "")
+    plain = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(body, F.lit("")), "(?m)^#{1,6}[ \t].*$", ""), r"\n[ \t]*\n"), lambda s: F.trim(s)), lambda p: F.regexp_replace(p, BLANKS, "") != "")
     para = F.when(F.size(plain) > 0, T.squeeze(F.array_join(F.slice(F.split(F.get(plain, F.lit(0)), "\n"), 1, 6), " ")))
     return F.substring(F.concat_ws(" — ", F.get(heads, F.lit(0)), para), 1, limit)
 

@@ -1,3 +1,138 @@
-"""Registered queries."""
+"""Registered document-shaping queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loomery.functions import redact as R, text as T
+from loomery.operators import commits, curate, structure
+
+from . import adapters as A, sqltext as X
 
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_HTML = r"regexp_replace(coalesce(html, ''), '(?is)<(?:script\b.*?</script>|style\b.*?</style>|head\b.*?</head>)', ' ', 'g')"
+for _n in range(1, 7):
+    _HTML = f"regexp_replace({_HTML}, '(?is)<h{_n}[^>]*>(.*?)</h{_n}>', chr(10) || chr(10) || '{'#' * _n} \\1' || chr(10) || chr(10), 'g')"
+_HTML = f"regexp_replace({_HTML}, '(?i)</(p|div|li|tr|table|ul|ol|blockquote|section|article)>', chr(10) || chr(10), 'g')"
+_HTML = f"regexp_replace(regexp_replace({_HTML}, '(?i)<(br|hr)[ \\t]*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+for _p, _c in T.ENTITIES:
+    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_c if _c != chr(39) else chr(39) * 2}', 'g')"
+_HTML = f"trim(regexp_replace(regexp_replace({_HTML}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+_PAGES = f"p AS (SELECT page_id AS doc_ord, {_HTML} AS body FROM pages)"
+
+
+@query(f"WITH {_PAGES} SELECT doc_ord, md5(body) AS body, length(body)::BIGINT AS chars FROM p")
+def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    """S09"""
+    return A.pages(spark, sf).select("doc_ord", F.md5("body").alias("body"), F.length("body").cast("long").alias("chars"))
+
+
+@query(f"""WITH {_PAGES}, l AS (SELECT doc_ord, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM p)
+SELECT doc_ord, row_number() OVER (PARTITION BY doc_ord ORDER BY n) - 1 AS ix, regexp_replace(regexp_replace(line, '^#{{1,6}}[ \\t]+', ''), '[ \\t\\r]+$', '') AS heading FROM l WHERE regexp_matches(line, '^#{{1,6}}[ \\t]+\\S')""")
+def headings(spark: SparkSession, sf: str) -> DataFrame:
+    """T05"""
+    return A.pages(spark, sf).select("doc_ord", F.posexplode(T.headings(F.col("body"))).alias("ix", "heading"))
+
+
+@query(f"""WITH {_PAGES}, l AS (SELECT doc_ord, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM p),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_ord ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+h AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS level FROM o WHERE regexp_matches(line, '^#{{1,6}}[ \\t]+\\S'))
+SELECT a.doc_ord, a.level, a.start, coalesce(min(b.start), any_value(length(p.body))) - a.start AS chars FROM h a JOIN p ON p.doc_ord = a.doc_ord LEFT JOIN h b ON b.doc_ord = a.doc_ord AND b.n > a.n AND b.level <= a.level GROUP BY a.doc_ord, a.level, a.start""")
+def outline(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings with the characters up to the next of the same or a higher level."""
+    return structure.outline(A.pages(spark, sf)).select("doc_ord", "level", "start", "chars")
+
+
+@query(f"""WITH {_PAGES}, l AS (SELECT doc_ord, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM p),
+s AS (SELECT *, sum(regexp_matches(line, '^##[ \\t]+\\S')::INT) OVER (PARTITION BY doc_ord ORDER BY n) AS ix FROM l),
+g AS (SELECT doc_ord, ix, string_agg(line, chr(10) ORDER BY n) AS text FROM s WHERE ix > 0 GROUP BY 1, 2) SELECT doc_ord, ix - 1 AS ix, md5(text) AS text FROM g WHERE length(text) >= 200""")
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    """T08"""
+    return structure.split_sections(A.pages(spark, sf)).select("doc_ord", "ix", F.md5("text").alias("text"))
+
+
+@query(f"WITH {_PAGES} SELECT doc_ord, regexp_replace(left(trim(regexp_replace(lower(split_part(body, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') AS slug FROM p")
+def slugs(spark: SparkSession, sf: str) -> DataFrame:
+    """Slugs of first lines."""
+    return A.pages(spark, sf).select("doc_ord", T.slug(F.substring_index("body", "\n", 1)).alias("slug"))
+
+
+@query("""WITH l AS (SELECT doc_id, '[[doc-' || ((doc_id * 7 + 1) % 1000) || '|x]] and [[ doc-' || ((doc_id + 3) % 500) || ' ]] [[none-' || doc_id || ']]' AS body FROM documents),
+t AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(body, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 1), lambda x: trim(x)))) AS target FROM l)
+SELECT t.doc_id AS src, d.doc_id AS dst FROM t JOIN documents d ON 'doc-' || d.doc_id = t.target WHERE d.doc_id <> t.doc_id""")
+def link_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Links written by rule, resolved to documents."""
+    d = A.plain_docs(spark, sf)
+    body = F.concat(F.lit("[[doc-"), (F.col("doc_ord") * 7 + 1) % 1000, F.lit("|x]] and [[ doc-"), (F.col("doc_ord") + 3) % 500, F.lit(" ]] [[none-"), F.col("doc_ord"), F.lit("]]"))
+    edges, _ = structure.link_edges(d.withColumn("body", body))
+    return edges.select("src", "dst")
+
+
+@query(r"WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^A-Za-z0-9_]([0-9a-f]{7,10})[^A-Za-z0-9_]', 1), lambda s: regexp_matches(s, '[a-f]')))) AS token FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)) SELECT doc_id AS doc_ord, token FROM t")
+def sha_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """X20"""
+    return A.plain_docs(spark, sf).select("doc_ord", F.explode(T.sha_tokens(F.col("body"))).alias("token"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9_]([0-9a-f]{7,10})[^A-Za-z0-9_]', 1), lambda s: regexp_matches(s, '[a-f]')))) AS token FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)),
+c AS (SELECT DISTINCT token || '0123456789' AS sha FROM t) SELECT doc_id AS doc_ord, token, min(sha) AS sha FROM t JOIN c ON starts_with(sha, token) GROUP BY 1, 2""")
+def cited_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Cited hashes with the commits that they begin; commits are made from the hashes themselves."""
+    d = A.plain_docs(spark, sf)
+    shas = d.select(F.explode(T.sha_tokens(F.col("body"))).alias("t")).select(F.concat("t", F.lit("0123456789")).alias("sha")).distinct()
+    c = shas.select(F.lit("r").alias("repo"), F.lit(0).alias("repo_ord"), "sha", F.lit(A.EPOCH).alias("at"), F.lit(True).alias("on_mainline"), F.lit("").alias("subject"))
+    return commits.cited(d, c, per_doc=1_000_000).select("doc_ord", "token", "sha")
+
+
+@query(r"""SELECT doc_id AS doc_ord, md5(replace(regexp_replace(' ' || text, '([^A-Za-z0-9_])[A-Za-z0-9._%+\-]+@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})', '\1[email@\2]', 'g'), '[email@gmail.com]', '[email]')) AS body FROM documents WHERE contains(text, '@')""")
+def scrubbed_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with an @, their addresses replaced."""
+    d = A.plain_docs(spark, sf).where("contains(body, '@')")
+    return d.select("doc_ord", F.md5(F.concat(F.lit(" "), R.scrub_addresses(F.col("body")))).alias("body"))
+
+
+@query()
+def redaction(spark: SparkSession, sf: str) -> DataFrame:
+    """X11: documents with a secret and their redacted digest (tested on shapes that must and must not go)."""
+    d = A.plain_docs(spark, sf)
+    return d.where(R.has_secret(F.col("body"))).select("doc_ord", F.md5(R.redact(F.col("body"))).alias("body"))
+
+
+_SIG = ", ".join(f"round(avg(regexp_matches(text, '{p.replace('(?<![A-Za-z0-9_])', '(^|[^A-Za-z0-9_])').replace('(?![A-Za-z0-9_])', '($|[^A-Za-z0-9_])')}')::INT), 3) AS {n}" for n, p, _ in curate.CODE_SIGNALS)
+
+
+@query(f"WITH s AS (SELECT 'curated' AS corpus, count(*) AS n, {_SIG} FROM documents), t AS (SELECT *, round({' + '.join(f'{n} * {w}' for n, _, w in curate.CODE_SIGNALS)}, 3) AS code_score FROM s) SELECT *, CASE WHEN code_score >= 0.08 THEN 'code' WHEN code_score <= 0.03 THEN 'prose' ELSE 'mixed' END AS domain FROM t")
+def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A10"""
+    return curate.corpus_profile(A.plain_docs(spark, sf))
+
+
+@query()
+def pick_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """X21"""
+    d = A.plain_docs(spark, sf)
+    return curate.pick_token(d, d)
+
+
+@query()
+def best_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions made from pages' first heading and paragraph."""
+    return A.pages(spark, sf).select("doc_ord", structure.synth_description(F.col("body")).alias("description"))
+
+
+@query(f"WITH {X.DOCS} SELECT doc_ord, CASE WHEN regexp_matches(lower(description), '(^|[^a-z0-9_])(handoff|hand-off|handover|next session)($|[^a-z0-9_])') THEN 'handoff' WHEN regexp_matches(lower(description), '(^|[^a-z0-9_])(rule|rules|always|never|policy|convention|preference)($|[^a-z0-9_])') THEN 'curated' WHEN regexp_matches(lower(description), '(^|[^a-z0-9_])(when did|what happened|last time|yesterday|discussed|conversation|we said|asked)($|[^a-z0-9_])') THEN 'staging' ELSE 'curated' END AS scope FROM docs")
+def scope_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """F14"""
+    return A.plain_docs(spark, sf).select("doc_ord", curate.route_scope(F.col("description")).alias("scope"))
