@@ -111,14 +111,20 @@ class Roller:
         return self.name, self.records, self.size, self.sha.hexdigest()
 
 
-def typed(df: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(key, url, payload, refers_to): refers_to is the response's id for revisits, else null."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary")))).withColumn("size", F.octet_length("payload"))
-    best = rows.where(F.col("key").isNotNull()).groupBy("sha", "size").agg(F.max("key").alias("best"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= least)).drop("n")
-    again = F.col("best") != F.col("key")
-    # a null id among equal payloads refers to the best id too
-    return rows.join(best, ["sha", "size"], "left").select("key", "url", "payload", F.when(again | (F.col("key").isNull() & F.col("best").isNotNull()), F.col("best")).alias("refers_to"))
+def _keyed(df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+
+
+def revisits(df: DataFrame, least: int = 0, key: str = "page_id", payload: str = "html") -> tuple[DataFrame, DataFrame]:
+    """((key, refers_to) of revisits, (sha, size, best) of payloads that occur more than once).
+
+    Only digests are shuffled; refers_to is the largest id of the same payload.
+    """
+    body = F.coalesce(F.col(payload), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha1(body.cast("binary"))).alias("sha"), F.octet_length(body).alias("size"))
+    known = rows.where("key is not null")
+    best = rows.groupBy("sha", "size").agg(F.max("key").alias("best"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("best").isNotNull() & (F.col("size") >= least)).drop("n")
+    return known.join(best, ["sha", "size"]).where("key <> best").select("key", F.col("best").alias("refers_to")).distinct(), best
 
 
 def write(df: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, date: str = DATE, **columns: str) -> DataFrame:
@@ -128,14 +134,26 @@ def write(df: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, da
     fs, at = _store(folder)
     fs.create_dir(at, recursive=True)
     shards = blocks(df, F.octet_length(F.col(columns.get("payload", "html"))), SHARD_BYTES)
-    rows = typed(df, least, **columns).repartitionByRange(shards, F.col("key").asc_nulls_last()).sortWithinPartitions(F.col("key").asc_nulls_last(), "url", "payload")
+    names = {"key": "page_id", "url": "url", "payload": "html"} | columns
+    pages = _keyed(df, **names).withColumn("refers_to", F.lit(None).cast("long"))
+    marks, best = revisits(df, least, names["key"], names["payload"])
+    marks = written(marks, "revisits")
+    # rows without an id carry their reference themselves; all others meet a mark of their id in the same range
+    bare = pages.where("key is null").drop("refers_to").join(best, (F.sha1(F.col("payload").cast("binary")) == F.lower(F.hex("sha"))) & (F.octet_length("payload") == F.col("size")), "left").select("key", "url", "payload", F.col("best").alias("refers_to"))
+    rows = pages.where("key is not null").unionByName(bare).withColumn("kind", F.lit(1)).unionByName(marks.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to", F.lit(0).alias("kind")))
+    rows = rows.repartitionByRange(shards, F.col("key").asc_nulls_last()).sortWithinPartitions(F.col("key").asc_nulls_last(), "kind", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         out = Roller(folder, task.partitionId(), f"{task.taskAttemptId()}", roll, date)
-        done = []
+        done, marked, target = [], None, None
         for batch in batches:
-            for key, url, payload, refers in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for key, url, payload, refers, kind in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if not kind:
+                    marked, target = key, refers
+                    continue
+                if key is not None:
+                    refers = target if key == marked else None
                 done += out.add(page_record(key, url, payload.encode("utf-8", "surrogatepass"), refers, date))
         if out.out is not None:
             done.append(out.close())
