@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import small_batches
+from .sparkutil import sampled_ids, small_batches
 
 SAMPLE_ROWS, SAMPLE_WINDOWS = 2000, 4
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 16
@@ -136,11 +136,9 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ByteConv | None:
     """Trains on at most ``sample_rows`` rows of df with a language and a text, chosen by hash of the id."""
-    rows = (
-        df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"))
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-        .orderBy("h", "id").limit(sample_rows).select("id", "text", "lang").collect()
-    )
+    known = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    chosen = sampled_ids(known.select("id").where(F.col("id").isNotNull()), sample_rows)
+    rows = known.join(F.broadcast(chosen.distinct()), "id").limit(2 * sample_rows).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
