@@ -12,10 +12,10 @@ symbol, the newest lowest, so shorter contexts are masks of longer ones and thei
 exclusion needs is one number a node: how often the parent saw the node's symbols. The code length of
 every gram in the corpus then comes from joins of the gram table with the trie's levels.
 
-Documents are dealt by hash into groups of about ``GROUP_BYTES``. A group is scanned twice: once for
-its distinct words and grams with their training counts, and once with just its own words' counts and
-its own grams' code lengths beside it. So tables grow with the corpus, tasks do not, and nothing is
-broadcast. Words are keyed by 62-bit hashes (a chance of about 1 in 10**18 a pair to mix two up).
+Documents are dealt by hash into groups of about ``GROUP_BYTES``, packed and compressed. A group is
+scanned twice: once for its distinct words and grams with their training counts, and once with just its
+own words' counts and its own grams' code lengths beside it. So tables grow with the corpus, tasks do
+not, and nothing is broadcast. Words are keyed by 62-bit hashes (a chance of about 1 in 10**18 a pair to mix two up).
 
 The plain score beside it is the add-one unigram score of the words and the end of each text.
 
@@ -26,17 +26,19 @@ Repeated rows count as often as they occur and are each scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import wordvec as V
 from .sparkutil import blocks, small_batches, written
 
-ORDER = 5
+ORDER = 4
 END = 256
 SYMBOLS = 257
-GROUP_BYTES, LEAST_GROUPS = 24 << 20, 24
+GROUP_BYTES, LEAST_GROUPS = 24 << 20, 12
 _WORD = np.uint64(1 << 62)
 _END_WORD = np.int64(1 << 62)
 
@@ -136,36 +138,73 @@ class Lookup:
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, value): log10 probability of the symbol of every gram, from (key, n) with training counts n."""
-    seen = written(counts.where("n > 0").select("key", F.col("n").alias("c")), "trie")
-    levels: dict[int, DataFrame] = {order: seen}
+    """(key, value): log10 probability of the symbol of every gram, from (key, n) with training counts n.
+
+    Most grams were seen in their longest context, whose sums are a window over it. Only the others go
+    down the trie, one join a level, with what the exclusion of the level before took away.
+    """
+    context = F.shiftrightunsigned("key", 9)
+    mask = lambda k: F.col("key").bitwiseAND(F.lit((1 << 9 * (k + 1)) - 1))
+    own = Window.partitionBy("x")
+    full = counts.withColumn("x", context).select("key", F.col("n").alias("c"), F.sum("n").over(own).alias("n"), F.count(F.when(F.col("n") > 0, 1)).over(own).alias("t"))
+    full = written(full, "ppm-top")
+    total = (F.col("n") + F.col("t")).cast("double")
+    seen = full.where("c > 0").select("key", F.log10(F.col("c") / total).alias("value"))
+    left = full.where("c = 0").select("key", F.when(total > 0, F.log10(F.col("t") / total)).otherwise(0.0).alias("value"), "t")
+    levels: dict[int, DataFrame] = {order: full.where("c > 0").select("key", "c")}
     for k in range(order - 1, -1, -1):  # sums of the next longer level
-        above = levels[k + 1]
-        levels[k] = written(above.groupBy(F.col("key").bitwiseAND(F.lit((1 << 9 * (k + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c")), "trie")
-    nodes: dict[int, DataFrame] = {}
-    for k in range(order, -1, -1):
-        context = F.shiftrightunsigned("key", 9)
-        if k:
-            below = levels[k - 1].select(F.col("key").alias("short"), F.col("c").alias("p"))
-            own = levels[k].withColumn("short", F.col("key").bitwiseAND(F.lit((1 << 9 * k) - 1))).join(below, "short")
-        else:
-            own = levels[0].withColumn("p", F.lit(0).cast("long"))
-        nodes[k] = own.groupBy(context.alias(f"x{k}")).agg(F.sum("c").alias(f"n{k}"), F.count(F.lit(1)).alias(f"t{k}"), F.sum("p").alias(f"p{k}"))
-    out = counts.select("key", *[F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit((1 << 9 * (k + 1)) - 1)), 9).alias(f"x{k}") for k in range(order + 1)], *[F.col("key").bitwiseAND(F.lit((1 << 9 * (k + 1)) - 1)).alias(f"g{k}") for k in range(order + 1)])
-    for k in range(order, -1, -1):
-        out = out.join(levels[k].select(F.col("key").alias(f"g{k}"), F.col("c").alias(f"c{k}")), f"g{k}", "left").join(nodes[k], f"x{k}", "left").drop(f"g{k}", f"x{k}")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    value = F.lit(0.0)
-    done = F.lit(False)
-    for k in range(order, -1, -1):
-        n, t, c = zero(f"n{k}"), zero(f"t{k}"), zero(f"c{k}")
-        if k < order:  # without the symbols of the longer context
-            n, t = n - zero(f"p{k + 1}"), t - zero(f"t{k + 1}")
-        total = (n + t).cast("double")
-        step = F.when(done | (total <= 0), 0.0).when(c > 0, F.log10(c / total)).otherwise(F.log10(t / total))
-        value, done = value + step, done | (c > 0)
-    left = F.greatest(F.lit(SYMBOLS) - zero("t0"), F.lit(1)).cast("double")
-    return out.select("key", (value + F.when(done, 0.0).otherwise(-F.log10(left))).alias("value"))
+        levels[k] = written(levels[k + 1].groupBy(mask(k).alias("key")).agg(F.sum("c").alias("c")), "ppm-level")
+
+    def excluded(k: int) -> DataFrame:
+        """(x, p): how often the contexts one shorter than level k's saw the symbols that those saw."""
+        below = levels[k - 1].select(F.col("key").alias("short"), F.col("c").alias("p"))
+        return levels[k].select(context.alias("x"), mask(k - 1).alias("short")).join(below, "short").groupBy("x").agg(F.sum("p").alias("p"))
+
+    done = []
+    for k in range(order - 1, -1, -1):
+        nodes = levels[k].groupBy(context.alias("x")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"), F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(511)).alias("s"), "c"))).alias("of"))
+        rows = left.withColumn("x", F.shiftrightunsigned(mask(k + 1), 9)).join(excluded(k + 1), "x", "left").drop("x").withColumnRenamed("t", "t0")
+        rows = rows.withColumn("x", F.shiftrightunsigned(mask(k), 9)).join(nodes, "x", "left")
+        rows = rows.withColumn("c", F.coalesce(F.try_element_at("of", F.col("key").bitwiseAND(F.lit(511))), F.lit(0)))
+        d = F.coalesce("t", F.lit(0)) - F.coalesce("t0", F.lit(0))
+        total = (F.coalesce("n", F.lit(0)) - F.coalesce("p", F.lit(0)) + d).cast("double")
+        step = F.when(total <= 0, 0.0).when(F.col("c") > 0, F.log10(F.col("c") / total)).otherwise(F.log10(d / total))
+        rows = written(rows.select("key", "c", (F.col("value") + step).alias("value"), F.coalesce("t", F.lit(0)).alias("t")), "ppm-down")
+        done.append(rows.where("c > 0").select("key", "value"))
+        left = rows.where("c = 0").select("key", "value", "t")
+    rest = F.greatest(F.lit(SYMBOLS) - F.col("t"), F.lit(1)).cast("double")
+    out = seen.unionByName(left.select("key", (F.col("value") - F.log10(rest)).alias("value")))
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def dealt(df: DataFrame, held_out: Column, groups: int, text: str, doc_id: str) -> DataFrame:
+    """(g, blob): rows dealt to groups by hash, each batch's share of a group as one compressed Arrow stream."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(groups)).cast("int").alias("g"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), body.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by("g")
+            g = np.asarray(t.column("g"))
+            edges = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g)) if len(g) else np.zeros(1, int)
+            blobs = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                sink = pa.BufferOutputStream()
+                part = t.slice(a, b - a).drop_columns(["g"]).combine_chunks()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
+                    w.write_table(part)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(g[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["g", "blob"])
+
+    return rows.mapInArrow(run, "g int, blob binary")
+
+
+def opened(blobs: pa.Table) -> pa.Table:
+    """The rows of a group's blobs."""
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for c in blobs.column("blob").chunks for b in c]
+    return pa.concat_tables(parts).combine_chunks()
 
 
 def score(df: DataFrame, held_out: Column, order: int = ORDER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,24 +215,28 @@ def score(df: DataFrame, held_out: Column, order: int = ORDER, text: str = "text
     spark = df.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
-    groups = max(LEAST_GROUPS, blocks(df, F.octet_length(body), GROUP_BYTES))
-    docs = df.select(F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(groups)).cast("int").alias("g"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), body.alias("text"))
+    groups = max(LEAST_GROUPS, blocks(df, F.octet_length(F.coalesce(F.col(text), F.lit(""))), GROUP_BYTES))
+    docs = written(dealt(df, held_out, groups, text, doc_id), "ppm-docs")
 
-    def count(rows: pa.Table) -> pa.Table:
+    def count(blobs: pa.Table) -> pa.Table:
+        rows = opened(blobs)
         keys, n = group_counts(rows.column("text"), ~np.asarray(rows.column("held_out").combine_chunks().cast(pa.uint8())).astype(bool), order)
-        g = rows.column("g")[0].as_py()
-        return pa.table({"g": pa.array(np.full(len(keys), g, np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
+        return pa.table({"g": pa.array(np.full(len(keys), blobs.column("g")[0].as_py(), np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
 
     stats = written(docs.groupBy("g").applyInArrow(count, "g int, key long, n long"), "ppm-counts")
-    every = written(stats.groupBy("key").agg(F.sum("n").alias("n")), "ppm-keys")
     first_word = int(_END_WORD)
-    total, distinct = every.where(F.col("key") >= first_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    words = every.where(F.col("key") >= first_word).select("key", F.col("n").cast("double").alias("value"))
-    values = written(words.unionByName(code_lengths(every.where(F.col("key") < first_word), order)), "ppm-values")
-    beside = stats.select("g", "key").join(values, "key").select("g", "key", "value")
+    words, grams_ = stats.where(F.col("key") >= first_word), stats.where(F.col("key") < first_word)
+    # a word has a row a group at most, so a window over it is bounded by the number of groups
+    own = Window.partitionBy("key")
+    words = words.select("g", "key", F.sum("n").over(own).cast("double").alias("value"), (F.row_number().over(own.orderBy("g")) == 1).alias("one"))
+    words = written(words, "ppm-words")
+    total, distinct = words.where("one").agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count(F.when(F.col("value") > 0, 1))).first()
+    lengths = code_lengths(grams_.groupBy("key").agg(F.sum("n").alias("n")), order)
+    beside = words.select("g", "key", "value").unionByName(grams_.select("g", "key").join(lengths, "key").select("g", "key", "value"))
     scale = float(np.log10(total + distinct + 1))
 
-    def evaluate(rows: pa.Table, own: pa.Table) -> pa.Table:
+    def evaluate(blobs: pa.Table, own: pa.Table) -> pa.Table:
+        rows = opened(blobs)
         look = Lookup(np.asarray(own.column("key").combine_chunks()), np.asarray(own.column("value").combine_chunks()))
         data, offsets = V.flat(rows.column("text"))
         parts = []
