@@ -1,3 +1,197 @@
-"""Registered queries."""
+"""Registered upkeep, audit and query-log queries."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loomery.operators import commits, keyword, querylog, upkeep
+
+from . import adapters as A, sqltext as X
 
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _listing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What is there now and what the index knows: by rule a tenth is new, a tenth gone and a tenth changed."""
+    d = A.table(spark, sf, "documents").select("doc_id", F.lit("curated").alias("corpus"), F.concat(F.lit("doc-"), "doc_id").alias("file"), (F.col("doc_id") * 1000).alias("mtime_ms"), F.col("n_chars").alias("size"))
+    live = d.where("doc_id % 10 <> 1").drop("doc_id")
+    known = d.where("doc_id % 10 <> 2").withColumn("size", F.when(F.col("doc_id") % 10 == 3, F.col("size") + 1).otherwise(F.col("size"))).drop("doc_id")
+    return live, known
+
+
+@query("SELECT 'doc-' || doc_id AS file, CASE doc_id % 10 WHEN 1 THEN 'removed' WHEN 2 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (1, 2, 3)")
+def listing_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """J13"""
+    return upkeep.listing_diff(*_listing(spark, sf)).select("file", "change")
+
+
+@query("SELECT 'curated' AS corpus, count(*) FILTER (doc_id % 10 = 2) AS added, count(*) FILTER (doc_id % 10 = 1) AS removed, count(*) FILTER (doc_id % 10 = 3) AS changed, CASE WHEN count(*) FILTER (doc_id % 10 IN (1, 2, 3)) = 0 THEN 'fresh' WHEN count(*) FILTER (doc_id % 10 IN (1, 2, 3)) <= 8 THEN 'incremental' ELSE 'index_stale' END AS policy FROM documents")
+def freshness_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """A17, R17"""
+    corpora = spark.createDataFrame([("curated",)], "corpus string")
+    return upkeep.freshness(upkeep.listing_diff(*_listing(spark, sf)), corpora).select("corpus", "added", "removed", "changed", "policy")
+
+
+@query("SELECT 'curated' AS corpus, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS \"count\" FROM (SELECT 'doc-' || doc_id || ':' || doc_id * 1000 || ':' || n_chars AS l FROM documents)")
+def listing_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """A18"""
+    d = A.table(spark, sf, "documents").select(F.lit("curated").alias("corpus"), F.concat(F.lit("doc-"), "doc_id").alias("file"), (F.col("doc_id") * 1000).alias("mtime_ms"), F.col("n_chars").alias("size"))
+    return upkeep.listing_digest(d)
+
+
+@query("SELECT 'curated' AS corpus, sha256(string_agg(l, '|' ORDER BY l)) AS corpus_hash FROM (SELECT 'doc-' || doc_id || ':' || sha256(text) AS l FROM documents)")
+def corpus_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """A19"""
+    return upkeep.corpus_hash(A.plain_docs(spark, sf).withColumn("hash", F.sha2("body", 256)))
+
+
+@query("SELECT doc_id AS doc_ord, doc_id % 3 <> 0 AS reuse FROM documents")
+def build_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document has changed since the index before."""
+    d = A.plain_docs(spark, sf).select("doc_ord", "name", F.md5("body").alias("hash"), F.unix_millis("modified").alias("mtime_ms"))
+    before = d.where("doc_ord % 3 <> 0").drop("doc_ord").unionByName(d.where("doc_ord % 3 = 0").drop("doc_ord").withColumn("hash", F.lit("old")))
+    return upkeep.plan_build(d, before).select("doc_ord", "reuse")
+
+
+@query("SELECT 'doc-' || doc_id AS name FROM documents WHERE doc_id % 7 = 0")
+def vanished(spark: SparkSession, sf: str) -> DataFrame:
+    """K04, J15"""
+    d = A.plain_docs(spark, sf)
+    return upkeep.vanished(d, d.where("doc_ord % 7 <> 0")).select("name")
+
+
+@query("""WITH l AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = 'purchase') AS last FROM events GROUP BY 1)
+SELECT e.user_id, count(*) FILTER (last IS NULL OR (ts, event_id) > last) AS streak, any_value(last) IS NULL AS lower_bound FROM events e JOIN l USING (user_id) GROUP BY 1""")
+def failure_streak(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each user since the last purchase."""
+    e = A.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "success").otherwise("failed").alias("outcome"))
+    return upkeep.failure_streak(e, key="user_id").select("user_id", "streak", "lower_bound")
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_id FROM l WHERE n = 1 AND event_type = 'view' AND ts < TIMESTAMP '2024-01-30' AND user_id % 5 <> 0""")
+def crashed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Last events that are views, users standing for processes; every fifth is alive."""
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("pid"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "view", "started").otherwise("ended").alias("outcome"), F.col("user_id").alias("session"))
+    alive = e.where("pid % 5 = 0").select("pid").distinct()
+    return upkeep.crashed_runs(e, alive, F.lit(datetime(2024, 1, 30, 0, 10))).select(F.col("pid").alias("user_id"), F.col("seq").alias("event_id"))
+
+
+@query("SELECT user_id::VARCHAR AS caller, count(*) AS calls, bool_and(event_type = 'error') AS missed FROM events GROUP BY 1")
+def caller_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """A20, F12"""
+    return querylog.caller_misses(A.log(spark, sf)).select("caller", "calls", "missed")
+
+
+@query("SELECT CASE WHEN value > 50 THEN 'hybrid' ELSE 'bm25-only' END AS mode, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 1) AS percent FROM events GROUP BY 1")
+def mode_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A21"""
+    return querylog.mode_split(A.log(spark, sf))
+
+
+@query("SELECT event_type AS shape, count(*) AS n, 1 AS wordings FROM events WHERE event_type = 'error' GROUP BY 1")
+def failure_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """A21"""
+    return querylog.failure_shapes(A.log(spark, sf))
+
+
+@query("SELECT event_type AS term, count(*) AS fails FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3")
+def dead_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A21"""
+    return querylog.dead_terms(A.log(spark, sf))
+
+
+@query("""WITH f AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
+p AS (SELECT f.user_id, f.event_id, count(e.event_id) AS n, bool_or(e.event_type <> 'error') AS rec FROM f LEFT JOIN events e ON e.user_id = f.user_id AND (e.ts, e.event_id) > (f.ts, f.event_id) AND e.ts <= f.ts + INTERVAL 3600 SECOND GROUP BY 1, 2)
+SELECT event_id, n AS later_calls, n > 0 AS retried, coalesce(rec, false) AS recovered FROM p""")
+def retry_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors and what the user did within the hour; all events share a term here."""
+    return querylog.retries(A.log(spark, sf), F.array(F.lit("x")), "query_id", seconds=3600).select(F.col("fail_seq").alias("event_id"), "later_calls", "retried", "recovered")
+
+
+@query("SELECT user_id, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE event_type IN (SELECT lower(event_type) FROM events) GROUP BY 1")
+def bench_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """flagged rows of the log by membership."""
+    log = A.log(spark, sf)
+    flagged = querylog.flag_benchmark(log, log.select(F.col("q").alias("text")).distinct())
+    return flagged.where("benchmark").groupBy(F.col("query_id").alias("user_id")).agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("failed"), 1)).alias("errors"))
+
+
+@query("""WITH s AS (SELECT source AS corpus, n_chars::DOUBLE AS v FROM documents), m AS (SELECT corpus, count(*) AS n, median(v) AS score FROM s GROUP BY 1)
+SELECT corpus, round(0.38 * score / (SELECT score FROM m WHERE corpus = 'src0'), 4) AS score_floor, round(0.2 * score / (SELECT score FROM m WHERE corpus = 'src0'), 4) AS coverage_floor FROM m WHERE n >= 5""")
+def derived_floors(spark: SparkSession, sf: str) -> DataFrame:
+    """Floors by medians relative to a base, sources standing for corpora and lengths for scores."""
+    d = A.table(spark, sf, "documents").select(F.col("source").alias("corpus"), F.col("n_chars").cast("double").alias("top_score"), F.col("n_chars").cast("double").alias("coverage"))
+    return querylog.derived_floors(d, "src0")
+
+
+@query(f"WITH {X.DOCS} SELECT doc_ord, array_to_string(list_transform(range(0, 6), lambda i: w[(i * len(w)) // 6 + 1]), ' ') AS question FROM (SELECT doc_ord, list_filter({X.words('body')}, lambda z: length(z) >= 4) AS w FROM docs) WHERE len(w) > 0")
+def self_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Six evenly spaced words of each document."""
+    d = A.plain_docs(spark, sf).select("doc_ord", querylog.self_query(F.col("body")).alias("question"))
+    return d.where("question <> ''")
+
+
+@query("SELECT project AS corpus, max(doc_ord) FILTER (n = k) AS doc_ord FROM (SELECT source AS project, doc_id AS doc_ord, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, floor(0.9 * (count(*) OVER (PARTITION BY source) - 1)) + 1 AS k FROM documents) GROUP BY 1")
+def floor_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """M01's percentile: the value at floor(0.9 (n - 1))."""
+    d = A.plain_docs(spark, sf).select(F.col("project").alias("corpus"), "doc_ord")
+    return querylog.floor_percentile(d, "corpus", "doc_ord", 0.9)
+
+
+@query("SELECT event_type AS repo, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS since, floor(epoch(max(ts)))::BIGINT AS last_s FROM events GROUP BY 1")
+def corpus_currency(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits of each repo since the newest exchange."""
+    newest = spark.sql("SELECT timestamp_ntz'2024-01-15 00:00:00' AS ts")
+    c = A.table(spark, sf, "events").select(F.col("event_type").alias("repo"), F.col("ts").alias("at"))
+    return commits.currency(newest, c).select("repo", "since", F.unix_seconds(F.col("last_commit").cast("timestamp")).alias("last_s"))
+
+
+@query("SELECT doc_id AS doc_ord, CASE WHEN doc_id % 4 = 0 THEN 'FRESH' WHEN doc_id % 4 = 1 THEN 'STALE' WHEN doc_id % 4 = 2 THEN 'UNPROVABLE' ELSE 'UNKNOWN' END AS verdict FROM documents")
+def probe_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes made by rule: a past date, a future one, an unknown predicate, one that tables cannot answer."""
+    k = F.col("doc_ord") % 4
+    probe = F.when(k == 0, "date_past :: 2020-01-01").when(k == 1, "date_past :: 2999-01-01").when(k == 2, "moon_phase :: full").otherwise("port_listening :: 80")
+    d = A.plain_docs(spark, sf).withColumn("probe", probe).withColumn("probe_expected", F.lit("true")).withColumn("valid_until", F.lit(None).cast("timestamp"))
+    files = spark.createDataFrame([], "path string, text string")
+    log = spark.createDataFrame([], "repo string")
+    return commits.probe_sweep(d, files, log, F.lit(A.AS_OF)).select("doc_ord", "verdict")
+
+
+@query("SELECT doc_id AS doc_ord, CASE WHEN doc_id % 2 = 0 THEN 'missing' ELSE 'orphan' END AS kind FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 1 AND source IN (SELECT source FROM documents WHERE doc_id % 10 <> 1)")
+def store_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """A store and a fresh extraction that differ by rule."""
+    d = A.plain_docs(spark, sf).select(F.col("doc_ord"), F.col("project").alias("session_id"), "name", F.concat("name", F.lit("x")).alias("body"), F.col("modified").alias("ts"))
+    store = d.where("doc_ord % 10 <> 0")
+    extracted = d.where("doc_ord % 10 <> 1").select("session_id", "name", "ts")
+    found = upkeep.store_audit(store, extracted, F.lit(datetime(2000, 1, 1))).where("kind in ('missing', 'orphan')")
+    return found.select(F.substring_index("name", "-", -1).cast("long").alias("doc_ord"), "kind")
+
+
+@query("SELECT doc_id AS doc_ord FROM documents WHERE doc_id % 9 = 0")
+def snapshot_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """M08"""
+    d = A.plain_docs(spark, sf).select("doc_ord", "name")
+    other = d.withColumn("name", F.when(F.col("doc_ord") % 9 == 0, F.lit("other")).otherwise(F.col("name")))
+    return upkeep.snapshot_difference(d, other, ["doc_ord"], ["name"]).select("doc_ord")
+
+
+@query(f"WITH {X.TURNS}, f AS (SELECT doc_id, text FROM documents) SELECT doc_id AS doc_ord, sha256(text) AS text_sha FROM f WHERE doc_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AND text NOT IN (SELECT text FROM f WHERE doc_id % 2 = 0)")
+def missing_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that a cache of the even documents lacks, each once."""
+    d = A.plain_docs(spark, sf).select("doc_ord", F.col("body").alias("text"))
+    cache = d.where("doc_ord % 2 = 0").select(F.lit("c").alias("contract"), F.sha2("text", 256).alias("text_sha"), F.array(F.lit(1.0)).alias("vec")).distinct()
+    _, miss = upkeep.missing_vectors(d, cache, "c")
+    return d.withColumn("text_sha", F.sha2("text", 256)).join(miss.select("text_sha"), "text_sha").groupBy("text_sha").agg(F.min("doc_ord").alias("doc_ord"))
