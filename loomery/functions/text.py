@@ -129,4 +129,5 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     for pattern, plain in ENTITIES:
         t = F.regexp_replace(t, pattern, plain)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(t, f"^{BLANK}|{BLANK}$", "")

@@ -29,7 +29,7 @@ _HTML = f"regexp_replace({_HTML}, '(?i)</(p|div|li|tr|table|ul|ol|blockquote|sec
 _HTML = f"regexp_replace(regexp_replace({_HTML}, '(?i)<(br|hr)[ \\t]*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 for _p, _c in T.ENTITIES:
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_c if _c != chr(39) else chr(39) * 2}', 'g')"
-_HTML = f"trim(regexp_replace(regexp_replace({_HTML}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{X.BLANK}|{X.BLANK}$', '', 'g')"
 _PAGES = f"p AS (SELECT page_id AS doc_ord, {_HTML} AS body FROM pages)"
 
 
