@@ -67,8 +67,9 @@ def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: Dat
     semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
     scaled by each query's best, and nothing is ever refused.
     """
-    raw = keyword.bm25f(queries, docs, cfg)
-    stats = keyword.term_stats(queries, docs, cfg)
+    shared = keyword.prepare(queries, docs, cfg)
+    raw = keyword.bm25f(queries, docs, cfg, shared)
+    stats = keyword.term_stats(queries, docs, cfg, shared)
     if semantic is None:
         top = Window.partitionBy("query_id", "corpus")
         found = raw.withColumn("keyword_score", F.col("raw") / F.max("raw").over(top)).withColumn("semantic_score", F.lit(0.0))
@@ -144,6 +145,7 @@ def verdict(best: DataFrame, cfg: EngineConfig = CONFIG, floors: DataFrame | Non
 def search(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts): each corpus ranks by itself; refused queries give their three nearest as weak rows."""
     scored, stats = rank_one(queries, docs, as_of, semantic, cfg)
+    scored = scored.persist()  # at most the rerank set: read for the verdict and for the rows
     if filters is not None:
         scored = scored.join(docs.select("corpus", "doc_ord", "account", "project", "session_id"), ["corpus", "doc_ord"]).where(filters)
     top = scored.groupBy("query_id", "corpus").agg(F.max("score").alias("top_score"), F.max("phrase_score").alias("top_phrase"), F.max("raw").alias("best_raw"))

@@ -87,7 +87,8 @@ SELECT query_id, doc_ord, round(size * greatest(0, least(1, raw / ideal / 0.6)),
 def absolute_keyword(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores on the absolute scale; documents at or below its floor are dropped."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
-    rows = keyword.bm25f(q, d).join(keyword.term_stats(q, d).select("query_id", "corpus", "ideal"), ["query_id", "corpus"])
+    p = keyword.prepare(q, d)
+    rows = keyword.bm25f(q, d, prepared=p).join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"])
     return rows.select("query_id", "doc_ord", S.absolute_keyword(F.col("raw"), F.col("ideal")).alias("k")).where("k > 1e-9").select("query_id", "doc_ord", F.round("k", 4).alias("keyword_score"))
 
 
@@ -102,8 +103,9 @@ SELECT query_id, round(cov, 4) AS lexical_coverage, round(ph, 4) AS effective_ph
 def absence_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """The refusal arithmetic, on the keyword evidence and a fixed phrase of 0.5."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
-    best = keyword.bm25f(q, d).groupBy("query_id", "corpus").agg(F.max("raw").alias("best_raw"))
-    rows = keyword.term_stats(q, d).join(best, ["query_id", "corpus"]).withColumn("mode", F.lit("hybrid")).withColumn("top_phrase", F.lit(0.5)).withColumn("top_score", F.col("best_raw") / F.col("ideal"))
+    p = keyword.prepare(q, d)
+    best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("best_raw"))
+    rows = keyword.term_stats(q, d, prepared=p).join(best, ["query_id", "corpus"]).withColumn("mode", F.lit("hybrid")).withColumn("top_phrase", F.lit(0.5)).withColumn("top_score", F.col("best_raw") / F.col("ideal"))
     return ranking.verdict(rows).select("query_id", F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("effective_phrase", 4).alias("effective_phrase"), "route", "confidence")
 
 
@@ -251,6 +253,7 @@ tops AS (SELECT query_id % 2 AS population, max(raw) / any_value(ideal) AS ratio
 def keyword_scale(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of two populations of questions at eight thresholds."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
-    best = keyword.bm25f(q, d).groupBy("query_id", "corpus").agg(F.max("raw").alias("raw"))
-    tops = best.join(keyword.term_stats(q, d).select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).select((F.col("query_id") % 2).cast("string").alias("population"), (F.col("raw") / F.col("ideal")).alias("ratio"))
+    p = keyword.prepare(q, d)
+    best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("raw"))
+    tops = best.join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).select((F.col("query_id") % 2).cast("string").alias("population"), (F.col("raw") / F.col("ideal")).alias("ratio"))
     return querylog.keyword_scale(tops).withColumn("share", F.round("share", 4))
