@@ -96,4 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_trie": op10_bpe_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_SUBSTRING = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+g AS (SELECT DISTINCT h.doc_id, unnest(range(i, i + 50)) AS pos FROM h JOIN f USING (h) WHERE first < h.doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+k AS (SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY 1)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+_NIBBLES = ", ".join(f"'{n:04b}'" for n in range(16))
+_FIVE = " + ".join(f"(substr(bits, i * 5 + {k + 1}, 1) = '1')::INT * {16 >> k}" for k in range(5))
+_WARC = f"""WITH s AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c: [{_NIBBLES}][strpos('0123456789abcdef', c)]), '') AS bits, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS best FROM s)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+ CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM b"""
+
+#: The other operators hold trained models, XXH64 or tokenizers, which SQL lacks: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_relative_lz": _SUBSTRING,
+    "op7_warc_shards": _WARC,
+}
