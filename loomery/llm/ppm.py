@@ -38,7 +38,8 @@ from .sparkutil import blocks, small_batches, written
 ORDER = 4
 END = 256
 SYMBOLS = 257
-GROUP_BYTES, LEAST_GROUPS = 24 << 20, 12
+GROUP_BYTES, LEAST_GROUPS = 12 << 20, 12
+SLICE = 1 << 19
 _WORD = np.uint64(1 << 62)
 _END_WORD = np.int64(1 << 62)
 
@@ -86,7 +87,7 @@ def group_counts(texts: pa.ChunkedArray, train: np.ndarray, order: int = ORDER)
         parts[:] = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
 
     held = 0
-    for i, j in V.spans(offsets):
+    for i, j in V.spans(offsets, SLICE):
         own, edge = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         t = train[i:j]
         w = V.Words(own, edge, lower=True)
@@ -95,7 +96,7 @@ def group_counts(texts: pa.ChunkedArray, train: np.ndarray, order: int = ORDER)
         code, owner = grams(own, edge, order)
         add(code, t[owner])
         held += sum(len(p[0]) for p in parts[-6:])
-        if held > 4_000_000:
+        if held > 1_000_000:
             merge()
             held = 0
     merge() if parts else None
@@ -240,7 +241,7 @@ def score(df: DataFrame, held_out: Column, order: int = ORDER, text: str = "text
         look = Lookup(np.asarray(own.column("key").combine_chunks()), np.asarray(own.column("value").combine_chunks()))
         data, offsets = V.flat(rows.column("text"))
         parts = []
-        for i, j in V.spans(offsets):
+        for i, j in V.spans(offsets, SLICE):
             raw, edge = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             w = V.Words(raw, edge, lower=True)
             ends = look(np.full(1, _END_WORD))[0]
