@@ -206,29 +206,3 @@ def near_duplicates(df: DataFrame, width: int = 4, seed: int = 42, max_bits: int
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     label = written(joined.join(best, "root").select("f0", "component_id"), "labels")
     return prints.join(label, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: For texts that are alike by 0.8 (Jaccard, five-word shingles), fingerprints differ in acos(1.6 / 1.8) / pi of
-#: their bits, 29 of 192; five segments a word are enough for one of them to differ by one bit at most.
-SIMILAR = {"width": 5, "tables": 3, "segments": 5, "max_bits": 29}
-
-
-def similar_groups(df: DataFrame, width: int = 5, tables: int = 3, segments: int = 5, max_bits: int = 29, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, group_id) of each row with an id: group_id is the smallest id of those linked at ``SIMILAR``."""
-    words = [f"f{t}" for t in range(tables)]
-    prints = written(fingerprints(df, width, seed, tables, text, doc_id).where("doc_id is not null"), "prints")
-    classes = written(prints.groupBy(*words).agg(F.min("doc_id").alias("node")), "classes")
-    # repeated ids may stand for two classes: each class is a node by its smallest id, and equal nodes are one
-    found = components(links(classes, max_bits, tables, segments))
-    label = written(classes.join(found, "node", "left").select(*words, F.coalesce("root", "node").alias("group_id")), "labels")
-    return prints.join(label, words).select("doc_id", "group_id")
-
-
-def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: int) -> DataFrame:
-    """The rows of df of which one document of each group stays, that with the smallest id; null ids stay.
-
-    Of rows repeated with one id one stays.
-    """
-    first = similar_groups(df, text=text, doc_id=doc_id, **how).where("doc_id = group_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(first, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(df.where(F.col(doc_id).isNull()))
