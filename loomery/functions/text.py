@@ -67,10 +67,11 @@ def chunk_total(n: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG
     return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(float(size - overlap))) + 1).cast("long")
 
 
-def chunks(text: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG.chunk_overlap, cap: int = CONFIG.chunk_cap) -> Column:
-    """Overlapping word windows, at most ``cap`` of them (``chunk_total`` tells how many there are)."""
+def chunks(text: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG.chunk_overlap, cap: int | None = CONFIG.chunk_cap) -> Column:
+    """Overlapping word windows, at most ``cap`` of them or, if it is None, all (``chunk_total`` tells how many there are)."""
     w = words(text)
-    n = F.least(chunk_total(F.size(w), size, overlap), F.lit(cap))
+    n = chunk_total(F.size(w), size, overlap)
+    n = n if cap is None else F.least(n, F.lit(cap))
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ")))
 
 

@@ -126,7 +126,7 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id AS doc_ord, md5(array_to_string({X.words('text')}, ' ')) AS body FROM documents")
 def unchunk_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks put together again are the text with single spaces."""
-    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.md5(T.unchunk(T.chunks(F.col("text")))).alias("body"))
+    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.md5(T.unchunk(T.chunks(F.col("text"), cap=None))).alias("body"))
 
 
 @query(f"""WITH {X.DOCS}, c AS (SELECT least(200, CASE WHEN len({X.words('body')}) = 0 THEN 0 WHEN len({X.words('body')}) <= 200 THEN 1 ELSE ceil((len({X.words('body')}) - 200) / 160.0) + 1 END)::BIGINT AS n FROM docs),
