@@ -47,7 +47,7 @@ class Block:
         self.sorted = np.ascontiguousarray(np.sort(at, axis=0).T)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of about the k rows with the largest inner products, ids other than ``own``."""
+        """(rows, scores) of about the k ids with the largest inner products, the best row of each, ids other than ``own``."""
         n = len(self.ids)
         size = np.sqrt((query * query).sum())
         centre = (query / size) @ self.lines
@@ -69,24 +69,24 @@ class Block:
             if len(new):
                 rows = np.append(rows, new)
                 scores = np.append(scores, (self.x[new] * query).sum(axis=1))
-                top = np.lexsort((self.ids[rows], -scores))[: 4 * k]  # spare ones for repeated ids
+                top = np.lexsort((self.ids[rows], -scores))
+                _, first = np.unique(self.ids[rows[top]], return_index=True)  # the best row of each id
+                top = top[np.sort(first)[:k]]
                 rows, scores = rows[top], scores[top]
             if done.all():
                 break
             if len(rows) >= k and 2 - 2 * scores[k - 1] / (self.longest * size) <= radius * radius:
                 break
             radius *= GROWTH
-        _, first = np.unique(self.ids[rows], return_index=True)
-        first = np.sort(first)[:k]
-        return rows[first], scores[first]
+        return rows, scores
 
 
 def usable(df: DataFrame, vec: str, vec_id: str) -> DataFrame:
-    """(vec_id, embedding as double, dim) of the rows that take part."""
+    """(vec_id, embedding as double, dim) of the rows that take part, repeated ones once."""
     e = F.col(vec).cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
-    return rows.withColumn("dim", F.size("embedding"))
+    return rows.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding"))
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
