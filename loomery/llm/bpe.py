@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import wordvec as V
-from .sparkutil import small_batches
+from .sparkutil import free_name, small_batches
 
 #: Entries of a worker's word table; it starts anew beyond that. Bounds memory, changes no result.
 TABLE_ROWS = 250_000
@@ -249,4 +249,5 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     from pyspark.sql import functions as F
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    base = df.select(*[F.col(f"`{c}`") for c in kept])
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(free_name(base, "text_in"))).mapInArrow(run, schema)

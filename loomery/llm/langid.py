@@ -5,13 +5,16 @@ each filter in a window is kept, and a softmax layer turns those into language p
 cut into overlapping windows that cover all of it, and its score is the mean over its windows, so a
 text of any length costs memory for one batch of windows only.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of their id, and at
-most ``SAMPLE_WINDOWS`` evenly spaced windows of each; both bounds are parameters. Rows whose ids fall
-into the held-out part are never learned from. The network (about 10 kB) travels with the tasks.
+Training takes at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of their id, and every
+window of their whole texts; that bound on rows is a parameter. All windows are learned from at least once,
+and up to ``EPOCHS`` times while that makes no more than ``VISITS`` visits. Rows whose ids fall into the
+held-out part are never learned from. The network (about 10 kB) travels with the tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Without any labelled
 row to learn from, every text is ``und`` with score 0. Equal texts get equal results; ties between
-languages go to the first by name.
+languages go to the first by name. Of rows repeated with one id, the one with the smallest text is learned
+from; rows with a null id are predicted, not learned from. Extra columns are handed through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import sampled_ids, small_batches
+from .sparkutil import free_name, sampled_ids, small_batches
 
-SAMPLE_ROWS, SAMPLE_WINDOWS = 2000, 4
+SAMPLE_ROWS, EPOCHS, VISITS = 2000, 6, 60_000
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 16
 STRIDE = WINDOW - max(WIDTHS) + 1
 BATCH = 256
@@ -80,16 +83,18 @@ class ByteConv:
         probs = e / e.sum(axis=1, keepdims=True)
         return (probs, x, hidden, where) if train else probs
 
-    def train(self, b: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 11) -> None:
+    def train(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, y: np.ndarray, rate: float = 0.01, seed: int = 11) -> None:
+        """Adam over the windows of data at ``starts`` (their texts end at ``stops``) with languages ``y``."""
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for _ in range(epochs):
-            order = r.permutation(len(b))
-            for i in range(0, len(b), 64):
+        for _ in range(max(1, min(EPOCHS, VISITS // len(y)))):
+            order = r.permutation(len(y))
+            for i in range(0, len(y), 64):
                 pick = order[i : i + 64]
-                probs, x, hidden, where = self.forward(b[pick], train=True)
+                b = windows(data, starts[pick], stops[pick])
+                probs, x, hidden, where = self.forward(b, train=True)
                 n = len(pick)
                 dz = probs.copy()
                 dz[np.arange(n), y[pick]] -= 1
@@ -104,7 +109,7 @@ class ByteConv:
                     g[f"c{w}"] = d.sum(axis=0)
                     dx = d[:, :, None] * self.p[f"w{w}"].T[None]
                     at = where[k][:, :, None] + np.arange(w)
-                    np.add.at(g["e"], b[pick][rows[:, :, None], at].reshape(-1), dx.reshape(-1, EMBED))
+                    np.add.at(g["e"], b[rows[:, :, None], at].reshape(-1), dx.reshape(-1, EMBED))
                 step += 1
                 for name, v in self.p.items():
                     m1[name] += 0.1 * (g[name] - m1[name])
@@ -136,23 +141,19 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ByteConv | None:
     """Trains on at most ``sample_rows`` rows of df with a language and a text, chosen by hash of the id."""
-    known = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    chosen = sampled_ids(known.select("id").where(F.col("id").isNotNull()), sample_rows)
-    rows = known.join(F.broadcast(chosen.distinct()), "id").limit(2 * sample_rows).collect()
+    known = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("id")).where("id is not null and lang is not null and length(text) > 0")
+    chosen = sampled_ids(known.select("id").distinct(), sample_rows)  # at most sample_rows ids
+    rows = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "r.*").collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
     net = ByteConv(langs)
-    xs, ys = [], []
-    for r in sorted(rows, key=lambda r: str(r["id"])):
-        raw = np.frombuffer(r["text"].encode("utf-8", "surrogatepass"), np.uint8)
-        edge = np.array([0, len(raw)])
-        starts, _ = window_starts(np.diff(edge), edge)
-        starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), SAMPLE_WINDOWS)).astype(int))]
-        xs.append(windows(raw, starts, np.full(len(starts), len(raw))))
-        ys += [langs.index(r["lang"])] * len(starts)
     if len(langs) > 1:
-        net.train(np.concatenate(xs), np.array(ys))
+        rows.sort(key=lambda r: str(r["id"]))
+        raw = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
+        edge = np.append(0, np.cumsum([len(t) for t in raw]))
+        starts, counts = window_starts(np.diff(edge), edge)
+        net.train(np.frombuffer(b"".join(raw), np.uint8), starts, np.repeat(edge[1:], counts), np.repeat([langs.index(r["lang"]) for r in rows], counts))
     return net
 
 
@@ -162,7 +163,8 @@ def predict(df: DataFrame, net: ByteConv | None, text: str = "text", keep: list[
 
     small_batches(df.sparkSession)
     names = ["lang_pred", "score"]
-    base = df.select(*([c for c in df.columns if c not in names] if keep is None else keep))
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep is None else list(keep)
+    base = df.select(*columns)
     schema = T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     kept = base.columns
 
@@ -179,5 +181,4 @@ def predict(df: DataFrame, net: ByteConv | None, text: str = "text", keep: list[
                 score[ok] = np.clip(probs[np.arange(len(ok)), best][ok], 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(pred, pa.string()), pa.array(score)], names=[*kept, *names])
 
-    columns = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep is None else list(keep)
-    return df.select(*columns, F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*columns, F.col(f"`{text}`").alias(free_name(base, "text_in"))).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import small_batches
+from .sparkutil import free_name, small_batches
 
 COMMON = 0.002
 LEAST_LANG = 0.001
@@ -229,4 +229,5 @@ def judge(df: DataFrame, refs: list[dict], text: str = "text", keep: list[str] |
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array(c, t, from_pandas=False) for c, t in zip(cols, types))], names=[*kept, *names])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    base = df.select(*[F.col(f"`{c}`") for c in kept])
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(free_name(base, "text_in"))).mapInArrow(run, schema)
