@@ -2,20 +2,23 @@
 
 Terms are ASCII-lowered runs of letters, digits and non-ASCII characters. Examples are at most
 ``EXAMPLES`` labelled rows of each class, those with the smallest hash of their id, and of near copies
-among them one; the bound is a parameter. The vocabulary keeps the terms whose presence depends on the label (chi-square at least
-``LEAST_CHI2`` over the examples, and at least ``LEAST_LIFT`` times as frequent in one class as in the
-other; at most ``TERMS`` of them), and the inverse document frequencies of
-these are counted over all documents. The index stays small by those bounds and travels with the tasks.
-
-The search is exact: postings are cut into blocks of example ranks, each with its largest weight; a
-query adds up block maxima to bounds, takes the blocks from the highest bound down and stops when no
-bound reaches its k-th best cosine. Ties go to the smaller rank (the smaller doc_id). Neighbours vote
-with weight 1 / (1 + EPS - cosine); leave-one-out votes of the examples, weighted to the classes' true
-shares, are fitted by a monotone step function that turns a vote into a probability.
-
-Defined results: a text without any vocabulary term (null and empty ones too) gets the share of toxic
-among examples without terms. Without labelled examples, every score is 0. Rows of labels with a null
-id or label teach nothing; an id with several labels counts as toxic if any says so.
+among them one; that bound is the only one: every term of every example is indexed. A term weighs
+(1 + ln tf) * idf * (1 + |log2 of its lift|): idf is counted over all documents, the lift (its share in
+one class over that in the other, ``PRIOR`` pseudo-examples drawing rare terms to 1) over the examples,
+so words that tell the classes apart decide among neighbours of one topic.
+
+The search is exact: the examples stand in order of their heaviest terms, so like ones share blocks of
+``BLOCK``; each term's postings in a block are stored with their largest weight. A query adds those maxima
+up to bounds, takes the ``FIRST`` best blocks whole, and then every other block whose bound reaches its
+k-th best cosine. Ties go to the smaller doc_id. Neighbours vote with weight 1 / (1 + EPS - cosine);
+leave-one-out votes of the examples, weighted to the classes' true shares, are fitted by a monotone
+function, linear between its pools, that turns a vote into a probability.
+
+Defined results: a text without any term of the examples (null and empty ones too) gets the share of
+toxic among examples without neighbours, or among all labels where there are none. Without labelled
+examples, every score is 0. Rows of labels with a null id or label teach nothing; an id with several
+labels counts as toxic if any says so; of rows repeated with one id the one with the least text is the
+example. Extra columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import sampled_ids, small_batches
+from .sparkutil import free_name, sampled_ids, small_batches
 
-EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF, LEAST_LIFT = 2000, 512, 20.0, 3, 3.0
-K, BLOCK, EPS = 15, 64, 0.05
+EXAMPLES, PRIOR = 2000, 2.0
+K, BLOCK, FIRST, EPS = 15, 32, 4, 0.05
 BANDS = 12
 THRESHOLD = 0.3
 
@@ -45,68 +48,74 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors."""
-
-    def __init__(self, vocab: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: list[int], y: np.ndarray, share: float):
-        self.vocab, self.idf, self.ids, self.y = vocab, idf, np.array(ids, dtype=np.int64), y
-        n = len(rows)
-        self.blocks = max(1, -(-n // BLOCK))
-        per_term: list[list[tuple[int, float]]] = [[] for _ in vocab]
-        self.vectors = [self.vector(t, c) for t, c in rows]
-        for i, (t, w) in enumerate(self.vectors):
-            for a, b in zip(t.tolist(), w.tolist()):
-                per_term[a].append((i, b))
-        self.doc = np.array([i for p in per_term for i, _ in p], dtype=np.int64)
-        self.weight = np.array([b for p in per_term for _, b in p])
-        self.start = np.zeros((len(vocab), self.blocks + 1), dtype=np.int64)
-        self.most = np.zeros((len(vocab), self.blocks))
-        at = 0
-        for t, p in enumerate(per_term):
-            own = np.array([i for i, _ in p], dtype=np.int64)
-            self.start[t] = at + np.searchsorted(own, np.arange(self.blocks + 1) * BLOCK)
-            if p:
-                np.maximum.at(self.most[t], own // BLOCK, np.array([b for _, b in p]))
-            at += len(p)
-        self.steps = self._calibrate(share)
+    """Block-max inverted index over unit vectors of all terms of the examples.
+
+    An entry is what one term has in one block: its postings start:stop and their largest weight.
+    """
+
+    def __init__(self, vocab: np.ndarray, weight: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: list[int], y: np.ndarray, share: float):
+        self.vocab, self.weight = vocab, weight
+        vectors = [self.vector(t, c) for t, c in rows]
+        heaviest = [t[np.lexsort((t, -w))[:3]].tolist() for t, w in vectors]
+        order = sorted(range(len(rows)), key=lambda i: (heaviest[i], ids[i]))
+        vectors = [vectors[i] for i in order]
+        self.ids, self.y, self.blocks = np.array([ids[i] for i in order], dtype=np.int64), y[order], max(1, -(-len(rows) // BLOCK))
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        by = np.argsort(terms, kind="stable")  # postings by term, then by rank
+        self.doc, self.value = self.doc[by], np.concatenate([w for _, w in vectors])[by] if vectors else np.zeros(0)
+        cell = terms[by] * self.blocks + self.doc // BLOCK
+        self.start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.stop = np.append(self.start[1:], len(cell))[: len(self.start)]
+        self.block = cell[self.start] % self.blocks
+        self.most = np.maximum.reduceat(self.value, self.start) if len(cell) else np.zeros(0)
+        self.entry = np.searchsorted(cell[self.start] // self.blocks, np.arange(len(vocab) + 1))
+        self.steps = self._calibrate(share, vectors)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weight[terms]
         norm = np.sqrt((w * w).sum())
         return terms, w / norm if norm > 0 else w
 
+    def _cosines(self, entries: np.ndarray, w: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks, cosines above 0) of the examples in ``entries`` of a query, w being its weight of each one's term."""
+        size = self.stop[entries] - self.start[entries]
+        at = np.repeat(self.start[entries] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        got = np.bincount(self.doc[at], np.repeat(w, size) * self.value[at], len(self.ids))
+        if without >= 0:
+            got[without] = 0
+        ranks = np.flatnonzero(got)
+        return ranks, got[ranks]
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(ranks, cosines) of the K examples nearest, none with cosine 0."""
-        bound = w @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        ranks, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for g in range(0, len(order), 4):
-            if bound[order[g]] <= 0 or len(ranks) == K and bound[order[g]] < worst - 1e-12:
-                break
-            for b in order[g : g + 4].tolist():
-                got = np.zeros(BLOCK)
-                for t, x in zip(terms.tolist(), w.tolist()):
-                    a, e = self.start[t, b], self.start[t, b + 1]
-                    got[self.doc[a:e] - b * BLOCK] += x * self.weight[a:e]
-                hit = np.flatnonzero(got > 0)
-                ranks, scores = np.append(ranks, hit + b * BLOCK), np.append(scores, got[hit])
-            if without >= 0:
-                ranks, scores = ranks[ranks != without], scores[ranks != without]
-            top = np.lexsort((ranks, -scores))[:K]
-            ranks, scores = ranks[top], scores[top]
-            worst = scores[-1] if len(scores) == K else 0.0
-        return ranks, scores
+        many = self.entry[terms + 1] - self.entry[terms]
+        entries = np.repeat(self.entry[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        own, block = np.repeat(w, many), self.block[entries]
+        bound = np.bincount(block, own * self.most[entries], self.blocks)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        take = first[block]
+        ranks, scores = self._cosines(entries[take], own[take], without)
+        worst = np.partition(scores, len(scores) - K)[len(scores) - K] if len(scores) >= K else 0.0
+        take = (~first & (bound >= worst - 1e-12))[block]
+        if take.any():
+            more, also = self._cosines(entries[take], own[take], without)
+            ranks, scores = np.append(ranks, more), np.append(scores, also)
+        top = np.lexsort((self.ids[ranks], -scores))[:K]
+        return ranks[top], scores[top]
 
     def vote(self, ranks: np.ndarray, scores: np.ndarray) -> float:
         w = 1 / (1 + EPS - np.minimum(scores, 1))
         return float((w * self.y[ranks]).sum() / w.sum())
 
-    def _calibrate(self, share: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """(votes, probabilities) of a monotone step function by pooling adjacent violators; that of no terms."""
+    def _calibrate(self, share: float, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(votes, probabilities) that a monotone function joins, by pooling adjacent violators; that of no terms."""
         n1 = max(1, int(self.y.sum()))
         n0 = max(1, len(self.y) - n1)
         weight = np.where(self.y == 1, share / n1, (1 - share) / n0) * len(self.y)
         votes = []
-        for i, (t, w) in enumerate(self.vectors):
+        for i, (t, w) in enumerate(vectors):
             r, s = self.nearest(t, w, without=i) if len(t) else (np.zeros(0, np.int64), None)
             votes.append(self.vote(r, s) if len(r) else -1.0)
         votes = np.array(votes)
@@ -117,12 +126,11 @@ class Index:
         for v, y, w in zip(votes[order], self.y[order], weight[order]):
             if v < 0:
                 continue
-            pools.append([v, w * y, w])
+            pools.append([w * v, w * y, w])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-                _, b, c = pools.pop()
-                pools[-1][1] += b
-                pools[-1][2] += c
-        return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools]), none
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+        return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools]), none
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         votes, probs, none = self.steps
@@ -131,8 +139,7 @@ class Index:
         r, s = self.nearest(*self.vector(terms, counts))
         if not len(r):
             return none, []
-        at = max(0, int(np.searchsorted(votes, self.vote(r, s), "right")) - 1)
-        return float(min(1.0, max(0.0, probs[at]))), self.ids[r[:3]].tolist()
+        return float(min(1.0, max(0.0, np.interp(self.vote(r, s), votes, probs)))), self.ids[r[:3]].tolist()
 
 
 def known(vocab: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,24 +206,17 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, e
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "y", "keys", "counts", "sketch"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, keys binary, counts binary, sketch binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["keys"], r["counts"]), reverse=True)
     rows = one_of_each(sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"]))
     if not rows:
         return None
     y = np.array([r["y"] for r in rows], float)
     bags = [(np.frombuffer(r["keys"], V.U64), np.frombuffer(r["counts"], np.int32)) for r in rows]
-    every, back = np.unique(np.concatenate([k for k, _ in bags]), return_inverse=True)
+    vocab, back = np.unique(np.concatenate([k for k, _ in bags]), return_inverse=True)  # bounded by the examples
     owner = np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
-    df1, df0 = np.bincount(back, y[owner], len(every)), np.bincount(back, 1 - y[owner], len(every))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    n, a, b = n1 + n0, df1, df0
-    c, d = n1 - a, n0 - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * n0))
-    share1, share0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    lift = np.maximum(share1 / share0, share0 / share1)
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (a + b >= LEAST_DF) & (lift >= LEAST_LIFT))
-    good = np.sort(good[np.lexsort((good, -chi2[good]))[:TERMS]])
-    vocab = every[good]
+    df1, df0 = np.bincount(back, y[owner], len(vocab)), np.bincount(back, 1 - y[owner], len(vocab))
+    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    lift = np.abs(np.log2((df1 / n1 + PRIOR / (n1 + n0)) / (df0 / n0 + PRIOR / (n1 + n0)))) if 0 < y.sum() < len(y) else np.zeros(len(vocab))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = np.zeros(len(vocab) + 1, np.int64), 0
@@ -227,22 +227,18 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, e
                     seen[t] += 1
                 texts += j - i
         seen[-1] = texts
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen)), pa.int32()), pa.array(seen)], names=["t", "n"])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["t", "n"])
 
-    found = (docs if all_docs is None else all_docs).select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    found = (docs if all_docs is None else all_docs).select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     freq = np.zeros(len(vocab) + 1)
-    for r in found:
-        freq[r["t"]] = r["n"]
+    freq[np.asarray(found.column("t"))] = np.asarray(found.column("n"))
     idf = np.log((1 + freq[-1]) / (1 + freq[:-1])) + 1
-    place = np.full(len(every), -1)
-    place[good] = np.arange(len(good))
-    at, bags_at = 0, []
+    at, cut = 0, []
     for k, cnt in bags:
-        t = place[back[at : at + len(k)]]
+        cut.append((back[at : at + len(k)], cnt))
         at += len(k)
-        order = np.argsort(t[t >= 0])
-        bags_at.append((t[t >= 0][order], cnt[t >= 0][order]))
-    return Index(vocab, idf, bags_at, [r["doc_id"] for r in rows], y, totals.get(1, 0) / sum(totals.values()))
+    return Index(vocab, idf * (1 + lift), cut, [r["doc_id"] for r in rows], y, totals.get(1, 0) / sum(totals.values()))
 
 
 def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
@@ -268,4 +264,4 @@ def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str
             cols = [pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= THRESHOLD) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *cols], names=[*kept, *names])
 
-    return df.select(*columns, F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*columns, F.col(f"`{text}`").alias(free_name(base, "text_in"))).mapInArrow(run, schema)
