@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PROJECTIONS, GROWTH = 128, 1.05
+PROJECTIONS, GROWTH = 128, 1.04
 #: The first radius is this share of the median distance to the k-th nearest of ``PROBES`` vectors of the block.
-FIRST, PROBES = 0.9, 16
+FIRST, PROBES = 0.97, 16
 #: Vectors of a block on average, and queries that are counted side by side.
 BLOCK, BATCH = 16_384, 128
 #: Collisions that verify: mean less 0.6 deviations of those of a vector at distance R, with p = P(|N(0,1)| <= 1).
@@ -69,12 +69,13 @@ class Block:
         while len(open_):
             a = np.stack([np.searchsorted(s, c - radius) for s, c in zip(self.sorted, centres[:, open_])], axis=1)
             b = np.stack([np.searchsorted(s, c + radius, "right") for s, c in zip(self.sorted, centres[:, open_])], axis=1)
-            left = []
+            left, first = [], radius == self._start(k)
             for q, a_q, b_q in zip(open_.tolist(), a, b):
-                new = [o[s:e] for o, s, e in zip(self.order, a_q.tolist(), low[q].tolist())]
-                new += [o[s:e] for o, s, e in zip(self.order, high[q].tolist(), b_q.tolist())]
+                if first and (b_q - a_q).sum() > n * PROJECTIONS / 2:  # fewer lie outside the windows: count those
+                    count[q] = PROJECTIONS - self._counted(np.zeros(PROJECTIONS, np.int64), a_q, b_q, np.full(PROJECTIONS, n))
+                else:
+                    count[q] += self._counted(a_q, low[q], high[q], b_q)
                 low[q], high[q] = a_q, b_q
-                count[q] += np.bincount(np.concatenate(new), minlength=n)
                 rows, scores = self._verify(queries[q], np.flatnonzero((count[q] >= THRESHOLD) & ~done[q]), done[q], *found[q], k)
                 found[q] = rows, scores
                 near = len(rows) >= k and 2 - 2 * scores[k - 1] / (self.longest * sizes[q]) <= radius * radius
@@ -84,8 +85,13 @@ class Block:
             radius *= GROWTH
         return found
 
+    def _counted(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the parts a:b and c:d of the arrays."""
+        parts = [o[s:e] for o, s, e in zip(self.order, a.tolist(), b.tolist())] + [o[s:e] for o, s, e in zip(self.order, c.tolist(), d.tolist())]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids))
+
     def _start(self, k: int) -> float:
-        """A radius at which few searches of the block's own vectors would be over: later ones grow from there."""
+        """A radius a little below that at which a search for a vector of the block is over; later ones grow from there."""
         if k not in self.starts:
             probes = self.x[:: max(1, len(self.x) // PROBES)][:PROBES]
             near = 2 - 2 * (probes @ self.x.T) / (self.longest * np.sqrt((probes * probes).sum(axis=1)))[:, None]
@@ -99,7 +105,7 @@ class Block:
             return rows, scores
         done[new] = True
         self.verified += len(new)
-        rows, scores = np.append(rows, new), np.append(scores, (self.x[new] * query).sum(axis=1))
+        rows, scores = np.append(rows, new), np.append(scores, np.einsum("ij,j->i", self.x[new], query))
         if len(rows) > 8 * k:  # rows below the k-th best id cannot return: cut most away before the sort
             worst = self._worst(rows, scores, k)
             rows, scores = rows[scores >= worst], scores[scores >= worst]
