@@ -7,10 +7,11 @@ among them one; that bound is the only one: every term of every example is index
 one class over that in the other, ``PRIOR`` pseudo-examples drawing rare terms to 1) over the examples,
 so words that tell the classes apart decide among neighbours of one topic.
 
-The search is exact: the examples stand in order of their heaviest terms, so like ones share blocks of
-``BLOCK``; each term's postings in a block are stored with their largest weight. A query adds those maxima
-up to bounds, takes the ``FIRST`` best blocks whole, and then every other block whose bound reaches its
-k-th best cosine. Ties go to the smaller doc_id. Neighbours vote with weight 1 / (1 + EPS - cosine);
+The search is exact: the examples stand in an order that puts like ones together, in blocks of ``BLOCK``.
+A query adds up the postings of its rare terms; for those that one in ``COMMON`` examples or more has, it
+adds the largest weight in each block, which bounds every cosine. It takes the ``FIRST`` blocks with the
+largest bounds, and then every other one whose bound reaches the k-th best cosine. Ties go to the smaller
+doc_id. Neighbours vote with weight 1 / (1 + EPS - cosine);
 leave-one-out votes of the examples, weighted to the classes' true shares, are fitted by a monotone
 function, linear between its pools, that turns a vote into a probability.
 
@@ -33,7 +34,7 @@ from . import wordvec as V
 from .sparkutil import free_name, sampled_ids, small_batches
 
 EXAMPLES, PRIOR = 2000, 2.0
-K, BLOCK, FIRST, EPS = 15, 32, 4, 0.05
+K, BLOCK, FIRST, COMMON, AXES, EPS = 15, 8, 16, 16, 16, 0.05
 BANDS = 12
 THRESHOLD = 0.3
 
@@ -47,61 +48,102 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return w.hashes(), w.first
 
 
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, ids: list[int]) -> list[int]:
+    """The vectors in an order that puts like ones together: halved again and again along the widest of their
+    ``AXES`` main components over common terms. The order decides what a search skips, never what it finds."""
+    many = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=terms)
+    row = np.cumsum(many * COMMON >= len(vectors)) * (many * COMMON >= len(vectors)) - 1
+    table = np.zeros((len(vectors), row.max() + 1))
+    for i, (t, w) in enumerate(vectors):
+        table[i, row[t][row[t] >= 0]] = w[row[t] >= 0]
+    left, size, _ = np.linalg.svd(table, full_matrices=False)
+    points = (left * size)[:, :AXES]
+    todo, out = [np.lexsort((np.array(ids),))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK or not points.shape[1]:
+            out += part.tolist()
+            continue
+        part = part[np.argsort(points[part, points[part].var(axis=0).argmax()], kind="stable")]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK
+        todo += [part[half:], part[:half]]
+    return out
+
+
 class Index:
     """Block-max inverted index over unit vectors of all terms of the examples.
 
-    An entry is what one term has in one block: its postings start:stop and their largest weight.
+    Postings are kept by term. Terms that at least one in ``COMMON`` examples has also get a row each of
+    weights by example and of the largest weight in each block.
     """
 
     def __init__(self, vocab: np.ndarray, weight: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: list[int], y: np.ndarray, share: float):
         self.vocab, self.weight = vocab, weight
         vectors = [self.vector(t, c) for t, c in rows]
-        heaviest = [t[np.lexsort((t, -w))[:3]].tolist() for t, w in vectors]
-        order = sorted(range(len(rows)), key=lambda i: (heaviest[i], ids[i]))
+        order = alike(vectors, len(vocab), ids)
         vectors = [vectors[i] for i in order]
-        self.ids, self.y, self.blocks = np.array([ids[i] for i in order], dtype=np.int64), y[order], max(1, -(-len(rows) // BLOCK))
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        self.ids, self.y = np.array([ids[i] for i in order], dtype=np.int64), y[order]
+        terms = np.concatenate([t for t, _ in vectors])
         by = np.argsort(terms, kind="stable")  # postings by term, then by rank
-        self.doc, self.value = self.doc[by], np.concatenate([w for _, w in vectors])[by] if vectors else np.zeros(0)
-        cell = terms[by] * self.blocks + self.doc // BLOCK
-        self.start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        self.stop = np.append(self.start[1:], len(cell))[: len(self.start)]
-        self.block = cell[self.start] % self.blocks
-        self.most = np.maximum.reduceat(self.value, self.start) if len(cell) else np.zeros(0)
-        self.entry = np.searchsorted(cell[self.start] // self.blocks, np.arange(len(vocab) + 1))
+        self.doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])[by]
+        self.value = np.concatenate([w for _, w in vectors])[by]
+        self.start = np.searchsorted(terms[by], np.arange(len(vocab) + 1))
+        self._lay_out()
         self.steps = self._calibrate(share, vectors)
 
+    def _lay_out(self) -> None:
+        """The rows of common terms, made from the postings wherever the index arrives."""
+        self.blocks = -(-len(self.ids) // BLOCK)
+        size = np.diff(self.start)
+        common = np.flatnonzero(size * COMMON >= len(self.ids))
+        self.row = np.full(len(self.vocab), -1)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.blocks, BLOCK))
+        for row, t in zip(self.table.reshape(len(common), -1), common.tolist()):
+            at = slice(self.start[t], self.start[t + 1])
+            row[self.doc[at]] = self.value[at]
+        self.most = self.table.max(axis=2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "table", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[terms]
         norm = np.sqrt((w * w).sum())
         return terms, w / norm if norm > 0 else w
 
-    def _cosines(self, entries: np.ndarray, w: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ranks, cosines above 0) of the examples in ``entries`` of a query, w being its weight of each one's term."""
-        size = self.stop[entries] - self.start[entries]
-        at = np.repeat(self.start[entries] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        got = np.bincount(self.doc[at], np.repeat(w, size) * self.value[at], len(self.ids))
-        if without >= 0:
-            got[without] = 0
-        ranks = np.flatnonzero(got)
-        return ranks, got[ranks]
+    def _whole(self, score: np.ndarray, common: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of ``blocks``: what is in ``score`` and the products of the common terms."""
+        rows = self.table[common[:, None], blocks].reshape(len(common), len(blocks) * BLOCK)
+        return score.reshape(-1, BLOCK)[blocks].reshape(-1) + w @ rows
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(ranks, cosines) of the K examples nearest, none with cosine 0."""
-        many = self.entry[terms + 1] - self.entry[terms]
-        entries = np.repeat(self.entry[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        own, block = np.repeat(w, many), self.block[entries]
-        bound = np.bincount(block, own * self.most[entries], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        take = first[block]
-        ranks, scores = self._cosines(entries[take], own[take], without)
-        worst = np.partition(scores, len(scores) - K)[len(scores) - K] if len(scores) >= K else 0.0
-        take = (~first & (bound >= worst - 1e-12))[block]
-        if take.any():
-            more, also = self._cosines(entries[take], own[take], without)
-            ranks, scores = np.append(ranks, more), np.append(scores, also)
+        """(ranks, cosines) of the K examples nearest, none with cosine 0. Cosines are rounded to 12 digits."""
+        row = self.row[terms]
+        rare, common = terms[row < 0], row[row >= 0]
+        size = self.start[rare + 1] - self.start[rare]
+        at = np.repeat(self.start[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], np.repeat(w[row < 0], size) * self.value[at], self.blocks * BLOCK)
+        w = w[row >= 0]
+        bound = score + np.repeat(w @ self.most[common], BLOCK)  # of each example: its rare terms, the most that its block has of common ones
+        if without >= 0:
+            score[without] = bound[without] = 0
+        best = bound.reshape(-1, BLOCK).max(axis=1)
+        first = np.argpartition(best, len(best) - min(FIRST, len(best)))[-FIRST:]
+        scores = self._whole(score, common, w, first)
+        worst = np.partition(scores, len(scores) - K)[len(scores) - K] if len(scores) > K else 0.0
+        best[first] = 0
+        more = np.flatnonzero((best >= worst - 1e-9) & (best > 0))
+        ranks = (np.append(first, more)[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        if len(more):
+            scores = np.append(scores, self._whole(score, common, w, more))
+        scores[ranks == without] = 0
+        scores = np.round(scores, 12)
+        ranks, scores = ranks[scores > 0], scores[scores > 0]
         top = np.lexsort((self.ids[ranks], -scores))[:K]
         return ranks[top], scores[top]
 
