@@ -1,18 +1,22 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id, each range is written by one task in order, and a task rolls to the
-next file when the compressed size passes ``ROLL_BYTES``. A file is written under a temporary name of
+Records are range-sorted by id (and payload digest, so that rows of one id can be spread too), each range of
+about ``SHARD_BYTES`` of payload is written by one task in order, and a task rolls to the next file when the
+compressed size passes ``ROLL_BYTES``, some times a range. A file is written under a temporary name of
 its attempt and renamed when whole; names and contents depend on the records alone (headers, record
 ids and digests are made anew from them, dates come from a parameter), so a task that is run again
 after a lost executor replaces its files with the same bytes. The manifest, a table of file names,
-sizes and SHA-256, is written last: readers open what it lists and nothing else, and check it.
+record counts, sizes and SHA-256, is written last: readers open what it lists and nothing else, and fail
+on a file whose bytes, records or digest differ from it.
 
 Of records with equal payloads (SHA-1 and length) of at least ``least`` bytes, that with the largest id
 holds the payload (response); the others are revisits that refer to it and keep only headers.
 
 Defined results: a null payload is empty, a null address gets a urn of the record. Rows with a null id
 are written and read back with a null id, after all others; of equal payloads that all have null ids,
-each is a response. Rows repeated with one id are written each on its own with the type that their id has.
+each is a response. Rows repeated with one id are written each on its own, typed by its own payload: those
+that hold the payload of the response of that id are responses too. An empty table gives no files and an empty
+manifest. Of extra columns none is read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .sparkutil import blocks, shared_dir, small_batches, written
 
-ROLL_BYTES, SHARD_BYTES = 128 << 20, 64 << 20
+ROLL_BYTES, SHARD_BYTES = 64 << 20, 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -112,48 +116,48 @@ class Roller:
 
 
 def _keyed(df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
+    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.unhex(F.sha1(body.cast("binary"))).alias("sha"), F.octet_length(body).alias("size"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
 
 
 def revisits(df: DataFrame, least: int = 0, key: str = "page_id", payload: str = "html") -> tuple[DataFrame, DataFrame]:
-    """((key, refers_to) of revisits, (sha, size, best) of payloads that occur more than once).
+    """((key, sha, size, refers_to) of revisits, (sha, size, best) of payloads that occur more than once).
 
     Only digests are shuffled; refers_to is the largest id of the same payload.
     """
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha1(body.cast("binary"))).alias("sha"), F.octet_length(body).alias("size"))
-    known = rows.where("key is not null")
+    rows = _keyed(df, key, key, payload).select("key", "sha", "size")
     best = rows.groupBy("sha", "size").agg(F.max("key").alias("best"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("best").isNotNull() & (F.col("size") >= least)).drop("n")
-    return known.join(best, ["sha", "size"]).where("key <> best").select("key", F.col("best").alias("refers_to")).distinct(), best
+    return rows.where("key is not null").join(best, ["sha", "size"]).where("key <> best").select("key", "sha", "size", F.col("best").alias("refers_to")).distinct(), best
 
 
-def write(df: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, date: str = DATE, **columns: str) -> DataFrame:
+def write(df: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, date: str = DATE, shard: int = SHARD_BYTES, **columns: str) -> DataFrame:
     """Writes the archives of df to a new folder and returns the manifest (file, records, bytes, sha256)."""
     spark = df.sparkSession
     small_batches(spark)
     fs, at = _store(folder)
     fs.create_dir(at, recursive=True)
-    shards = blocks(df, F.octet_length(F.col(columns.get("payload", "html"))), SHARD_BYTES)
     names = {"key": "page_id", "url": "url", "payload": "html"} | columns
-    pages = _keyed(df, **names).withColumn("refers_to", F.lit(None).cast("long"))
+    shards = blocks(df, F.octet_length(F.col(f"`{names['payload']}`")), shard)
+    pages = _keyed(df, **names)
     marks, best = revisits(df, least, names["key"], names["payload"])
     marks = written(marks, "revisits")
-    # rows without an id carry their reference themselves; all others meet a mark of their id in the same range
-    bare = pages.where("key is null").drop("refers_to").join(best, (F.sha1(F.col("payload").cast("binary")) == F.lower(F.hex("sha"))) & (F.octet_length("payload") == F.col("size")), "left").select("key", "url", "payload", F.col("best").alias("refers_to"))
-    rows = pages.where("key is not null").unionByName(bare).withColumn("kind", F.lit(1)).unionByName(marks.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to", F.lit(0).alias("kind")))
-    rows = rows.repartitionByRange(shards, F.col("key").asc_nulls_last()).sortWithinPartitions(F.col("key").asc_nulls_last(), "kind", "url", "payload")
+    # rows without an id carry their reference themselves; all others meet a mark of their id and digest in the same range
+    bare = pages.where("key is null").join(best, ["sha", "size"], "left").withColumnRenamed("best", "refers_to")
+    rows = pages.where("key is not null").withColumn("refers_to", F.lit(None).cast("long")).unionByName(bare).withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    place = [F.col("key").asc_nulls_last(), F.col("sha"), F.col("size")]
+    rows = rows.select("key", "url", "payload", "refers_to", "kind", "sha", "size").repartitionByRange(shards, *place).sortWithinPartitions(*place, "kind", "url").drop("size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         out = Roller(folder, task.partitionId(), f"{task.taskAttemptId()}", roll, date)
         done, marked, target = [], None, None
         for batch in batches:
-            for key, url, payload, refers, kind in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, url, payload, refers, kind, sha in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if not kind:
-                    marked, target = key, refers
+                    marked, target = (key, sha), refers
                     continue
                 if key is not None:
-                    refers = target if key == marked else None
+                    refers = target if (key, sha) == marked else None
                 done += out.add(page_record(key, url, payload.encode("utf-8", "surrogatepass"), refers, date))
         if out.out is not None:
             done.append(out.close())
@@ -164,6 +168,19 @@ def write(df: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, da
     return manifest
 
 
+class Checked:
+    """A stream that counts and digests what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
 def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     z, parts = zlib.decompressobj(31), []
@@ -198,7 +215,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     Columns page_id, url, record_type, payload_bytes, payload_digest, refers_to and, with ``payloads``,
     payload (binary, null for revisits).
     """
-    manifest = spark.read.parquet(f"{folder}/_manifest").select("file", "sha256")
+    manifest = spark.read.parquet(f"{folder}/_manifest").select("file", "records", "bytes", "sha256")
     fields = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
     names = [x.split()[0] for x in fields.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
@@ -206,14 +223,16 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _store(folder)
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file, records, length, sha256 in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 rows: list[tuple] = []
-                size = 0
-                with fs.open_input_stream(f"{at}/{file}", compression=None) as stream:
+                size = seen = 0
+                with fs.open_input_stream(f"{at}/{file}", compression=None) as source:
+                    stream = Checked(source)
                     for raw in members(stream):
                         h, block = parse(raw)
                         if h["WARC-Type"] not in ("response", "revisit"):
                             continue
+                        seen += 1
                         http, _, body = block.partition(b"\r\n\r\n")
                         n = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.M)[1])
                         sha = h["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -226,11 +245,13 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                         if len(rows) >= 10_000 or payloads and size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                             rows, size = [], 0
+                if (stream.size, stream.sha.hexdigest(), seen) != (length, sha256, records):
+                    raise ValueError(f"{file} is not the file of the manifest: {stream.size} bytes for {length}, {seen} records for {records}")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     files = manifest.count()
-    return manifest.repartition(max(1, files), "file").select("file").mapInArrow(run, fields)
+    return manifest.repartition(max(1, files), "file").mapInArrow(run, fields)
 
 
 def round_trip(df: DataFrame, least: int = 0, **columns: str) -> DataFrame:
