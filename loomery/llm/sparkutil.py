@@ -42,6 +42,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, salts: int = 32) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row a key and the number of its rows in ``many`` as ``n``.
+
+    Keys with at least 1/4096 of the ``total`` rows of ``many`` (so at most 4096 of them, which is what is
+    broadcast) are cut into ``salts`` parts.
+    """
+    limit = max(1024, total // 4096)
+    hot = one.where(F.col("n") >= limit).select(*keys, F.lit(True).alias("hot"))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(F.lit(0))).drop("hot")
+    right = one.withColumn("salt", F.explode(F.when(F.col("n") >= limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return left.join(right.withColumn("salt", F.col("salt").cast("long")), [*keys, "salt"]).drop("salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts are long, and a batch is held whole by a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

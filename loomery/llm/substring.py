@@ -1,25 +1,27 @@
-"""Substring dedup by relative Lempel-Ziv parsing against a phrase index of the whole corpus.
+"""Substring dedup by relative Lempel-Ziv parsing against the corpus itself.
 
 The reference is every document's text, indexed by phrases of ``WINDOW`` words: for each phrase that
-more than one document holds, its earliest place (smallest doc_id, then position). The index is cut
-into blocks by phrase hash, and every document is parsed against every block that holds one of its
-phrases. A document's parse is greedy: a factor starts at the first word whose phrase has an earlier
-document's copy, grows word by word while the next phrase has one too and continues the same reference,
-and ends where it does not; the phrase that begins at each such boundary is then looked up itself, so a
-repeat that goes on in another reference is not lost. Factors are thus at least ``WINDOW`` words long,
-and a word is removed if a factor covers it.
+more than one document holds, its first place (smallest doc_id, then position). The index lies in hash
+partitions, its blocks; a join asks each block for a document's phrases. The parse is greedy: a
+factor starts at the first word whose phrase has its first place in an earlier document, and goes on while
+the document and the text from that place on agree, word for word. The phrase that would begin before a
+factor's end and reach beyond it is looked up itself, so a repeat that goes on in another reference is
+not lost: factors may overlap by up to ``WINDOW`` - 1 words. Hashes only propose factors. The reference's words
+travel to the document, and a factor ends at the first word that differs; what is left is a duplicate span
+if it has ``WINDOW`` words.
 
 Phrases that occur once are most of a corpus, so they are kept out of the index early: each phrase has
 an anchor, the smallest hash among its runs of ``GRAM`` words. Equal phrases have equal anchors, and
 neighbouring phrases mostly share theirs, so one row for every dozen and a half words tells which
 anchors more than one document has; only phrases with such an anchor are indexed and looked up.
 
-Everything is keyed by hashes of words (64 bits), summed up before it is shuffled where a phrase is
-common, and joined with Spark's skew handling. What is gathered in one place is one document's places.
+Phrases and passages with very many places are cut into salted parts before they are joined. What is
+gathered in one place is one document's places, and the passages that it is compared with.
 
 Defined results: a null or empty text has no words. A row with a null id removes nothing and loses
-nothing. Rows with one id are one document each, and none is a reference for the other. Texts shorter
-than ``WINDOW`` words stay whole.
+nothing. Rows with one id are one document each (rows of one id and text are alike), and none is a
+reference for the other. Texts shorter than ``WINDOW`` words stay whole. Equal phrases go to the smallest
+doc_id, then the smallest position. Extra columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordvec as V
-from .sparkutil import small_batches, written
+from .sparkutil import small_batches, spread_join, written
 
 WINDOW, GRAM = 50, 16
 
@@ -61,9 +63,9 @@ def _runs(batch_text: pa.Array) -> Iterator[tuple[int, int, V.Words]]:
 
 
 def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, rid, text): rid tells rows of one id apart by their text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(body).alias("rid"), body.alias("text"))
+    """(doc_id, rid, text): rid tells rows of one id apart by their text (64 bits, within the id)."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("rid"), body.alias("text"))
 
 
 def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -82,7 +84,7 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
                 pick = pa.array(owner[new] + i)
                 yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick)], names=["anchor", "doc_id", "rid"])
 
-    found = written(docs.mapInArrow(anchors, "anchor long, doc_id long, rid int"), "anchors")
+    found = written(docs.mapInArrow(anchors, "anchor long, doc_id long, rid long"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     lists = found.join(shared, "anchor").groupBy("doc_id", "rid").agg(F.collect_set("anchor").alias("anchors"))
 
@@ -103,47 +105,82 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
                 pick = pa.array(owner + i)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((at - w.first[owner]).astype(np.int32))], names=["phrase", "doc_id", "rid", "pos"])
 
-    places = docs.join(lists, ["doc_id", "rid"]).select("doc_id", "rid", "text", "anchors").mapInArrow(phrases, "phrase long, doc_id long, rid int, pos int")
+    places = docs.join(lists, ["doc_id", "rid"]).select("doc_id", "rid", "text", "anchors").mapInArrow(phrases, "phrase long, doc_id long, rid long, pos int")
     places = written(places, "phrases")
-    index = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("phrase", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.pos").alias("ref_pos"))
-    return places.join(index, "phrase").where("doc_id > ref_doc").select("doc_id", "rid", "pos", "ref_doc", "ref_pos")
+    index = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "pos", "rid")).alias("ref"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("ref.doc_id < last")
+    index = written(index.select("phrase", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.rid").alias("ref_rid"), F.col("ref.pos").alias("ref_pos"), "n"), "index")
+    return spread_join(places, index, ["phrase"], places.count()).where("doc_id > ref_doc").select("doc_id", "rid", "pos", "ref_doc", "ref_rid", "ref_pos")
+
+
+HIT = ["pos", "ref_doc", "ref_rid", "ref_pos"]
+FACTOR = ["start", "words", "ref_doc", "ref_rid", "ref_start"]
 
 
-def factors(pos: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """The greedy parse of one document: (first word, words, reference document, its first word) of each factor."""
-    order = np.argsort(pos)
-    pos, ref_doc, ref_pos = pos[order], ref_doc[order], ref_pos[order]
-    go_on = (pos[1:] == pos[:-1] + 1) & (ref_doc[1:] == ref_doc[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
-    heads = np.append(0, np.flatnonzero(~go_on) + 1) if len(pos) else np.zeros(0, np.int64)
+def factors(pos: np.ndarray, ref_doc: np.ndarray, ref_rid: np.ndarray, ref_pos: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """The greedy parse of one document: first word, words, reference document and its first word of each factor that the index proposes."""
+    order = np.argsort(pos, kind="stable")
+    pos, ref_doc, ref_rid, ref_pos = pos[order], ref_doc[order], ref_rid[order], ref_pos[order]
+    go_on = (pos[1:] == pos[:-1] + 1) & (ref_doc[1:] == ref_doc[:-1]) & (ref_rid[1:] == ref_rid[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
+    heads = np.flatnonzero(np.append(True, ~go_on)) if len(pos) else np.zeros(0, np.int64)
     tails = np.append(heads[1:] - 1, len(pos) - 1) if len(pos) else heads
-    return [(int(pos[h]), int(pos[t] - pos[h]) + window, int(ref_doc[h]), int(ref_pos[h])) for h, t in zip(heads, tails)]
+    return [pos[heads], pos[tails] - pos[heads] + window, ref_doc[heads], ref_rid[heads], ref_pos[heads]]
 
 
-def parsed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, rid, factors): the factors of each document that has any."""
-    rows = repeated(df, window, min(GRAM, window), text, doc_id).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("pos", "ref_doc", "ref_pos")).alias("hits"))
+def proposed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, rid, start, words, ref_doc, ref_rid, ref_start): the factors that the index proposes."""
+    rows = repeated(df, window, min(GRAM, window), text, doc_id).groupBy("doc_id", "rid").agg(F.collect_list(F.struct(*HIT)).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = batch.column(2)
             flat, cut = hits.flatten(), np.append(0, np.cumsum(np.asarray(hits.value_lengths())))
-            pos, doc, at = (np.asarray(flat.field(k)) for k in range(3))
-            rows = [factors(pos[a:b], doc[a:b], at[a:b], window) for a, b in zip(cut[:-1], cut[1:])]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[dict(zip(("start", "words", "ref_doc", "ref_start"), f)) for f in r] for r in rows], kind)], names=["doc_id", "rid", "factors"])
+            parts = [np.asarray(flat.field(k)) for k in range(len(HIT))]
+            found = [factors(*(p[a:b] for p in parts), window) for a, b in zip(cut[:-1], cut[1:])]
+            own = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(len(FACTOR))]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types))], names=["doc_id", "rid", *FACTOR])
+
+    return rows.mapInArrow(run, "doc_id long, rid long, start int, words int, ref_doc long, ref_rid long, ref_start int")
+
+
+def parsed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, rid, factors): of each document that has any, first word, words and the reference's words of each factor."""
+    found = written(proposed(df, window, text, doc_id), "factors")
+    place = ["ref_doc", "ref_rid", "ref_start"]
+    wanted = found.groupBy(*place).agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    lists = wanted.groupBy("ref_doc", "ref_rid").agg(F.collect_list(F.struct("ref_start", "words", "n")).alias("wanted"))
+    docs = _keyed(df, text, doc_id)
+    both = docs.join(lists, (docs["doc_id"] == lists["ref_doc"]) & (docs["rid"] == lists["ref_rid"])).select("ref_doc", "ref_rid", "text", "wanted")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(2)[k].as_py().encode("utf-8", "surrogatepass").split()
+                want = batch.column(3)[k].as_py()
+                passages = [b" ".join(words[w["ref_start"] : w["ref_start"] + w["words"]]).decode("utf-8", "surrogatepass") for w in want]
+                own = pa.array([k] * len(want), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([w["ref_start"] for w in want], pa.int32()), pa.array([w["n"] for w in want], pa.int64()), pa.array(passages, pa.string())], names=[*place, "n", "passage"])
 
-    return rows.mapInArrow(run, "doc_id long, rid int, factors array<struct<start: int, words: int, ref_doc: long, ref_start: int>>")
+    passages = both.mapInArrow(cut, "ref_doc long, ref_rid long, ref_start int, n long, passage string")
+    passages = written(passages.dropDuplicates(place), "passages")
+    return spread_join(found, passages, place, found.count()).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "words", "passage")).alias("factors"))
 
 
-def kept_words(raw: bytes, found: list[dict] | None) -> tuple[int, int, bytes]:
-    """(words, words removed, kept words joined by a space) of a text and its factors."""
+def kept_words(raw: bytes, found: list[dict] | None, window: int = WINDOW) -> tuple[int, int, bytes]:
+    """(words, words removed, kept words joined by a space) of a text: each proposed factor is compared with the reference's words."""
     words = raw.split()
     if not found:
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
     for f in found:
-        edge[f["start"]] += 1
-        edge[f["start"] + f["words"]] -= 1
+        a, n = f["start"], f["words"]
+        own, other = words[a : a + n], f["passage"].encode("utf-8", "surrogatepass").split(b" ")[:n]
+        if own != other:
+            n = next(k for k, (x, y) in enumerate(zip([*own, None], [*other, b""])) if x != y)
+        if n >= window:
+            edge[a] += 1
+            edge[a + n] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
@@ -153,10 +190,10 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, digests: bool = False, t
     columns of df (or ``keep``), ``text`` being the kept words joined by a space where words were removed."""
     import pyspark.sql.types as T
 
-    spans = written(parsed(df, window, text, doc_id), "factors")
+    spans = parsed(df, window, text, doc_id)
     others = [] if digests else [c for c in (df.columns if keep is None else keep) if c != text]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    left = df.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.hash(body).alias("__rid"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(others)])
+    left = df.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(body).alias("__rid"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(others)])
     joined = left.join(spans, (F.col("__id") == spans["doc_id"]) & (F.col("__rid") == spans["rid"]), "left").select("__id", "__text", "factors", *[f"__c{k}" for k in range(len(others))])
     if digests:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -166,7 +203,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, digests: bool = False, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            done = [kept_words((t or "").encode("utf-8", "surrogatepass"), f) for t, f in zip(texts, found)]
+            done = [kept_words((t or "").encode("utf-8", "surrogatepass"), f, window) for t, f in zip(texts, found)]
             gone = pa.array([d[1] for d in done], pa.int64())
             if digests:
                 cols = [batch.column(0), pa.array([d[0] for d in done], pa.int64()), gone, pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
