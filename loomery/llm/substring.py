@@ -63,13 +63,17 @@ def _runs(batch_text: pa.Array) -> Iterator[tuple[int, int, V.Words]]:
 
 
 def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, rid, text): rid tells rows of one id apart by their text (64 bits, within the id)."""
+    """(doc_id, rid, text): rid tells rows of one id apart by their text. Should two texts of one id
+    share it, each is compared word by word with the factors of both."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("rid"), body.alias("text"))
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.hash(body).alias("rid"), body.alias("text"))
 
 
 def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, rid, pos, ref_doc, ref_pos): phrases that also start in a document with a smaller id."""
+    """(doc_id, rid, pos, ref_doc, ref_rid, ref_pos): phrases that also start in a document with a smaller id.
+
+    A place's position and rid travel as one number, position first.
+    """
     small_batches(df.sparkSession)
     docs = _keyed(df, text, doc_id).where(F.col("doc_id").isNotNull())
 
@@ -84,7 +88,7 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
                 pick = pa.array(owner[new] + i)
                 yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick)], names=["anchor", "doc_id", "rid"])
 
-    found = written(docs.mapInArrow(anchors, "anchor long, doc_id long, rid long"), "anchors")
+    found = written(docs.mapInArrow(anchors, "anchor long, doc_id long, rid int"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     lists = found.join(shared, "anchor").groupBy("doc_id", "rid").agg(F.collect_set("anchor").alias("anchors"))
 
@@ -103,13 +107,15 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
                 at = starts[keep]
                 owner = np.searchsorted(w.first, at, "right") - 1
                 pick = pa.array(owner + i)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((at - w.first[owner]).astype(np.int32))], names=["phrase", "doc_id", "rid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(pick), pa.array((at - w.first[owner]) << 32 | np.asarray(batch.column(1)).astype(np.int64)[owner + i] + (1 << 31))], names=["phrase", "doc_id", "at"])
 
-    places = docs.join(lists, ["doc_id", "rid"]).select("doc_id", "rid", "text", "anchors").mapInArrow(phrases, "phrase long, doc_id long, rid long, pos int")
+    places = docs.join(lists, ["doc_id", "rid"]).select("doc_id", "rid", "text", "anchors").mapInArrow(phrases, "phrase long, doc_id long, at long")
     places = written(places, "phrases")
-    index = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "pos", "rid")).alias("ref"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("ref.doc_id < last")
-    index = written(index.select("phrase", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.rid").alias("ref_rid"), F.col("ref.pos").alias("ref_pos"), "n"), "index")
-    return spread_join(places, index, ["phrase"], places.count()).where("doc_id > ref_doc").select("doc_id", "rid", "pos", "ref_doc", "ref_rid", "ref_pos")
+    index = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("ref.doc_id < last")
+    index = index.select("phrase", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"), "n")
+    parts = [((F.col(c) % (1 << 32)) - (1 << 31)).cast("int") for c in ("at", "ref_at")]
+    hits = spread_join(places, index, ["phrase"], places.count()).where("doc_id > ref_doc")
+    return hits.select("doc_id", parts[0].alias("rid"), F.shiftright("at", 32).cast("int").alias("pos"), "ref_doc", parts[1].alias("ref_rid"), F.shiftright("ref_at", 32).cast("int").alias("ref_pos"))
 
 
 HIT = ["pos", "ref_doc", "ref_rid", "ref_pos"]
@@ -138,10 +144,10 @@ def proposed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: st
             found = [factors(*(p[a:b] for p in parts), window) for a, b in zip(cut[:-1], cut[1:])]
             own = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(len(FACTOR))]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types))], names=["doc_id", "rid", *FACTOR])
 
-    return rows.mapInArrow(run, "doc_id long, rid long, start int, words int, ref_doc long, ref_rid long, ref_start int")
+    return rows.mapInArrow(run, "doc_id long, rid int, start int, words int, ref_doc long, ref_rid int, ref_start int")
 
 
 def parsed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -162,7 +168,7 @@ def parsed(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str
                 own = pa.array([k] * len(want), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([w["ref_start"] for w in want], pa.int32()), pa.array([w["n"] for w in want], pa.int64()), pa.array(passages, pa.string())], names=[*place, "n", "passage"])
 
-    passages = both.mapInArrow(cut, "ref_doc long, ref_rid long, ref_start int, n long, passage string")
+    passages = both.mapInArrow(cut, "ref_doc long, ref_rid int, ref_start int, n long, passage string")
     passages = written(passages.dropDuplicates(place), "passages")
     return spread_join(found, passages, place, found.count()).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "words", "passage")).alias("factors"))
 
@@ -193,7 +199,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, digests: bool = False, t
     spans = parsed(df, window, text, doc_id)
     others = [] if digests else [c for c in (df.columns if keep is None else keep) if c != text]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    left = df.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(body).alias("__rid"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(others)])
+    left = df.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.hash(body).alias("__rid"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(others)])
     joined = left.join(spans, (F.col("__id") == spans["doc_id"]) & (F.col("__rid") == spans["rid"]), "left").select("__id", "__text", "factors", *[f"__c{k}" for k in range(len(others))])
     if digests:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
