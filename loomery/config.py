@@ -44,6 +44,8 @@ class EngineConfig:
     spread_alpha: float = 0.10
     spread_gate: float = 0.20
     spread_from: int = 10
+    spread_corpora: tuple[str, ...] = field(default=("curated",))
+    state_terms: int = 20_000
     chunk_words: int = 200
     chunk_overlap: int = 40
     chunk_cap: int = 200

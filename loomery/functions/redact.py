@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 CREDENTIAL, TOKEN, KEY = "[REDACTED:credential-shaped]", "[REDACTED:token-shaped]", "[REDACTED:key-shaped]"
-#: What may follow "password is" in plain prose without being a password. Fixed values.
-PROSE = "required|provided|supposed|empty|wrong|correct|expired|needed|missing|invalid|not|set|stored|shared|known|the|a|an|in|on|for|to|being|reset|protected|optional|hidden|extended"
+#: A value in a sentence ends before these; an unquoted one needs a mark or a digit in eight letters, or twelve letters. Fixed values.
+_VALUE = r"[^\s\\\"'`,;.)}\]>]"
+_MARK = r"[0-9!@#$%^&*_+\-=~?/|]"
+_SAID = r"(?:[ \t]+(?:is|was|set[ \t]+to|changed[ \t]+to)[ \t]+|[ \t]*(?::|=|->)[ \t]*)"
+_TRIGGER = r"(?i:(?<![A-Za-z0-9_])(?:password|passwd|passphrase|passcode|pwd|pin)(?![A-Za-z0-9_]))"
+#: What assigns a secret in code or configuration. Fixed value.
+_NAME = r"(?i:(?<![A-Za-z0-9])[A-Za-z0-9_\-]*(?:api[_\-]?key|secret|token|access[_\-]?key|auth[_\-]?key|client[_\-]?secret|password|passwd|pwd))"
 #: (pattern, what replaces it) in the order in which they are applied. Fixed values.
 RULES = (
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", KEY),
@@ -15,8 +20,10 @@ RULES = (
     (r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,}", TOKEN),
     (r"(?i)(bearer[ \t]+)[A-Za-z0-9._~+/\-]{20,}=*", "$1" + TOKEN),
     (r"(?i)([a-z][a-z0-9+.\-]*://[^ /:@\n]*:)[^ /@\n]+(@)", "$1" + CREDENTIAL + "$2"),
-    (r"(?i)((?:password|passwd|passcode|pwd|passphrase)(?:[ \t]+(?:is|was)[ \t]+|[ \t]*[:=][ \t]*))(?!(?:" + PROSE + r")(?![A-Za-z]))(?=[^ \n]{6,})(?=[^ \n]*[0-9])[^ \n]+", "$1" + CREDENTIAL),
-    (r"(?i)((?:mysql|psql|mariadb|sshpass|redis-cli)[^\n]{0,40}? -p[ \t]?)(?=[^ \n]{6,})[^ \n]+", "$1" + CREDENTIAL),
+    (r"(" + _TRIGGER + _SAID + r")(\"[^\"\n]{1,200}\"|'[^'\n]{1,200}')", "$1" + CREDENTIAL),
+    (r"(" + _NAME + r"[ \t]*[:=][ \t]*)(?:\"[^\"\s]{8,200}\"|'[^'\s]{8,200}'|(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-+/]{16,}=*)", "$1" + TOKEN),
+    (r"(" + _TRIGGER + _SAID + r")(?!\[REDACTED)(?![*_]*[a-z]+[*_]*(?!" + _VALUE + r"))(?:(?=" + _VALUE + r"{0,200}?" + _MARK + r")" + _VALUE + r"{8,}|" + _VALUE + r"{12,})", "$1" + CREDENTIAL),
+    (r"(?i)((?:mysql|psql|mariadb|sshpass|smbclient|redis-cli)[^\n]{0,40}? -p[ \t]?)(?=[^ \n]{6,})[^ \n]+", "$1" + CREDENTIAL),
 )
 #: Mail hosts that say nothing about an organisation. Fixed values.
 FREEMAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "me.com", "msn.com", "live.com", "comcast.net", "protonmail.com", "proton.me", "gmx.com")

@@ -7,29 +7,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomery.config import CONFIG, EngineConfig
 from loomery.functions import text as T
 
-#: What shows that a turn was written by a machine. Fixed values.
-MACHINE_MARKS = ("<system-reminder", "<task-notification", "<command-name>", "<local-command", "[Request interrupted")
-#: What shows that a short question names something definite: versions, hashes, tickets, paths, names, figures. Fixed values.
-IDENTIFIERS = (r"(?<![A-Za-z0-9_])v?\d+\.\d+", r"(?<![A-Za-z0-9_])[0-9a-f]{7,40}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])[A-Z]{2,}-\d+", r"[\w.\-]+/[\w.\-]+", r"(?<![A-Za-z0-9_])[a-z]+[A-Z]\w+|\w+_\w+", r"(?<![A-Za-z0-9_])\d{3,}(?![A-Za-z0-9_])")
+#: What shows that a turn is machinery: marks anywhere in it, and how it may begin. Fixed values.
+MACHINE_MARKS = ("<system-reminder>", "<task-notification>")
+MACHINE_STARTS = (
+    r"^\s*<cross-session-message\b",
+    r"^\[SYSTEM NOTIFICATION",
+    r"^Caveat: The messages below",
+    r"^<(command-name|local-command|command-message|bash-input|bash-stdout)",
+)
+#: What a later search can find a short exchange by: ticket, hash, number, address, path, file name. Fixed values.
+IDENTIFIERS = (
+    r"\b[A-Z]{2,}-\d{2,}\b",
+    r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b",
+    r"\b\d{4,}\b",
+    r"https?://\S+",
+    r"(?:^|[\s\"'(<])[~.]?/[\w.+-]+(?:/[\w.+-]+)+",
+    r"\b[\w.+-]+\.(?:js|mjs|cjs|ts|json|jsonl|md|sh|zsh|py|yml|yaml|html|css|xlsx|csv|txt|log|zip)\b",
+)
 
 
 def is_machine(text: Column) -> Column:
-    """a marked turn, or one of which tags make up over 15 %."""
+    """no text, a marked turn, or one of which bare tags make up over 15 %."""
     t = F.coalesce(text, F.lit(""))
-    tags = F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(</?[A-Za-z][^>]*>)"), F.lit(1)), ""))
-    marked = F.lit(False)
+    tags = F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(</?[A-Za-z][A-Za-z0-9-]*>)"), F.lit(1)), ""))
+    marked = t == ""
     for mark in MACHINE_MARKS:
-        marked = marked | F.ltrim(t).startswith(mark)
-    return marked | ((F.length(t) > 0) & (tags > 0.15 * F.length(t)))
+        marked = marked | F.contains(t, F.lit(mark))
+    for start in MACHINE_STARTS:
+        marked = marked | t.rlike(start)
+    return marked | (tags > 0.15 * F.length(t))
+
+
+def carries_identifier(text: Column) -> Column:
+    found = F.lit(False)
+    for pattern in IDENTIFIERS:
+        found = found | F.coalesce(text, F.lit("")).rlike(pattern)
+    return found
 
 
 def carries_no_fact(ask: Column, reply: Column, cfg: EngineConfig = CONFIG) -> Column:
     """a short reply, unless it answers a question of some length that names something definite."""
-    a, r = F.trim(F.coalesce(ask, F.lit(""))), F.trim(F.coalesce(reply, F.lit("")))
-    named = F.lit(False)
-    for pattern in IDENTIFIERS:
-        named = named | a.rlike(pattern)
-    return (F.length(r) < cfg.short_reply) & ~((F.length(r) > 0) & (F.length(a) >= cfg.short_ask) & named)
+    a, r = F.coalesce(ask, F.lit("")), F.coalesce(reply, F.lit(""))
+    return (F.length(r) < cfg.short_reply) & ~((F.length(r) > 0) & (F.length(a) >= cfg.short_ask) & carries_identifier(a))
 
 
 def capturable(turns: DataFrame) -> DataFrame:

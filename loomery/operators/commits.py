@@ -33,16 +33,19 @@ def cited(docs: DataFrame, commits: DataFrame, per_doc: int = 12) -> DataFrame:
     return rows.select("doc_ord", "pos", "token", "sha", "repo", "at", "on_mainline", "subject")
 
 
+#: Names that only code has: constants, flags, paths of files. Fixed values.
+CODE_NAMES = (r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b", r"--[a-z][a-z0-9-]{2,}\b", r"\b[\w.-]+/[\w./-]+\.[a-z]{2,4}\b")
+
+
 def identifiers(text: Column) -> Column:
-    """Code-like names: with an underscore, a capital within, or a call's parentheses; distinct, in order."""
+    """Code-like names, distinct, shape by shape in order."""
     t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z]+_[A-Za-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]+)(?![A-Za-z0-9_])"), F.lit(1))
-    return F.array_distinct(found)
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in CODE_NAMES])))
 
 
-def known_identifiers(docs: DataFrame, code_tokens: DataFrame, most: int = 4) -> DataFrame:
-    """(doc_ord, identifier, found): whether the code has them; at most ``most`` a document."""
-    rows = docs.select("doc_ord", F.posexplode(identifiers(F.col("body"))).alias("pos", "identifier")).where(F.col("pos") < most)
+def known_identifiers(docs: DataFrame, code_tokens: DataFrame) -> DataFrame:
+    """(doc_ord, identifier, found): whether the code has them."""
+    rows = docs.select("doc_ord", F.explode(identifiers(F.col("body"))).alias("identifier"))
     return rows.join(code_tokens.select(F.col("token").alias("identifier")).distinct().withColumn("_f", F.lit(True)), "identifier", "left").select("doc_ord", "identifier", F.coalesce("_f", F.lit(False)).alias("found"))
 
 

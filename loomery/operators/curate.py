@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomery.config import CONFIG, EngineConfig
+from loomery.config import CONFIG, STOP_WORDS, EngineConfig
 from loomery.functions import redact as R, text as T
 
 #: What shows that a text is about code, with its weight. Fixed values.
@@ -19,15 +19,28 @@ CODE_SIGNALS = (
 CODE_AT, PROSE_AT = 0.08, 0.03
 
 
+def proseness(text: Column) -> Column:
+    """A10: sentence length less symbols, 0 to 1; null below 100 characters."""
+    t = F.coalesce(text, F.lit(""))
+    sentences = F.filter(F.split(t, r"[.!?]+\s"), lambda s: F.length(F.trim(s)) > 20)
+    words = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.size(F.split(s, r"\s+"))) / F.size(sentences)
+    symbols = F.length(F.regexp_replace(t, r"[^{}()\[\]<>|=;$#]", "")) / F.length(t)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), words / 25 * (1 - F.least(F.lit(1.0), symbols * 40))))
+    return F.when(F.length(t) < 100, None).when(F.size(sentences) == 0, 0.0).otherwise(share)
+
+
 def corpus_profile(docs: DataFrame) -> DataFrame:
-    """A10: share of each code signal over all documents, their weighted sum, and the domain that it means.
+    """A10: share of each code signal over all documents, their weighted sum, mean proseness, the domain that they mean and how sure it is.
 
     Counted over every document: one aggregate costs no more than a sample does.
     """
-    rows = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.coalesce(F.col("body"), F.lit("")).rlike(p).cast("double")), 3).alias(name) for name, p, _ in CODE_SIGNALS])
+    body = F.coalesce(F.col("body"), F.lit(""))
+    rows = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(body.rlike(p).cast("double")), 3).alias(name) for name, p, _ in CODE_SIGNALS], F.round(F.coalesce(F.avg(proseness(body)), F.lit(0.0)), 3).alias("prose_score"))
     score = sum((F.col(name) * w for name, _, w in CODE_SIGNALS), F.lit(0.0))
     rows = rows.withColumn("code_score", F.round(score, 3))
-    return rows.withColumn("domain", F.when(F.col("code_score") >= CODE_AT, "code").when(F.col("code_score") <= PROSE_AT, "prose").otherwise("mixed"))
+    rows = rows.withColumn("domain", F.when(F.col("code_score") >= CODE_AT, "code").when(F.col("code_score") <= PROSE_AT, "prose").otherwise("mixed"))
+    sure = F.when(F.col("domain") == "code", F.least(F.lit(1.0), 0.5 + F.col("code_score"))).when(F.col("domain") == "prose", F.least(F.lit(1.0), 0.6 + F.col("prose_score") * 0.4)).otherwise(0.45)
+    return rows.withColumn("confidence", F.round(sure, 2))
 
 
 def gate(docs: DataFrame, denied: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -37,35 +50,57 @@ def gate(docs: DataFrame, denied: tuple[str, ...] = ()) -> tuple[DataFrame, Data
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("corpus", "file", "reason")
 
 
+#: Shapes of code in a question: hash, path, constant, flag, call. Fixed values.
+QUERY_CODE_SHAPES = (
+    r"\b[0-9a-f]{7,40}\b",
+    r"\b[\w.-]+/[\w./-]+\.[a-z]{1,5}\b",
+    r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b",
+    r"(?:^|\s)--[a-z][a-z0-9-]{2,}\b",
+    r"\b[a-z][\w$]*\(\)",
+)
+#: Phrasings of past events, of standing rules and of handoff documents. Fixed values.
+EVENT_MARKERS = r"\b(that night|last night|yesterday|earlier|this morning|when we|what did we|did we ever|we decided|we said|at the time|back then|during (the|that))\b"
+RULE_MARKERS = r"\b(what is the rule|how do i|how should|what should i|the rule about|policy|convention|always|never)\b"
+HANDOFF_MARKERS = r"\b(hand-?off|handed over|handing over|phase\s*\d|where (did|do) (we|i) leave|picking (this|it) up|next session|state of (the|this) (project|campaign|work|effort))\b"
+#: How a question asks to read a document. Fixed value.
+READ_VERB = r"^\s*(?:summari[sz]e|(?:give\s+me\s+)?(?:an?\s+)?(?:summary|overview)\s+of)\b[:,]?\s*"
+
+
+def matches(text: Column, pattern: str, any_case: bool = False) -> Column:
+    """Whether an ASCII pattern occurs; null text has nothing."""
+    return F.coalesce(F.lower(text) if any_case else text, F.lit("")).rlike(pattern)
+
+
 def looks_technical(query: Column) -> Column:
     """F13"""
-    q = F.coalesce(query, F.lit(""))
-    return q.rlike(r"[\w.\-]+/[\w./\-]+") | q.rlike(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]+_[A-Z0-9_]+") | q.rlike(r"(?<![A-Za-z0-9_])v?\d+\.\d+(\.\d+)?") | q.rlike(r"(?<![A-Za-z0-9_])[0-9a-f]{7,40}(?![A-Za-z0-9_])") | q.rlike(r"[a-z]+[A-Z]\w+|\w+\(\)")
+    found = F.lit(False)
+    for shape in QUERY_CODE_SHAPES:
+        found = found | matches(query, shape)
+    return found
 
 
-def route_scope(query: Column) -> Column:
-    """which corpus a question is for: handoffs, rules, events, else the curated one."""
-    q = F.lower(F.coalesce(query, F.lit("")))
-    word = lambda s: q.rlike(rf"(?<![a-z0-9_])({s})(?![a-z0-9_])")
-    return F.when(word("handoff|hand-off|handover|next session"), "handoff").when(word("rule|rules|always|never|policy|convention|preference"), "curated").when(word("when did|what happened|last time|yesterday|discussed|conversation|we said|asked"), "staging").otherwise("curated")
+def route_scope(query: Column, other_projects: bool = False) -> Column:
+    """``all`` for handoff and event phrasings, and for every question while another project has memories; else ``curated``."""
+    event, rule, handoff = (matches(query, p, any_case=True) for p in (EVENT_MARKERS, RULE_MARKERS, HANDOFF_MARKERS))
+    return F.when(handoff | (event & ~rule) | F.lit(other_projects), "all").otherwise("curated")
 
 
 def read_task(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """questions that ask to read one document: a summary verb, or the slug of its name (eight letters or more)."""
-    verb = F.lower("query").rlike(r"^[ ]*(summari[sz]e|read|open|show|recap|explain)(?![a-z])")
-    rest = F.regexp_replace(F.lower("query"), r"^[ ]*(summari[sz]e|read|open|show|recap|explain)(?![a-z])( me)?( the)?", "")
-    asks = queries.select("query_id", verb.alias("has_verb"), T.slug(rest, None).alias("slug"))
+    """questions that ask to read one document: a summary phrase at the start, or the slug of its name (eight letters or more)."""
+    ask = F.lower(F.coalesce("query", F.lit("")))
+    rest = F.regexp_replace(F.regexp_replace(ask, READ_VERB, ""), r"^(?:the|an?)\s+", "")
+    asks = queries.select("query_id", ask.rlike(READ_VERB).alias("has_verb"), T.slug(rest, None).alias("slug"))
     names = docs.select("corpus", "doc_ord", T.slug(F.col("name"), None).alias("slug")).where(F.length("slug") >= 8)
     return asks.join(names, "slug", "left").groupBy("query_id").agg(F.first("has_verb").alias("has_verb"), F.min("doc_ord").alias("doc_ord"))
 
 
-#: Words that open a correction. Fixed values.
-CORRECTION = r"(?i)(?<![a-z])(actually|correction|no longer|was wrong|not true|superseded|instead of|turns out|i was mistaken|has changed|is outdated)(?![a-z])"
+#: Words with which a speaker withdraws a claim of their own. Fixed value.
+CORRECTION = r"\b(i was wrong|i were wrong|i got .{0,20}wrong|that was wrong|(my|the|that|my earlier|my last) [a-z ]{0,24}(claim|comment|answer|statement|note|advice|reading|assumption)[a-z ]{0,12} was wrong|correction:|i owe you a correction|i misread|i misremembered|i was mistaken|no longer (true|the case|accurate)|scratch that)\b"
 
 
 def claims(exchanges: DataFrame) -> DataFrame:
-    """The terms of the sentence that corrects something, of each exchange that does."""
-    line = F.get(F.filter(F.split(F.coalesce("reply", F.lit("")), r"(?<=[.!?])[ \n]+"), lambda s: s.rlike(CORRECTION)), F.lit(0))
+    """The terms of the sentence of the reply that withdraws something, of each exchange that does."""
+    line = F.get(F.filter(F.split(F.coalesce("reply", F.lit("")), r"(?<=[.!?])[ \n]+"), lambda s: matches(s, CORRECTION, any_case=True)), F.lit(0))
     return exchanges.withColumn("claim", line).where("claim is not null").withColumn("claim_terms", F.array_distinct(T.tokenize(F.col("claim"))))
 
 
@@ -98,21 +133,31 @@ def consolidation_queue(docs: DataFrame, superseded: DataFrame, proposals: DataF
     return out
 
 
-#: Families of words that date a statement. Fixed values.
-CURRENCY_MARKS = (("as-of", r"(?i)as of [A-Z0-9][A-Za-z0-9 ,\-]{3,20}"), ("currently", r"(?i)(?<![a-z])currently(?![a-z])"), ("version", r"(?<![A-Za-z0-9])v\d+\.\d+(?:\.\d+)?"), ("pending", r"(?i)(?<![a-z])(?:todo|pending|not yet|waiting for)(?![a-z])"), ("latest", r"(?i)(?<![a-z])(?:latest|newest|most recent)(?![a-z])"))
+#: Kinds of statements that age, and what shows them in a line. Fixed values.
+CURRENCY_MARKS = (
+    ("version-token", r"\b(?:v\d{2,3}|Mac v\d+|Win v\d+)\b"),
+    ("status-flag", r"(?m)^.*(?:🟥|✅|⚠️).*$"),
+    ("dated-correction", r"(?im)^.*\b(?:corrected|fixed|superseded|updated|changed|ruled|shipped|landed|as of)\b.*\b20\d\d-\d\d(?:-\d\d)?\b.*$"),
+    ("count-claim", r"(?im)^.*\b\d{1,6}\s+(?:files?|docs?|documents?|memories|entries|commits?|chunks?|tests?|cases?|rows?|models?|dirs?|directories|roots?|probes?|barges?)\b.*$"),
+    ("port-or-flag", r"(?m)^.*\b(?:port\s+\d{4,5}|:\d{4,5}\b|MEMORY_[A-Z_]+|EB_[A-Z_]+|QSB_[A-Z_]+).*$"),
+)
 
 
 def currency_candidates(docs: DataFrame, per_kind: int = 8) -> DataFrame:
-    """The first documents with each kind of dated statement, as a report."""
-    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("body", f"({p})", 1).alias("mark")) for k, p in CURRENCY_MARKS])
-    rows = docs.select("corpus", "doc_ord", F.explode(every).alias("x")).select("corpus", "doc_ord", "x.*").where("mark <> ''")
-    w = Window.partitionBy("corpus", "kind").orderBy("doc_ord")
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_kind).drop("_n")
-
-
-def pick_token(texts: DataFrame, others: DataFrame) -> DataFrame:
-    """Of each text the rarest token of six letters or more: by documents that hold it, shaped ones first, longer ones, then by name."""
-    tok = texts.select("doc_ord", F.explode(F.array_distinct(T.tokenize(F.col("body")))).alias("token")).where(F.length("token") >= 6)
-    df = others.select("doc_ord", F.explode(F.array_distinct(T.tokenize(F.col("body")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = tok.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("plain", (~F.col("token").rlike("[0-9._/-]")).cast("int"))
-    return rows.groupBy("doc_ord").agg(F.min(F.struct("df", "plain", (-F.length("token")).alias("short"), "token")).alias("b")).select("doc_ord", "b.token", "b.df")
+    """(corpus, doc_ord, markers, versions, hits): documents with statements that age, the first ``per_kind`` of each kind
+    as a report; those with most of them come first for a reader."""
+    body = F.coalesce("body", F.lit(""))
+    hits = F.flatten(F.array(*[F.transform(F.slice(F.regexp_extract_all(body, F.lit(p), F.lit(0)), 1, per_kind), lambda m, k=k: F.struct(F.lit(k).alias("kind"), F.substring(F.trim(m), 1, 160).alias("line"))) for k, p in CURRENCY_MARKS]))
+    versions = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\b(v\d{2,3})\b"), F.lit(1))), 1, 10)
+    return docs.select("corpus", "doc_ord", F.size(hits).alias("markers"), versions.alias("versions"), hits.alias("hits")).where("markers > 0")
+
+
+def pick_token(texts: DataFrame) -> DataFrame:
+    """(doc_ord, token, n): of each text the token that it says least often: shaped ones before plain ones, then longer
+    ones, then by code points. Front matter, stop words, bare numbers, tokens of over 40 letters and secrets are no subjects."""
+    hay = F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), r"^---\n[\s\S]*?\n---\n", "")
+    raw = F.transform(F.regexp_extract_all(hay, F.lit(r"([a-z0-9][a-z0-9._-]{5,})"), F.lit(1)), lambda t: F.regexp_replace(t, r"[.\-_]+$", ""))
+    good = F.filter(raw, lambda t: (F.length(t) >= 6) & (F.length(t) <= 40) & ~t.isin(*STOP_WORDS) & ~t.rlike(r"^\d[\d.]*$"))
+    rows = texts.select("doc_ord", F.explode(good).alias("token")).groupBy("doc_ord", "token").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.where(~R.has_secret(F.col("token"))).withColumn("plain", (~F.col("token").rlike("[-_.0-9]")).cast("int"))
+    return rows.groupBy("doc_ord").agg(F.min(F.struct("n", "plain", (-F.length("token")).alias("short"), "token")).alias("b")).select("doc_ord", "b.token", "b.n")

@@ -19,8 +19,8 @@ def _blocks(df: DataFrame, name: str, rows: int) -> tuple[DataFrame, int]:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_same: bool = False, above: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, id, score): the k largest dot products of each query, ties to the smaller id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int | None, exclude_same: bool = False, above: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, id, score): the k largest dot products of each query, or all above ``above`` where k is None; ties to the smaller id.
 
     queries and vectors: (id, vec). Vectors whose length is not the query's take no part; nulls neither.
     """
@@ -48,6 +48,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_same: bool = F
                     scores[own[i : i + 256, None] == ids[None]] = -np.inf
                 if above is not None:
                     scores[scores <= above] = -np.inf
+                if k is None:
+                    a, b = np.nonzero(np.isfinite(scores))
+                    out.append(np.rec.fromarrays([own[i : i + 256][a], ids[b], scores[a, b]]))
+                    continue
                 m = min(k, len(ids))
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :m]  # ids ascend, so ties go to the smaller
                 best = np.take_along_axis(scores, top, axis=1)
@@ -59,17 +63,42 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_same: bool = F
     keys = ["dim", "qb", "vb"]
     found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(run, "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "id", "score")
 
 
-def best_by_document(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def best_by_document(queries: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     """(query_id, doc, best, chunk): each document's largest cosine and the first chunk that has it.
 
-    chunks: (doc, chunk_ix, vec). The query set is joined by a nested loop that Spark may broadcast only
-    while its own size estimate allows it.
+    chunks: (doc, chunk_ix, vec). Worked through in blocks like top_k(); a block gives a row a query and document.
     """
-    from loomery.functions.scoring import dot
+    q, nq = _blocks(queries.where("id is not null and vec is not null").select("id", "vec"), "qb", 1024)
+    v, nv = _blocks(chunks.where("doc is not null and vec is not null").select(F.xxhash64("doc", "chunk_ix").alias("id"), "doc", "chunk_ix", "vec"), "vb", block)
+    kind = chunks.schema["doc"].dataType.simpleString()
+    dim = F.size("vec").alias("dim")
+    q = q.toDF(*q.columns).select("id", "vec", dim, "qb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
+    v = v.toDF(*v.columns).select("doc", "chunk_ix", "vec", dim, "vb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = [pa.int64(), right.schema.field("doc").type, pa.float64(), pa.int64()]
+        parts: list[list] = [[] for _ in types]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by([("doc", "ascending"), ("chunk_ix", "ascending")])
+            docs = right.column("doc").combine_chunks().dictionary_encode()
+            docs = docs.combine_chunks() if isinstance(docs, pa.ChunkedArray) else docs
+            code, ix = np.asarray(docs.indices), np.asarray(right.column("chunk_ix")).astype(np.int64)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            x = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in right.column("vec").chunks]).reshape(len(ix), -1)
+            asks = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in left.column("vec").chunks]).reshape(left.num_rows, -1)
+            for own, scores in zip(np.asarray(left.column("id")).tolist(), asks @ x.T):
+                best = np.maximum.reduceat(scores, first)
+                at = np.flatnonzero(scores == np.repeat(best, np.diff(np.append(first, len(ix)))))
+                at = at[np.append(True, code[at][1:] != code[at][:-1])]
+                for part, values in zip(parts, (np.full(len(first), own), code[at], scores[at], ix[at])):
+                    part.append(values)
+            flat = [np.concatenate(p) for p in parts]
+            return pa.table([pa.array(flat[0], types[0]), docs.dictionary.take(pa.array(flat[1])), pa.array(flat[2]), pa.array(flat[3], types[3])], names=["query_id", "doc", "cos", "chunk"])
+        return pa.table([pa.array([], t) for t in types], names=["query_id", "doc", "cos", "chunk"])
 
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q")).join(chunks)
-    scored = pairs.select("query_id", "doc", "chunk_ix", dot(F.col("q"), F.col("vec")).alias("cos"))
-    return scored.groupBy("query_id", "doc").agg(F.max("cos").alias("best"), F.min_by("chunk_ix", F.struct(-F.col("cos"), F.col("chunk_ix"))).alias("chunk"))
+    keys = ["dim", "qb", "vb"]
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(run, f"query_id long, doc {kind}, cos double, chunk long")
+    return found.groupBy("query_id", "doc").agg(F.max("cos").alias("best"), F.min_by("chunk", F.struct(-F.col("cos"), F.col("chunk"))).alias("chunk"))

@@ -9,7 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomery.config import CONFIG, EngineConfig
+from loomery.config import CONFIG, STOP_WORDS, EngineConfig
 from loomery.functions import scoring as S, text as T
 
 from . import keyword
@@ -47,27 +47,30 @@ def passes(after: Column | None = None, before: Column | None = None, accounts:
 
 def slot_cap(rows: DataFrame, k: int = CONFIG.slots_per_document) -> DataFrame:
     """At most k rows a file for each query, the best first."""
-    w = Window.partitionBy("query_id", "corpus", "file").orderBy(F.desc("score"), "doc_ord")
+    w = Window.partitionBy("query_id", "corpus", "file").orderBy(F.desc(F.round("score", 9)), "doc_ord")
     return rows.withColumn("_slot", F.row_number().over(w)).where(F.col("_slot") <= k).drop("_slot")
 
 
 def archive_cap(rows: DataFrame, limit: int = CONFIG.limit, share: float = CONFIG.archive_share) -> DataFrame:
     """Adds ``rank`` and keeps ``limit`` rows a query: archive documents beyond their share come last."""
     most = max(1, int(limit * share))
-    w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("score"), "doc_ord")
+    w = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("score", 9)), "doc_ord")
     flag = (F.col("tier") == "archive").cast("int")
     held = rows.withColumn("_held", (flag == 1) & (F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)) > most))
-    order = Window.partitionBy("query_id", "corpus").orderBy("_held", F.desc("score"), "doc_ord")
+    order = Window.partitionBy("query_id", "corpus").orderBy("_held", F.desc(F.round("score", 9)), "doc_ord")
     return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_held")
 
 
-def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
+def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored candidates, term statistics) of each query and corpus.
 
+    filters (F01, over the columns of docs) choose candidates before the best max(rerank, limit) go on (L02). Bodies
+    join only what is left then.
+
     semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
     scaled by each query's best, and nothing is ever refused.
     """
-    shared = keyword.prepare(queries, docs, cfg)
+    shared = prepared or keyword.prepare(queries, docs, cfg)
     raw = keyword.bm25f(queries, docs, cfg, shared)
     stats = keyword.term_stats(queries, docs, cfg, shared)
     if semantic is None:
@@ -77,21 +80,22 @@ def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: Dat
         kw = raw.join(stats.select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).withColumn("keyword_score", S.absolute_keyword(F.col("raw"), F.col("ideal"), cfg)).where("keyword_score is not null").drop("ideal")
         sem = semantic.select("query_id", "corpus", "doc_ord", S.rescale_cosine(F.col("cos"), cfg).alias("semantic_score"))
         found = kw.join(sem, ["query_id", "corpus", "doc_ord"], "full_outer").fillna(0.0, ["keyword_score", "semantic_score", "raw"])
-    meta = docs.select("corpus", "doc_ord", "file", "name", "tier", "in_memory_index", "modified", "body", F.size(T.chunks(F.col("body"))).alias("own_chunks"))
+    own = F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
+    meta = docs.select("corpus", "doc_ord", "file", "name", "tier", "in_memory_index", "modified", own.alias("own_chunks"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
     bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("n_chunks"))
     reference = reference_chunks(bulk.select("corpus", "n_chunks"))
-    rows = found.join(meta, ["corpus", "doc_ord"]).join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus")
+    rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus")
     if semantic is None:
         rows = rows.withColumn("base", F.col("keyword_score"))
     else:
         long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
         rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
     rows = rows.where("base > 0")
-    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc("base"), "doc_ord")
+    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("base", 9)), "doc_ord")
     rows = rows.withColumn("_pass1", F.row_number().over(order))
     wanted = queries.select("query_id", F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
-    most = max(cfg.rerank, cfg.limit)
-    near = rows.where(F.col("_pass1") <= most).join(wanted, "query_id").withColumn("_win", phrase_window(F.col("body"), F.col("terms"))).drop("terms")
+    most = max(cfg.rerank, limit)
+    near = rows.where(F.col("_pass1") <= most).join(docs.select("corpus", "doc_ord", "body"), ["corpus", "doc_ord"]).join(wanted, "query_id").withColumn("_win", phrase_window(F.col("body"), F.col("terms"))).drop("terms")
     near = near.withColumn("phrase_score", F.col("_win.phrase")).withColumn("snippet", snippet_around(F.col("body"), F.col("_win.first"), F.col("_win.stop"))).drop("_win")
     if semantic is not None:
         near = near.withColumn("base", F.col("base") + cfg.fuse_phrase * S.phrase_part(F.col("phrase_score"), cfg))
@@ -103,9 +107,10 @@ def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: Dat
 def graph_spread(scored: DataFrame, edges: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
     """The first ``spread_from`` rows of a query lend alpha times their score to linked rows that scored too.
 
-    A row receives only if its own semantic score reaches the gate. One hop, from the scores before any
-    lending. scored: (query_id, corpus, doc_ord, score, semantic_score, ...); edges: (corpus, src, dst) over doc_ord.
+    Only in the corpora that lend (``cfg.spread_corpora``). A row receives only if its own semantic score reaches the
+    gate. One hop, from the scores before any lending. scored: (query_id, corpus, doc_ord, score, semantic_score, ...); edges: (corpus, src, dst) over doc_ord.
     """
+    edges = edges.where(F.col("corpus").isin(*cfg.spread_corpora))
     both = edges.select("corpus", F.col("src").alias("donor"), F.col("dst").alias("doc_ord")).unionByName(edges.select("corpus", F.col("dst").alias("donor"), F.col("src").alias("doc_ord"))).where("donor <> doc_ord").distinct()
     order = Window.partitionBy("query_id", "corpus").orderBy(F.desc("score"), "doc_ord")
     donors = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.spread_from).select("query_id", "corpus", F.col("doc_ord").alias("donor"), F.col("score").alias("lent"))
@@ -144,10 +149,7 @@ def verdict(best: DataFrame, cfg: EngineConfig = CONFIG, floors: DataFrame | Non
 
 def search(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts): each corpus ranks by itself; refused queries give their three nearest as weak rows."""
-    scored, stats = rank_one(queries, docs, as_of, semantic, cfg)
-    scored = scored.persist()  # at most the rerank set: read for the verdict and for the rows
-    if filters is not None:
-        scored = scored.join(docs.select("corpus", "doc_ord", "account", "project", "session_id"), ["corpus", "doc_ord"]).where(filters)
+    scored, stats = rank_one(queries, docs, as_of, semantic, cfg, filters, limit)
     top = scored.groupBy("query_id", "corpus").agg(F.max("score").alias("top_score"), F.max("phrase_score").alias("top_phrase"), F.max("raw").alias("best_raw"))
     best = stats.join(top, ["query_id", "corpus"], "left").withColumn("mode", F.lit("hybrid" if semantic is not None else "bm25-only")).fillna(0.0, ["top_phrase", "best_raw"])
     judged = verdict(best, cfg, floors)
@@ -172,20 +174,33 @@ def fuse_variants(rows: DataFrame, verdicts: DataFrame, cfg: EngineConfig = CONF
     return extra.groupBy(*key, "doc_ord").agg(F.max("score").alias("query_score"), F.array_sort(F.collect_set("variant")).alias("matched_via"))
 
 
+#: Words that name no topic: paths, files, hashes, versions, mixed letters and digits. Fixed values.
+ID_WORDS = r"[/]|\.(md|json|js|mjs|txt)$|^[0-9a-f]{7,}$|^v\d"
+
+
 def requery_terms(weak: DataFrame, docs: DataFrame, queries: DataFrame, cfg: EngineConfig = CONFIG, keep: int = 6) -> DataFrame:
-    """Words of the weak documents that could make a better question.
+    """(query_id, corpus, term, weight, pos): words of the weak documents that could make a better question.
 
-    weak: (query_id, corpus, doc_ord, rank). Names count three times, headings twice, descriptions once, all by
-    1 / (1 + rank / 2); terms of the query, labels in over max(2, 10 %) of documents, and id-like terms go.
+    weak: (query_id, corpus, doc_ord, rank). Each word of a name counts three times, of a heading twice, of a description
+    once, all by 1 / (1 + (rank - 1) / 2) and by its idf over the corpus. Words of the query, words in over a quarter
+    of the files, labels in over max(2, 10 %) of the names and id-like words go. Terms are surface forms, the
+    first that was met of each stem.
     """
-    mark = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    parts = F.concat(*[F.transform(F.array_distinct(T.tokenize(F.col(c))), mark(w)) for c, w in (("name", 3.0), ("description", 1.0))])
-    tokens = docs.select("corpus", "doc_ord", F.explode(parts).alias("x")).select("corpus", "doc_ord", "x.term", "x.w")
-    n = docs.groupBy("corpus").agg(F.countDistinct("file").alias("n"))
-    df = tokens.groupBy("corpus", "term").agg(F.countDistinct("doc_ord").alias("df"))
-    common = df.join(F.broadcast(n), "corpus").where(F.col("df") <= F.greatest(F.lit(2), F.ceil(0.1 * F.col("n"))))
-    rows = weak.join(tokens, ["corpus", "doc_ord"]).join(common, ["corpus", "term"]).where(~F.col("term").rlike("^[0-9.]+$|^(?=.*[0-9])[0-9a-f]{7,}$"))
-    rows = rows.join(keyword.query_terms(queries), ["query_id", "term"], "left_anti")
-    weight = rows.groupBy("query_id", "corpus", "term").agg(F.sum(F.col("w") / (1 + 0.5 * (F.col("rank") - 1))).alias("weight"))
-    w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("weight"), "term")
-    return weight.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= keep)
+    heads = F.col("headings") if "headings" in docs.columns else F.array().cast("array<string>")
+    trim = lambda t: F.regexp_replace(t, r"^[.\-/+]+|[.\-/+]+$", "")
+    said = lambda c, w: F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z0-9][a-z0-9.+/-]*)"), F.lit(1)), lambda t: F.struct(trim(t).alias("surface"), F.lit(w).alias("w")))
+    label = F.regexp_replace("name", "[-_]", " ")
+    parts = F.concat(said(label, 3.0), said(F.array_join(heads, "\n"), 2.0), said(F.col("description"), 1.0))
+    near = weak.join(docs.select("corpus", "doc_ord", F.posexplode(parts).alias("at", "x")).select("corpus", "doc_ord", "at", "x.*"), ["corpus", "doc_ord"])
+    mixed = F.col("surface").rlike("[0-9]") & (F.length("surface") >= 5)
+    near = near.where((F.length("surface") >= 3) & ~F.col("surface").isin(*STOP_WORDS) & ~F.col("surface").rlike(ID_WORDS) & ~mixed).withColumn("term", T.stem(F.col("surface")))
+    near = near.join(keyword.query_terms(queries), ["query_id", "term"], "left_anti")
+    tokens = keyword.field_tokens(docs)
+    stats = keyword.corpus_stats(keyword.lengths(tokens, cfg))
+    idf = keyword.document_frequency(keyword.postings(tokens, near.select("term").distinct(), cfg), stats)
+    names = docs.select("corpus", "doc_ord", F.explode(F.array_distinct(T.tokenize(label))).alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("labels"))
+    known = idf.join(F.broadcast(stats.select("corpus", "n_docs")), "corpus").join(names, ["corpus", "term"], "left")
+    known = known.where((F.col("idf") >= S.idf(F.col("n_docs"), F.col("n_docs") / 4)) & (F.coalesce("labels", F.lit(0)) <= F.greatest(F.lit(2), F.ceil(0.1 * F.col("n_docs"))))).select("corpus", "term", "idf")
+    rows = near.join(known, ["corpus", "term"]).groupBy("query_id", "corpus", "term").agg(F.sum(F.col("w") * F.col("idf") / (1 + 0.5 * (F.col("rank") - 1))).alias("weight"), F.min_by("surface", F.struct("rank", "at")).alias("surface"))
+    w = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("weight", 9)), "surface")
+    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= keep).select("query_id", "corpus", F.col("surface").alias("term"), "weight", "pos")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomery.config import CONFIG, EngineConfig
@@ -25,18 +28,52 @@ def is_summary() -> Column:
     return F.contains(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, 400)), F.lit(SUMMARY_MARK))
 
 
-def mentions(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, corpus, doc_ord, n_terms, n_matched, matched, term_hits) of documents with any of a query's terms.
+def occurrences(docs: DataFrame, terms: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
+    """(corpus, doc_ord, term, hits, word): what each document holds of the terms (one column), inside words or alone.
 
-    Each document is read once against the terms of all queries: the batch of questions is one array that
-    travels as a single row, which is why it is bounded by ``state_terms`` terms.
+    The one operator here that SQL functions cannot do well: an automaton finds all terms in one pass over a text,
+    where ``contains`` needs one a term. It travels with the tasks and holds at most ``state_terms`` terms; more
+    of them take more passes.
     """
+    distinct = terms.select("term").distinct()
+    parts = max(1, -(-distinct.count() // cfg.state_terms))
+    hay = docs.select("corpus", "doc_ord", haystack().alias("hay"))
+    out = None
+    for k in range(parts):
+        batch = [r["term"] for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
+        found = hay.mapInArrow(lambda rows, b=batch: _found(rows, b), "corpus string, doc_ord long, term string, hits long, word boolean")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _found(rows: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    import re
+
+    import ahocorasick
+
+    tree = ahocorasick.Automaton()
+    for t in terms:
+        tree.add_word(t, t)
+    if terms:
+        tree.make_automaton()
+    alone = {t: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])") for t in terms}
+    for batch in rows:
+        at, term, hits, word = [], [], [], []
+        for k, hay in enumerate(batch.column(2).to_pylist()):
+            for t in sorted({t for _, t in tree.iter(hay)}) if terms else ():
+                at.append(k)
+                term.append(t)
+                hits.append(hay.count(t))
+                word.append(bool(alone[t].search(hay)))
+        own = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(term, pa.string()), pa.array(hits, pa.int64()), pa.array(word, pa.bool_())], names=["corpus", "doc_ord", "term", "hits", "word"])
+
+
+def mentions(queries: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
+    """(query_id, corpus, doc_ord, n_terms, n_matched, matched, term_hits) of documents with any of a query's terms."""
     terms = queries.select("query_id", F.explode(contains_terms(F.col("query"))).alias("term"))
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    distinct = terms.select("term").distinct()
-    batch = distinct.agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hay = docs.select("corpus", "doc_ord", haystack().alias("hay")).join(F.broadcast(batch))
-    found = hay.select("corpus", "doc_ord", "hay", F.explode(F.filter("terms", lambda t: F.contains(F.col("hay"), t))).alias("term")).select("corpus", "doc_ord", "term", T.count_hits(F.col("hay"), F.col("term")).alias("hits"))
+    found = occurrences(docs, terms, cfg)
     rows = found.join(terms, "term").groupBy("query_id", "corpus", "doc_ord").agg(F.count(F.lit(1)).alias("n_matched"), F.array_sort(F.collect_list("term")).alias("matched"), F.sum("hits").alias("term_hits"))
     return rows.join(sizes, "query_id")
 
@@ -50,12 +87,13 @@ def latest(queries: DataFrame, docs: DataFrame, limit: int = 5, include_summarie
     hits = mentions(queries, docs)
     best = hits.groupBy("query_id", "corpus").agg(F.max("n_matched").alias("most"), F.max("n_terms").alias("n_terms"))
     rows = hits.join(best.select("query_id", "corpus", "most"), ["query_id", "corpus"]).where("n_matched = most").withColumn("relaxed", F.col("most") < F.col("n_terms"))
-    meta = docs.select("corpus", "doc_ord", "name", "file", "modified", is_summary().alias("is_summary"), T.trim_snippet(F.col("body")).alias("snippet"))
+    meta = docs.select("corpus", "doc_ord", "name", "file", "modified", is_summary().alias("is_summary"))
     rows = rows.join(meta, ["corpus", "doc_ord"])
     if not include_summaries:
         rows = rows.where("not is_summary")
     order = Window.partitionBy("query_id", "corpus").orderBy("is_summary", F.desc("modified"), "doc_ord")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = ranked.join(docs.select("corpus", "doc_ord", T.trim_snippet(F.col("body")).alias("snippet")), ["corpus", "doc_ord"])
     asked = queries.select("query_id", contains_terms(F.col("query")).alias("terms"))
     seen = hits.groupBy("query_id", "corpus").agg(F.array_distinct(F.flatten(F.collect_set("matched"))).alias("seen"))
     total = rows.groupBy("query_id", "corpus").agg(F.count(F.lit(1)).alias("total_mentions"), F.first("relaxed").alias("relaxed"), F.array_distinct(F.flatten(F.collect_set("matched"))).alias("held"), F.count(F.when(F.col("is_summary"), 1)).alias("summaries_demoted"))
@@ -72,11 +110,9 @@ def browse(docs: DataFrame, limit: int = 10) -> DataFrame:
     return docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def term_frequencies(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, df, df_word): documents that hold a term, and as a whole word. terms: a bounded batch."""
-    batch = terms.select("term").distinct().agg(F.collect_set("term").alias("terms"))
-    rows = docs.select("doc_ord", haystack().alias("hay")).join(F.broadcast(batch)).select("hay", F.explode(F.filter("terms", lambda t: F.contains(F.col("hay"), t))).alias("term"))
-    found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(T.whole_word(F.col("hay"), F.col("term")), 1)).alias("df_word"))
+def term_frequencies(terms: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
+    """(term, df, df_word): documents that hold a term at all, and as a whole word."""
+    found = occurrences(docs, terms, cfg).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("word"), 1)).alias("df_word"))
     return terms.select("term").distinct().join(found, "term", "left").fillna(0, ["df", "df_word"])
 
 

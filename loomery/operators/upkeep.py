@@ -143,11 +143,27 @@ def health(crashed: DataFrame, streaks: DataFrame, pending: DataFrame, problems:
     return row.withColumn("healthy", (F.col("crashed") == 0) & (F.col("streak") < worst_streak) & (F.col("problems") == 0))
 
 
-def reconcile_reason(state: DataFrame, as_of: Column, debounce_seconds: int = 60) -> DataFrame:
-    """Why an index must be reconciled, in order of precedence, or why not: columns no_index, contract_changed,
-    digest_changed and last_at of each corpus."""
-    reason = F.when(F.col("no_index"), "no-index").when(F.col("contract_changed"), "contract").when(F.col("digest_changed") & (F.col("last_at") > as_of - F.expr(f"interval {debounce_seconds} seconds")), "debounced").when(F.col("digest_changed"), "listing").otherwise("current")
-    return state.withColumn("reason", reason).withColumn("reconcile", F.col("reason").isin("no-index", "contract", "listing"))
+def reconcile_reason(state: DataFrame) -> DataFrame:
+    """Why an index must be reconciled, null if it need not be.
+
+    state: crash_pending, force (a crash in the run log), header_digest (null: the index lists no sources) and
+    live_digest of each corpus. Somebody's unfinished write outranks what digests can see.
+    """
+    reason = F.when(F.col("crash_pending"), "pending-marker").when(F.col("force"), "crash-signature").when(F.col("header_digest").isNull(), "no-source-listing").when(F.col("header_digest") != F.col("live_digest"), "listing-digest-mismatch")
+    return state.withColumn("reason", reason)
+
+
+def reconcile_allowed(state: DataFrame, as_of: Column, min_seconds: int = 600) -> DataFrame:
+    """Whether the rebuild may run now. Adds ``allowed`` to reconcile_reason()'s rows.
+
+    Of the last rebuild: last_at, last_digest, last_count (null: none); of the store: live_digest, live_count.
+    A pending marker always may; a crash not twice for one listing; growth and a stamp of the future do not wait.
+    """
+    age = F.unix_millis(as_of) / 1000.0 - F.unix_millis("last_at") / 1000.0
+    again = (F.col("reason") == "crash-signature") & F.coalesce(F.col("last_digest") == F.col("live_digest"), F.lit(False))
+    free = F.col("last_at").isNull() | (F.col("live_count") > F.coalesce("last_count", F.lit(0))) | (age < 0) | (age >= min_seconds)
+    allowed = F.when(F.col("reason").isNull(), False).when(F.col("reason") == "pending-marker", True).when(again, False).otherwise(free)
+    return state.withColumn("allowed", allowed)
 
 
 def snapshot_difference(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -165,8 +181,19 @@ def visibility_lag(built: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def honesty(responses: DataFrame) -> DataFrame:
-    """Whether an answer owned up to what was not indexed yet: (found, named, refused, unindexed_checked)."""
-    v = F.when(F.col("found"), "HONEST-PRESENT").when(F.col("named"), "HONEST-NAMED").when(F.col("refused") & (F.col("unindexed_checked") == 0), "DISHONEST").otherwise("N/A")
+    """Whether an answer owned up to a file that was not indexed yet.
+
+    responses: name (of that file; null: there was none), token (asked about), rows (array of name, file, snippet),
+    owned (array of files that the answer says it did not read or found unindexed), admits (it says that it did not
+    read everything), note and no_strong_match.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    same = lambda c: F.coalesce((c == F.col("name")) | (base(c) == base(F.col("name"))), F.lit(False))
+    said = lambda r: F.coalesce(F.contains(F.lower(r["snippet"]), F.lower(F.col("token"))) & (F.col("token") != ""), F.lit(False))
+    present = F.exists("rows", lambda r: same(r["name"]) | same(r["file"]) | said(r))
+    named = F.exists("owned", same) | F.coalesce("admits", F.lit(False))
+    absence = F.lower(F.coalesce("note", F.lit(""))).rlike("no document (in any corpus )?mentions every term|no index for this scope") | F.coalesce("no_strong_match", F.lit(False))
+    v = F.when(F.col("name").isNull(), "N/A").when(present, "HONEST-PRESENT").when(named, "HONEST-NAMED").when((F.size("rows") > 0) | absence, "DISHONEST").otherwise("N/A")
     return responses.withColumn("honesty", v)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loomery.config import CONFIG
+from loomery.config import CONFIG, STOP_WORDS
 from loomery.functions import scoring as S, text as T
 from loomery.operators import dense, keyword, querylog, ranking
 from loomery.operators.phrase import phrase_window
@@ -109,18 +109,19 @@ def absence_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.verdict(rows).select("query_id", F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("effective_phrase", 4).alias("effective_phrase"), "route", "confidence")
 
 
-@query(f"WITH {X.DOCS}, c AS (SELECT doc_ord, len({X.words('body')}) AS n FROM docs) SELECT doc_ord, least(200, CASE WHEN n = 0 THEN 0 WHEN n <= 200 THEN 1 ELSE ceil((n - 200) / 160.0) + 1 END)::BIGINT AS n_chunks FROM c")
+@query(f"WITH {X.DOCS}, c AS (SELECT doc_ord, len({X.words('body')}) AS n FROM docs) SELECT doc_ord, least(200, t)::BIGINT AS n_chunks, t::BIGINT AS total, t > 200 AS truncated FROM (SELECT doc_ord, CASE WHEN n = 0 THEN 0 WHEN n <= 200 THEN 1 ELSE ceil((n - 200) / 160.0) + 1 END AS t FROM c)")
 def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """T14"""
-    return A.plain_docs(spark, sf).select("doc_ord", F.size(T.chunks(F.col("body"))).cast("long").alias("n_chunks"))
+    """Chunks of each document, how many there would be without the cap, and whether it cut."""
+    total = T.chunk_total(F.size(T.words(F.col("body"))))
+    return A.plain_docs(spark, sf).select("doc_ord", F.least(total, F.lit(CONFIG.chunk_cap)).cast("long").alias("n_chunks"), total.alias("total"), (total > CONFIG.chunk_cap).alias("truncated"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {X.words('text')} AS w FROM documents),
-c AS (SELECT doc_id, w, unnest(range(0, least(200, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE ceil((len(w) - 200) / 160.0) + 1 END)::BIGINT)) AS ix FROM w)
+c AS (SELECT doc_id, w, unnest(range(0, (CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE ceil((len(w) - 200) / 160.0) + 1 END)::BIGINT)) AS ix FROM w)
 SELECT doc_id AS doc_ord, ix AS chunk_ix, md5(array_to_string(w[ix * 160 + 1 : ix * 160 + 200], ' ')) AS chunk FROM c""")
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk, by digest."""
-    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.posexplode(T.chunks(F.col("text"))).alias("chunk_ix", "c")).select("doc_ord", "chunk_ix", F.md5("c").alias("chunk"))
+    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.posexplode(T.chunks(F.col("text"), cap=None)).alias("chunk_ix", "c")).select("doc_ord", "chunk_ix", F.md5("c").alias("chunk"))
 
 
 @query(f"SELECT doc_id AS doc_ord, md5(array_to_string({X.words('text')}, ' ')) AS body FROM documents")
@@ -149,12 +150,12 @@ def recency_envelope(spark: SparkSession, sf: str) -> DataFrame:
 _DOT = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10),
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, rank, id, round(score, 4) AS score FROM r WHERE rank <= 8""")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The eight nearest vectors of a stated query set, the ten first vectors."""
+    """The eight nearest vectors of every vector whose id is divisible by 100."""
     e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.top_k(e.where("id < 10"), e, 8).withColumn("score", F.round("score", 4))
+    return dense.top_k(e.where("id % 100 = 0"), e, 8).withColumn("score", F.round("score", 4))
 
 
 @query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
@@ -165,12 +166,12 @@ def neighbors3(spark: SparkSession, sf: str) -> DataFrame:
     return dense.top_k(e, e, 3, exclude_same=True, above=0.0).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.label AS doc, b.vec_id AS ix, {_DOT} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < 10)
-SELECT query_id, doc, round(max(cos), 4) AS best, arg_max(ix, cos) AS chunk, round(greatest(0, least(1, (max(cos) - 0.4) / 0.3)), 4) AS semantic_score FROM p GROUP BY 1, 2""")
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.label AS doc, b.vec_id AS ix, {_DOT} AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT query_id, doc, round(max(cos), 4) AS best, arg_min(ix, (-cos, ix)) AS chunk, round(greatest(0, least(1, (max(cos) - 0.4) / 0.3)), 4) AS semantic_score FROM p GROUP BY 1, 2""")
 def dense_max_by_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Each label as a document of chunks, its best chunk and the rescaled cosine."""
     e = A.table(spark, sf, "embeddings")
-    rows = dense.best_by_document(e.where("vec_id < 10").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.select(F.col("label").alias("doc"), F.col("vec_id").alias("chunk_ix"), F.col("embedding").alias("vec")))
+    rows = dense.best_by_document(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.select(F.col("label").alias("doc"), F.col("vec_id").alias("chunk_ix"), F.col("embedding").alias("vec")))
     return rows.select("query_id", "doc", F.round("best", 4).alias("best"), "chunk", F.round(S.rescale_cosine(F.col("best")), 4).alias("semantic_score"))
 
 
@@ -210,11 +211,31 @@ def graph_spread(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.graph_spread(rows, A.edges(spark, sf)).select("query_id", "doc_ord", F.round("score", 4).alias("score"))
 
 
-@query()
+def _ranked(where: str = "true") -> str:
+    """The keyword-mode ranking in SQL: scaled scores, the 30 best, envelope, archive share, limit."""
+    return f"""WITH {X.RAW}, s AS (SELECT query_id, doc_ord, raw / max(raw) OVER (PARTITION BY query_id) AS kw FROM raw),
+j AS (SELECT s.*, d.name, d.tier, (CASE WHEN tier = 'archive' THEN 1.0 ELSE 1.15 END) * (0.85 + 0.15 * exp(-greatest(0, (1719792000000 - epoch_ms(modified)) / 86400000.0) / 180)) AS env FROM s JOIN docs d USING (doc_ord) WHERE {where}),
+p AS (SELECT *, kw * env AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(kw, 9) DESC, doc_ord) AS pass1 FROM j WHERE kw > 0),
+a AS (SELECT *, sum((tier = 'archive')::INT) OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_ord ROWS UNBOUNDED PRECEDING) AS seen FROM p WHERE pass1 <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (tier = 'archive' AND seen > 4), round(score, 9) DESC, doc_ord) AS rank FROM a)
+SELECT query_id, 'curated' AS corpus, rank, name, round(score, 4) AS score, round(kw, 4) AS keyword_score, tier, false AS weak FROM r WHERE rank <= 8"""
+
+
+_SHOWN = ["query_id", "corpus", "rank", "name", "score", "keyword_score", "tier", "weak"]
+
+
+@query(_ranked())
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole keyword-mode search, with phrase windows and snippets (tested against brute force)."""
+    """The whole keyword-mode search."""
     rows, _ = ranking.search(A.questions(spark, sf), A.docs(spark, sf), A.AS_OF)
-    return rows.select("query_id", "corpus", "rank", "name", "score", F.round("keyword_score", 4).alias("keyword_score"), F.round("phrase_score", 4).alias("phrase_score"), "provenance", "tier", "snippet", "weak")
+    return rows.withColumn("keyword_score", F.round("keyword_score", 4)).select(*_SHOWN)
+
+
+@query(_ranked("account IS NULL OR account = 'fr'"))
+def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of one account (or none) only, chosen before the best thirty are."""
+    rows, _ = ranking.search(A.questions(spark, sf), A.docs(spark, sf), A.AS_OF, filters=ranking.passes(accounts=["fr"]))
+    return rows.withColumn("keyword_score", F.round("keyword_score", 4)).select(*_SHOWN)
 
 
 @query()
@@ -223,7 +244,7 @@ def hybrid_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     q, d = A.questions(spark, sf), A.docs(spark, sf)
     e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asks = e.join(q.select(F.col("query_id").alias("id")), "id", "left_semi")
-    near = dense.top_k(asks, e, 50).select("query_id", F.lit("curated").alias("corpus"), F.col("id").alias("doc_ord"), F.col("score").alias("cos"))
+    near = dense.top_k(asks, e, None, above=CONFIG.cosine_floor).select("query_id", F.lit("curated").alias("corpus"), F.col("id").alias("doc_ord"), F.col("score").alias("cos"))
     _, verdicts = ranking.search(q, d, A.AS_OF, semantic=near)
     return verdicts.select("query_id", "corpus", F.round("top_score", 4).alias("top_score"), F.round("top_phrase", 4).alias("top_phrase"), F.round("effective_phrase", 4).alias("effective_phrase"), F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("orphan_share", 4).alias("orphan_share"), "route", "confidence", "no_strong_match", "read_this_first")
 
@@ -235,7 +256,17 @@ def phrase_windows(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_ord", phrase_window(F.col("body"), F.array_distinct(T.tokenize(F.col("description")))).alias("w")).select("doc_ord", F.round("w.phrase", 6).alias("phrase"), "w.first", "w.stop")
 
 
-@query()
+_SAID = "list_filter(list_transform(regexp_extract_all(lower(coalesce({}, '')), '[a-z][a-z0-9][a-z0-9.+/-]*'), lambda t: regexp_replace(t, '^[.\\-/+]+|[.\\-/+]+$', '', 'g')), lambda t: true)"
+_STOPS = ", ".join(f"'{s}'" for s in STOP_WORDS)
+
+
+@query(f"""WITH {X.RAW}, near AS (SELECT * FROM (SELECT query_id, doc_ord, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 6) DESC, doc_ord) AS rank FROM raw) WHERE rank <= 3),
+said AS (SELECT doc_ord, unnest(l) AS surface, generate_subscripts(l, 1) AS place, 3.0 AS w FROM (SELECT doc_ord, {_SAID.format("replace(replace(name, '-', ' '), '_', ' ')")} AS l FROM docs) UNION ALL SELECT doc_ord, unnest(l), 1000 + generate_subscripts(l, 1), 1.0 FROM (SELECT doc_ord, {_SAID.format('description')} AS l FROM docs)),
+good AS (SELECT query_id, rank, place, w, surface, {X.stem('surface')} AS term FROM near JOIN said USING (doc_ord) WHERE length(surface) >= 3 AND surface NOT IN ({_STOPS}) AND NOT regexp_matches(surface, '[/]|\\.(md|json|js|mjs|txt)$|^[0-9a-f]{{7,}}$|^v\\d') AND NOT (regexp_matches(surface, '[0-9]') AND length(surface) >= 5)),
+labels AS (SELECT term, count(*) AS labels FROM (SELECT DISTINCT doc_ord, unnest({X.tokens("replace(replace(name, '-', ' '), '_', ' ')")}) AS term FROM docs) GROUP BY 1),
+g AS (SELECT query_id, term, sum(w * idf / (1 + 0.5 * (rank - 1))) AS weight, arg_min(surface, (rank, place)) AS surface FROM good JOIN idf USING (term) LEFT JOIN labels USING (term), stats
+ WHERE idf >= ln(1 + (nd - nd / 4 + 0.5) / (nd / 4 + 0.5)) AND coalesce(labels, 0) <= greatest(2, ceil(0.1 * nd)) AND (query_id, term) NOT IN (SELECT (query_id, term) FROM qterms) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 9) DESC, surface) AS pos FROM g) SELECT query_id, surface AS term, round(weight, 4) AS weight, pos FROM r WHERE pos <= 6""")
 def requery_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Better question words from the three nearest documents of each passage."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)

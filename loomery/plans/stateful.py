@@ -24,13 +24,13 @@ def query(sql: str | None = None):
 
 _HAY = "lower(concat_ws(' ', name, description, body))"
 _TERMS = "list_distinct(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9._\\-]{2,})', 1))"
-#: Questions of state: the first three words of each benchmark passage.
-_ASK = f"asks AS (SELECT item_id AS query_id, {X.first_words('text', 3)} AS text FROM benchmark), at AS (SELECT query_id, unnest({_TERMS}) AS term FROM asks), an AS (SELECT query_id, count(*) AS n FROM at GROUP BY 1)".replace(" at AS", " aterm AS").replace("FROM at ", "FROM aterm ")
+#: Questions of state: whole benchmark passages, at most 200 terms of each.
+_ASK = f"asks AS (SELECT item_id AS query_id, text FROM benchmark), at AS (SELECT query_id, unnest(({_TERMS})[1:200]) AS term FROM asks), an AS (SELECT query_id, count(*) AS n FROM at GROUP BY 1)".replace(" at AS", " aterm AS").replace("FROM at ", "FROM aterm ")
 _HITS = f"""WITH {X.DOCS}, {_ASK}, h AS (SELECT query_id, doc_ord, any_value(modified) AS modified, count(*) AS m FROM aterm JOIN docs ON contains({_HAY}, term) GROUP BY 1, 2)"""
 
 
 def _asks(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.first_words(F.col("text"), 3).alias("query"))
+    return A.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"""{_HITS}, s AS (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY modified DESC, doc_ord) AS rank FROM h JOIN an USING (query_id) WHERE m = n)
@@ -156,7 +156,17 @@ def order_check(spark: SparkSession, sf: str) -> DataFrame:
     return capture.order_faults(e).select(F.col("name").alias("event_id"), "by_name", "by_time")
 
 
-@query(f"""WITH {X.TURNS} SELECT session_id, ix, length(text) > 0 AND sum(length(m)) > 0.15 * length(text) AS machine FROM (SELECT session_id, ix, text, unnest(list_concat([''], regexp_extract_all(text, '</?[A-Za-z][^>]*>'))) AS m FROM turns) GROUP BY session_id, ix, text""")
+@query(rf"""WITH {X.TURNS} SELECT session_id, ix, coalesce(text, '') = '' OR contains(text, '<system-reminder>') OR contains(text, '<task-notification>') OR regexp_matches(text, '^\s*<cross-session-message\b') OR starts_with(text, '[SYSTEM NOTIFICATION') OR starts_with(text, 'Caveat: The messages below') OR regexp_matches(text, '^<(command-name|local-command|command-message|bash-input|bash-stdout)')
+ OR length(array_to_string(regexp_extract_all(text, '</?[A-Za-z][A-Za-z0-9-]*>'), '')) > 0.15 * length(text) AS machine FROM turns""")
 def machine_turns(spark: SparkSession, sf: str) -> DataFrame:
     """F07"""
     return A.turns(spark, sf).select("session_id", "ix", capture.is_machine(F.col("text")).alias("machine"))
+
+
+@query(rf"""{_EX}, s AS (SELECT name, ask, left(reply, 150) AS reply FROM named)
+SELECT name, length(reply) < 200 AND NOT (length(reply) > 0 AND length(ask) >= 40 AND (regexp_matches(ask, '\b[A-Z]{{2,}}-\d{{2,}}\b') OR len(list_filter(regexp_extract_all(ask, '\b[0-9a-f]{{7,40}}\b'), lambda h: regexp_matches(h, '\d'))) > 0
+ OR regexp_matches(ask, '\b\d{{4,}}\b') OR regexp_matches(ask, 'https?://\S+') OR regexp_matches(ask, '(^|[\s"''(<])[~.]?/[\w.+-]+(/[\w.+-]+)+') OR regexp_matches(ask, '\b[\w.+-]+\.(js|mjs|cjs|ts|json|jsonl|md|sh|zsh|py|yml|yaml|html|css|xlsx|csv|txt|log|zip)\b'))) AS empty FROM s""")
+def factless_exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """exchanges whose replies are cut short by rule."""
+    ex = capture.exchanges(A.turns(spark, sf))
+    return ex.select("name", capture.carries_no_fact(F.col("ask"), F.substring("reply", 1, 150)).alias("empty"))
