@@ -147,7 +147,8 @@ def currency_candidates(docs: DataFrame, per_kind: int = 8) -> DataFrame:
     """(corpus, doc_ord, markers, versions, hits): documents with statements that age, the first ``per_kind`` of each kind
     as a report; those with most of them come first for a reader."""
     body = F.coalesce("body", F.lit(""))
-    hits = F.flatten(F.array(*[F.transform(F.slice(F.regexp_extract_all(body, F.lit(p), F.lit(0)), 1, per_kind), lambda m, k=k: F.struct(F.lit(k).alias("kind"), F.substring(F.trim(m), 1, 160).alias("line"))) for k, p in CURRENCY_MARKS]))
+    mark = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), F.substring(F.trim(m), 1, 160).alias("line"))
+    hits = F.flatten(F.array(*[F.transform(F.slice(F.regexp_extract_all(body, F.lit(p), F.lit(0)), 1, per_kind), mark(k)) for k, p in CURRENCY_MARKS]))
     versions = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\b(v\d{2,3})\b"), F.lit(1))), 1, 10)
     return docs.select("corpus", "doc_ord", F.size(hits).alias("markers"), versions.alias("versions"), hits.alias("hits")).where("markers > 0")
 

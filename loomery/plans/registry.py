@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranked, records, shaping, stateful
+from . import ranked, records, rules, shaping, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (ranked, shaping, stateful, records):
+for _part in (ranked, shaping, stateful, records, rules):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
