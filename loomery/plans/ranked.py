@@ -240,7 +240,7 @@ def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hybrid_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """R01-R04 in hybrid mode: label centres stand for passages of documents (tested against brute force)."""
+    """R01-R04 in hybrid mode: vectors stand for passages of documents, all above the cosine floor."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
     e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asks = e.join(q.select(F.col("query_id").alias("id")), "id", "left_semi")
@@ -251,7 +251,7 @@ def hybrid_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def phrase_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's tightest window of the words of its own description (tested against brute force)."""
+    """Each document's tightest window of the words of its own description (tests hold single windows)."""
     d = A.plain_docs(spark, sf)
     return d.select("doc_ord", phrase_window(F.col("body"), F.array_distinct(T.tokenize(F.col("description")))).alias("w")).select("doc_ord", F.round("w.phrase", 6).alias("phrase"), "w.first", "w.stop")
 
