@@ -326,3 +326,27 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
     files = A.table(spark, sf, "documents").select(F.expr(_FM).cast("binary").alias("content"), F.concat(F.lit("m/n-"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("n-"), "doc_id", F.lit(".md")).alias("file"), F.lit(0).cast("long").alias("mtime_ms"), F.lit(1).cast("long").alias("size"))
     docs, _, _ = readers.read_markdown(files, "curated")
     return docs.select("name", "description", "account", "tier", F.get("headings", F.lit(0)).alias("heading"), F.get("links", F.lit(0)).alias("link"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, '## A ' || doc_id || chr(10) || {_long('text', ", 'g'")} || chr(10) || '```' || chr(10) || '## not' || chr(10) || '```' AS s FROM documents) SELECT doc_id AS doc_ord, 0 AS ix, 'A ' || doc_id AS heading, md5(s) AS text FROM b WHERE length(s) >= 200""")
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as a section with a fence in it, before one that is too short."""
+    d = _docs(spark, sf, body=f"concat('intro\\n## A ', doc_id, '\\n', {_long('text')}, '\\n```\\n## not\\n```\\n## B\\nshort')")
+    return structure.split_sections(d).select("doc_ord", "ix", "heading", F.md5("text").alias("text"))
+
+
+_CITE = "concat(coalesce(text, ''), ' see 0a1b2c', lower(lpad(hex(doc_id % 65536), 4, '0')), ' of 1234567, and 0a1b2c', lower(lpad(hex(doc_id % 65536), 4, '0')))"
+
+
+@query("SELECT doc_id AS doc_ord, '0a1b2c' || format('{:04x}', doc_id % 65536) AS token FROM documents")
+def sha_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """A hash cited twice in every text by rule, beside a number."""
+    return _docs(spark, sf, body=_CITE).select("doc_ord", F.explode(T.sha_tokens(F.col("body"))).alias("token"))
+
+
+@query("SELECT doc_id AS doc_ord, '0a1b2c' || format('{:04x}', doc_id % 65536) AS token, '0a1b2c' || format('{:04x}', doc_id % 65536) || 'ffff' AS sha, doc_id % 4 = 0 AS on_mainline FROM documents WHERE doc_id % 2 = 0")
+def cited_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """The cited hashes that begin a commit; every second commit exists, every fourth on the main line."""
+    sha = F.expr("concat('0a1b2c', lower(lpad(hex(doc_id % 65536), 4, '0')), 'ffff')")
+    log = A.table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.lit("r").alias("repo"), F.lit(0).alias("repo_ord"), sha.alias("sha"), F.lit(A.EPOCH).alias("at"), (F.col("doc_id") % 4 == 0).alias("on_mainline"), F.lit("").alias("subject"))
+    return commits.cited(_docs(spark, sf, body=_CITE), log).select("doc_ord", "token", "sha", "on_mainline")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomery.config import STOP_WORDS
 from loomery.functions import redact as R, text as T
-from loomery.operators import commits, curate, structure
+from loomery.operators import curate, structure
 
 from . import adapters as A, sqltext as X
 
@@ -56,14 +56,6 @@ def outline(spark: SparkSession, sf: str) -> DataFrame:
     return structure.outline(A.pages(spark, sf)).select("doc_ord", "level", "start", "chars")
 
 
-@query(f"""WITH {_PAGES}, l AS (SELECT doc_ord, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM p),
-s AS (SELECT *, sum(regexp_matches(line, '^##[ \\t]+\\S')::INT) OVER (PARTITION BY doc_ord ORDER BY n) AS ix FROM l),
-g AS (SELECT doc_ord, ix, string_agg(line, chr(10) ORDER BY n) AS text FROM s WHERE ix > 0 GROUP BY 1, 2) SELECT doc_ord, ix - 1 AS ix, md5(text) AS text FROM g WHERE length(text) >= 200""")
-def sections(spark: SparkSession, sf: str) -> DataFrame:
-    """T08"""
-    return structure.split_sections(A.pages(spark, sf)).select("doc_ord", "ix", F.md5("text").alias("text"))
-
-
 @query(f"WITH {_PAGES} SELECT doc_ord, regexp_replace(left(trim(regexp_replace(lower(split_part(body, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') AS slug FROM p")
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
     """Slugs of first lines."""
@@ -81,22 +73,6 @@ def link_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges.select("src", "dst")
 
 
-@query(r"WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^A-Za-z0-9_]([0-9a-f]{7,10})[^A-Za-z0-9_]', 1), lambda s: regexp_matches(s, '[a-f]')))) AS token FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)) SELECT doc_id AS doc_ord, token FROM t")
-def sha_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """X20"""
-    return A.plain_docs(spark, sf).select("doc_ord", F.explode(T.sha_tokens(F.col("body"))).alias("token"))
-
-
-@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9_]([0-9a-f]{7,10})[^A-Za-z0-9_]', 1), lambda s: regexp_matches(s, '[a-f]')))) AS token FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)),
-c AS (SELECT DISTINCT token || '0123456789' AS sha FROM t) SELECT doc_id AS doc_ord, token, min(sha) AS sha FROM t JOIN c ON starts_with(sha, token) GROUP BY 1, 2""")
-def cited_commits(spark: SparkSession, sf: str) -> DataFrame:
-    """Cited hashes with the commits that they begin; commits are made from the hashes themselves."""
-    d = A.plain_docs(spark, sf)
-    shas = d.select(F.explode(T.sha_tokens(F.col("body"))).alias("t")).select(F.concat("t", F.lit("0123456789")).alias("sha")).distinct()
-    c = shas.select(F.lit("r").alias("repo"), F.lit(0).alias("repo_ord"), "sha", F.lit(A.EPOCH).alias("at"), F.lit(True).alias("on_mainline"), F.lit("").alias("subject"))
-    return commits.cited(d, c, per_doc=1_000_000).select("doc_ord", "token", "sha")
-
-
 @query(r"""SELECT doc_id AS doc_ord, md5(replace(regexp_replace(' ' || text, '([^A-Za-z0-9_])[A-Za-z0-9._%+\-]+@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})', '\1[email@\2]', 'g'), '[email@gmail.com]', '[email]')) AS body FROM documents WHERE contains(text, '@')""")
 def scrubbed_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with an @, their addresses replaced."""

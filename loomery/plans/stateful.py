@@ -149,10 +149,14 @@ def dup_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return capture.duplicate_bodies(A.plain_docs(spark, sf), key="project").select("doc_ord")
 
 
-@query("WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT event_id, a AS by_name, b AS by_time FROM r WHERE a <> b")
+_LATE = "ts + INTERVAL (event_id % 5 * 2) DAY"
+
+
+@query(f"WITH e AS (SELECT event_id, user_id, {_LATE} AS ts FROM events), r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e) SELECT event_id, a AS by_name, b AS by_time FROM r WHERE a <> b")
 def order_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Events whose place by id is not their place by time, users standing for sessions."""
-    e = A.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("name"), "ts")
+    """Events whose place by id is not their place by time, users standing for sessions; times are moved by rule."""
+    late = F.col("ts") + F.make_dt_interval((F.col("event_id") % 5 * 2).cast("int"))
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("name"), late.alias("ts"))
     return capture.order_faults(e).select(F.col("name").alias("event_id"), "by_name", "by_time")
 
 
