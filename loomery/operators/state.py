@@ -28,8 +28,9 @@ def is_summary() -> Column:
     return F.contains(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, 400)), F.lit(SUMMARY_MARK))
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
-    """(corpus, doc_ord, term, hits, word): what each document holds of the terms (one column), inside words or alone.
+def occurrences(docs: DataFrame, terms: DataFrame, cfg: EngineConfig = CONFIG, words: bool = False) -> DataFrame:
+    """(corpus, doc_ord, term, hits, word): what each document holds of the terms (one column); word (null unless asked for by
+    ``words``): whether a term also stands alone.
 
     The one operator here that SQL functions cannot do well: an automaton finds all terms in one pass over a text,
     where ``contains`` needs one a term. It travels with the tasks and holds at most ``state_terms`` terms; more
@@ -41,12 +42,12 @@ def occurrences(docs: DataFrame, terms: DataFrame, cfg: EngineConfig = CONFIG) -
     out = None
     for k in range(parts):
         batch = [r["term"] for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
-        found = hay.mapInArrow(lambda rows, b=batch: _found(rows, b), "corpus string, doc_ord long, term string, hits long, word boolean")
+        found = hay.mapInArrow(lambda rows, b=batch: _found(rows, b, words), "corpus string, doc_ord long, term string, hits long, word boolean")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _found(rows: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+def _found(rows: Iterator[pa.RecordBatch], terms: list[str], words: bool) -> Iterator[pa.RecordBatch]:
     import re
 
     import ahocorasick
@@ -56,7 +57,7 @@ def _found(rows: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.Reco
         tree.add_word(t, t)
     if terms:
         tree.make_automaton()
-    alone = {t: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])") for t in terms}
+    alone = {t: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])") for t in terms} if words else {}
     for batch in rows:
         at, term, hits, word = [], [], [], []
         for k, hay in enumerate(batch.column(2).to_pylist()):
@@ -64,18 +65,24 @@ def _found(rows: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.Reco
                 at.append(k)
                 term.append(t)
                 hits.append(hay.count(t))
-                word.append(bool(alone[t].search(hay)))
+                word.append(bool(alone[t].search(hay)) if words else None)
         own = pa.array(at, pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(term, pa.string()), pa.array(hits, pa.int64()), pa.array(word, pa.bool_())], names=["corpus", "doc_ord", "term", "hits", "word"])
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(contains_terms(F.col("query"))).alias("term"))
+
+
 def mentions(queries: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
-    """(query_id, corpus, doc_ord, n_terms, n_matched, matched, term_hits) of documents with any of a query's terms."""
-    terms = queries.select("query_id", F.explode(contains_terms(F.col("query"))).alias("term"))
-    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    found = occurrences(docs, terms, cfg)
-    rows = found.join(terms, "term").groupBy("query_id", "corpus", "doc_ord").agg(F.count(F.lit(1)).alias("n_matched"), F.array_sort(F.collect_list("term")).alias("matched"), F.sum("hits").alias("term_hits"))
-    return rows.join(sizes, "query_id")
+    """(query_id, corpus, doc_ord, n_terms, n_matched, term_hits) of documents with any of a query's terms."""
+    terms = _asked(queries)
+    return _counted(occurrences(docs, terms, cfg).join(terms, "term"), terms)
+
+
+def _counted(held: DataFrame, terms: DataFrame) -> DataFrame:
+    rows = held.groupBy("query_id", "corpus", "doc_ord").agg(F.count(F.lit(1)).alias("n_matched"), F.sum("hits").alias("term_hits"))
+    return rows.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id")
 
 
 def latest(queries: DataFrame, docs: DataFrame, limit: int = 5, include_summaries: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +91,9 @@ def latest(queries: DataFrame, docs: DataFrame, limit: int = 5, include_summarie
     Where none holds all of several terms, those that hold most of them stand in and the query row is
     marked relaxed, with the terms that none of these holds (F04).
     """
-    hits = mentions(queries, docs)
+    terms = _asked(queries)
+    held = occurrences(docs, terms).join(terms, "term")
+    hits = _counted(held, terms)
     best = hits.groupBy("query_id", "corpus").agg(F.max("n_matched").alias("most"), F.max("n_terms").alias("n_terms"))
     rows = hits.join(best.select("query_id", "corpus", "most"), ["query_id", "corpus"]).where("n_matched = most").withColumn("relaxed", F.col("most") < F.col("n_terms"))
     meta = docs.select("corpus", "doc_ord", "name", "file", "modified", is_summary().alias("is_summary"))
@@ -95,9 +104,10 @@ def latest(queries: DataFrame, docs: DataFrame, limit: int = 5, include_summarie
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     ranked = ranked.join(docs.select("corpus", "doc_ord", T.trim_snippet(F.col("body")).alias("snippet")), ["corpus", "doc_ord"])
     asked = queries.select("query_id", contains_terms(F.col("query")).alias("terms"))
-    seen = hits.groupBy("query_id", "corpus").agg(F.array_distinct(F.flatten(F.collect_set("matched"))).alias("seen"))
-    total = rows.groupBy("query_id", "corpus").agg(F.count(F.lit(1)).alias("total_mentions"), F.first("relaxed").alias("relaxed"), F.array_distinct(F.flatten(F.collect_set("matched"))).alias("held"), F.count(F.when(F.col("is_summary"), 1)).alias("summaries_demoted"))
-    info = asked.join(total, "query_id", "left").join(seen, ["query_id", "corpus"], "left")
+    seen = held.groupBy("query_id", "corpus").agg(F.collect_set("term").alias("seen"))
+    whole = held.join(rows.select("query_id", "corpus", "doc_ord"), ["query_id", "corpus", "doc_ord"]).groupBy("query_id", "corpus").agg(F.collect_set("term").alias("held"))
+    total = rows.groupBy("query_id", "corpus").agg(F.count(F.lit(1)).alias("total_mentions"), F.first("relaxed").alias("relaxed"), F.count(F.when(F.col("is_summary"), 1)).alias("summaries_demoted"))
+    info = asked.join(total, "query_id", "left").join(seen, ["query_id", "corpus"], "left").join(whole, ["query_id", "corpus"], "left")
     info = info.select("query_id", "corpus", F.coalesce("total_mentions", F.lit(0)).alias("total_mentions"), F.coalesce("relaxed", F.lit(False)).alias("relaxed"), F.array_sort(F.array_except("terms", F.coalesce("held", F.array().cast("array<string>")))).alias("dropped_terms"), F.array_sort(F.array_except("terms", F.coalesce("seen", F.array().cast("array<string>")))).alias("unmatchable_terms"), F.coalesce("summaries_demoted", F.lit(0)).alias("summaries_demoted"), (F.coalesce("total_mentions", F.lit(0)) > 0).alias("premise_supported"))
     return ranked, info
 
@@ -112,7 +122,7 @@ def browse(docs: DataFrame, limit: int = 10) -> DataFrame:
 
 def term_frequencies(terms: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
     """(term, df, df_word): documents that hold a term at all, and as a whole word."""
-    found = occurrences(docs, terms, cfg).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("word"), 1)).alias("df_word"))
+    found = occurrences(docs, terms, cfg, words=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("word"), 1)).alias("df_word"))
     return terms.select("term").distinct().join(found, "term", "left").fillna(0, ["df", "df_word"])
 
 
