@@ -111,6 +111,14 @@ class Index:
         self.__dict__.update(state)
         self._lay_out()
 
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example by rank, put together from the postings."""
+        by = np.argsort(self.doc, kind="stable")
+        terms, cuts = np.repeat(np.arange(len(self.vocab)), np.diff(self.start))[by], np.searchsorted(self.doc[by], np.arange(len(self.ids) + 1))
+        value = self.value[by]
+        return [(terms[a:b], value[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[terms]
         norm = np.sqrt((w * w).sum())
