@@ -6,7 +6,7 @@ its own projection is opened in every array, and R grows step by step (virtual r
 new in the wider windows is counted). A vector that collides in enough arrays is verified with its
 exact inner product. A vector at distance R collides in a line with the probability that a normal
 deviate stays within one; the threshold lies so low that such a vector passes with a probability of
-about 0.73, and nearer ones more often. The search stops once R reaches the distance of the k-th best
+about 0.84, and nearer ones more often. The search stops once R reaches the distance of the k-th best
 verified vector, so whatever could still displace it had that chance or a better one. Every row is
 indexed, and R grows until k are found or all are verified. Largest inner product becomes smallest
 distance by one added coordinate that gives all vectors of a block the length of its longest.
@@ -34,9 +34,9 @@ PROJECTIONS, GROWTH = 128, 1.04
 FIRST, PROBES = 0.97, 16
 #: Vectors of a block on average, and queries that are counted side by side.
 BLOCK, BATCH = 16_384, 128
-#: Collisions that verify: mean less 0.6 deviations of those of a vector at distance R, with p = P(|N(0,1)| <= 1).
+#: Collisions that verify: mean less 1.0 deviations of those of a vector at distance R, with p = P(|N(0,1)| <= 1).
 NEAR = 0.6827
-THRESHOLD = int(np.floor(PROJECTIONS * NEAR - 0.6 * np.sqrt(PROJECTIONS * NEAR * (1 - NEAR))))
+THRESHOLD = int(np.floor(PROJECTIONS * NEAR - 1.0 * np.sqrt(PROJECTIONS * NEAR * (1 - NEAR))))
 
 
 class Block:
