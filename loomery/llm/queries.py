@@ -83,6 +83,27 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep=["doc_id"], digests=True)
 
 
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some texts are made periodic first, by the rule of the query: word i of those comes from word a + (i - a) % p."""
+    from . import periods
+
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.withColumn("w", F.when(h % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    g, n = F.floor(h / 10), F.size("w").cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("w", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    planted = words.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return periods.periodic_runs(planted, F.when(F.col("p").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")), keep=["doc_id"], digests=True)
+
+
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whiten
+
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_collision_counting": op2_collision_counting,
@@ -94,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_partial_matching": op8_partial_matching,
     "op9_example_votes": op9_example_votes,
     "op10_bpe_trie": op10_bpe_trie,
+    "op11_tandem_runs": op11_tandem_runs,
+    "op12_tsqr_whitening": op12_tsqr_whitening,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -114,8 +137,25 @@ b AS (SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c:
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM b"""
 
+_CRC = "list_reduce([4294967295] || list_reverse(flatten(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: [-1, -1, -1, -1, -1, -1, -1, -1, ascii(substr(reverse(CAST(doc_id AS VARCHAR)), i, 1))]))), lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"
+#: A run of period q has at least max(6, 4 * q) - q words that equal the one q words on, so at least five in a row.
+_RUNS = f"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w, xor({_CRC}::BIGINT, 4294967295) AS h FROM documents),
+u AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+v AS (SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM u),
+f AS (SELECT k, i, md5(array_to_string(w[i + 1 : i + 5], ' ')) AS f FROM (SELECT k, w, unnest(range(0, n - 4)) AS i FROM v WHERE n >= 6)),
+r AS (SELECT * FROM f SEMI JOIN (SELECT k, f FROM f GROUP BY ALL HAVING count(*) > 1) USING (k, f)),
+e AS (SELECT x.k, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.k, y.i - x.i ORDER BY x.i) AS isle FROM r x JOIN r y ON x.k = y.k AND x.f = y.f AND x.i < y.i),
+s AS (SELECT k, q, min(i) AS start, count(*) + 4 + q AS length FROM e GROUP BY k, q, isle HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+z AS (SELECT k, start, length, min(q) AS period FROM s GROUP BY k, start, length),
+b AS (SELECT k, count(*) AS n_runs, first(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM z GROUP BY k),
+d AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM z),
+c AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM v) ANTI JOIN d USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN b USING (k) LEFT JOIN c USING (k)"""
+
 #: The other operators hold trained models, XXH64 or tokenizers, which SQL lacks: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_relative_lz": _SUBSTRING,
     "op7_warc_shards": _WARC,
+    "op11_tandem_runs": _RUNS,
 }
