@@ -104,6 +104,12 @@ def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sigtree
+
+    return sigtree.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_collision_counting": op2_collision_counting,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_trie": op10_bpe_trie,
     "op11_tandem_runs": op11_tandem_runs,
     "op12_tsqr_whitening": op12_tsqr_whitening,
+    "op13_signature_trees": op13_signature_trees,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -153,9 +160,18 @@ c AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT k, unnest(w)
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM v LEFT JOIN b USING (k) LEFT JOIN c USING (k)"""
 
+_LOWER = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_ALIKE = f"""WITH RECURSIVE w AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS s FROM s),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.s = y.s AND x.doc_id <> y.doc_id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM s JOIN (SELECT a, min(root) AS root FROM r GROUP BY a) ON a = doc_id"""
+
 #: The other operators hold trained models, XXH64 or tokenizers, which SQL lacks: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_relative_lz": _SUBSTRING,
     "op7_warc_shards": _WARC,
     "op11_tandem_runs": _RUNS,
+    "op13_signature_trees": _ALIKE,
 }
