@@ -130,7 +130,8 @@ class Whitening:
     """What fit() found: n, exact sums, unit components (rows of ``axes``), their eigenvalues and the trace."""
 
     def __init__(self, n: int, s: list[int], r: np.ndarray, most: int):
-        _, sing, axes = np.linalg.svd(r, full_matrices=False)
+        whole = np.concatenate([r, np.zeros((max(0, len(s) - len(r)), len(s)))])  # fewer rows than dimensions: the rest has no variance
+        _, sing, axes = np.linalg.svd(whole, full_matrices=False)
         self.n, self.sums = n, s
         self.trace = float((sing**2).sum() / n)
         self.values, self.axes = (sing**2 / n)[:most], axes[:most]
