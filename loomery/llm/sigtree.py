@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import wordvec as V
-from .alike import name_of
 from .links import components
-from .sparkutil import small_batches, written
+from .sparkutil import free_name, small_batches, written
 
 U = V.U64
 #: Members of a block, counting each set as LEAST at least.
@@ -48,6 +47,13 @@ PAIRS = 1 << 14
 CELLS = 1 << 24
 
 
+def name_of(members: np.ndarray) -> int:
+    """The XXH64 of a set, as a signed number."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes())).astype(np.int64))
+
+
 def ngrams(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; A-Z are lower-cased."""
     w = V.Words(data, offsets, lower=True)
@@ -418,3 +424,23 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int =
     label = written(joined.join(best, "root").select("g", "component_id"), "labels")
     out = every.join(label, "g", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df of which one document of each group of linked ones stays, that with the smallest id.
+
+    Here all texts without words are one group. Rows with a null id stay, and make no other row go. Rows of one id with different texts
+    are documents of their own; of rows of one id and text one stays. Extra columns are kept.
+    """
+    small_batches(df.sparkSession)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    key = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), body)
+    docs = df.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), key.alias("fk"), body.alias("text"))
+    every = nodes(docs, width)
+    found = written(every.groupBy("g").agg(F.min(F.struct("doc_id", "fk")).alias("least"), F.first("n").alias("n")).select("g", "n", "least", F.col("least.fk").alias("fk")), "sets")
+    root = connected(docs.select("fk", "text"), found.where("n > 0").select("g", "n", "fk"), width, percent)
+    joined = found.select("g", "least").join(root.withColumnRenamed("node", "g"), "g", "left")
+    keep_fk = free_name(df, "keep_fk")
+    first = joined.groupBy(F.coalesce("root", "g").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.fk").alias(keep_fk))
+    kept = df.where(F.col(f"`{doc_id}`").isNotNull()).withColumn(keep_fk, key).join(written(first, "firsts"), keep_fk, "left_semi").dropDuplicates([keep_fk])
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(F.col(f"`{doc_id}`").isNull()))

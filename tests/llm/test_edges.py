@@ -184,11 +184,11 @@ def test_toxic_votes_are_exact_nearest_neighbours(spark):
 
 
 def test_near_dedup_keeps_texts_of_one_id(spark):
-    from loomery.llm import alike
+    from loomery.llm import sigtree
 
     a, b = words(60, seed=1), words(60, "fox hen cow pig cat dog emu yak ant bee", seed=2)
     rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (3, b + " end")]
-    got = Counter((r["doc_id"], r["text"]) for r in alike.keep_one(frame(spark, rows)).collect())
+    got = Counter((r["doc_id"], r["text"]) for r in sigtree.keep_one(frame(spark, rows)).collect())
     assert got == Counter({(1, a): 1, (1, b): 1, (None, a): 1})
 
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from loomery.llm import alike
+from loomery.llm import sigtree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,9 +34,10 @@ def kept(texts):
     return {k for k in range(len(texts)) if top(k) == k}, near
 
 
-@pytest.mark.parametrize("most", [4096, 8])
-def test_near_dedup_links_at_the_bound_and_not_below(spark, monkeypatch, most):
-    monkeypatch.setattr(alike, "MAX_RUN", most)
+@pytest.mark.parametrize("block, least", [(1 << 18, 256), (2000, 1)])
+def test_near_dedup_links_at_the_bound_and_not_below(spark, monkeypatch, block, least):
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    monkeypatch.setattr(sigtree, "LEAST", least)
     r = random.Random(7)
     line = [f"common{k}" for k in range(12)]
     texts = [None, "", " ", "a b", "A  b", "a b c"]
@@ -56,6 +57,6 @@ def test_near_dedup_links_at_the_bound_and_not_below(spark, monkeypatch, most):
     want, near = kept(texts)
     assert min(near) >= 15
     df = spark.createDataFrame([*enumerate(texts), (None, texts[-1])], "doc_id long, text string")
-    got = [x["doc_id"] for x in alike.keep_one(df).collect()]
+    got = [x["doc_id"] for x in sigtree.keep_one(df).collect()]
     assert got.count(None) == 1 and sorted(x for x in got if x is not None) == sorted(want)
-    assert alike.keep_one(df.limit(0)).count() == 0
+    assert sigtree.keep_one(df.limit(0)).count() == 0
