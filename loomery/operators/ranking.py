@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomery.config import CONFIG, STOP_WORDS, EngineConfig
 from loomery.functions import scoring as S, text as T
 
+from loomery.sources import shared
+
 from . import keyword
 from .phrase import phrase_window, snippet_around
+from .postings import Index
 
 
 def reference_chunks(chunk_counts: DataFrame) -> DataFrame:
@@ -61,18 +64,21 @@ def archive_cap(rows: DataFrame, limit: int = CONFIG.limit, share: float = CONFI
     return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_held")
 
 
-def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None) -> tuple[DataFrame, DataFrame]:
+def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored candidates, term statistics) of each query and corpus.
 
     filters (F01, over the columns of docs) choose candidates before the best max(rerank, limit) go on (L02). Bodies
-    join only what is left then.
+    join only what is left then. index: an index of docs, from whose files postings and the rows that are left are read.
 
     semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
     scaled by each query's best, and nothing is ever refused.
     """
-    shared = prepared or keyword.prepare(queries, docs, cfg)
-    raw = keyword.bm25f(queries, docs, cfg, shared)
-    stats = keyword.term_stats(queries, docs, cfg, shared)
+    ready = prepared or (index.prepare(queries, cfg) if index is not None else keyword.prepare(queries, docs, cfg))
+    most = max(cfg.rerank, limit)
+    order = lambda c: Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round(c, 9)), "doc_ord")
+    fetch = lambda rows, columns: index.of(rows, columns) if index is not None else docs.select("corpus", "doc_ord", *columns)
+    raw = keyword.bm25f(queries, docs, cfg, ready)
+    stats = keyword.term_stats(queries, docs, cfg, ready)
     if semantic is None:
         top = Window.partitionBy("query_id", "corpus")
         found = raw.withColumn("keyword_score", F.col("raw") / F.max("raw").over(top)).withColumn("semantic_score", F.lit(0.0))
@@ -80,22 +86,29 @@ def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: Dat
         kw = raw.join(stats.select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).withColumn("keyword_score", S.absolute_keyword(F.col("raw"), F.col("ideal"), cfg)).where("keyword_score is not null").drop("ideal")
         sem = semantic.select("query_id", "corpus", "doc_ord", S.rescale_cosine(F.col("cos"), cfg).alias("semantic_score"))
         found = kw.join(sem, ["query_id", "corpus", "doc_ord"], "full_outer").fillna(0.0, ["keyword_score", "semantic_score", "raw"])
-    own = F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
-    meta = docs.select("corpus", "doc_ord", "file", "name", "tier", "in_memory_index", "modified", own.alias("own_chunks"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
-    bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("n_chunks"))
-    reference = reference_chunks(bulk.select("corpus", "n_chunks"))
-    rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus")
-    if semantic is None:
-        rows = rows.withColumn("base", F.col("keyword_score"))
+    shown = ["file", "name", "tier", "in_memory_index", "modified"]
+    if semantic is None and filters is None:
+        # nothing but the keyword score decides who goes on, so of all others nothing is read
+        rows = found.withColumn("base", F.col("keyword_score")).where("base > 0").withColumn("_pass1", F.row_number().over(order("base"))).where(F.col("_pass1") <= most)
+        if index is not None:
+            rows = shared_rows(rows)
+        near = rows.join(fetch(rows, [*shown, "body"]), ["corpus", "doc_ord"])
     else:
-        long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
-        rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
-    rows = rows.where("base > 0")
-    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("base", 9)), "doc_ord")
-    rows = rows.withColumn("_pass1", F.row_number().over(order))
+        own = F.col("own_chunks") if "own_chunks" in docs.columns else F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
+        meta = docs.select("corpus", "doc_ord", *shown, own.alias("own_chunks"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
+        bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("n_chunks"))
+        rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).withColumn("base", F.col("keyword_score"))
+        if semantic is not None:
+            reference = reference_chunks(bulk.select("corpus", "n_chunks"))
+            rows = rows.join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus")
+            long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
+            rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
+        rows = rows.where("base > 0").withColumn("_pass1", F.row_number().over(order("base"))).where(F.col("_pass1") <= most)
+        if index is not None:
+            rows = shared_rows(rows)
+        near = rows.join(fetch(rows, ["body"]), ["corpus", "doc_ord"])
     wanted = queries.select("query_id", F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
-    most = max(cfg.rerank, limit)
-    near = rows.where(F.col("_pass1") <= most).join(docs.select("corpus", "doc_ord", "body"), ["corpus", "doc_ord"]).join(wanted, "query_id").withColumn("_win", phrase_window(F.col("body"), F.col("terms"))).drop("terms")
+    near = near.join(wanted, "query_id").withColumn("_win", phrase_window(F.col("body"), F.col("terms"))).drop("terms")
     near = near.withColumn("phrase_score", F.col("_win.phrase")).withColumn("snippet", snippet_around(F.col("body"), F.col("_win.first"), F.col("_win.stop"))).drop("_win")
     if semantic is not None:
         near = near.withColumn("base", F.col("base") + cfg.fuse_phrase * S.phrase_part(F.col("phrase_score"), cfg))
@@ -147,9 +160,18 @@ def verdict(best: DataFrame, cfg: EngineConfig = CONFIG, floors: DataFrame | Non
     return rows.withColumn("confidence", confidence).withColumn("read_this_first", F.coalesce(F.col("route").isNotNull() & high, F.lit(False)))
 
 
-def search(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
-    """(rows, verdicts): each corpus ranks by itself; refused queries give their three nearest as weak rows."""
-    scored, stats = rank_one(queries, docs, as_of, semantic, cfg, filters, limit)
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Rows that several reads start from, written once."""
+    return shared.written(rows, "rows")
+
+
+def search(queries: DataFrame, docs: DataFrame | None, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, verdicts): each corpus ranks by itself; refused queries give their three nearest as weak rows.
+
+    With an index its documents are searched, and docs may be None.
+    """
+    docs = index.documents() if docs is None and index is not None else docs
+    scored, stats = rank_one(queries, docs, as_of, semantic, cfg, filters, limit, index=index)
     top = scored.groupBy("query_id", "corpus").agg(F.max("score").alias("top_score"), F.max("phrase_score").alias("top_phrase"), F.max("raw").alias("best_raw"))
     best = stats.join(top, ["query_id", "corpus"], "left").withColumn("mode", F.lit("hybrid" if semantic is not None else "bm25-only")).fillna(0.0, ["top_phrase", "best_raw"])
     judged = verdict(best, cfg, floors)

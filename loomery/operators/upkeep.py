@@ -44,7 +44,11 @@ def plan_build(new: DataFrame, previous: DataFrame) -> DataFrame:
 
 def refuse_build(new: DataFrame, previous: DataFrame, failed: int = 0) -> str | None:
     """Why a build must not replace the index: nothing to read, all gone, or too many unreadable documents."""
-    n, before = new.count(), previous.count()
+    return refusal(new.count(), previous.count(), failed)
+
+
+def refusal(n: int, before: int, failed: int = 0) -> str | None:
+    """refuse_build() by counts."""
     if n == 0:
         return "every document vanished" if before else "no documents"
     if failed > max(3, 0.01 * (n + failed)):

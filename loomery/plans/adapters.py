@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomery.functions import text as T
+from loomery.operators import postings
+from loomery.sources import shared
 
 EPOCH = datetime(2024, 1, 1)
 #: The instant that decays and ages are measured from.
@@ -30,6 +33,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index of docs: opened where this application has indexed these very files before, else built."""
+    parts = [shared.fingerprint(table(spark, sf_dir, t)) for t in ("documents", "labels")]
+    path = f"{shared.shared_dir(spark)}/loomery-index-{hashlib.sha256('|'.join([spark.sparkContext.applicationId, sf_dir, *parts]).encode()).hexdigest()[:24]}"
+    return postings.Index.open(spark, path) or postings.build(docs(spark, sf_dir), path)
+
+
 def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs without the tier, for questions that do not need labels: one scan."""
     d = table(spark, sf_dir, "documents")

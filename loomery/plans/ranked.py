@@ -49,7 +49,8 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 SELECT query_id, rank, doc_ord, round(raw, 4) AS raw FROM r WHERE rank <= 8""")
 def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
     """A05, J01, J02, R02 in keyword mode: the eight best documents of every benchmark passage."""
-    raw = keyword.bm25f(A.questions(spark, sf), A.docs(spark, sf))
+    q = A.questions(spark, sf)
+    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
     return raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CONFIG.limit).select("query_id", "rank", "doc_ord", F.round("raw", 4).alias("raw"))
 
@@ -59,7 +60,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 SELECT query_id, rank, doc_ord, round(score, 4) AS score FROM k WHERE rank <= 8""")
 def normalised_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores over each query's best."""
-    raw = keyword.bm25f(A.questions(spark, sf), A.docs(spark, sf))
+    q = A.questions(spark, sf)
+    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
     rows = raw.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_ord")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CONFIG.limit).select("query_id", "rank", "doc_ord", F.round("score", 4).alias("score"))
@@ -76,7 +78,8 @@ stats2 AS (SELECT s.*, coalesce(l.orphans, '') AS orphans, coalesce(l.lost, 0) /
 @query(f"{_STATS} SELECT query_id, round(ideal, 4) AS ideal, round(ideal_full, 4) AS ideal_full, n_terms, n_present, orphans, round(orphan_share, 4) AS orphan_share FROM stats2")
 def term_stats_orphans(spark: SparkSession, sf: str) -> DataFrame:
     """A06"""
-    s = keyword.term_stats(A.questions(spark, sf), A.docs(spark, sf))
+    q = A.questions(spark, sf)
+    s = keyword.term_stats(q, None, prepared=A.index(spark, sf).prepare(q))
     return s.select("query_id", F.round("ideal", 4).alias("ideal"), F.round("ideal_full", 4).alias("ideal_full"), "n_terms", "n_present", F.array_join("orphans", " ").alias("orphans"), F.round("orphan_share", 4).alias("orphan_share"))
 
 
@@ -86,8 +89,8 @@ m AS (SELECT query_id, doc_ord, raw, ideal, greatest(0, least(1, (raw - least(8.
 SELECT query_id, doc_ord, round(size * greatest(0, least(1, raw / ideal / 0.6)), 4) AS keyword_score FROM m WHERE size > 1e-9""")
 def absolute_keyword(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores on the absolute scale; documents at or below its floor are dropped."""
-    q, d = A.questions(spark, sf), A.docs(spark, sf)
-    p = keyword.prepare(q, d)
+    q, d = A.questions(spark, sf), None
+    p = A.index(spark, sf).prepare(q)
     rows = keyword.bm25f(q, d, prepared=p).join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"])
     return rows.select("query_id", "doc_ord", S.absolute_keyword(F.col("raw"), F.col("ideal")).alias("k")).where("k > 1e-9").select("query_id", "doc_ord", F.round("k", 4).alias("keyword_score"))
 
@@ -102,8 +105,8 @@ SELECT query_id, round(cov, 4) AS lexical_coverage, round(ph, 4) AS effective_ph
  CASE WHEN (os >= 0.4 AND ph < 0.4) OR (top < 0.38 AND ph < 0.4 AND cov < 0.2) THEN 'low' WHEN top >= 0.38 THEN 'high' ELSE 'medium' END AS confidence FROM w""")
 def absence_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """The refusal arithmetic, on the keyword evidence and a fixed phrase of 0.5."""
-    q, d = A.questions(spark, sf), A.docs(spark, sf)
-    p = keyword.prepare(q, d)
+    q, d = A.questions(spark, sf), None
+    p = A.index(spark, sf).prepare(q)
     best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("best_raw"))
     rows = keyword.term_stats(q, d, prepared=p).join(best, ["query_id", "corpus"]).withColumn("mode", F.lit("hybrid")).withColumn("top_phrase", F.lit(0.5)).withColumn("top_score", F.col("best_raw") / F.col("ideal"))
     return ranking.verdict(rows).select("query_id", F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("effective_phrase", 4).alias("effective_phrase"), "route", "confidence")
@@ -182,8 +185,9 @@ _SLOTS = f"""WITH {X.RAW}, j AS (SELECT r.query_id, r.doc_ord, r.raw, d.tier, d.
 SELECT query_id, doc_ord, project, round(raw, 4) AS score FROM s WHERE slot <= 2""")
 def slot_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most two rows a file, the source standing for the file."""
-    d = A.docs(spark, sf)
-    rows = keyword.bm25f(A.questions(spark, sf), d).join(d.select("corpus", "doc_ord", F.col("project").alias("file")), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
+    q, index = A.questions(spark, sf), A.index(spark, sf)
+    d = index.documents()
+    rows = keyword.bm25f(q, None, prepared=index.prepare(q)).join(d.select("corpus", "doc_ord", F.col("project").alias("file")), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
     return ranking.slot_cap(rows, 2).select("query_id", "doc_ord", F.col("file").alias("project"), F.round("raw", 4).alias("score"))
 
 
@@ -192,8 +196,9 @@ h AS (SELECT *, (tier = 'archive' AND seen > 4) AS held FROM a), r AS (SELECT *,
 SELECT query_id, rank, doc_ord, tier FROM r WHERE rank <= 8""")
 def archive_share(spark: SparkSession, sf: str) -> DataFrame:
     """W05"""
-    d = A.docs(spark, sf)
-    rows = keyword.bm25f(A.questions(spark, sf), d).join(d.select("corpus", "doc_ord", "tier"), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
+    q, index = A.questions(spark, sf), A.index(spark, sf)
+    d = index.documents()
+    rows = keyword.bm25f(q, None, prepared=index.prepare(q)).join(d.select("corpus", "doc_ord", "tier"), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
     return ranking.archive_cap(rows).select("query_id", "rank", "doc_ord", "tier")
 
 
@@ -206,7 +211,8 @@ g AS (SELECT k.query_id, b.doc_ord, 0.1 * sum(k.score) AS gain FROM k JOIN b ON
 SELECT r.query_id, r.doc_ord, round(CASE WHEN r.score >= 0.2 AND gain > 0 THEN round(r.score + gain, 4) ELSE r.score END, 4) AS score FROM r LEFT JOIN g USING (query_id, doc_ord)""")
 def graph_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Lending over a link graph made by rule; the scaled keyword score stands for the semantic one."""
-    raw = keyword.bm25f(A.questions(spark, sf), A.docs(spark, sf))
+    q = A.questions(spark, sf)
+    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
     rows = raw.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 3)).withColumn("semantic_score", F.col("score"))
     return ranking.graph_spread(rows, A.edges(spark, sf)).select("query_id", "doc_ord", F.round("score", 4).alias("score"))
 
@@ -227,25 +233,25 @@ _SHOWN = ["query_id", "corpus", "rank", "name", "score", "keyword_score", "tier"
 @query(_ranked())
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole keyword-mode search."""
-    rows, _ = ranking.search(A.questions(spark, sf), A.docs(spark, sf), A.AS_OF)
+    rows, _ = ranking.search(A.questions(spark, sf), None, A.AS_OF, index=A.index(spark, sf))
     return rows.withColumn("keyword_score", F.round("keyword_score", 4)).select(*_SHOWN)
 
 
 @query(_ranked("account IS NULL OR account = 'fr'"))
 def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of one account (or none) only, chosen before the best thirty are."""
-    rows, _ = ranking.search(A.questions(spark, sf), A.docs(spark, sf), A.AS_OF, filters=ranking.passes(accounts=["fr"]))
+    rows, _ = ranking.search(A.questions(spark, sf), None, A.AS_OF, filters=ranking.passes(accounts=["fr"]), index=A.index(spark, sf))
     return rows.withColumn("keyword_score", F.round("keyword_score", 4)).select(*_SHOWN)
 
 
 @query()
 def hybrid_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """R01-R04 in hybrid mode: vectors stand for passages of documents, all above the cosine floor."""
-    q, d = A.questions(spark, sf), A.docs(spark, sf)
+    q = A.questions(spark, sf)
     e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asks = e.join(q.select(F.col("query_id").alias("id")), "id", "left_semi")
     near = dense.top_k(asks, e, None, above=CONFIG.cosine_floor).select("query_id", F.lit("curated").alias("corpus"), F.col("id").alias("doc_ord"), F.col("score").alias("cos"))
-    _, verdicts = ranking.search(q, d, A.AS_OF, semantic=near)
+    _, verdicts = ranking.search(q, None, A.AS_OF, semantic=near, index=A.index(spark, sf))
     return verdicts.select("query_id", "corpus", F.round("top_score", 4).alias("top_score"), F.round("top_phrase", 4).alias("top_phrase"), F.round("effective_phrase", 4).alias("effective_phrase"), F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("orphan_share", 4).alias("orphan_share"), "route", "confidence", "no_strong_match", "read_this_first")
 
 
@@ -271,7 +277,7 @@ def requery_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Better question words from the three nearest documents of each passage."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
-    weak = keyword.bm25f(q, d).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    weak = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q)).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     return ranking.requery_terms(weak, d, q).select("query_id", "term", F.round("weight", 4).alias("weight"), "pos")
 
 
@@ -283,8 +289,8 @@ tops AS (SELECT query_id % 2 AS population, max(raw) / any_value(ideal) AS ratio
 @query(f"{_T} SELECT population::VARCHAR AS population, threshold, round(avg((ratio >= threshold)::INT), 4) AS share FROM tops, (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold) GROUP BY 1, 2")
 def keyword_scale(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of two populations of questions at eight thresholds."""
-    q, d = A.questions(spark, sf), A.docs(spark, sf)
-    p = keyword.prepare(q, d)
+    q, d = A.questions(spark, sf), None
+    p = A.index(spark, sf).prepare(q)
     best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("raw"))
     tops = best.join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).select((F.col("query_id") % 2).cast("string").alias("population"), (F.col("raw") / F.col("ideal")).alias("ratio"))
     return querylog.keyword_scale(tops).withColumn("share", F.round("share", 4))
