@@ -149,8 +149,24 @@ def _starred(key: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.flatnonzero(fresh), pairs[:, 0], pairs[:, 1]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) of every other node of the sets that links (a, b) connect."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        p, q = root[x], root[y]
+        open_ = p != q
+        if not open_.any():
+            break
+        np.minimum.at(root, np.maximum(p, q)[open_], np.minimum(p, q)[open_])
+        while not np.array_equal(deeper := root[root], root):
+            root = deeper
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return names[other], names[root[other]]
+
+
 def shared_keys(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): pairs of set names that connect all sets with a common key."""
+    """(a, b): pairs of set names that connect all sets with a common key. A task gives those of its keys as stars."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,20 +188,29 @@ def shared_keys(df: DataFrame, width: int, percent: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, g, b = (np.asarray(batch.column(k)) for k in range(3))
             pair = g != b
-            pa_, pb = g[pair], b[pair]
+            held.append((g[pair], b[pair]))
             key, g = key[~pair], g[~pair]
             if len(key):
                 if last is not None and last[0] == key[0]:
                     key, g = np.append(last[0], key), np.append(last[1], g)
                 first, a, lead = _starred(key, g)
                 last = int(key[-1]), int(g[first[-1]])
-                pa_, pb = np.append(pa_, a), np.append(pb, lead)
-            yield pa.RecordBatch.from_arrays([pa.array(pa_), pa.array(pb)], names=["a", "b"])
+                held.append((a, lead))
+            size += len(held[-1][0]) + int(pair.sum())
+            if size > 1 << 20:  # as many as there are sets at most stay
+                held = [stars(*map(np.concatenate, zip(*held)))]
+                size = 0
+        if held:
+            a, b = stars(*map(np.concatenate, zip(*held)))
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], names=["a", "b"])
 
     rows = df.select("text").mapInArrow(deal, "key long, g long, b long")
     return rows.repartition("key").sortWithinPartitions("key", "g").mapInArrow(meet, "a long, b long")
@@ -316,7 +341,7 @@ def connections(left: list[np.ndarray], right: list[np.ndarray] | None, label: n
 
 
 def tested(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links by trees. rows: family, x, y (block numbers), side, g, label, text; a group is one (family, x, y)."""
+    """(a, b): labels that links connect, as stars. rows: family, x, y (block numbers), side, g, label, text; a group is one (family, x, y)."""
 
     def group(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         side, g, label = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (3, 4, 5))
@@ -326,7 +351,8 @@ def tested(rows: DataFrame, width: int, percent: int) -> DataFrame:
         sets, g, label, side = [sets[k] for k in order], g[order], label[order], side[order]
         cut = int(np.searchsorted(side, 1))
         cross = cut < len(sets)
-        return [(int(g[i]), int(g[j])) for i, j in connections(sets[:cut], sets[cut:] if cross else None, label, percent)]
+        found = np.array(connections(sets[:cut], sets[cut:] if cross else None, label, percent), np.int64).reshape(-1, 2)
+        return list(zip(*(c.tolist() for c in stars(label[found[:, 0]], label[found[:, 1]]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -389,17 +415,18 @@ def place(members: DataFrame) -> DataFrame:
 
 
 def connected(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of all sets with a link. docs: fk, text. found: g, n, fk of each distinct set."""
+    """(g, root) of all sets: the name of one set of all that links connect. docs: fk, text. found: g, n, fk of each distinct set."""
     family = components(shared_keys(docs, width, percent))
     members = found.join(family.select(F.col("node").alias("g"), F.col("root").alias("family")), "g")
     held = written(texts(docs, place(members)), "families")
     alone = held.select("family", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"), "g", F.col("g").alias("label"), "text")
-    links = written(tested(alone, width, percent), "links")
+    # a set is in one block: what its block connects has the block's star for a label
+    label = written(tested(alone, width, percent), "labels").select(F.col("a").alias("g"), F.col("b").alias("label"))
+    every = found.select("g").join(label, "g", "left").withColumn("label", F.coalesce("label", "g"))
     blocks = held.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = written(blocks.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(blocks, "family").drop("k"), "blocks")
     if several.isEmpty():
-        return components(links)
-    label = written(components(links), "labels").select(F.col("node").alias("g"), F.col("root").alias("label"))
+        return every.withColumnRenamed("label", "root")
     open_ = held.join(several.select("family").distinct(), "family", "left_semi").join(label, "g", "left").withColumn("label", F.coalesce("label", "g"))
     whole = open_.groupBy("family", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
     b = several.join(whole, ["family", "block"])
@@ -408,7 +435,8 @@ def connected(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Da
     done = (F.col("xl0") == F.col("xl1")) & (F.col("yl0") == F.col("yl1")) & (F.col("xl0") == F.col("yl0"))
     pairs = written(x.join(y, "family").where((F.col("xblock") < F.col("yblock")) & near & ~done).select("family", F.col("xblock").alias("x"), F.col("yblock").alias("y")), "pairs")
     sides = [open_.join(pairs.withColumn("block", F.col(c)), ["family", "block"]).select("family", "x", "y", F.lit(k).alias("side"), "g", "label", "text") for k, c in enumerate("xy")]
-    return components(links.unionByName(written(tested(sides[0].unionByName(sides[1]), width, percent), "links")))
+    root = components(tested(sides[0].unionByName(sides[1]), width, percent)).select(F.col("node").alias("label"), "root")
+    return every.join(root, "label", "left").select("g", F.coalesce("root", "label").alias("root"))
 
 
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
@@ -419,7 +447,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int =
     every = written(nodes(docs, width), "nodes")
     found = written(every.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"), F.min("fk").alias("fk"), F.first("n").alias("n")), "sets")
     root = connected(docs.select("fk", "text"), found.select("g", "n", "fk"), width, percent)
-    joined = found.select("g", "least").join(root.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    joined = found.select("g", "least").join(root, "g")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     label = written(joined.join(best, "root").select("g", "component_id"), "labels")
     out = every.join(label, "g", "left")
@@ -439,7 +467,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     every = nodes(docs, width)
     found = written(every.groupBy("g").agg(F.min(F.struct("doc_id", "fk")).alias("least"), F.first("n").alias("n")).select("g", "n", "least", F.col("least.fk").alias("fk")), "sets")
     root = connected(docs.select("fk", "text"), found.where("n > 0").select("g", "n", "fk"), width, percent)
-    joined = found.select("g", "least").join(root.withColumnRenamed("node", "g"), "g", "left")
+    joined = found.select("g", "least").join(root, "g", "left")
     keep_fk = free_name(df, "keep_fk")
     first = joined.groupBy(F.coalesce("root", "g").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.fk").alias(keep_fk))
     kept = df.where(F.col(f"`{doc_id}`").isNotNull()).withColumn(keep_fk, key).join(written(first, "firsts"), keep_fk, "left_semi").dropDuplicates([keep_fk])
