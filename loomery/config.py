@@ -53,6 +53,7 @@ class EngineConfig:
     section_min_count: int = 3
     section_min_chars: int = 200
     section_keep: int = 3
+    section_beta: float = 1.0
     inline_changes: int = 8
     inline_first_build: int = 40
     commit_grace_minutes: int = 30

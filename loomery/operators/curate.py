@@ -98,22 +98,62 @@ def read_task(queries: DataFrame, docs: DataFrame) -> DataFrame:
 CORRECTION = r"\b(i was wrong|i were wrong|i got .{0,20}wrong|that was wrong|(my|the|that|my earlier|my last) [a-z ]{0,24}(claim|comment|answer|statement|note|advice|reading|assumption)[a-z ]{0,12} was wrong|correction:|i owe you a correction|i misread|i misremembered|i was mistaken|no longer (true|the case|accurate)|scratch that)\b"
 
 
-def claims(exchanges: DataFrame) -> DataFrame:
-    """The terms of the sentence of the reply that withdraws something, of each exchange that does."""
-    line = F.get(F.filter(F.split(F.coalesce("reply", F.lit("")), r"(?<=[.!?])[ \n]+"), lambda s: matches(s, CORRECTION, any_case=True)), F.lit(0))
-    return exchanges.withColumn("claim", line).where("claim is not null").withColumn("claim_terms", F.array_distinct(T.tokenize(F.col("claim"))))
+#: A sentence that says the older document was right, and one that only announces a correction. Fixed values.
+CONFIRMS = r"\b(the )?memor(y|ies)( note| file)? (says|said|does record|records|has|is right|was right)\b|\bmemory does record\b"
+PREAMBLE = r"\b(let me (check|verify|look|re-?read|confirm)|before I answer|i'll check|going to check)\b"
+ASKED = "**Asked:**"
+
+
+def assistant_half(body: Column) -> Column:
+    """What an exchange's body says after the paragraph of the question; all of it where there is none."""
+    t = F.coalesce(body, F.lit(""))
+    at = F.instr(t, ASKED)
+    after = F.substring(t, at, F.length(t))
+    stop = F.instr(after, "\n\n")
+    return F.when(at == 0, t).when(stop == 0, "").otherwise(F.substring(after, stop + 2, F.length(t)))
+
+
+def claims(exchanges: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """Exchanges whose reply withdraws something, with ``phrase``, ``claim`` (the sentence), ``claim_terms`` and ``query`` to search older documents with.
+
+    exchanges: query_id, name, description, body, modified. The sentence goes from the stop before the first phrase of withdrawal to the next one after it, 400 characters at most. Its terms
+    are words of four characters or more without the phrase and stop words. Sentences that confirm the older document or only announce a correction are vetoed.
+    """
+    # each step is a generated column: a filter on it is not pushed below, where it would compute the text's expressions again
+    rows = exchanges.select("*", F.explode(F.array(assistant_half(F.col("body")))).alias("_text"))
+    rows = rows.select("*", F.explode(F.filter(F.array(F.regexp_extract("_text", f"(?i){CORRECTION}", 0)), lambda p: p != "")).alias("phrase"))
+    rows = rows.select("*", F.explode(F.array(F.instr(F.lower("_text"), F.lower("phrase")))).alias("_at"))
+    at, size = F.col("_at"), F.length("phrase")
+    before = F.substring("_text", F.lit(1), at - 1)
+    start = F.length(before) - F.length(F.substring_index(before, ".", -1))
+    stop = F.instr(F.substring("_text", at + size, F.length("_text")), ".")
+    rows = rows.select("*", F.explode(F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("_x"))
+    first, stop = F.col("_x.start"), F.col("_x.stop")
+    end = F.when(stop > 0, at + size + stop - 1).otherwise(F.least(F.length("_text"), at - 1 + 260) + 1)
+    vetoed = lambda c: c.rlike(f"(?i){CONFIRMS}") | c.rlike(f"(?i){PREAMBLE}")
+    rows = rows.select("*", F.explode(F.filter(F.array(F.substring("_text", first + 1, F.least(end - first, F.lit(400)))), lambda c: ~vetoed(c))).alias("claim"))
+    words = F.regexp_extract_all(F.replace(F.lower("claim"), F.lower("phrase"), F.lit(" ")), F.lit(r"([a-z][a-z0-9_.-]{3,})"), F.lit(1))
+    terms = F.array_distinct(F.filter(words, lambda t: ~t.isin(*stop_words)))
+    ask = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.substring(F.coalesce("body", F.lit("")), 1, 300))
+    return rows.withColumn("claim_terms", terms).withColumn("query", ask).drop("_text", "_at", "_x")
 
 
 def supersessions(claimed: DataFrame, hits: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
-    """(doc_ord, by, score, share): older documents that a correction is about, the best correction of each.
+    """(corpus, doc_ord, name, by, score, days, share, passes, claim): older documents that corrections are about, the best correction of each.
 
-    claimed: claims() with query_id and ts; hits: (query_id, corpus, doc_ord, score, rank) of a search with the claims.
+    claimed: claims(); hits: (query_id, corpus, doc_ord, name, score, rank) of a search with their queries. Of each correction the *first* of its three best hits counts that is another document, scores
+    ``supersede_score`` or more and is older: a grouped minimum of ranks over the hits that are left. ``passes``: the target's text holds enough of the claim's terms, as substrings.
     """
-    near = hits.where((F.col("rank") <= 3) & (F.col("score") >= cfg.supersede_score))
-    rows = near.join(claimed.select("query_id", "name", "ts", "claim_terms"), "query_id").join(docs.select("corpus", "doc_ord", "modified", T.tokenize(F.col("body")).alias("_t")), ["corpus", "doc_ord"]).where("modified < ts")
-    held = F.size(F.array_intersect("claim_terms", "_t"))
-    rows = rows.withColumn("share", held / F.size("claim_terms")).where((held >= cfg.supersede_terms) & (F.col("share") >= cfg.supersede_share))
-    return rows.groupBy("corpus", "doc_ord").agg(F.max_by(F.struct(F.col("name").alias("by"), "score", "share"), F.struct("score", "share", "name")).alias("b")).select("corpus", "doc_ord", "b.*")
+    near = hits.where((F.col("rank") <= 3) & (F.col("score") >= cfg.supersede_score)).select("query_id", "corpus", "doc_ord", F.col("name").alias("target"), "score", "rank")
+    own = claimed.select("query_id", F.col("name").alias("by"), F.col("modified").alias("at"), "claim", "claim_terms")
+    rows = near.join(own, "query_id").where("target <> by").join(docs.select("corpus", "doc_ord", "modified"), ["corpus", "doc_ord"]).where("modified < at")
+    first = rows.groupBy("query_id").agg(F.min_by(F.struct("corpus", "doc_ord", "target", "score", "by", "claim", "claim_terms", (F.unix_millis("at") - F.unix_millis("modified")).alias("ms")), F.struct("rank", "corpus")).alias("x"))
+    best = first.groupBy("x.corpus", "x.doc_ord").agg(F.max_by("x", F.struct("x.score", -F.col("query_id"))).alias("x"))
+    said = best.join(docs.select("corpus", "doc_ord", F.lower(F.coalesce("body", F.lit(""))).alias("_body")), ["corpus", "doc_ord"])
+    held = F.size(F.filter("x.claim_terms", lambda t: F.contains(F.col("_body"), t)))
+    said = said.withColumn("held", held).withColumn("share", F.when(F.size("x.claim_terms") >= cfg.supersede_terms, F.col("held") / F.size("x.claim_terms")).otherwise(0.0))
+    passes = (F.col("held") >= cfg.supersede_terms) & (F.col("share") >= cfg.supersede_share)
+    return said.select("corpus", "doc_ord", F.col("x.target").alias("name"), "x.by", "x.score", (F.col("x.ms") / 86_400_000.0).alias("days"), "share", passes.alias("passes"), "x.claim")
 
 
 def consolidation_queue(docs: DataFrame, superseded: DataFrame, proposals: DataFrame) -> DataFrame:

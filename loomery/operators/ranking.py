@@ -5,6 +5,7 @@ R01-R05, R07, R08, J05-J07, F01, L01, L02, L06, W04, W05, A08, U02, U05.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -64,56 +65,69 @@ def archive_cap(rows: DataFrame, limit: int = CONFIG.limit, share: float = CONFI
     return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_held")
 
 
-def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scored candidates, term statistics) of each query and corpus.
+#: What a result shows of its document, beside its text.
+SHOWN = ["file", "name", "tier", "in_memory_index", "modified"]
 
-    filters (F01, over the columns of docs) choose candidates before the best max(rerank, limit) go on (L02). Bodies
-    join only what is left then. index: an index of docs, from whose files postings and the rows that are left are read.
 
-    semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
-    scaled by each query's best, and nothing is ever refused.
+def envelope(as_of: datetime, cfg: EngineConfig = CONFIG) -> Column:
+    """What a score is multiplied by for its document's tier and age."""
+    return S.tier_boost(F.col("tier"), F.col("in_memory_index"), cfg) * S.recency_factor(F.col("modified"), as_of, cfg)
+
+
+def candidates(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``base`` above 0, term statistics): the whole ranking of each query before its best go on.
+
+    In keyword mode without filters nothing but the score is known of a row: no other column of a document is read for it.
     """
     ready = prepared or (index.prepare(queries, cfg) if index is not None else keyword.prepare(queries, docs, cfg))
-    most = max(cfg.rerank, limit)
-    order = lambda c: Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round(c, 9)), "doc_ord")
-    fetch = lambda rows, columns: index.of(rows, columns) if index is not None else docs.select("corpus", "doc_ord", *columns)
     raw = keyword.bm25f(queries, docs, cfg, ready)
     stats = keyword.term_stats(queries, docs, cfg, ready)
     if semantic is None:
         top = Window.partitionBy("query_id", "corpus")
         found = raw.withColumn("keyword_score", F.col("raw") / F.max("raw").over(top)).withColumn("semantic_score", F.lit(0.0))
+        if filters is None:
+            return found.withColumn("base", F.col("keyword_score")).where("base > 0"), stats
     else:
         kw = raw.join(stats.select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).withColumn("keyword_score", S.absolute_keyword(F.col("raw"), F.col("ideal"), cfg)).where("keyword_score is not null").drop("ideal")
         sem = semantic.select("query_id", "corpus", "doc_ord", S.rescale_cosine(F.col("cos"), cfg).alias("semantic_score"))
         found = kw.join(sem, ["query_id", "corpus", "doc_ord"], "full_outer").fillna(0.0, ["keyword_score", "semantic_score", "raw"])
-    shown = ["file", "name", "tier", "in_memory_index", "modified"]
-    if semantic is None and filters is None:
-        # nothing but the keyword score decides who goes on, so of all others nothing is read
-        rows = found.withColumn("base", F.col("keyword_score")).where("base > 0").withColumn("_pass1", F.row_number().over(order("base"))).where(F.col("_pass1") <= most)
-        if index is not None:
-            rows = shared_rows(rows)
-        near = rows.join(fetch(rows, [*shown, "body"]), ["corpus", "doc_ord"])
-    else:
-        own = F.col("own_chunks") if "own_chunks" in docs.columns else F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
-        meta = docs.select("corpus", "doc_ord", *shown, own.alias("own_chunks"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
-        bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("n_chunks"))
-        rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).withColumn("base", F.col("keyword_score"))
-        if semantic is not None:
-            reference = reference_chunks(bulk.select("corpus", "n_chunks"))
-            rows = rows.join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus")
-            long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
-            rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
-        rows = rows.where("base > 0").withColumn("_pass1", F.row_number().over(order("base"))).where(F.col("_pass1") <= most)
-        if index is not None:
-            rows = shared_rows(rows)
-        near = rows.join(fetch(rows, ["body"]), ["corpus", "doc_ord"])
+    own = F.col("own_chunks") if "own_chunks" in docs.columns else F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
+    section = F.coalesce(F.col("is_section"), F.lit(False)) if "is_section" in docs.columns else F.lit(False)
+    meta = docs.select("corpus", "doc_ord", *SHOWN, own.alias("own_chunks"), section.alias("_section"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
+    rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).withColumn("base", F.col("keyword_score"))
+    if semantic is not None:
+        bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("parent_chunks"))
+        reference = reference_chunks(bulk.select("corpus", F.col("parent_chunks").alias("n_chunks")))
+        # A section weighs as much of its file's bulk as cfg.section_beta says
+        heavy = F.when(F.col("_section"), S.section_chunks(F.col("own_chunks"), F.col("parent_chunks"), cfg.section_beta)).otherwise(F.col("parent_chunks"))
+        rows = rows.join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus").withColumn("n_chunks", heavy)
+        long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
+        rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
+    return rows.drop("_section").where("base > 0"), stats
+
+
+def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored candidates, term statistics) of each query and corpus.
+
+    filters (F01, over the columns of docs) choose candidates before the best max(rerank, limit) go on (L02). Bodies
+    join only what is left then. index: an index of docs, from whose files postings and the rows that are left are read.
+
+    semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
+    scaled by each query's best, and nothing is ever refused.
+    """
+    rows, stats = candidates(queries, docs, semantic, cfg, filters, prepared, index)
+    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("base", 9)), "doc_ord")
+    rows = rows.withColumn("_pass1", F.row_number().over(order)).where(F.col("_pass1") <= max(cfg.rerank, limit))
+    left = ["body"] if "tier" in rows.columns else [*SHOWN, "body"]
+    if index is not None:
+        rows = shared.written(rows, "rows")
+    near = rows.join(index.of(rows, left) if index is not None else docs.select("corpus", "doc_ord", *left), ["corpus", "doc_ord"])
     wanted = queries.select("query_id", F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
     near = near.join(wanted, "query_id").withColumn("_win", phrase_window(F.col("body"), F.col("terms"))).drop("terms")
     near = near.withColumn("phrase_score", F.col("_win.phrase")).withColumn("snippet", snippet_around(F.col("body"), F.col("_win.first"), F.col("_win.stop"))).drop("_win")
     if semantic is not None:
         near = near.withColumn("base", F.col("base") + cfg.fuse_phrase * S.phrase_part(F.col("phrase_score"), cfg))
-    envelope = S.tier_boost(F.col("tier"), F.col("in_memory_index"), cfg) * S.recency_factor(F.col("modified"), as_of, cfg)
-    near = near.withColumn("score", F.col("base") * envelope).withColumn("provenance", S.provenance(F.col("keyword_score"), F.col("semantic_score"), F.col("phrase_score")))
+    near = near.withColumn("score", F.col("base") * envelope(as_of, cfg)).withColumn("provenance", S.provenance(F.col("keyword_score"), F.col("semantic_score"), F.col("phrase_score")))
     return near.drop("body", "_pass1"), stats
 
 
@@ -160,11 +174,6 @@ def verdict(best: DataFrame, cfg: EngineConfig = CONFIG, floors: DataFrame | Non
     return rows.withColumn("confidence", confidence).withColumn("read_this_first", F.coalesce(F.col("route").isNotNull() & high, F.lit(False)))
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """Rows that several reads start from, written once."""
-    return shared.written(rows, "rows")
-
-
 def search(queries: DataFrame, docs: DataFrame | None, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts): each corpus ranks by itself; refused queries give their three nearest as weak rows.
 
@@ -182,18 +191,62 @@ def search(queries: DataFrame, docs: DataFrame | None, as_of: datetime, semantic
     return rows.withColumn("score", F.round("score", 4)), judged
 
 
-def fuse_variants(rows: DataFrame, verdicts: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
-    """Results of other phrasings beside those of the first (variant 0), which never move.
+def clean_phrasings(queries: DataFrame, phrasings: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, variant, query): other phrasings of each question, numbered from 1 in their order (``pos``).
 
-    rows: (query_id, variant, corpus, doc_ord, score); verdicts: (query_id, variant, corpus, no_strong_match).
-    Refused phrasings add nothing; rows below the score floor neither; a document that the first phrasing
-    has is not added again. Gives the added documents with their best score and the phrasings that found them.
+    Blank ones, those that are the question itself or an earlier one but for letter case and marks, and those beyond ``most`` go.
     """
-    key = ["query_id", "corpus"]
-    good = rows.join(verdicts.where("not no_strong_match").select(*key, "variant"), [*key, "variant"], "left_semi")
-    first = rows.where("variant = 0").select(*key, "doc_ord")
-    extra = good.where((F.col("variant") > 0) & (F.col("score") >= cfg.absence_score)).join(first, [*key, "doc_ord"], "left_anti")
-    return extra.groupBy(*key, "doc_ord").agg(F.max("score").alias("query_score"), F.array_sort(F.collect_set("variant")).alias("matched_via"))
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    rows = phrasings.select("query_id", "pos", F.trim("query").alias("query")).withColumn("_norm", norm(F.col("query"))).where("_norm <> ''")
+    rows = rows.join(queries.select("query_id", norm(F.col("query")).alias("_own")), "query_id").where("_norm <> _own")
+    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy("query_id", "_norm").orderBy("pos"))).where("_again = 1")
+    return rows.withColumn("variant", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("variant") <= most).select("query_id", "variant", "query")
+
+
+@dataclass(frozen=True)
+class Phrased:
+    """rows: the question's own, with matched_via; via: what only other phrasings reached; runs: what became of each phrasing."""
+
+    rows: DataFrame
+    verdicts: DataFrame
+    via: DataFrame
+    runs: DataFrame
+
+
+def search_phrasings(queries: DataFrame, phrasings: DataFrame, docs: DataFrame | None, as_of: datetime, semantic: DataFrame | None = None, edges: DataFrame | None = None, floors: DataFrame | None = None, limit: int = CONFIG.limit, filters: Column | None = None, cfg: EngineConfig = CONFIG, index: Index | None = None) -> Phrased:
+    """A question and up to four other phrasings of it, ranked in one plan, with one verdict: the question's own.
+
+    The question's rows never move: a phrasing can say that it reached one of them, and can add rows of its own under ``via``. A refused phrasing adds nothing; of others
+    rows at or above the corpus's score floor count. A row of ``via`` has the best score that a phrasing gave it, the phrasings, what the question itself
+    gave it in its whole ranking (``query_score``, 0 if nothing), and whether it stands among a refused question's nearest.
+    semantic: (query_id, variant, corpus, doc_ord, cos), the question being variant 0.
+    """
+    run = F.struct("query_id", "variant")
+    every = queries.select("query_id", F.lit(0).alias("variant"), "query").unionByName(clean_phrasings(queries, phrasings)).select(run.alias("query_id"), "query")
+    sem = semantic.select(run.alias("query_id"), "corpus", "doc_ord", "cos") if semantic is not None else None
+    docs = index.documents() if docs is None and index is not None else docs
+    rows, verdicts = search(every, docs, as_of, sem, edges, floors, limit, filters, cfg, index)
+    out = [c for c in rows.columns if c != "query_id"]
+    rows = shared.written(rows.select("query_id.query_id", "query_id.variant", *out), "phrased")
+    verdicts = shared.written(verdicts.select("query_id.query_id", "query_id.variant", *[c for c in verdicts.columns if c != "query_id"]), "verdicts")
+    key, doc = ["query_id", "corpus"], ["query_id", "corpus", "doc_ord"]
+    tag = F.when(F.col("variant") == 0, "query").otherwise(F.format_string("queries[%d]", F.col("variant") - 1))
+    strong = rows.where("variant > 0 and not weak").join(verdicts.select(*key, "variant", F.col("score_floor").alias("_floor")), [*key, "variant"]).where("score >= _floor").drop("_floor")
+    own = rows.where("variant = 0")
+    said = lambda d: F.transform(F.array_sort(F.collect_set(F.struct("variant", tag.alias("tag")))), lambda x: x["tag"])
+    labels = own.where("not weak").select(*doc, "variant").unionByName(strong.select(*doc, "variant")).groupBy(*doc).agg(said(None).alias("matched_via"))
+    answered = own.join(labels, doc, "left").withColumn("matched_via", F.when(~F.col("weak"), F.col("matched_via"))).drop("variant")
+    extra = strong.join(own.where("not weak").select(*doc), doc, "left_anti")
+    best = extra.groupBy(*doc).agg(F.max_by(F.struct("name", "file", "score", "snippet"), F.struct("score", -F.col("variant"))).alias("x"), said(None).alias("matched_via"))
+    whole = candidates(queries, docs, semantic.where("variant = 0").drop("variant") if semantic is not None else None, filters=filters, cfg=cfg, index=index)[0]
+    mine = best.select(*doc).join(whole.select(*doc, "base"), doc)
+    meta = index.of(best, ["tier", "in_memory_index", "modified"]) if index is not None else docs.select("corpus", "doc_ord", "tier", "in_memory_index", "modified")
+    mine = mine.join(meta, ["corpus", "doc_ord"]).select(*doc, F.round(F.col("base") * envelope(as_of, cfg), 4).alias("_plain"))
+    reranked = own.select(*doc, F.col("score").alias("_ranked"), F.col("weak").alias("_weak"))
+    via = best.join(mine, doc, "left").join(reranked, doc, "left").select(*doc, "x.*", "matched_via", F.coalesce("_ranked", "_plain", F.lit(0.0)).alias("query_score"), F.coalesce("_weak", F.lit(False)).alias("also_best_weak"))
+    counts = strong.groupBy(*key, "variant").agg(F.count(F.lit(1)).alias("strong_rows"))
+    runs = verdicts.where("variant > 0").join(counts, [*key, "variant"], "left").select(*key, "variant", "no_strong_match", "confidence", F.round("top_score", 4).alias("top_score"), F.coalesce("strong_rows", F.lit(0)).alias("strong_rows"))
+    return Phrased(answered, verdicts.where("variant = 0").drop("variant"), via, runs)
 
 
 #: Words that name no topic: paths, files, hashes, versions, mixed letters and digits. Fixed values.

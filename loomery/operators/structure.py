@@ -40,29 +40,53 @@ def split_sections(docs: DataFrame, min_chars: int = CONFIG.section_min_chars, k
     return parts.where(F.length("text") >= min_chars).select(key, (F.col("ix") - 1).cast("int").alias("ix"), T.squeeze(F.regexp_replace("heading", r"^##[ \t]+", "")).alias("heading"), "first", "stop", "text")
 
 
+#: How an author marks a section as stale. Fixed value.
+STALE_MARK = "(?i)\u26a0\ufe0f[\\x20\\x09-\\x0D]*STALE|STALE,[\\x20\\x09-\\x0D]*do not trust"
+#: Sections of a document that keep their numbers apart from the next document's.
+SECTION_ROOM = 1 << 20
+
+
 def section_docs(docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
     """Long documents with enough sections become a stub and a document a section.
 
-    Section names are parent#slug, repeated slugs numbered from 2; of sections that carry a version
-    number the newest keep their tier, older ones and those marked STALE go to the archive.
+    A section keeps its parent's columns but for those that say what it is: name parent#slug (repeated slugs numbered from 2), description,
+    headings (its own), hash (of name, heading and text), size, links and backlinks (none), body. Of sections that carry a version
+    number the newest keep their tier; older ones and those that their author marked stale go to the archive. The stub has the parent's description (or
+    name) and the number of sections for a body, and of its headings those that no section has, four at most. So that every row has a number of
+    its own, doc_ord becomes doc_ord * SECTION_ROOM, and a section's follows its parent's; a document has fewer sections than that.
     """
-    able = docs.where((F.length("body") >= cfg.section_min_doc) & (F.coalesce("type", F.lit("")) != "exchange") & (F.col("name") != "MEMORY"))
+    own = ["doc_ord", "name", "description", "tier", "headings", "hash", "size", "links", "backlinks", "body", "parent_name", "heading", "char_range", "is_section", "is_section_parent", "section_count"]
+    kind = F.coalesce(F.col("type"), F.lit("")) if "type" in docs.columns else F.lit("")
+    heads = F.col("headings") if "headings" in docs.columns else T.headings(F.col("body"))
+    docs = docs.withColumn("headings", heads)
+    able = docs.where((F.length("body") >= cfg.section_min_doc) & (kind != "exchange") & (F.col("name") != "MEMORY"))
     found = split_sections(able, cfg.section_min_chars)
-    enough = found.groupBy("doc_ord").agg(F.count(F.lit(1)).alias("section_count")).where(F.col("section_count") >= cfg.section_min_count)
-    found = found.join(enough, "doc_ord").withColumn("slug", T.slug(F.col("heading")))
+    enough = found.groupBy("doc_ord").agg(F.count(F.lit(1)).alias("section_count"), F.collect_set("heading").alias("_heads")).where(F.col("section_count") >= cfg.section_min_count)
+    found = found.join(enough.select("doc_ord"), "doc_ord").withColumn("slug", T.slug(F.col("heading")))
     again = F.row_number().over(Window.partitionBy("doc_ord", "slug").orderBy("ix"))
     version = T.version_token(F.col("heading"))
     newest = F.row_number().over(Window.partitionBy("doc_ord", F.col("version").isNotNull()).orderBy(F.desc("version"), "ix"))
     found = found.withColumn("again", again).withColumn("version", version).withColumn("newest", newest)
-    stale = F.col("heading").contains("STALE") | (F.col("version").isNotNull() & (F.col("newest") > cfg.section_keep))
+    stale = F.col("heading").rlike(STALE_MARK) | (F.col("version").isNotNull() & (F.col("newest") > cfg.section_keep))
+    rest = [c for c in docs.columns if c not in own]
+    none, text = F.array().cast("array<string>"), lambda v, t: F.lit(v).cast(t)
+    also = {c: none for c in ("links", "backlinks") if c in docs.columns}
     children = found.join(docs.drop("body"), "doc_ord").select(
-        "doc_ord", "corpus", "file", F.concat("name", F.lit("#"), "slug", F.when(F.col("again") > 1, F.concat(F.lit("-"), F.col("again"))).otherwise("")).alias("name"),
-        F.concat("name", F.lit(" — "), "heading").alias("description"), F.when(stale, "archive").otherwise(F.col("tier")).alias("tier"),
-        F.col("name").alias("parent_name"), "heading", F.array("first", "stop").alias("char_range"), F.lit(True).alias("is_section"), F.lit(False).alias("is_section_parent"), F.lit(None).cast("int").alias("section_count"), F.col("text").alias("body"),
+        (F.col("doc_ord") * SECTION_ROOM + F.col("ix") + 1).alias("doc_ord"), *rest,
+        F.concat("name", F.lit("#"), "slug", F.when(F.col("again") > 1, F.concat(F.lit("-"), F.col("again"))).otherwise("")).alias("name"),
+        F.concat("name", F.lit(" — "), "heading").alias("description"), F.when(stale, "archive").otherwise(F.col("tier")).alias("tier"), F.array("heading").alias("headings"),
+        F.sha2(F.concat("name", F.lit("#"), "heading", F.lit("\n"), "text"), 256).alias("hash"), F.length("text").cast("long").alias("size"), *[v.alias(c) for c, v in also.items()],
+        F.col("name").alias("parent_name"), "heading", F.array("first", "stop").alias("char_range"), F.lit(True).alias("is_section"), F.lit(False).alias("is_section_parent"), text(None, "int").alias("section_count"), F.col("text").alias("body"),
     )
+    said = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name"))
+    stub = F.concat(said, F.lit("\n\n("), F.col("section_count").cast("string"), F.lit(" sections, indexed individually.)"))
+    split = F.col("section_count").isNotNull()
+    kept = F.slice(F.filter("headings", lambda h: ~F.exists("_heads", lambda x: F.contains(h, x))), 1, 4)
+    old = lambda c, t: (F.col(c) if c in docs.columns else text(None, t)).alias(c)
     parents = docs.join(enough, "doc_ord", "left").select(
-        "doc_ord", "corpus", "file", "name", "description", "tier", F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("array<int>").alias("char_range"),
-        F.lit(False).alias("is_section"), F.col("section_count").isNotNull().alias("is_section_parent"), F.col("section_count").cast("int").alias("section_count"), F.when(F.col("section_count").isNull(), F.col("body")).otherwise(F.col("description")).alias("body"),
+        (F.col("doc_ord") * SECTION_ROOM).alias("doc_ord"), *rest, "name", "description", "tier", F.when(split, kept).otherwise(F.col("headings")).alias("headings"), old("hash", "string"), old("size", "long"), *also,
+        text(None, "string").alias("parent_name"), text(None, "string").alias("heading"), text(None, "array<int>").alias("char_range"),
+        F.lit(False).alias("is_section"), split.alias("is_section_parent"), F.col("section_count").cast("int").alias("section_count"), F.when(split, stub).otherwise(F.col("body")).alias("body"),
     )
     return parents.unionByName(children)
 

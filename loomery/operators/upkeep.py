@@ -85,29 +85,56 @@ def big_documents(docs: DataFrame, share: float = 0.25, least: int = 200) -> Dat
     return docs.withColumn("total", total).where((F.col("total") >= least) & (F.col("n_chunks") >= share * F.col("total")))
 
 
-def failure_streak(runs: DataFrame, breaks: tuple[str, ...] = ("success",), key: str | None = None) -> DataFrame:
-    """How many runs since the last that ended well, newest first, and since when; ``lower_bound`` if none did.
+#: What outcomes say of a run. Fixed values.
+ENDED_WELL = ("captured", "reconciled", "no-op")
+ENDED = (*ENDED_WELL, "skipped", "failed")
+UNFINISHED = ("started", "exited")
+REPAIRS = ("crash-recovered", "reconciled", "captured")
+COMPARED = ("agrees", "reconciled")
 
-    The newest good run is a grouped maximum and the streak a count of what is later: nothing is sorted whole.
+
+def _run_columns(runs: DataFrame) -> DataFrame:
+    """runs with trigger and reconcile, null where the log has none."""
+    for c in ("trigger", "reconcile"):
+        if c not in runs.columns:
+            runs = runs.withColumn(c, F.lit(None).cast("string"))
+    return runs.withColumn("_walker", F.coalesce(F.col("trigger") == "walker", F.lit(False))).withColumn("_audit", F.coalesce(F.col("trigger") == "audit", F.lit(False)))
+
+
+def failure_streak(runs: DataFrame, key: str | None = None) -> DataFrame:
+    """How many runs failed since the last that ended well, when the first and the last of them did, and ``lower_bound``: no run ended well before.
+
+    A walk counts by its verdict once it is finished: a failed reconcile is a failure, one that compared ends well. Audits, skipped runs and
+    whatever else says nothing of the index are passed over. The newest good run is a grouped maximum and the streak a count of
+    failures that are later: nothing is sorted whole.
     """
     keys = [key] if key else []
-    good = F.col("outcome").isin(*breaks)
-    last = runs.where(good).groupBy(*keys).agg(F.max(F.struct("at", "seq")).alias("_last"))
-    if keys:
-        rows = runs.join(last, keys, "left")
-    else:
-        rows = runs.join(F.broadcast(last))  # one row
-    later = F.col("_last").isNull() | (F.struct("at", "seq") > F.col("_last"))
-    return rows.groupBy(*keys).agg(F.count(F.when(later, 1)).alias("streak"), F.min(F.when(later, F.col("at"))).alias("since"), F.max("_last").isNull().alias("lower_bound"))
+    rows = _run_columns(runs)
+    done = F.col("_walker") & (F.col("outcome") == "finished")
+    good = F.coalesce(F.when(F.col("_walker"), done & F.col("reconcile").isin(*COMPARED)).when(F.col("_audit"), False).otherwise(F.col("outcome").isin(*ENDED_WELL)), F.lit(False))
+    bad = F.coalesce(F.when(F.col("_walker"), done & (F.col("reconcile") == "failed")).when(F.col("_audit"), False).otherwise(F.col("outcome") == "failed"), F.lit(False))
+    last = rows.where(good).groupBy(*keys).agg(F.max(F.struct("at", "seq")).alias("_last"))
+    rows = rows.join(last, keys, "left") if keys else rows.join(F.broadcast(last))  # one row
+    later = bad & (F.col("_last").isNull() | (F.struct("at", "seq") > F.col("_last")))
+    count = F.count(F.when(later, 1))
+    return rows.groupBy(*keys).agg(count.alias("streak"), F.min(F.when(later, F.col("at"))).alias("since"), F.max(F.when(later, F.col("at"))).alias("last_at"), (F.max("_last").isNull() & (count > 0)).alias("lower_bound"))
 
 
 def crashed_runs(runs: DataFrame, alive: DataFrame, as_of: Column, minutes: int = 10) -> DataFrame:
-    """Last rows of processes that did not finish, are dead, are older than ``minutes`` and were not repaired later."""
+    """Last rows of processes that did not finish, are dead, are older than ``minutes`` and were not repaired later.
+
+    Any later run that repairs, of whatever process or session, closes a crash, and so does a finished walk that compared store and index. Rows of
+    walks and audits are nobody's last rows: neither writes to the store.
+    """
+    rows = _run_columns(runs)
+    own = rows.where(~F.col("_walker") & ~F.col("_audit") & F.col("pid").isNotNull())
     w = Window.partitionBy("pid").orderBy(F.desc("at"), F.desc("seq"))
-    last = runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    dead = last.where(F.col("outcome") == "started").where(F.col("at") < as_of - F.expr(f"interval {minutes} minutes")).join(alive.select("pid"), "pid", "left_anti")
-    repaired = runs.where("outcome = 'success'").groupBy("session").agg(F.max("at").alias("_ok"))
-    return dead.join(repaired, "session", "left").where("_ok is null or _ok <= at").drop("_ok")
+    last = own.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    dead = last.where(F.col("outcome").isin(*UNFINISHED)).where(F.col("at") <= as_of - F.expr(f"interval {minutes} minutes")).join(alive.select("pid"), "pid", "left_anti")
+    walked = F.col("_walker") & (F.col("outcome") == "finished") & F.col("reconcile").isin(*COMPARED)
+    repair = F.coalesce(F.when(F.col("_walker"), walked).when(F.col("_audit"), False).otherwise(F.col("outcome").isin(*REPAIRS)), F.lit(False))
+    repaired = rows.where(repair).agg(F.max(F.struct("at", "seq")).alias("_ok"))  # one row
+    return dead.join(F.broadcast(repaired)).where("_ok is null or struct(at, seq) > _ok").drop("_ok", "_walker", "_audit")
 
 
 def uncaptured(transcripts: DataFrame, stamps: DataFrame) -> DataFrame:

@@ -72,21 +72,38 @@ def vanished(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.vanished(d, d.where("doc_ord % 7 <> 0")).select("name")
 
 
-@query("""WITH l AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = 'purchase') AS last FROM events GROUP BY 1)
-SELECT e.user_id, count(*) FILTER (last IS NULL OR (ts, event_id) > last) AS streak, any_value(last) IS NULL AS lower_bound FROM events e JOIN l USING (user_id) GROUP BY 1""")
+#: Events as a run log: purchases are captures (every seventh a walk that agreed), errors failures, views starts, others skipped or of audits.
+_RUNS = """r AS (SELECT user_id AS pid, event_id AS seq, ts AS tm, user_id % 3 AS session,
+ CASE WHEN event_id % 7 = 0 THEN 'walker' WHEN event_id % 11 = 0 THEN 'audit' END AS trigger,
+ CASE WHEN event_id % 7 = 0 AND event_type = 'purchase' THEN 'agrees' WHEN event_id % 7 = 0 AND event_type = 'error' THEN 'failed' END AS reconcile,
+ CASE WHEN event_id % 7 = 0 THEN 'finished' WHEN event_type = 'purchase' THEN 'captured' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'started' ELSE 'skipped' END AS outcome FROM events)"""
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    walk = k % 7 == 0
+    outcome = F.when(walk, "finished").when(kind == "purchase", "captured").when(kind == "error", "failed").when(kind == "view", "started").otherwise("skipped")
+    reconcile = F.when(walk & (kind == "purchase"), "agrees").when(walk & (kind == "error"), "failed")
+    return A.table(spark, sf, "events").select(F.col("user_id").alias("pid"), k.alias("seq"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 3).alias("session"), F.when(walk, "walker").when(k % 11 == 0, "audit").alias("trigger"), reconcile.alias("reconcile"), outcome.alias("outcome"))
+
+
+@query(f"""WITH {_RUNS}, v AS (SELECT *, CASE WHEN trigger = 'walker' THEN CASE reconcile WHEN 'agrees' THEN 1 WHEN 'failed' THEN -1 ELSE 0 END WHEN trigger = 'audit' THEN 0 WHEN outcome = 'captured' THEN 1 WHEN outcome = 'failed' THEN -1 ELSE 0 END AS v FROM r),
+o AS (SELECT *, sum((v = 1)::INT) OVER (PARTITION BY pid ORDER BY tm DESC, seq DESC) AS good FROM v)
+SELECT pid AS user_id, count(*) FILTER (v = -1 AND good = 0) AS streak, epoch_us(min(tm) FILTER (v = -1 AND good = 0)) // 1000 AS since_ms, count(*) FILTER (v = 1) = 0 AND count(*) FILTER (v = -1) > 0 AS lower_bound FROM o GROUP BY pid""")
 def failure_streak(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of each user since the last purchase."""
-    e = A.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "success").otherwise("failed").alias("outcome"))
-    return upkeep.failure_streak(e, key="user_id").select("user_id", "streak", "lower_bound")
+    """Failures of each process since the last run that ended well; skipped runs and audits are passed over."""
+    return upkeep.failure_streak(_runs(spark, sf), key="pid").select(F.col("pid").alias("user_id"), "streak", F.unix_millis("since").alias("since_ms"), "lower_bound")
 
 
-@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
-SELECT user_id, event_id FROM l WHERE n = 1 AND event_type = 'view' AND ts < TIMESTAMP '2024-01-30' AND user_id % 5 <> 0""")
+@query(f"""WITH {_RUNS}, early AS (SELECT * FROM r WHERE NOT (tm >= TIMESTAMP '2024-01-20' AND (outcome = 'captured' OR coalesce(reconcile, '') = 'agrees'))),
+l AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tm DESC, seq DESC) AS n FROM early WHERE trigger IS NULL),
+ok AS (SELECT max((tm, seq)) AS ok FROM early WHERE reconcile = 'agrees' OR (trigger IS NULL AND outcome = 'captured'))
+SELECT pid AS user_id, seq AS event_id FROM l, ok WHERE n = 1 AND outcome = 'started' AND tm <= TIMESTAMP '2024-01-30' AND pid % 5 <> 0 AND (tm, seq) > ok""")
 def crashed_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Last events that are views, users standing for processes; every fifth is alive."""
-    e = A.table(spark, sf, "events").select(F.col("user_id").alias("pid"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "view", "started").otherwise("ended").alias("outcome"), F.col("user_id").alias("session"))
-    alive = e.where("pid % 5 = 0").select("pid").distinct()
-    return upkeep.crashed_runs(e, alive, F.lit(datetime(2024, 1, 30, 0, 10))).select(F.col("pid").alias("user_id"), F.col("seq").alias("event_id"))
+    """Starts that nothing followed and no later run repaired, of whatever session; every fifth process is alive."""
+    rows = _runs(spark, sf).where(~((F.col("at") >= F.lit(datetime(2024, 1, 20))) & ((F.col("outcome") == "captured") | F.coalesce(F.col("reconcile") == "agrees", F.lit(False)))))
+    alive = rows.where("pid % 5 = 0").select("pid").distinct()
+    return upkeep.crashed_runs(rows, alive, F.lit(datetime(2024, 1, 30, 0, 10))).select(F.col("pid").alias("user_id"), F.col("seq").alias("event_id"))
 
 
 @query("SELECT user_id::VARCHAR AS caller, count(*) AS calls, bool_and(event_type = 'error') AS missed FROM events GROUP BY 1")

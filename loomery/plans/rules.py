@@ -59,13 +59,6 @@ def read_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return curate.read_task(asks, d)
 
 
-@query("SELECT doc_id AS doc_ord, 'I misread figure ' || doc_id || ' of it.' AS claim FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'Scratch that!' FROM documents WHERE doc_id % 3 = 1")
-def withdrawn_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies that withdraw a claim, by rule; those that only disagree do not."""
-    reply = "CASE doc_id % 3 WHEN 0 THEN concat('All is well. I misread figure ', doc_id, ' of it. Go on.') WHEN 1 THEN 'Hm. Scratch that! Instead of it, go.' ELSE 'Actually, in fact, your token is wrong.' END"
-    return curate.claims(_docs(spark, sf, reply=reply)).select("doc_ord", "claim")
-
-
 _AGE = "coalesce(text, '') || chr(10) || 'build v' || (10 + doc_id % 90) || ' has ' || doc_id || ' files' || chr(10) || 'fixed on 2024-0' || (1 + doc_id % 9) || chr(10) || 'listens on port 8080'"
 _KINDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(body, '{p}')[1:8]) AS line FROM b" for k, p in curate.CURRENCY_MARKS)
 
@@ -109,16 +102,21 @@ def _long(t: str, g: str = "") -> str:
     return _PLAIN.format(t=t, g=g)
 
 
+_HEADS = ("Alpha v1", "Beta STALE, do not trust", "Alpha v1", "Gamma STALEMATE")
+
+
 @query(f"""WITH b AS (SELECT doc_id, {_long('text', ", 'g'")} AS t FROM documents), e AS (SELECT * FROM b WHERE length(t) >= 300)
-SELECT 'doc-' || doc_id || '#alpha-v1' AS name, 'doc-' || doc_id AS parent_name, 'hot' AS tier, md5('## Alpha v1' || chr(10) || t) AS body FROM e
-UNION ALL SELECT 'doc-' || doc_id || '#alpha-v1-2', 'doc-' || doc_id, 'hot', md5('## Alpha v1' || chr(10) || t) FROM e
-UNION ALL SELECT 'doc-' || doc_id || '#beta-stale', 'doc-' || doc_id, 'archive', md5('## Beta STALE' || chr(10) || t) FROM e
-UNION ALL SELECT 'doc-' || doc_id, NULL, 'hot', md5(CASE WHEN length(t) >= 300 THEN '' ELSE '## Alpha v1' || chr(10) || t || chr(10) || '## Beta STALE' || chr(10) || t || chr(10) || '## Alpha v1' || chr(10) || t END) FROM b""")
+SELECT 'doc-' || doc_id || '#alpha-v1' AS name, 'doc-' || doc_id AS parent_name, 'hot' AS tier, 'note' AS type, 'Alpha v1' AS headings, sha256('doc-' || doc_id || '#Alpha v1' || chr(10) || '## Alpha v1' || chr(10) || t) AS hash, length(t) + 12 AS size, md5('## Alpha v1' || chr(10) || t) AS body FROM e
+UNION ALL SELECT 'doc-' || doc_id || '#alpha-v1-2', 'doc-' || doc_id, 'hot', 'note', 'Alpha v1', sha256('doc-' || doc_id || '#Alpha v1' || chr(10) || '## Alpha v1' || chr(10) || t), length(t) + 12, md5('## Alpha v1' || chr(10) || t) FROM e
+UNION ALL SELECT 'doc-' || doc_id || '#beta-stale-do-not-trust', 'doc-' || doc_id, 'archive', 'note', 'Beta STALE, do not trust', sha256('doc-' || doc_id || '#Beta STALE, do not trust' || chr(10) || '## Beta STALE, do not trust' || chr(10) || t), length(t) + 28, md5('## Beta STALE, do not trust' || chr(10) || t) FROM e
+UNION ALL SELECT 'doc-' || doc_id || '#gamma-stalemate', 'doc-' || doc_id, 'hot', 'note', 'Gamma STALEMATE', sha256('doc-' || doc_id || '#Gamma STALEMATE' || chr(10) || '## Gamma STALEMATE' || chr(10) || t), length(t) + 19, md5('## Gamma STALEMATE' || chr(10) || t) FROM e
+UNION ALL SELECT 'doc-' || doc_id, NULL, 'hot', 'note', CASE WHEN length(t) >= 300 THEN '' ELSE '{", ".join(_HEADS).replace("STALE, do", "STALE; do").replace("; do", ", do")}' END, NULL, NULL, md5(CASE WHEN length(t) >= 300 THEN 'doc-' || doc_id || chr(10) || chr(10) || '(4 sections, indexed individually.)' ELSE {" || chr(10) || ".join(f"'## {h}' || chr(10) || t" for h in _HEADS)} END) FROM b""")
 def section_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text three times as sections; parents keep their bodies where sections are too short."""
+    """Every text four times as sections; parents keep their bodies where sections are too short."""
     t = _long("text")
-    body = f"concat('## Alpha v1\\n', {t}, '\\n## Beta STALE\\n', {t}, '\\n## Alpha v1\\n', {t})"
-    return structure.section_docs(_docs(spark, sf, body=body), replace(CONFIG, section_min_doc=0, section_min_chars=312)).where("not is_section or length(body) >= 312").select("name", "parent_name", "tier", F.md5("body").alias("body"))
+    body = "concat(" + ", '\\n', ".join(f"'## {h}\\n', {t}" for h in _HEADS) + ")"
+    rows = structure.section_docs(_docs(spark, sf, body=body), replace(CONFIG, section_min_doc=0, section_min_chars=312))
+    return rows.select("name", "parent_name", "tier", "type", F.array_join("headings", ", ").alias("headings"), "hash", "size", F.md5("body").alias("body"))
 
 
 @query(f"WITH b AS (SELECT doc_id, {_long('text', ", 'g'")} AS t FROM documents) SELECT doc_id AS doc_ord, 'Beta two' AS heading, (length(t) + 9)::INT AS start FROM b")

@@ -9,14 +9,15 @@ capture gives the same rows, and the sink is an upsert.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomery.config import CONFIG
 from loomery.operators.capture import is_machine
+from loomery.sources.buckets import BucketTable
 
 FINAL = ("end_turn", "stop_sequence")
 OUT = "session_id string, name string, ask string, reply string, ts timestamp, end_ts timestamp, turns int, in_flight boolean"
@@ -32,7 +33,7 @@ def _name(session: str, ts) -> str:
     return f"x-{session[:8]}-{pd.Timestamp(ts).strftime('%Y%m%dT%H%M%S')}{pd.Timestamp(ts).microsecond // 1000:03d}Z"
 
 
-def assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, event_time: bool = False) -> Iterator[pd.DataFrame]:
     """ST3, ST4: folds a session's new turns into exchanges; gives closed ones and the open one."""
     session = key[0]
     open_ = list(state.get) if state.exists else None
@@ -61,42 +62,47 @@ def assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if open_ is not None:
             out.append(row(open_, open_[5] not in FINAL))
             state.update(tuple(open_))
-            state.setTimeoutDuration(CONFIG.quiet_minutes * 60_000)
+            if event_time:
+                quiet = pd.Timestamp(open_[3]).value // 1_000_000 + CONFIG.quiet_minutes * 60_000
+                state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.setTimeoutDuration(CONFIG.quiet_minutes * 60_000)
     yield pd.DataFrame(out, columns=["session_id", "name", "ask", "reply", "ts", "end_ts", "turns", "in_flight"])
 
 
-def exchanges_stream(turns: DataFrame) -> DataFrame:
-    """ST3: exchanges of a stream of turns, open ones as in flight."""
+def exchanges_stream(turns: DataFrame, event_time: bool = False) -> DataFrame:
+    """ST3: exchanges of a stream of turns, open ones as in flight.
+
+    ``event_time``: an exchange is quiet by the times of the turns, once a turn of any session is ten minutes past it (and the watermark's delay of
+    as much); else by the clock of the machine.
+    """
     human = (F.col("role") == "user") & ~is_machine(F.col("text"))
-    return turns.withColumn("human", human).groupBy("session_id").applyInPandasWithState(assemble, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = turns.withColumn("human", human)
+    if event_time:
+        rows = rows.withWatermark("ts", f"{CONFIG.quiet_minutes} minutes")
+    timers = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(partial(assemble, event_time=event_time), OUT, STATE, "update", timers)
 
 
-def upsert_sink(path: str):
-    """ST4, ST6: a foreachBatch function that replaces rows by name in a table of two alternating folders."""
+def upsert_sink(path: str, buckets: int = 64):
+    """ST4, ST6: a foreachBatch function that replaces rows by name; only buckets that a batch touches are written anew."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        last = batch.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("turns"), "in_flight"))).where("_n = 1").drop("_n")
-        mark = Path(path) / "current"
-        now = mark.read_text() if mark.exists() else ""
-        after = "b" if now == "a" else "a"
-        merged = last if not now else spark.read.parquet(f"{path}/{now}").join(last.select("name"), "name", "left_anti").unionByName(last)
-        merged.write.mode("overwrite").parquet(f"{path}/{after}")
-        Path(path).mkdir(parents=True, exist_ok=True)
-        temp = mark.with_suffix(".tmp")
-        temp.write_text(after)
-        temp.replace(mark)
+        # a batch that is replayed replaces its own rows by equal ones; numbers of batches begin anew with a new checkpoint, so they decide nothing
+        BucketTable(batch.sparkSession, path, "name", buckets).upsert(batch, [F.desc("turns"), F.col("in_flight")])
 
     return write
 
 
 def captured(spark: SparkSession, path: str, since=None) -> DataFrame:
     """The table of the sink; ST5: only what was active after ``since``."""
-    rows = spark.read.parquet(f"{path}/{(Path(path) / 'current').read_text()}")
+    rows = BucketTable(spark, path, "name").read()
+    if rows is None:
+        rows = spark.createDataFrame([], OUT)
     return rows if since is None else rows.where(F.col("end_ts") >= F.lit(since))
 
 
-def start(turns: DataFrame, path: str, checkpoint: str, once: bool = True):
+def start(turns: DataFrame, path: str, checkpoint: str, once: bool = True, event_time: bool = False):
     """ST2: runs the capture, once over what is there or every five minutes."""
-    w = exchanges_stream(turns).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_sink(path))
+    w = exchanges_stream(turns, event_time).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_sink(path))
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 minutes")).start()
