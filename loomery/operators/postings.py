@@ -32,7 +32,7 @@ from . import keyword, upkeep
 
 FIELDS = ("name", "description", "headings", "facts", "body")
 #: What makes indexes of different code incompatible: such an index is built anew.
-FORMAT = 1
+FORMAT = 2
 #: Most terms or ids that are written into a scan as literals, and most dead files that are broadcast.
 LITERALS, BROADCAST_FILES = 256, 200_000
 
@@ -79,7 +79,7 @@ class Index:
         parts = None
         for k, s in enumerate(self.segments):
             # each segment is a folder of its own: what others hold is not even listed
-            one = self.spark.read.parquet(f"{self.path}/{table}/segment={s}").withColumn("seq", F.lit(k))
+            one = self.spark.read.schema(self.manifest["schemas"][f"{s}/{table}"]).parquet(f"{self.path}/{table}/segment={s}").withColumn("seq", F.lit(k))
             parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
         return parts if self.corpora is None else parts.where(F.col("corpus").isin(*self.corpora))
 
@@ -157,10 +157,11 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.groupBy("corpus", "file").agg(F.sum(F.xxhash64("doc_ord", "content").cast("decimal(38,0)")).alias("digest"))
 
 
-def _write(rows: DataFrame, path: str, table: str, segment: str, parts: int, order: list[str], ranged: bool = False) -> None:
+def _write(rows: DataFrame, path: str, table: str, segment: str, parts: int, order: list[str], ranged: bool = False) -> str:
     """A segment's rows of a table, partitioned by ``part`` and sorted in it.
 
-    ``ranged``: tasks take ranges of (part, order), so a value with very many rows is cut; else hashes of the first of order spread a part.
+    ``ranged``: tasks take ranges of (part, order), so a value with very many rows is cut; else hashes of the first of order spread a part. Gives the schema, which a
+    table without rows would not tell a reader.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts and ranged:
@@ -169,25 +170,30 @@ def _write(rows: DataFrame, path: str, table: str, segment: str, parts: int, ord
         rows = rows.repartition(n, "part", _part(-(-n // parts), order[0])).sortWithinPartitions("part", *order)
     w = rows.write.mode("errorifexists").option("compression", "zstd")
     (w.partitionBy("part") if parts else w).parquet(f"{path}/{table}/segment={segment}")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
 def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | None, previous: Index | None, layout: Layout, segments: list[str], note: dict) -> Index:
     """Writes one segment and the manifest that makes it count. fresh: whole documents; gone: (corpus, file)."""
     segment = uuid.uuid4().hex
+    kept = {k: v for k, v in (previous.manifest["schemas"] if previous is not None else {}).items() if k.split("/")[0] in segments}
+
+    def write(rows: DataFrame, table: str, parts: int, order: list[str], ranged: bool = False) -> DataFrame:
+        kept[f"{segment}/{table}"] = _write(rows, path, table, segment, parts, order, ranged)
+        return spark.read.schema(rows.schema).parquet(f"{path}/{table}/segment={segment}")
+
     counts = {f: F.size(f"in_{f}") for f in FIELDS}
     # the document itself travels beside its tokens, so both come of one pass over the input
     own = fresh.withColumn("content", _content(fresh)).withColumn("own_chunks", F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(CONFIG.chunk_cap)))
     tokens = keyword.field_tokens(own, ["content"])
     sized = tokens.select("corpus", "doc_ord", "file", "content", *[f"in_{f}" for f in FIELDS], *[n.alias(f"n_{f}") for f, n in counts.items()], _part(layout.file_parts, "corpus", "file").alias("part"))
-    _write(sized, path, "tokens", segment, layout.file_parts, ["file", "doc_ord"])
-    sized = spark.read.schema(sized.schema).parquet(f"{path}/tokens/segment={segment}")
-    _write(own.withColumn("part", _part(layout.doc_parts, "corpus", "doc_ord")), path, "documents", segment, layout.doc_parts, ["doc_ord"])
+    sized = write(sized, "tokens", layout.file_parts, ["file", "doc_ord"])
+    write(own.withColumn("part", _part(layout.doc_parts, "corpus", "doc_ord")), "documents", layout.doc_parts, ["doc_ord"])
     of = lambda k: lambda t: F.struct(t.alias("term"), F.lit(k).alias("f"))
     tagged = F.concat(*[F.transform(F.col(f"in_{f}"), of(k)) for k, f in enumerate(FIELDS)])
     lens = [f"n_{f}" for f in FIELDS]
     each = sized.select("corpus", "doc_ord", "file", *lens, F.explode(tagged).alias("x")).groupBy("corpus", "doc_ord", "file", *lens, "x.term").agg(*[F.count(F.when(F.col("x.f") == k, 1)).cast("int").alias(f"tf_{f}") for k, f in enumerate(FIELDS)])
-    _write(each.withColumn("part", _part(layout.term_parts, "term")), path, "postings", segment, layout.term_parts, ["term", "doc_ord"], ranged=True)
-    posts = spark.read.parquet(f"{path}/postings/segment={segment}")
+    posts = write(each.withColumn("part", _part(layout.term_parts, "term")), "postings", layout.term_parts, ["term", "doc_ord"], ranged=True)
     plus = posts.groupBy("corpus", "term").agg(F.countDistinct("file").alias("df"))
     total = lambda d, sign: d.groupBy("corpus").agg((sign * F.countDistinct("file")).alias("files"), (sign * F.count(F.lit(1))).alias("docs"), *[(sign * F.sum(c)).alias(c) for c in lens])
     stats = total(sized, 1)
@@ -200,12 +206,12 @@ def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | Non
         plus, stats = plus.unionByName(minus), stats.unionByName(total(old, -1))
         stats = stats.groupBy("corpus").agg(*[F.sum(c).alias(c) for c in ("files", "docs", *lens)])
     change = plus.groupBy("corpus", "term").agg(F.sum("df").alias("df")).where("df <> 0")
-    _write(change.withColumn("part", _part(layout.term_parts, "term")), path, "terms", segment, layout.term_parts, ["term"])
-    _write(stats, path, "stats", segment, 0, [])
-    _write(gone if gone is not None else fresh.select("corpus", "file").limit(0), path, "gone", segment, 0, [])
+    write(change.withColumn("part", _part(layout.term_parts, "term")), "terms", layout.term_parts, ["term"])
+    write(stats, "stats", 0, [])
+    write(gone if gone is not None else fresh.select("corpus", "file").limit(0), "gone", 0, [])
     dead = (previous.manifest["dead_files"] if previous is not None and len(segments) else 0) + (gone.count() if gone is not None else 0)
-    row = note | {"segments": [*segments, segment], "contract": contract(layout), "term_parts": layout.term_parts, "doc_parts": layout.doc_parts, "file_parts": layout.file_parts, "dead_files": dead}
-    schema = "segments array<string>, contract string, term_parts int, doc_parts int, file_parts int, dead_files long, docs long, failed long, vanished long, added long, changed long, removed long"
+    row = note | {"segments": [*segments, segment], "contract": contract(layout), "term_parts": layout.term_parts, "doc_parts": layout.doc_parts, "file_parts": layout.file_parts, "dead_files": dead, "schemas": kept}
+    schema = "segments array<string>, contract string, term_parts int, doc_parts int, file_parts int, dead_files long, schemas map<string,string>, docs long, failed long, vanished long, added long, changed long, removed long"
     version = previous.manifest["version"] + 1 if previous is not None else 0
     shared.commit_version(spark.createDataFrame([row], schema), path, version)
     return Index(spark, path, row | {"version": version})
