@@ -102,11 +102,13 @@ def captured(spark: SparkSession, path: str, since=None) -> DataFrame:
     return rows if since is None else rows.where(F.col("end_ts") >= F.lit(since))
 
 
-def start(turns: DataFrame, path: str, checkpoint: str, once: bool = True, event_time: bool | None = None):
+def start(turns: DataFrame, path: str, checkpoint: str, once: bool = True, event_time: bool = False):
     """ST2: runs the capture, once over what is there or every five minutes.
 
-    A run over what is there goes by the times of the turns: timers of the machine's clock would never let it end.
+    A run over what is there is one batch: with timers of the machine's clock, batches for them would follow without end. Timers by ``event_time`` end by themselves, but
+    drop turns that are older than the watermark.
     """
-    event_time = once if event_time is None else event_time
     w = exchanges_stream(turns, event_time).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_sink(path))
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 minutes")).start()
+    if once:
+        return (w.trigger(availableNow=True) if event_time else w.trigger(once=True)).start()
+    return w.trigger(processingTime="5 minutes").start()
