@@ -34,7 +34,7 @@ _SAID = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '([a-z0-9][a-
 @query(f"""WITH {X.DOCS}, d AS (SELECT *, {_HAY} AS hay FROM docs), q AS (SELECT doc_ord AS query_id, unnest(({_SAID.format('description')})[1:200]) AS term FROM d WHERE doc_ord % 10 = 0),
 known AS (SELECT term FROM (SELECT DISTINCT term FROM q) t WHERE EXISTS (SELECT 1 FROM d WHERE doc_ord % 10 <> 0 AND contains(hay, term))),
 un AS (SELECT DISTINCT query_id, term FROM q ANTI JOIN known USING (term)),
-s AS (SELECT doc_ord, 'notes/' || lower({X.first_words('description', 3)}) AS file, lower(coalesce(body, '')) AS body FROM d WHERE doc_ord % 10 = 0 AND doc_ord % 70 <> 0),
+s AS (SELECT doc_ord, 'notes/' || doc_ord || ' ' || lower({X.first_words('description', 3)}) AS file, lower(coalesce(body, '')) AS body FROM d WHERE doc_ord % 10 = 0 AND doc_ord % 70 <> 0),
 h AS (SELECT term, 'name' AS kind, doc_ord, file FROM (SELECT DISTINCT term FROM un), s WHERE contains(file, term) UNION ALL SELECT term, 'content', doc_ord, file FROM (SELECT DISTINCT term FROM un), s WHERE contains(body, term)),
 r AS (SELECT *, row_number() OVER (PARTITION BY term, kind ORDER BY doc_ord DESC, file) AS n FROM h),
 a AS (SELECT term, coalesce(string_agg(file, '|' ORDER BY n) FILTER (kind = 'name' AND n <= 4), '') AS in_names, coalesce(string_agg(file, '|' ORDER BY n) FILTER (kind = 'content' AND n <= 6), '') AS in_contents, count(*) FILTER (kind = 'content') AS n_files FROM r GROUP BY 1)
@@ -44,7 +44,7 @@ def stale_terms(spark: SparkSession, sf: str) -> DataFrame:
     d = A.plain_docs(spark, sf)
     late = d.where("doc_ord % 10 = 0")
     unmatched = shared.written(fresh.unmatched_terms(late.select(F.col("doc_ord").alias("query_id"), F.col("description").alias("query")), d.where("doc_ord % 10 <> 0")), "unmatched")
-    stale = late.select("corpus", F.concat(F.lit("notes/"), F.lower(T.first_words(F.col("description"), 3))).alias("file"), "body", F.col("doc_ord").alias("mtime_ms"), (F.col("doc_ord") % 70 == 0).alias("gated"))
+    stale = late.select("corpus", F.concat(F.lit("notes/"), F.col("doc_ord").cast("string"), F.lit(" "), F.lower(T.first_words(F.col("description"), 3))).alias("file"), "body", F.col("doc_ord").alias("mtime_ms"), (F.col("doc_ord") % 70 == 0).alias("gated"))
     return fresh.stale_terms(unmatched, stale).select("query_id", "term", F.array_join("in_names", "|").alias("in_names"), F.array_join("in_contents", "|").alias("in_contents"), "n_files")
 
 
