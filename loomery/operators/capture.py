@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomery.config import CONFIG, EngineConfig
 from loomery.functions import text as T
+from loomery.functions.redact import redact, scrub_addresses
 
 #: What shows that a turn is machinery: marks anywhere in it, and how it may begin. Fixed values.
 MACHINE_MARKS = ("<system-reminder>", "<task-notification>")
@@ -94,10 +95,28 @@ def render(ex: DataFrame) -> DataFrame:
     return ex.withColumn("body", F.concat_ws("\n\n", F.concat(F.lit("**Asked:** "), "ask"), F.nullif(F.col("reply"), F.lit("")), link))
 
 
+#: How a turn begins that gives a session no title. Fixed values.
+NO_TITLE = ("[SYSTEM NOTIFICATION", "Caveat:")
+
+
 def session_titles(turns: DataFrame) -> DataFrame:
-    """The first user text up to its first sentence's end, at most 80 characters."""
-    first = turns.where("role = 'user' and trim(coalesce(text, '')) <> ''").groupBy("session_id").agg(F.min_by("text", "ix").alias("t"))
-    return first.select("session_id", F.substring(F.trim(F.get(F.split(F.ltrim("t"), r"[.?!\n]"), F.lit(0))), 1, 80).alias("session_title"))
+    """(session_id, session_title): the first thing that a person said, up to its first sentence's end, at most 80 characters.
+
+    What was typed while a turn ran (operation = 'enqueue', where turns has that column) counts as said. White space
+    is squeezed; texts with a system mark are passed over. Secrets and addresses go before the sentence is cut, so that
+    no part of one is left. A session in which nobody said anything has no row.
+    """
+    said = F.col("role") == "user"
+    if "operation" in turns.columns:
+        said = said | (F.coalesce("operation", F.lit("")) == "enqueue")
+    t = F.col("t")
+    skip = (t == "") | F.contains(t, F.lit(MACHINE_MARKS[0]))
+    for start in NO_TITLE:
+        skip = skip | t.startswith(start)
+    rows = turns.where(said).select("session_id", "ix", T.squeeze(F.col("text")).alias("t")).where(~skip)
+    first = rows.groupBy("session_id").agg(F.min_by("t", F.struct("ix", "t")).alias("t"))
+    clean = scrub_addresses(redact(t))
+    return first.select("session_id", F.trim(F.substring(F.get(F.split(clean, r"[.?!\n]"), F.lit(0)), 1, 80)).alias("session_title"))
 
 
 def commits_to_exchanges(ex: DataFrame, commits: DataFrame, key: list[str], cfg: EngineConfig = CONFIG) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Commits and probes as tables.
+"""Commits as tables, and the verdicts of probes on rows.
 
 commits: (repo, repo_ord, sha, at, author, subject, on_mainline).
 """
@@ -55,68 +55,9 @@ def currency(newest: DataFrame, commits: DataFrame) -> DataFrame:
     return rows.groupBy("repo").agg(F.count(F.when(F.col("at") > F.col("_ts"), 1)).alias("since"), F.max("at").alias("last_commit"))
 
 
-def parse_probe(probe: Column) -> Column:
-    """Predicate and arguments of ``predicate :: a :: b``."""
-    parts = F.transform(F.split(F.coalesce(probe, F.lit("")), "::"), lambda s: F.trim(s))
-    return F.struct(F.get(parts, F.lit(0)).alias("predicate"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("args"))
-
-
-def matches_expected(actual: Column, expected: Column) -> Column:
-    """~text is contained, >= <= > < compare numbers, anything else is equal; null if a number is none."""
-    e, a = F.trim(expected), F.trim(actual)
-    num = lambda c: c.try_cast("double")
-    out = F.when(e.startswith("~"), F.contains(a, F.trim(F.substring(e, 2, 1_000_000))))
-    for op, f in ((">=", lambda x, y: x >= y), ("<=", lambda x, y: x <= y), (">", lambda x, y: x > y), ("<", lambda x, y: x < y)):
-        out = out.when(e.startswith(op), f(num(a), num(F.trim(F.substring(e, len(op) + 1, 1_000_000)))))
-    return out.otherwise(a == e)
-
-
-#: Predicates that a probe may name. Fixed values.
-PREDICATES = ("file_exists", "file_hash_span", "grep_count", "git_tag_exists", "git_rev_count", "git_rev_parse", "date_past", "port_listening", "http_status", "sqlite_query_ro", "cmd_output_matches")
-
-
-def probe_sweep(docs: DataFrame, files: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:
-    """A verdict for each document with a probe: FRESH, STALE, UNKNOWN or UNPROVABLE.
-
-    What tables can answer is answered: date_past, file_exists, grep_count (files: path, text) and
-    git_rev_count. A passed validUntil is STALE before anything else; what fails to evaluate is UNKNOWN.
-    """
-    p = docs.where("probe is not null").withColumn("_p", parse_probe(F.col("probe"))).select("corpus", "doc_ord", "name", "probe_expected", "valid_until", F.col("_p.predicate").alias("predicate"), F.col("_p.args").alias("args"))
-    a0, a1 = F.get("args", F.lit(0)), F.get("args", F.lit(1))
-    f = files.select(F.col("path").alias("_path"), F.col("text").alias("_text"))
-    rows = p.withColumn("_a0", a0).join(f, F.col("_a0") == F.col("_path"), "left")
-    n = commits.groupBy(F.col("repo").alias("_repo")).agg(F.count(F.lit(1)).alias("_commits"))
-    rows = rows.join(n, F.col("_a0") == F.col("_repo"), "left")
-    lines = F.size(F.filter(F.split("_text", "\n"), lambda s: F.contains(s, a1)))
-    actual = (
-        F.when(F.col("predicate") == "date_past", (F.col("_a0").try_cast("timestamp") < as_of).cast("string"))
-        .when(F.col("predicate") == "file_exists", F.col("_path").isNotNull().cast("string"))
-        .when((F.col("predicate") == "grep_count") & F.col("_path").isNotNull(), lines.cast("string"))
-        .when(F.col("predicate") == "git_rev_count", F.col("_commits").cast("string"))
-    )
-    rows = rows.withColumn("actual", actual)
-    fits = matches_expected(F.col("actual"), F.coalesce("probe_expected", F.lit("true")))
-    verdict = F.when(F.col("valid_until") < as_of, "STALE").when(~F.col("predicate").isin(*PREDICATES), "UNPROVABLE").when(fits, "FRESH").when(~fits, "STALE").otherwise("UNKNOWN")
-    return rows.select("corpus", "doc_ord", "name", "predicate", "actual", verdict.alias("verdict"))
-
-
 def surface_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Probe verdicts on result rows, by name, else by the name before #."""
     v = verdicts.groupBy("corpus", "name").agg(F.min("verdict").alias("verdict"))
     own = v.select("corpus", "name", F.col("verdict").alias("_own"))
     parent = v.select("corpus", F.col("name").alias("_parent"), F.col("verdict").alias("_up"))
     return rows.withColumn("_parent", F.substring_index("name", "#", 1)).join(own, ["corpus", "name"], "left").join(parent, ["corpus", "_parent"], "left").withColumn("probe_verdict", F.coalesce("_own", "_up")).drop("_own", "_up", "_parent")
-
-
-def propose_probes(docs: DataFrame, per_doc: int = 3) -> DataFrame:
-    """(doc_ord, line_no, probe): lines outside fences and quotes that a probe could check."""
-    from .structure import lines
-
-    rows = lines(docs).where(~F.col("in_fence") & ~F.col("line").rlike(r"^[ \t]*>"))
-    tag = F.regexp_extract("line", r"(?<![A-Za-z0-9_.])(v\d+\.\d+(?:\.\d+)?)(?![A-Za-z0-9_.])", 1)
-    url = F.regexp_extract("line", r"(https?://(?:localhost|127\.0\.0\.1)[^ )>\x60\"']*)", 1)
-    path = F.regexp_extract("line", r"\x60((?:[\w.\-]+/)+[\w.\-]+\.\w+)\x60", 1)
-    probe = F.when(url != "", F.concat(F.lit("http_status :: "), url)).when(path != "", F.concat(F.lit("file_exists :: "), path)).when((tag != "") & (F.size(T.sha_tokens(F.col("line"))) > 0), F.concat(F.lit("git_tag_exists :: "), tag))
-    vetoed = F.col("probe").rlike(r"(?i)<[a-z_-]+>|example\.|/path/to/|placeholder")
-    w = Window.partitionBy("doc_ord").orderBy("line_no")
-    return rows.withColumn("probe", probe).where("probe is not null").where(~vetoed).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_doc).select("doc_ord", "line_no", "probe")

@@ -83,10 +83,17 @@ def derived_floors(top_scores: DataFrame, base_corpus: str = "curated", least: i
     return rows.select("corpus", F.round(cfg.absence_score * F.col("score") / F.col("s0"), 4).alias("score_floor"), F.round(cfg.absence_coverage * F.col("coverage") / F.col("c0"), 4).alias("coverage_floor"))
 
 
-def self_query(body: Column, n: int = 6) -> Column:
-    """Evenly spaced words of a body as a question about it."""
-    w = F.filter(T.words(body), lambda x: F.length(x) >= 4)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(w, F.floor(i * F.size(w) / n).cast("int"))), " ")
+#: Words of no use in a question about a text, besides those of three letters and fewer. Fixed values.
+SELF_STOP = ("with", "that", "this", "from", "were", "have", "they", "their", "which", "what", "when", "there", "been", "would", "could", "into", "than", "then", "them")
+
+
+def self_query(body: Column, n: int = 6, least: int = 24) -> Column:
+    """N words from across a body, of letters and digits, over three long and no stop words, each once, as a
+    question about it; null where there are fewer than ``least`` of them."""
+    plain = F.regexp_replace(F.coalesce(body, F.lit("")), "[^A-Za-z0-9]+", " ")
+    w = F.filter(F.split(plain, " "), lambda x: (F.length(x) > 3) & ~F.lower(x).isin(*SELF_STOP))
+    picked = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(v, i * F.floor(F.size(v) / n).cast("int"))))
+    return F.get(F.transform(F.array(w), lambda v: F.when(F.size(v) >= least, F.array_join(picked(v), " "))), F.lit(0))
 
 
 def keyword_scale(tops: DataFrame, thresholds: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:

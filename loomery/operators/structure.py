@@ -120,36 +120,65 @@ def find_section(outlines: DataFrame, wanted: str, key: str = "doc_ord") -> Data
     return outlines.withColumn("_p", level).where("_p is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_p")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+
+
 def pdf_pages(docs: DataFrame, key: str = "doc_ord", body: str = "body") -> DataFrame:
     """(key, text): page breaks become ## p.N headings; running headers and footers go.
 
-    A running line is one of the two first or last lines of a page, at most 80 characters, on more than half
-    of the pages that have text, where there are at least four of those.
+    A running line is one of the two first or last lines of a page that have text, at most 80 characters, on more than half of the
+    pages that have text, where there are at least four of those; it goes wherever it stands. Blank pages have no
+    heading but keep their number. A text without page breaks stays as it is, null becomes empty, and every row
+    stays. A row is worked on by itself: no shuffle. A line is on over half of n pages if in the sorted edges it
+    equals the one n div 2 places on.
     """
-    pages = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\f")).alias("page", "text"))
-    rows = pages.select(key, "page", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("bare", F.trim("line"))
-    full = rows.where("bare <> ''")
-    w = Window.partitionBy(key, "page")
-    edge = full.withColumn("a", F.row_number().over(w.orderBy("n"))).withColumn("z", F.row_number().over(w.orderBy(F.desc("n")))).where("(a <= 2 or z <= 2) and length(bare) <= 80")
-    count = full.groupBy(key).agg(F.countDistinct("page").alias("pages"))
-    running = edge.groupBy(key, "bare").agg(F.countDistinct("page").alias("on")).join(count, key).where("pages >= 4 and 2 * on > pages").select(key, "bare", F.lit(True).alias("running"))
-    marked = rows.join(edge.select(key, "page", "n", F.lit(True).alias("edge")), [key, "page", "n"], "left").join(running, [key, "bare"], "left").where("not (coalesce(edge, false) and coalesce(running, false))")
-    text = marked.groupBy(key, "page").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("text")).where("text <> ''")
-    return text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: F.concat(F.lit("## p."), x["page"] + 1, F.lit("\n\n"), x["text"])), "\n\n").alias("text"))
+    whole = F.coalesce(F.col(body), F.lit(""))
+
+    def edges(page: Column) -> Column:
+        full = F.filter(F.transform(F.split(page, "\n"), strip), lambda s: s != "")
+        return let(full, lambda f: F.array_union(F.slice(f, 1, 2), F.slice(f, F.greatest(F.size(f) - 1, F.lit(1)), 2)))
+
+    def running(pages: Column) -> Column:
+        every = F.filter(F.transform(pages, edges), lambda e: F.size(e) > 0)
+        able = lambda e: F.array_sort(F.filter(F.flatten(e), lambda s: F.length(s) <= 80))
+        often = lambda s, half: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + half) == x))
+        return let(every, lambda e: F.when(F.size(e) >= 4, let(able(e), lambda s: often(s, (F.size(e) / 2).cast("int")))).otherwise(F.array().cast("array<string>")))
+
+    def headed(pages: Column) -> Column:
+        bare = lambda r: F.transform(pages, lambda p: strip(F.array_join(F.filter(F.split(p, "\n"), lambda s: ~F.array_contains(r, strip(s))), "\n")))
+        texts = let(running(pages), bare)
+        return F.array_join(F.filter(F.transform(texts, lambda t, i: F.when(t != "", F.concat(F.lit("## p."), (i + 1).cast("string"), F.lit("\n\n"), t))), lambda t: t.isNotNull()), "\n\n")
+
+    return docs.select(key, F.when(F.contains(whole, F.lit("\f")), let(F.split(whole, "\f"), headed)).otherwise(whole).alias("text"))
+
+
+#: A line that begins a chapter: designator, number or word, and a short title. Fixed value.
+CHAPTER_LINE = r"^\s{0,3}((?:CHAPTER|Chapter|BOOK|Book|PART|Part|VOLUME|Volume|ACT|Canto)\s+(?:[0-9]+|[IVXLCDM]+|[A-Z][a-z]+)(?![A-Za-z0-9_])\.?[^\n]{0,60})\s*$"
 
 
 def promote_chapters(docs: DataFrame, key: str = "doc_ord", body: str = "body", least: int = 3) -> DataFrame:
-    """(key, text): chapter lines become ## headings, the last of each designator, where a text without
-    headings has at least three of them."""
-    rows = lines(docs, key, body)
-    pattern = r"^[ \t]*((?:CHAPTER|BOOK|PART|VOLUME|SECTION|APPENDIX)[ \t]+(?:[IVXLCDM]+|[0-9]{1,3}|[A-Z]))(?:[.:][^\n]*)?[ \t]*$"
-    mark = F.upper(F.regexp_extract("line", pattern, 1))
-    rows = rows.withColumn("mark", mark)
+    """(key, text): chapter lines become ## headings, the last of each designator (its two first words, in any
+    case), where a text without headings of the levels 1 to 3 has at least ``least`` of them; other texts stay as they
+    are and are not taken apart. Null becomes empty. ``key`` tells the rows apart."""
+    whole = F.coalesce(F.col(body), F.lit(""))
+    docs = docs.select(key, whole.alias("text")).withColumn("able", ~F.col("text").rlike(r"(?m)^##?#?\s+\S") & F.col("text").rlike("(?m)" + CHAPTER_LINE))
+    rows = lines(docs.where("able"), key, "text")
+    title = F.regexp_extract("line", CHAPTER_LINE, 1)
+    mark = F.upper(F.regexp_replace(F.regexp_extract("title", r"^\S+\s+\S+", 0), r"\.$", ""))
+    rows = rows.withColumn("title", title).withColumn("mark", mark)
     last = F.max("line_no").over(Window.partitionBy(key, "mark"))
     rows = rows.withColumn("hit", (F.col("mark") != "") & (F.col("line_no") == last))
-    able = rows.groupBy(key).agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.max(F.col("line").rlike(r"^#{1,6}[ \t]+\S")).alias("has")).withColumn("go", (F.col("hits") >= least) & ~F.col("has"))
-    line = F.when(F.col("hit") & F.col("go"), F.concat(F.lit("## "), F.trim("line"))).otherwise(F.col("line"))
-    return rows.join(able.select(key, "go"), key).withColumn("line", line).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    line = F.when(F.col("hit"), F.concat(F.lit("## "), strip(F.col("title")))).otherwise(F.col("line"))
+    said = F.array_sort(F.collect_list(F.struct("line_no", "line", line.alias("new"))))
+    text = rows.groupBy(key).agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), said.alias("said"))
+    joined = lambda c: F.array_join(F.transform("said", lambda x: x[c]), "\n")
+    return docs.where("not able").select(key, "text").unionByName(text.select(key, F.when(F.col("hits") >= least, joined("new")).otherwise(joined("line")).alias("text")))
 
 
 def link_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,11 +224,22 @@ def duplicate_names(docs: DataFrame) -> DataFrame:
 
 
 def demote_versions(docs: DataFrame, least: int = 3, keep: int = CONFIG.section_keep) -> DataFrame:
-    """Of files that differ only in one version token, in groups of at least three, older ones are archived."""
-    one = F.size(F.regexp_extract_all("name", F.lit(r"(?<![A-Za-z0-9])([vV]\d{1,4})(?![A-Za-z0-9])"), F.lit(1))) == 1
-    stem = F.when(one, F.regexp_replace("name", r"(?<![A-Za-z0-9])[vV]\d{1,4}(?![A-Za-z0-9])", "v"))
-    rows = docs.withColumn("_stem", stem).withColumn("_v", T.version_token(F.col("name")))
+    """Of files whose names differ only in their one version number, in groups of at least three, all but the newest go to the archive.
+
+    Rows that are not the corpus' own stay as they are: read-only ones, sections (parent_name), those with a root, and
+    those whose author set the tier (tier_explicit), as far as docs has these columns. Names with no version or with
+    several belong to no group.
+    """
+    token = r"(?<![A-Za-z0-9_])([vV]\d{1,4})(?![A-Za-z0-9_])"
+    own = F.size(F.regexp_extract_all("name", F.lit(token), F.lit(1))) == 1
+    for c in ("root", "parent_name"):
+        own = own & F.col(c).isNull() if c in docs.columns else own
+    for c in ("read_only", "tier_explicit"):
+        own = own & ~F.coalesce(F.col(c), F.lit(False)) if c in docs.columns else own
+    rows = docs.withColumn("_stem", F.when(own, F.regexp_replace("name", token, "v*"))).withColumn("_v", T.version_token(F.col("name")))
+    able = rows.where("_stem is not null")
     w = Window.partitionBy("corpus", "_stem")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_v"), "doc_ord")))
-    old = F.col("_stem").isNotNull() & (F.col("_n") >= least) & (F.col("_r") > keep)
-    return rows.withColumn("tier", F.when(old, "archive").otherwise(F.col("tier"))).drop("_stem", "_v", "_n", "_r")
+    able = able.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_v"), "doc_ord")))
+    old = (F.col("_n") >= least) & (F.col("_r") > keep)
+    able = able.withColumn("tier", F.when(old, "archive").otherwise(F.col("tier"))).drop("_n", "_r")
+    return able.unionByName(rows.where("_stem is null")).drop("_stem", "_v")

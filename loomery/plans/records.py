@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomery.operators import commits, keyword, querylog, upkeep
+from loomery.operators import commits, keyword, probes, querylog, upkeep
 
 from . import adapters as A, sqltext as X
 
@@ -154,11 +154,13 @@ def derived_floors(spark: SparkSession, sf: str) -> DataFrame:
     return querylog.derived_floors(d, "src0")
 
 
-@query(f"WITH {X.DOCS} SELECT doc_ord, array_to_string(list_transform(range(0, 6), lambda i: w[(i * len(w)) // 6 + 1]), ' ') AS question FROM (SELECT doc_ord, list_filter({X.words('body')}, lambda z: length(z) >= 4) AS w FROM docs) WHERE len(w) > 0")
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda z: length(z) > 3 AND lower(z) NOT IN ('with', 'that', 'this', 'from', 'were', 'have', 'they', 'their', 'which', 'what', 'when', 'there', 'been', 'would', 'could', 'into', 'than', 'then', 'them')) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(0, 6)) AS i, w FROM w WHERE len(w) >= 24), q AS (SELECT doc_id, w[i * (len(w) // 6) + 1] AS t, min(i) AS i FROM p GROUP BY 1, 2)
+SELECT doc_id AS doc_ord, string_agg(t, ' ' ORDER BY i) AS question FROM q GROUP BY 1""")
 def self_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Six evenly spaced words of each document."""
+    """Six words from across each document that has enough of them."""
     d = A.plain_docs(spark, sf).select("doc_ord", querylog.self_query(F.col("body")).alias("question"))
-    return d.where("question <> ''")
+    return d.where("question is not null")
 
 
 @query("SELECT project AS corpus, max(doc_ord) FILTER (n = k) AS doc_ord FROM (SELECT source AS project, doc_id AS doc_ord, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, floor(0.9 * (count(*) OVER (PARTITION BY source) - 1)) + 1 AS k FROM documents) GROUP BY 1")
@@ -176,15 +178,32 @@ def corpus_currency(spark: SparkSession, sf: str) -> DataFrame:
     return commits.currency(newest, c).select("repo", "since", F.unix_seconds(F.col("last_commit").cast("timestamp")).alias("last_s"))
 
 
-@query("SELECT doc_id AS doc_ord, CASE WHEN doc_id % 4 = 0 THEN 'FRESH' WHEN doc_id % 4 = 1 THEN 'STALE' WHEN doc_id % 4 = 2 THEN 'UNPROVABLE' ELSE 'UNKNOWN' END AS verdict FROM documents")
+_PROBE = """CASE doc_id % 13 WHEN 0 THEN 'date_past 2020-01-01' WHEN 1 THEN 'date_past soon' WHEN 2 THEN 'moon_phase full' WHEN 3 THEN 'port_listening 80'
+ WHEN 4 THEN 'file_exists /srv/' || source || '/' || doc_id || '.md' WHEN 5 THEN 'file_exists /srv/' || source || '/none.md' WHEN 6 THEN 'file_exists /gone/' || source || '/a.md'
+ WHEN 7 THEN 'grep_count /srv/' || source || '/' || doc_id || '.md :: ' || left(text, 2) WHEN 8 THEN 'file_hash_span /srv/' || source || '/' || doc_id || '.md :: 1-6'
+ WHEN 9 THEN 'git_tag_exists /repo/' || source || ' :: v' || doc_id WHEN 10 THEN 'git_rev_parse /repo/' || source || ' :: v' || (doc_id - 1) || '^{}'
+ WHEN 11 THEN 'git_rev_count /repo/' || source || ' :: --since=2024-01-10' ELSE 'grep_count /srv/' || source || ' :: ' || left(text, 3) END"""
+_WANT = "CASE doc_id % 13 WHEN 7 THEN '>= 3' WHEN 8 THEN '~A' WHEN 10 THEN '~' || left(md5(CAST(doc_id - 1 AS STRING)), 5) WHEN 11 THEN '> 40' WHEN 12 THEN '<2000' ELSE 'true' END"
+
+
+@query(f"""WITH d AS (SELECT *, string_split(text, chr(10)) AS lines, {_WANT.replace('STRING', 'VARCHAR')} AS want FROM documents),
+folder AS (SELECT d.doc_id, sum(len(list_filter(f.lines, lambda s: contains(s, trim(left(d.text, 3)))))) AS n FROM d JOIN d f USING (source) WHERE d.doc_id % 13 = 12 GROUP BY 1),
+repo AS (SELECT source, count(*) FILTER (doc_id * 3600 >= 9 * 86400 AND doc_id % 3 > 0) AS n, bool_or(doc_id % 2 = 0) AS known FROM documents GROUP BY 1),
+a AS (SELECT d.doc_id, want, doc_id % 5 = 0 AS expired, CASE doc_id % 13 WHEN 0 THEN 'true' WHEN 4 THEN 'true' WHEN 5 THEN 'false' WHEN 7 THEN len(list_filter(lines, lambda s: contains(s, trim(left(text, 2)))))::VARCHAR
+ WHEN 8 THEN CASE WHEN len(lines) >= 6 THEN left(sha256(array_to_string(lines[1:6], chr(10))), 12) END WHEN 9 THEN CASE WHEN known THEN CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END END
+ WHEN 10 THEN (SELECT md5(r.doc_id::VARCHAR) FROM documents r WHERE r.doc_id = d.doc_id - 1 AND r.source = d.source AND r.doc_id % 2 = 0)
+ WHEN 11 THEN CASE WHEN known THEN repo.n::VARCHAR END WHEN 12 THEN folder.n::VARCHAR END AS actual,
+ doc_id % 13 = 6 OR doc_id % 13 = 8 AND len(lines) < 6 OR doc_id % 13 IN (9, 10, 11) AND NOT known AS gone FROM d LEFT JOIN folder USING (doc_id) LEFT JOIN repo USING (source))
+SELECT doc_id AS doc_ord, CASE WHEN NOT expired THEN actual END AS actual, CASE WHEN expired THEN 'STALE' WHEN actual IS NOT NULL THEN CASE WHEN CASE left(want, 1) WHEN '~' THEN contains(lower(actual), lower(want[2:])) WHEN '>' THEN CASE WHEN want = '>= 3' THEN actual::INT >= 3 ELSE actual::INT > 40 END WHEN '<' THEN actual::INT < 2000 ELSE actual = want END THEN 'FRESH' ELSE 'STALE' END
+ WHEN gone THEN 'UNPROVABLE' ELSE 'UNKNOWN' END AS verdict FROM a""")
 def probe_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Probes made by rule: a past date, a future one, an unknown predicate, one that tables cannot answer."""
-    k = F.col("doc_ord") % 4
-    probe = F.when(k == 0, "date_past :: 2020-01-01").when(k == 1, "date_past :: 2999-01-01").when(k == 2, "moon_phase :: full").otherwise("port_listening :: 80")
-    d = A.plain_docs(spark, sf).withColumn("probe", probe).withColumn("probe_expected", F.lit("true")).withColumn("valid_until", F.lit(None).cast("timestamp"))
-    files = spark.createDataFrame([], "path string, text string")
-    log = spark.createDataFrame([], "repo string")
-    return commits.probe_sweep(d, files, log, F.lit(A.AS_OF)).select("doc_ord", "verdict")
+    """Documents as files in folders of their sources, every second one a tag, two of three a commit; a probe of each by rule."""
+    t = A.table(spark, sf, "documents")
+    d = t.selectExpr("'curated' AS corpus", "doc_id AS doc_ord", "concat('doc-', doc_id) AS name", f"{_PROBE} AS probe", f"{_WANT} AS probe_expected", "CASE WHEN doc_id % 5 = 0 THEN timestamp'2024-01-01' END AS valid_until")
+    files = t.selectExpr("'/srv/' || source || '/' || doc_id || '.md' AS path", "text")
+    refs = t.where("doc_id % 2 = 0").selectExpr("'/repo/' || source AS repo", "'refs/tags/v' || doc_id AS ref", "'tag' AS sha", "md5(CAST(doc_id AS STRING)) AS peeled")
+    log = t.selectExpr("'/repo/' || source AS repo", "md5(CAST(doc_id AS STRING)) AS sha", "timestamp_seconds(1704067200 + doc_id * 3600) AS at", "doc_id % 3 > 0 AS on_mainline")
+    return probes.sweep(d, files, refs, log, F.lit(A.AS_OF)).select("doc_ord", "actual", "verdict")
 
 
 @query("SELECT doc_id AS doc_ord, CASE WHEN doc_id % 2 = 0 THEN 'missing' ELSE 'orphan' END AS kind FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 1 AND source IN (SELECT source FROM documents WHERE doc_id % 10 <> 1)")

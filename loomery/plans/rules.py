@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomery.config import CONFIG
 from loomery.functions import scoring as S, text as T
-from loomery.operators import capture, commits, curate, querylog, state, structure, upkeep
+from loomery.operators import capture, commits, curate, probes, querylog, state, structure, upkeep
 from loomery.sources import readers
 
 from . import adapters as A, sqltext as X
@@ -32,9 +32,9 @@ def query(sql: str | None = None):
 
 def _docs(spark: SparkSession, sf: str, **columns: str) -> DataFrame:
     """documents as a corpus with some columns made by SQL expressions over doc_id and text."""
-    d = A.table(spark, sf, "documents").selectExpr("'curated' AS corpus", "doc_id AS doc_ord", "concat('doc-', doc_id) AS name", "concat('doc-', doc_id) AS file", "'' AS description", "'hot' AS tier", "'note' AS type", "doc_id", "text", "coalesce(text, '') AS body")
+    d = A.table(spark, sf, "documents").selectExpr("'curated' AS corpus", "doc_id AS doc_ord", "concat('doc-', doc_id) AS name", "concat('doc-', doc_id) AS file", "'' AS description", "'hot' AS tier", "'note' AS type", "doc_id", "text", "source", "coalesce(text, '') AS body")
     made = d.select(*[c for c in d.columns if c not in columns], *[F.expr(e).alias(c) for c, e in columns.items()])
-    return made.drop("doc_id", "text")
+    return made.drop("doc_id", "text", "source")
 
 
 _SHAPES = " OR ".join(f"regexp_matches(q, '{p}')" for p in curate.QUERY_CODE_SHAPES)
@@ -127,19 +127,39 @@ def section_read(spark: SparkSession, sf: str) -> DataFrame:
     return structure.find_section(structure.outline(d), "  BETA ").select("doc_ord", "heading", F.col("start").cast("int").alias("start"))
 
 
-@query("SELECT doc_id AS doc_ord, md5(string_agg('## p.' || p || chr(10) || chr(10) || 'line one ' || p || chr(10) || 'body ' || doc_id || chr(10) || 'end ' || p, chr(10) || chr(10) ORDER BY p)) AS text FROM documents, (SELECT unnest(range(1, 6)) AS p) GROUP BY 1")
+_PAGES = "coalesce(CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN chr(12) || '  ' || chr(12) WHEN 2 THEN replace(text, '. ', '.' || chr(12) || repeat('long ', 20) || chr(10)) ELSE replace(replace(text, '. ', '.' || chr(12) || ' Guide ' || coalesce(source, '') || chr(10)), ', ', ',' || chr(10) || 'Guide ' || coalesce(source, '') || chr(10)) END, '')"
+_STRIP = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')".format
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_PAGES} AS body FROM documents),
+p AS (SELECT doc_id, unnest(string_split(body, chr(12))) AS page, generate_subscripts(string_split(body, chr(12)), 1) AS n FROM b WHERE contains(body, chr(12))),
+l AS (SELECT doc_id, n, unnest(string_split(page, chr(10))) AS line, generate_subscripts(string_split(page, chr(10)), 1) AS k FROM p),
+f AS (SELECT *, {_STRIP('line')} AS bare FROM l),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k) AS a, row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC) AS z FROM f WHERE bare <> ''),
+c AS (SELECT doc_id, count(DISTINCT n) AS pages FROM e GROUP BY 1),
+r AS (SELECT doc_id, bare FROM e JOIN c USING (doc_id) WHERE (a <= 2 OR z <= 2) AND length(bare) <= 80 AND pages >= 4 GROUP BY doc_id, bare, pages HAVING count(DISTINCT n) > pages / 2),
+t AS (SELECT doc_id, n, {_STRIP("string_agg(line, chr(10) ORDER BY k)")} AS t FROM f ANTI JOIN r USING (doc_id, bare) GROUP BY 1, 2),
+g AS (SELECT doc_id, string_agg('## p.' || n || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE t <> '' GROUP BY 1)
+SELECT doc_id AS doc_ord, md5(CASE WHEN contains(body, chr(12)) THEN coalesce(text, '') ELSE body END) AS text FROM b LEFT JOIN g USING (doc_id)""")
 def pdf_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Five pages a document by rule, whose running header and footer go."""
-    page = "concat('HEADER\\nline one ', p, '\\nbody ', doc_id, '\\nend ', p, '\\nfooter line')"
-    d = _docs(spark, sf, body=f"array_join(transform(sequence(1, 5), p -> {page}), chr(12))")
-    return structure.pdf_pages(d).select("doc_ord", F.md5("text").alias("text"))
+    """Sentences as pages, with a running line by rule at their head and inside; every sixth text has no pages, another only blank ones."""
+    return structure.pdf_pages(_docs(spark, sf, body=_PAGES)).select("doc_ord", F.md5("text").alias("text"))
+
 
+_CHAPTERS = "CASE doc_id % 5 WHEN 0 THEN '## Head' || chr(10) WHEN 1 THEN '#### x' || chr(10) ELSE '' END || replace(coalesce(text, ''), '. ', '.' || chr(10) || CASE doc_id % 5 WHEN 2 THEN 'SECTION ' WHEN 3 THEN '  Canto ' WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '    Part ' ELSE 'Part ' END ELSE 'CHAPTER ' END)"
+_CHAPTER = r"^\s{0,3}((?:CHAPTER|Chapter|BOOK|Book|PART|Part|VOLUME|Volume|ACT|Canto)\s+(?:[0-9]+|[IVXLCDM]+|[A-Z][a-z]+)\b\.?[^\n]{0,60})\s*$"
 
-@query("SELECT doc_id AS doc_ord, md5(CASE WHEN doc_id % 2 = 0 THEN 'CHAPTER I' || chr(10) || '## CHAPTER II' || chr(10) || 'a' || chr(10) || '## CHAPTER I' || chr(10) || '## PART 3. Owls' ELSE '# Title' || chr(10) || 'CHAPTER I' || chr(10) || 'CHAPTER II' || chr(10) || 'CHAPTER III' END) AS text FROM documents")
+
+@query(rf"""WITH b AS (SELECT doc_id, {_CHAPTERS} AS body FROM documents),
+l AS (SELECT doc_id, regexp_matches(body, '(?m)^##?#?\s+\S') AS headed, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM b),
+m AS (SELECT *, regexp_extract(line, '{_CHAPTER}', 1) AS title FROM l),
+d AS (SELECT *, upper(regexp_replace(regexp_extract(title, '^\S+\s+\S+'), '\.$', '')) AS mark FROM m),
+h AS (SELECT *, title <> '' AND k = max(k) OVER (PARTITION BY doc_id, mark) AS hit FROM d),
+g AS (SELECT *, NOT headed AND count(*) FILTER (hit) OVER (PARTITION BY doc_id) >= 3 AS go FROM h)
+SELECT doc_id AS doc_ord, md5(string_agg(CASE WHEN go AND hit THEN '## ' || {_STRIP('title')} ELSE line END, chr(10) ORDER BY k)) AS text FROM g GROUP BY 1""")
 def chapter_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapter lines become headings, the last of each, unless there are headings already."""
-    d = _docs(spark, sf, body="CASE WHEN doc_id % 2 = 0 THEN 'CHAPTER I\\nCHAPTER II\\na\\nCHAPTER I\\nPART 3. Owls' ELSE '# Title\\nCHAPTER I\\nCHAPTER II\\nCHAPTER III' END")
-    return structure.promote_chapters(d).select("doc_ord", F.md5("text").alias("text"))
+    """Sentences as lines that begin with a designator by rule; short ones are chapters, the last of each, unless a text has headings."""
+    return structure.promote_chapters(_docs(spark, sf, body=_CHAPTERS)).select("doc_ord", F.md5("text").alias("text"))
 
 
 @query("SELECT doc_id AS doc_ord, doc_id % 3 = 1 AS in_memory_index, CASE WHEN doc_id % 3 = 1 THEN 'hot' ELSE 'archive' END AS tier FROM documents")
@@ -173,10 +193,17 @@ def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
     return structure.duplicate_names(_docs(spark, sf, name="concat('n', doc_id % 100)")).select("doc_ord")
 
 
-@query("SELECT doc_id AS doc_ord, CASE WHEN n >= 3 AND r > 3 THEN 'archive' ELSE 'hot' END AS tier FROM (SELECT doc_id, count(*) OVER (PARTITION BY doc_id // 10) AS n, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id % 10 DESC, doc_id) AS r FROM documents)")
+_VERSIONED = "split_part(coalesce(text, ''), ' ', 1) || '-v' || (n_chars % 40) || CASE WHEN doc_id % 17 = 0 THEN '-V2' ELSE '' END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_VERSIONED} AS name FROM documents),
+m AS (SELECT *, doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 19 = 0 OR len(regexp_extract_all(name, '(?i)\bv\d{{1,4}}\b')) <> 1 AS kept FROM d),
+g AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY regexp_extract(name, '(?i)\bv(\d{{1,4}})\b', 1)::INT DESC, doc_id) AS r FROM m WHERE NOT kept WINDOW w AS (PARTITION BY regexp_replace(name, '(?i)\bv\d{{1,4}}\b', 'v*')))
+SELECT doc_id AS doc_ord, CASE WHEN n >= 3 AND r > 3 THEN 'archive' ELSE 'hot' END AS tier FROM d LEFT JOIN g USING (doc_id)""")
 def demoted_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten versions of each name; all but the newest three go to the archive."""
-    return structure.demote_versions(_docs(spark, sf, name="concat('plan-', doc_id div 10, '-v', doc_id % 10)")).select("doc_ord", "tier")
+    """Names from first words with a version number; read-only rows, sections, roots and tiers set by authors, by rule, stay."""
+    base = A.table(spark, sf, "documents").selectExpr("'curated' AS corpus", "doc_id AS doc_ord", f"{_VERSIONED} AS name", "'hot' AS tier", "doc_id % 7 = 0 AS read_only", "doc_id % 11 = 0 AS tier_explicit", "CASE WHEN doc_id % 13 = 0 THEN 'r' END AS root", "CASE WHEN doc_id % 19 = 0 THEN 'p' END AS parent_name")
+    return structure.demote_versions(base).select("doc_ord", "tier")
 
 
 @query("SELECT doc_id AS doc_ord, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 1000)::INT END AS version FROM documents")
@@ -296,12 +323,35 @@ def surfaced_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return commits.surface_verdicts(d, v).select("doc_ord", "probe_verdict")
 
 
-@query("SELECT doc_id AS doc_ord, 1 AS line_no, CASE doc_id % 4 WHEN 0 THEN 'http_status :: http://localhost:80' || (10 + doc_id % 80) || '/up' WHEN 1 THEN 'file_exists :: src/a' || doc_id || '.py' ELSE 'git_tag_exists :: v1.' || doc_id END AS probe FROM documents WHERE doc_id % 4 < 3")
+_WRITTEN = {
+    ". ": "'.' || chr(10)", " pour ": "chr(10) || '```' || chr(10)", " with ": "chr(10) || '```' || chr(10)", " un ": "chr(10) || '> '", " for ": "chr(10) || ' > '",
+    " de ": "' `/srv/de/notes.md` '", " the ": "' `/Volumes/the/x.txt` '", " la ": "' http://localhost:8080/la). '", " and ": "' https://127.0.0.1/and '", " et ": "' universal-v' || doc_id % 9 || ' '", " of ": "' mac-v7 '",
+    " les ": "' 0a1b2c3d '", " to ": "' beef0123, '", " in ": "' Origin: '", " der ": "' `/tmp/der.txt` '", " und ": "' http://example.com/x '", " die ": "' windows-v3 '", " das ": "' 1234567 '", " el ": "' http://10.1.2.3:99999/el '", " que ": "' `/srv/<que>/a.md` '",
+}
+_CLAIMS = "coalesce(text, '')"
+for _word, _what in _WRITTEN.items():
+    _CLAIMS = f"replace({_CLAIMS}, '{_word}', {_what})"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, {_CLAIMS} AS body FROM documents WHERE doc_id % 10 <> 3),
+l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS k FROM b),
+f AS (SELECT *, regexp_matches(line, '^[ \t]*(```|~~~)') AS mark FROM l),
+o AS (SELECT *, coalesce(sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM f),
+t AS (SELECT doc_id, k, line, left(trim(regexp_replace(line, '\s+', ' ', 'g')), 180) AS evidence, regexp_extract_all(line, '(?:^|[\s`(\[{{|,])((?:macwin|universal|windows|mac)-v\d+)\b', 1) AS tags,
+ list_filter(regexp_extract_all(line, '(?:^|[\s`(\[{{|,*])([0-9a-f]{{7,40}})\b', 1), lambda s: NOT regexp_full_match(s, '\d+')) AS shas,
+ list_transform(regexp_extract_all(line, '\bhttps?://[A-Za-z0-9.:_-]+(?::\d+)?(?:/[A-Za-z0-9._~:/?#@!$&''()*+,;=%-]*)?'), lambda u: regexp_replace(u, '[.,;:)\]]+$', '')) AS urls,
+ list_transform(regexp_extract_all(line, '`([^`]+)`', 1), lambda s: trim(s)) AS quoted FROM o WHERE NOT mark AND NOT inside AND NOT regexp_matches(line, '^\s*(>|$)')),
+a AS (SELECT doc_id, k, evidence, 0 AS kind, 1 AS pos, 'git_rev_parse /repo :: ' || tags[1] || '^{{}}' AS probe, '~' || shas[1] AS want FROM t WHERE len(tags) = 1 AND len(shas) = 1
+ UNION ALL SELECT doc_id, k, evidence, 1, pos, 'http_status ' || u, '200' FROM (SELECT doc_id, k, evidence, unnest(urls) AS u, generate_subscripts(urls, 1) AS pos FROM t) WHERE regexp_matches(u, '^https?://(localhost|127\.0\.0\.1|10\.\d+\.\d+\.\d+)(:\d{{0,4}})?(/|$)')
+ UNION ALL SELECT doc_id, k, evidence, 2, pos, 'file_exists ' || q, 'true' FROM (SELECT doc_id, k, evidence, unnest(quoted) AS q, generate_subscripts(quoted, 1) AS pos FROM t) WHERE regexp_matches(q, '^/(?:[^\s`]+/)+[^\s`/]+\.[A-Za-z0-9]{{1,6}}$') AND NOT regexp_matches(q, '^/(?:tmp|var)/|[<>*?]')),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, probe, want ORDER BY k, kind, pos) AS again FROM a),
+v AS (SELECT *, CASE WHEN probe LIKE 'file_exists /Volumes/%' THEN 'unreachable-root' WHEN kind = 1 AND regexp_matches(evidence, '(?i)origin\s*:') THEN 'header-value' END AS veto FROM u WHERE again = 1),
+n AS (SELECT *, coalesce(count(*) FILTER (veto IS NULL) OVER (PARTITION BY doc_id ORDER BY k, kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
+SELECT doc_id AS doc_ord, k::INT AS line_no, probe, want AS probe_expected, veto, md5(evidence) AS evidence FROM n WHERE before < 3""")
 def proposed_probes(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that a probe could check, by rule; quoted and fenced ones and placeholders are vetoed."""
-    line = "CASE doc_id % 4 WHEN 0 THEN concat('served at http://localhost:80', 10 + doc_id % 80, '/up') WHEN 1 THEN concat('see `src/a', doc_id, '.py`') WHEN 2 THEN concat('cut v1.', doc_id, ' at 0a1b2c3d') ELSE 'see `/path/to/x.py`' END"
-    d = _docs(spark, sf, body=f"concat('plain\\n', {line}, '\\n> see `src/q.py`\\n```\\nsee `src/f.py`\\n```')")
-    return commits.propose_probes(d).select("doc_ord", F.col("line_no").cast("int").alias("line_no"), "probe")
+    """Words of the texts become tags, hashes, addresses, paths, quotes and fences by rule; every tenth document has a probe already."""
+    d = A.table(spark, sf, "documents").selectExpr("doc_id AS doc_ord", f"{_CLAIMS} AS body", "CASE WHEN doc_id % 10 = 3 THEN 'date_past 2020-01-01' END AS probe")
+    return probes.propose(d, "/repo").select("doc_ord", "line_no", "probe", "probe_expected", "veto", F.md5("evidence").alias("evidence"))
 
 
 @query(f"WITH {X.TURNS} SELECT session_id, ix, role, md5(text) AS text FROM turns WHERE role IN ('user', 'assistant', 'system')")

@@ -114,10 +114,15 @@ def thread_window(spark: SparkSession, sf: str) -> DataFrame:
     return state.thread(d.select("name"), d, forward=2, back=1).select("anchor", "name", "offset", "is_anchor")
 
 
-@query(f"""WITH {X.TURNS} SELECT session_id, left(trim(regexp_split_to_array(ltrim(arg_min(text, ix)), '[.?!\\n]')[1]), 80) AS session_title FROM turns WHERE role = 'user' AND trim(text) <> '' GROUP BY 1""")
+_SAID = "CASE WHEN ix > 0 THEN text WHEN session_id % 5 = 1 THEN '<system-reminder> ' || text WHEN session_id % 5 = 2 THEN 'Mail  bob@acme.com ' || text WHEN session_id % 5 = 3 THEN 'Ask ann@gmail.com, ' || text WHEN session_id % 5 = 4 THEN '  Caveat: ' || text ELSE text END"
+
+
+@query(rf"""WITH {X.TURNS}, s AS (SELECT session_id, ix, trim(regexp_replace({_SAID.replace('session_id %', 'session_id::BIGINT %')}, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM turns WHERE role = 'user'),
+f AS (SELECT session_id, arg_min(t, ix) AS t FROM s WHERE t <> '' AND NOT contains(t, '<system-reminder>') AND NOT starts_with(t, 'Caveat:') GROUP BY 1)
+SELECT session_id, trim(left(regexp_split_to_array(replace(replace(t, 'bob@acme.com', '[email@acme.com]'), 'ann@gmail.com', '[email]'), '[.?!\n]')[1], 80)) AS session_title FROM f""")
 def session_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """X16"""
-    return capture.session_titles(A.turns(spark, sf))
+    """First turns with a system mark, an address or a caveat by rule."""
+    return capture.session_titles(A.turns(spark, sf).withColumn("text", F.expr(_SAID)))
 
 
 _COMMITS = "c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), x AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click')"
