@@ -181,9 +181,13 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def dealt(df: DataFrame, held_out: Column, groups: int, text: str, doc_id: str) -> DataFrame:
-    """(g, blob): rows dealt to groups by hash, each batch's share of a group as one compressed Arrow stream."""
+    """(g, blob): rows dealt to groups, each batch's share of a group as one compressed Arrow stream.
+
+    A row's number in its partition goes into the hash, so that repeats of a row are spread over the groups. The
+    rows are written before anything reads them; a task run again deals its own rows anew, and only one run counts.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(groups)).cast("int").alias("g"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), body.alias("text"))
+    rows = df.select(F.pmod(F.xxhash64(F.col(doc_id), body, F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("g"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), body.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
