@@ -235,7 +235,8 @@ def pack(tokens: DataFrame, size: int = SIZE, digests: bool = False) -> DataFram
     for k in sorted(heads):
         whole0[k] = at
         at += heads[k][1]
-    own = Window.partitionBy("rest", "bucket").orderBy("doc_id", "n")
+    # rows that tie in all three have the same ids, so a task run again ranks them alike
+    own = Window.partitionBy("rest", "bucket").orderBy("doc_id", "n", F.sha2("ids", 256))
     ranked = keyed.select("doc_id", "n", "rest", "bucket", "whole", "width", "ids", (F.row_number().over(own) - 1).alias("r"), (F.sum("whole").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")).alias("wr"))
     ranked = ranked.join(sums.select("rest", "bucket", "c0", "w0"), ["rest", "bucket"]).select("doc_id", "n", "rest", "whole", "width", "ids", (F.col("r") + F.col("c0")).alias("rank"), (F.col("wr") + F.col("w0")).alias("whole_rank"))
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" if digests else "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
