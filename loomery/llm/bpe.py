@@ -234,7 +234,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     small_batches(df.sparkSession)
     new = [("n_tokens", T.LongType())] + ([("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
     names = [n for n, _ in new]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names and (keep is not None or c != text)]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names and (keep is not None or c.lower() != text.lower())]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,7 +163,7 @@ def predict(df: DataFrame, net: ByteConv | None, text: str = "text", keep: list[
 
     small_batches(df.sparkSession)
     names = ["lang_pred", "score"]
-    columns = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep is None else list(keep)
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names] if keep is None else list(keep)
     base = df.select(*columns)
     schema = T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     kept = base.columns

@@ -11,7 +11,9 @@ reference decides. Histograms of short documents are noise, so a document with f
 
 Defined results: a null or empty text has no words and fails the base rules. Documents with a null
 ``lang`` are judged like all others but add to no reference. With no reference at all (no document
-has a language) the base rules decide alone. Repeated rows are judged each on its own.
+has a language) the base rules decide alone. Repeated rows are judged each on its own. An empty table gives
+no references and no rows. Texts are read whole, however long, some megabytes of them at a time. Columns of the table whose names are
+those of the result in any case of letters give way to it; all others are handed through.
 """
 
 from __future__ import annotations
@@ -207,7 +209,7 @@ def judge(df: DataFrame, refs: list[dict], text: str = "text", keep: list[str] |
     long, flag, real = T.LongType(), T.BooleanType(), T.DoubleType()
     new = [("n_words", long), ("word_chars", long), ("n_symbols", long), ("n_dup_lines", long), ("n_repeat_words", long), ("base_failed", flag), ("kept", flag), ("class_distance", real), ("word_distance", real), ("nearest_lang", T.StringType())]
     names = [n for n, _ in new]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new])
     langs = np.array([r["lang"] for r in refs] or [None], dtype=object)
 

@@ -40,7 +40,8 @@ def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit(docs), keep=["doc_id"])
+    judged = quality.judge(docs, quality.fit(docs), keep=["doc_id"])
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +129,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+_CLASSES = {"a": "[^a-z]", "b": "[^A-Z]", "c": "[^0-9]", "d": "[^.,;:!?''\"()-]", "e": "[^#*$%&|<>]", "f": r"[^\x21-\x7F]|[a-zA-Z0-9.,;:!?''\"()#*$%&|<>-]", "g": r"[\x00-\x7F]"}
+_HALF = "CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END".format
+#: Jensen-Shannon distances are summed over the words of a reference that a document has; each of the others adds its share.
+_QUALITY = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM t),
+v AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS v FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+x AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM v), (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY r),
+b AS (SELECT r, doc_id, lang, w, len(w) AS n, length(array_to_string(w, '')) AS chars, {', '.join(f"length(regexp_replace(text, '{p}', '', 'g'))::DOUBLE AS {c}" for c, p in _CLASSES.items())},
+ len(l) - len(list_distinct(l)) AS dup, coalesce(x.n, 0) AS rep FROM t JOIN l USING (r) LEFT JOIN x USING (r)),
+o AS (SELECT *, n < 10 OR 100 * rep > 20 * n AS failed, a + b + c + d + e + f + g AS sum FROM b),
+h AS (SELECT lang, sum(n) AS words, count(*) AS docs, {', '.join(f"sum({c}) AS {c}" for c in _CLASSES)}, sum(sum) AS sum FROM o WHERE NOT failed AND lang IS NOT NULL GROUP BY 1),
+j AS (SELECT * FROM h WHERE docs >= 0.001 * (SELECT sum(docs) FROM h) AND sum > 0),
+q AS (SELECT lang, u.w, count(*) / any_value(j.words) AS q FROM (SELECT lang, unnest(w) AS w FROM o WHERE NOT failed AND lang IS NOT NULL) u JOIN j USING (lang) GROUP BY 1, 2 HAVING count(*) >= 0.002 * any_value(j.words)),
+z AS (SELECT j.lang, coalesce(sum(q), 0) AS known, greatest(0, 1 - coalesce(sum(q), 0)) AS rest FROM j LEFT JOIN q USING (lang) GROUP BY 1),
+c AS (SELECT r, w, count(*) AS c FROM (SELECT r, unnest(w) AS w FROM o) GROUP BY 1, 2),
+s AS (SELECT r, lang, sum({_HALF(p='(c / n)', q='q')}) AS js, sum(q) AS q, sum(c) / any_value(n) AS p FROM c JOIN q USING (w) JOIN (SELECT r, n FROM o) USING (r) GROUP BY 1, 2),
+k AS (SELECT o.r, j.lang, sqrt(least(1, greatest(0, ({' + '.join(_HALF(p=f'(o.{c} / greatest(1, o.sum))', q=f'(j.{c} / j.sum)') for c in _CLASSES)}) / 2))) AS by_class,
+ sqrt(least(1, greatest(0, (coalesce(s.js, 0) + z.known - coalesce(s.q, 0) + {_HALF(p='(CASE WHEN n = 0 THEN 0 ELSE greatest(0, 1 - coalesce(s.p, 0)) END)', q='z.rest')}) / 2))) AS by_word
+ FROM o CROSS JOIN j JOIN z ON z.lang = j.lang LEFT JOIN s ON s.r = o.r AND s.lang = j.lang),
+m AS (SELECT r, first(struct_pack(lang := lang, c := by_class, w := by_word) ORDER BY by_class + by_word, lang) AS m FROM k GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, e::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
+ NOT failed AND NOT (n >= 50 AND m.m.lang IS NOT NULL AND (m.m.c > 0.30 OR m.m.w > 0.55 OR m.m.c + m.m.w > 0.57)) AS kept,
+ round(coalesce(m.m.c, 0), 6) AS class_distance, round(coalesce(m.m.w, 0), 6) AS word_distance, m.m.lang AS nearest_lang FROM o LEFT JOIN m USING (r)"""
+
 _SUBSTRING = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
 h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM p),
@@ -170,6 +195,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM s JOIN (S
 
 #: The other operators hold trained models, XXH64 or tokenizers, which SQL lacks: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op4_divergence_rules": _QUALITY,
     "op6_relative_lz": _SUBSTRING,
     "op7_warc_shards": _WARC,
     "op11_tandem_runs": _RUNS,

@@ -297,7 +297,7 @@ def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str
 
     small_batches(df.sparkSession)
     names = ["score", "predicted", "evidence"]
-    columns = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep is None else list(keep)
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names] if keep is None else list(keep)
     base = df.select(*columns)
     schema = T.StructType([*base.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     kept = base.columns
