@@ -10,6 +10,11 @@ from loomery.config import CONFIG, STOP_WORDS
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+def edged(pattern: str) -> str:
+    r"""A pattern whose \b stands beside ASCII word characters; this engine's own counts letters of all scripts."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def words(text: Column) -> Column:
     """White-space words; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

@@ -35,14 +35,14 @@ def is_machine(text: Column) -> Column:
     for mark in MACHINE_MARKS:
         marked = marked | F.contains(t, F.lit(mark))
     for start in MACHINE_STARTS:
-        marked = marked | t.rlike(start)
+        marked = marked | t.rlike(T.edged(start))
     return marked | (tags > 0.15 * F.length(t))
 
 
 def carries_identifier(text: Column) -> Column:
     found = F.lit(False)
     for pattern in IDENTIFIERS:
-        found = found | F.coalesce(text, F.lit("")).rlike(pattern)
+        found = found | F.coalesce(text, F.lit("")).rlike(T.edged(pattern))
     return found
 
 

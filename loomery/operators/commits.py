@@ -40,7 +40,7 @@ CODE_NAMES = (r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b", r"--[a-z][a-z0-9-]{2,}\b", r
 def identifiers(text: Column) -> Column:
     """Code-like names, distinct, shape by shape in order."""
     t = F.coalesce(text, F.lit(""))
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in CODE_NAMES])))
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(T.edged(p)), F.lit(0)) for p in CODE_NAMES])))
 
 
 def known_identifiers(docs: DataFrame, code_tokens: DataFrame) -> DataFrame:

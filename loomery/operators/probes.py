@@ -175,7 +175,7 @@ def propose(docs: DataFrame, repo: str | None = None, per_doc: int = 3, families
         docs = docs.where("nullif(probe, '') is null")
     if "parent_name" in docs.columns:
         docs = docs.where("parent_name is null")
-    all_of = lambda c, pattern, g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
+    all_of = lambda c, pattern, g: F.regexp_extract_all(c, F.lit(T.edged(pattern)), F.lit(g))
     line = F.col("line")
     draft = lambda kind, level, what, expected: F.struct(F.lit(kind).alias("predicate"), F.lit(level).alias("level"), F.concat(F.lit(kind + " "), what).alias("probe"), expected.alias("probe_expected"))
     rows = lines(docs).where(~F.col("in_fence") & ~line.rlike(r"^\s*(?:>|$)"))
