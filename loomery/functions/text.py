@@ -96,10 +96,10 @@ def whole_word(hay: Column, term: Column) -> Column:
     return F.expr("true") & F.regexp_like(hay, F.concat(F.lit("(?<![A-Za-z0-9_])"), F.regexp_replace(term, r"([.\-+])", r"\\$1"), F.lit("(?![A-Za-z0-9_])")))
 
 
-def sha_tokens(text: Column) -> Column:
-    """7 to 10 hex digits that stand alone and are not all digits, distinct, in order."""
+def sha_tokens(text: Column, words: bool = True) -> Column:
+    """7 to 10 hex digits that stand alone and are not all digits, distinct, in order; not ``words``: nor all letters."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([0-9a-f]{7,10})(?![A-Za-z0-9_])"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda s: s.rlike("[a-f]")))
+    return F.array_distinct(F.filter(found, lambda s: s.rlike("[a-f]") & (F.lit(words) | s.rlike("[0-9]"))))
 
 
 def version_token(text: Column) -> Column:
