@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomery.config import CONFIG, EngineConfig
@@ -12,15 +15,17 @@ from .keyword import _bounded
 
 #: Letters of a gram: terms of fewer are not looked for.
 GRAM = 3
+#: Terms of up to so many letters are looked for in pieces of runs, by their first letters; longer ones by grams in whole texts.
+PIECE, HEAD = 64, 12
 #: Most files that an answer names for a term, and most unread ones that it lists.
 NAMES, CONTENTS, UNREAD = 4, 6, 15
 
 
 def grams(text: Column) -> Column:
     """The distinct runs of GRAM characters of a text."""
-    n = F.length(text)
-    whole = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
-    return F.when(n >= GRAM, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+    letters = F.split(text, "")  # a substring would be counted from the start of the text each time
+    whole = F.transform(F.sequence(F.lit(0), F.length(text) - GRAM), lambda i: F.concat(*[F.get(letters, i + k) for k in range(GRAM)]))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
 
 
 def holding(terms: DataFrame, texts: DataFrame, keys: list[str], text: str, scope: list[str] | None = None, lower: bool = True) -> DataFrame:
@@ -43,6 +48,45 @@ def holding(terms: DataFrame, texts: DataFrame, keys: list[str], text: str, scop
     return near.join(hay, [*scope, *keys]).select(*scope, *keys, F.explode(F.filter("terms", lambda t: F.contains(F.col("hay"), t))).alias("term"))
 
 
+def pieces(text: Column) -> Column:
+    """The distinct pieces of a lower-case text's runs of characters that terms are made of (state.contains_terms).
+
+    An occurrence of a term lies within one run; one of up to PIECE letters within one piece, as pieces begin every PIECE characters and go on for twice that.
+    """
+    run = r"[a-z0-9._\-]"
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?=({run}{{1,{2 * PIECE - 1}}})){run}{{1,{PIECE}}}"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda p: F.length(p) >= GRAM))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in range(0, batch.num_rows, 2_000):
+            piece, head = [], []
+            for p in batch.column(0).slice(part, 2_000).to_pylist():
+                own = {p[i : i + k] for i in range(len(p) - GRAM + 1) for k in range(GRAM, min(HEAD, len(p) - i) + 1)}
+                piece += [p] * len(own)
+                head += own
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array(head, pa.string())], names=["piece", "head"])
+
+
+def within(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """(piece, term): which distinct pieces hold which terms of up to PIECE letters: an equality join on the terms' first letters, then the whole term."""
+    asked = terms.select("term").distinct().where(F.length("term").between(GRAM, PIECE)).withColumn("head", F.substring("term", 1, HEAD))
+    return found.mapInArrow(_heads, "piece string, head string").join(_bounded(asked), "head").where("contains(piece, term)").select("piece", "term").distinct()
+
+
+def saying(terms: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, term): which texts hold which terms of state questions as substrings, letter case aside.
+
+    Texts meet terms through the distinct pieces of all texts, so the work grows with the words that there are and not with texts times terms.
+    """
+    own = texts.select(*keys, F.explode(pieces(F.lower(F.col(text)))).alias("piece"))
+    held = shared.written(within(terms, own.select("piece").distinct()), "pieces")
+    rows = own.join(held, "piece").select(*keys, "term").distinct()
+    long = terms.where(F.length("term") > PIECE)
+    return rows if long.isEmpty() else rows.unionByName(holding(long, texts, keys, text))
+
+
 def stale_terms(unmatched: DataFrame, stale: DataFrame) -> DataFrame:
     """(query_id, term, in_names, in_contents, n_files) of terms that no indexed document has and a file does that is not indexed yet.
 
@@ -52,7 +96,7 @@ def stale_terms(unmatched: DataFrame, stale: DataFrame) -> DataFrame:
     asked = unmatched.select("query_id", F.lower("term").alias("term")).distinct()
     open_ = stale.where(~F.coalesce("gated", F.lit(False))).select("corpus", "file", "body", "mtime_ms")
     keys = ["corpus", "file"]
-    kinds = [holding(asked, open_.withColumn("said", F.col(c)), keys, "said").withColumn("kind", F.lit(k)) for k, c in (("name", "file"), ("content", "body"))]
+    kinds = [saying(asked, open_.withColumn("said", F.col(c)), keys, "said").withColumn("kind", F.lit(k)) for k, c in (("name", "file"), ("content", "body"))]
     hits = kinds[0].unionByName(kinds[1]).join(open_.select(*keys, "mtime_ms"), keys)
     w = Window.partitionBy("term", "kind").orderBy(F.desc("mtime_ms"), "corpus", "file")
     top = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(NAMES, CONTENTS))
@@ -65,8 +109,15 @@ def stale_terms(unmatched: DataFrame, stale: DataFrame) -> DataFrame:
 def unmatched_terms(queries: DataFrame, indexed: DataFrame) -> DataFrame:
     """(query_id, term) of question terms that no indexed document holds."""
     terms = queries.select("query_id", F.explode(state.contains_terms(F.col("query"))).alias("term"))
-    known = holding(terms, indexed.select("corpus", "doc_ord", state.haystack().alias("hay_")), ["corpus", "doc_ord"], "hay_").select("term").distinct()
-    return terms.join(known, "term", "left_anti").select("query_id", "term")
+    hay = indexed.select("corpus", "doc_ord", state.haystack().alias("hay_"))
+    words = shared.written(hay.select(F.explode(pieces(F.col("hay_"))).alias("piece")).distinct(), "words")
+    # most terms are a word of some document; only the others are looked for inside of words
+    rest = shared.written(terms.select("term").distinct().join(words, F.col("term") == F.col("piece"), "left_anti"), "rest")
+    known = within(rest, words).select("term").distinct()
+    long = rest.where(F.length("term") > PIECE)
+    if not long.isEmpty():
+        known = known.unionByName(holding(long, hay, ["corpus", "doc_ord"], "hay_").select("term").distinct())
+    return terms.join(rest.join(known, "term", "left_anti"), "term", "left_semi").select("query_id", "term")
 
 
 def direct_reads(live: DataFrame, indexed: DataFrame, cfg: EngineConfig = CONFIG) -> tuple[DataFrame, DataFrame]:

@@ -160,3 +160,19 @@ def test_streamed_capture_is_batch_capture(spark, tmp_path):
         live.start(live.turns_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {r["ask"]: r for r in live.captured(spark, str(tmp_path / "out")).collect()}
     assert set(got) == {"t0", "t2", "t4"} and not got["t0"]["in_flight"] and got["t4"]["in_flight"] and got["t2"]["reply"] == "t3"
+
+
+def test_terms_inside_of_long_runs(spark):
+    """Terms are found through pieces of runs: across their borders, longer than a piece, beside other letters."""
+    import random
+
+    from loomery.operators import fresh
+
+    r = random.Random(3)
+    long = "".join(r.choice("abc.-_9") for _ in range(1500))
+    texts = ["", None, "Léa said abc-def.", long, f"x {long[700:900]}é{long[:90]}", "ABCdef " * 5, "ab"]
+    terms = sorted({long[i : i + k] for i in range(40, 1300, 61) for k in (3, 11, 12, 13, 64, 65, 127, 128, 200)} | {"abc", "bcd", "abc-d", "zzz", "said", "ab"})
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_ord long, body string")
+    got = fresh.saying(spark.createDataFrame([(t,) for t in terms], "term string"), d, ["doc_ord"], "body").collect()
+    want = sorted((k, t) for k, x in enumerate(texts) for t in terms if len(t) >= 3 and t in (x or "").lower())
+    assert sorted((x["doc_ord"], x["term"]) for x in got) == want
