@@ -28,11 +28,16 @@ def rescale_cosine(c: Column, cfg: EngineConfig = CONFIG) -> Column:
     return clamp01((c - cfg.cosine_floor) / cfg.cosine_span)
 
 
-def absolute_keyword(raw: Column, ideal: Column, cfg: EngineConfig = CONFIG) -> Column:
-    """Null where the magnitude is not above 0, which drops the document from the keyword leg."""
+def keyword_size(raw: Column, ideal: Column, cfg: EngineConfig = CONFIG) -> Column:
+    """The magnitude between floor and full score, 0 to 1; null without an ideal above 0."""
     low = F.least(F.lit(cfg.keyword_abs_floor), cfg.keyword_cov_floor * ideal)
     high = F.least(F.lit(cfg.keyword_abs_full), cfg.keyword_cov_full * ideal)
-    size = F.when(ideal > 0, clamp01((raw - low) / F.nullif(high - low, F.lit(0.0))))
+    return F.when(ideal > 0, clamp01((raw - low) / F.nullif(high - low, F.lit(0.0))))
+
+
+def absolute_keyword(raw: Column, ideal: Column, cfg: EngineConfig = CONFIG) -> Column:
+    """Null where the magnitude is not above 0, which drops the document from the keyword leg."""
+    size = keyword_size(raw, ideal, cfg)
     return F.when(size > 0, size * clamp01((raw / ideal) / cfg.keyword_cov_floor))
 
 

@@ -92,7 +92,13 @@ def absolute_keyword(spark: SparkSession, sf: str) -> DataFrame:
     q, d = A.questions(spark, sf), None
     p = A.index(spark, sf).prepare(q)
     rows = keyword.bm25f(q, d, prepared=p).join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"])
-    return rows.select("query_id", "doc_ord", S.absolute_keyword(F.col("raw"), F.col("ideal")).alias("k")).where("k > 1e-9").select("query_id", "doc_ord", F.round("k", 4).alias("keyword_score"))
+    return _on_scale(rows)
+
+
+def _on_scale(rows: DataFrame) -> DataFrame:
+    """Rows whose magnitude is above the floor; what coverage makes of it may round to nothing."""
+    above = rows.where(S.keyword_size(F.col("raw"), F.col("ideal")) > 1e-9)
+    return above.select("query_id", "doc_ord", F.round(S.absolute_keyword(F.col("raw"), F.col("ideal")), 4).alias("keyword_score"))
 
 
 @query(f"""{_STATS}, raw AS (SELECT query_id, doc_ord, sum(idf * w * 2.2 / (1.2 + w)) AS raw FROM (
