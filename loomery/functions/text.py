@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from loomery.config import CONFIG, STOP_WORDS
@@ -67,6 +69,11 @@ def slug(text: Column, cap: int | None = 60) -> Column:
     return F.regexp_replace(F.substring(s, 1, cap), "-+$", "") if cap else s
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value as a variable: an expression would be computed again in each turn of a loop inside of use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunk_total(n: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG.chunk_overlap) -> Column:
     """How many windows a text of n words has before the cap."""
     return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(float(size - overlap))) + 1).cast("long")
@@ -74,14 +81,21 @@ def chunk_total(n: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG
 
 def chunks(text: Column, size: int = CONFIG.chunk_words, overlap: int = CONFIG.chunk_overlap, cap: int | None = CONFIG.chunk_cap) -> Column:
     """Overlapping word windows, at most ``cap`` of them or, if it is None, all (``chunk_total`` tells how many there are)."""
-    w = words(text)
-    n = chunk_total(F.size(w), size, overlap)
-    n = n if cap is None else F.least(n, F.lit(cap))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ")))
+
+    def cut(w: Column) -> Column:
+        n = chunk_total(F.size(w), size, overlap)
+        n = n if cap is None else F.least(n, F.lit(cap))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ")))
+
+    return once(words(text), cut)
 
 
 def unchunk(parts: Column, overlap: int = CONFIG.chunk_overlap) -> Column:
     """The inverse of :func:`chunks`: later windows lose what they share with the one before."""
+    return once(parts, lambda p: _joined(p, overlap))
+
+
+def _joined(parts: Column, overlap: int) -> Column:
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda c: F.slice(F.split(c, " "), overlap + 1, 1_000_000))
     return F.when(F.size(parts) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.split(F.element_at(parts, 1), " "), F.flatten(rest)), " "))
 
