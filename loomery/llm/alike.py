@@ -7,11 +7,13 @@ enough must be left on both sides. The order puts shingles that a sample finds c
 what the search costs, never what it finds.
 
 Nothing emits all pairs of a group of copies. Equal sets are one node, and a set's parity sketch holds the
-parity of its members in each of ``BITS`` cells. First sets that share one of their ``HUBS`` least shingles
+parity of its members in each of its cells: a power of two, ``BITS`` at least and no fewer than members up to
+``MOST_BITS``; folding a sketch gives the one of half the cells. First sets that share one of their ``HUBS`` least shingles
 under different mixings are paired with one of them only: the hub, whose sketch is nearest to the majority's
 in each cell. The nearest hub of each node is verified and connects it; a second round does so for one node of
 each connected group. Then all pairs that could be alike and are not yet connected are verified. Before, pairs go whose sketches differ in more cells than alike sets may differ in
-members; that loses none either, as each cell that differs needs a member of its own. Shingles that the sample expects in more than
+members; that loses none either, as each cell that differs needs a member of its own. They go where they meet: runs of equal shingles give their
+members alone, runs of the same members become one, and only then sketches join them and pairs are made. Shingles that the sample expects in more than
 ``MAX_RUN`` texts are cut into blocks, and every two blocks meet in a group of their own.
 
 Defined results: null and empty texts have no shingles and are alike; a text of fewer words than a
@@ -21,7 +23,7 @@ own; of rows of one id and text one stays. An empty table gives no rows; extra c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .sparkutil import free_name, small_batches, written
 MAX_RUN = 4096
 #: Texts of the sample that finds common shingles, and how many of these are told to the tasks.
 SAMPLE, COMMON = 5000, 100_000
-#: Cells of a parity sketch, and of the filter that picks texts to be read again.
-BITS, CELLS = 1024, 1 << 24
+#: Fewest and most cells of a parity sketch, and cells of the filter that picks texts to be read again.
+BITS, MOST_BITS, CELLS = 1024, 1 << 16, 1 << 24
 HUBS = 4
 
 
@@ -60,10 +62,42 @@ def text_hash(text: str):
 
 def parity(shingles: np.ndarray) -> bytes:
     """The parity sketch of a set."""
-    odd = np.bincount((shingles & V.U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    bits = min(MOST_BITS, max(BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0))
+    odd = np.bincount((shingles & V.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as one of ``size`` bytes, a power of two that its own size is a multiple of."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+class Sketches:
+    """Sketches side by side, for the number of cells in which pairs of them differ."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():
+            # alike sets differ by a quarter in size, so by one fold at most
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            at = np.full(len(sketches), -1)
+            at[own] = np.arange(len(own))
+            self.tables[size] = at, np.stack([folded(sketches[i], size) for i in own.tolist()])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Cells that differ between x and y, 0 (nothing is known) where more than a fold lies between them."""
+        small, large = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+        out = np.zeros(len(x), np.int64)
+        for size, (at, table) in self.tables.items():
+            mine = np.flatnonzero((small == size) & (large <= 2 * size))
+            step = max(1, (1 << 25) // size)
+            for k in range(0, len(mine), step):
+                m = mine[k : k + step]
+                out[m] = np.bitwise_count(table[at[x[m]]] ^ table[at[y[m]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def name_of(shingles: np.ndarray) -> int:
     """The XXH64 of a set, as a signed number."""
     import xxhash
@@ -119,7 +153,7 @@ def nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, se
 def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], every: bool) -> DataFrame:
     """(key, block, label, g, n, pos, sketch): a row for each shingle of each prefix, in each block where it meets others.
 
-    Not ``every``: a row for each of the least shingles, with the sketch (null otherwise), in its own block only.
+    Not ``every``: a row for each of the least shingles, with the sketch of ``BITS`` cells (null otherwise), in its own block only.
     """
     often = common[1] > MAX_RUN
     keys, parts = common[0][often], -(-common[1][often] // MAX_RUN)
@@ -143,10 +177,11 @@ def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], every: bool
                 other = np.arange(len(again)) - np.repeat(np.cumsum(nb) - nb, nb)
                 block = np.minimum(other, mine[again]) * nb[again] + np.maximum(other, mine[again]) if every else block
                 key, own, pos = key[again], own[again], pos[again]
+            small = None if every else pa.array([folded(x, BITS // 8).tobytes() for x in batch.column(4).to_pylist()], pa.binary())
             for a in range(0, len(key), 100_000):
                 o = own[a : a + 100_000]
                 cols = [key[a : a + 100_000].view(np.int64), block[a : a + 100_000].astype(np.int32), label[o], g[o], n[o], pos[a : a + 100_000].astype(np.int32)]
-                sketch = batch.column(4).take(pa.array(o)) if not every else pa.nulls(len(o), pa.binary())
+                sketch = pa.nulls(len(o), pa.binary()) if small is None else small.take(pa.array(o))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), sketch], names=["key", "block", "label", "g", "n", "pos", "sketch"])
 
     return sets.select("label", "g", "n", "prefix" if every else "least", "sketch").mapInArrow(run, "key long, block int, label long, g long, n int, pos int, sketch binary")
@@ -165,12 +200,9 @@ def hubs(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(g, hub)[other], np.maximum(g, hub)[other]
 
 
-def partners(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of names within runs of equal (key, block) that have different labels and may be alike."""
-    key, block, label, g, n, pos = cols[:6]
-    run = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+def meetings(run: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of pairs of each run, sorted by size, that have different labels and may be alike, a step apart at a time."""
     n, left = n.astype(np.int64), n.astype(np.int64) - pos
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, step = np.arange(len(run)), 1
     while True:
         at = at[at + step < len(run)]
@@ -178,47 +210,95 @@ def partners(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         # rows of a run stand by size: once the next is too large, so are all after it
         at = at[4 * n[at + step] <= 5 * n[at]]
         if not len(at):
-            return np.concatenate(a), np.concatenate(b)
+            return
         to = at + step
         ok = alike(np.minimum(left[at], left[to]), n[at], n[to]) & (label[at] != label[to])
-        x, y = at[ok], to[ok]
-        a.append(np.minimum(g[x], g[y]))
-        b.append(np.maximum(g[x], g[y]))
+        yield at[ok], to[ok]
         step += 1
 
 
-def candidates(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], every: bool) -> DataFrame:
-    """Distinct pairs (a, b) of partners() over all shingles, or of hubs() over the least ones of each set."""
-    rows = postings(sets, common, every).repartition("key", "block").sortWithinPartitions("key", "block", "n", "g")
-
-    def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = partners(cols) if every else hubs(cols)
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def members(cols: list[np.ndarray]) -> pa.RecordBatch:
+    """(sig, label, g, n, pos) of the members of runs of equal (key, block) that may be alike with another; sig: a hash of all of a run's."""
+    key, block, label, g, n, pos = cols[:6]
+    run = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+    some = np.zeros(len(run), bool)
+    for x, y in meetings(run, label, n, pos):
+        some[x] = some[y] = True
+    at = np.flatnonzero(some)
+    run = run[at]
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(at) else np.zeros(0, int)
+    sig = V.mix64(np.add.reduceat(V.mix64(g[at].view(V.U64)), first)) if len(at) else np.zeros(0, V.U64)
+    sig = np.repeat(sig, np.diff(np.append(first, len(at)))).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (sig, label[at], g[at], n[at], pos[at])], names=["sig", "label", "g", "n", "pos"])
+
+
+def partners(cols: list) -> pa.RecordBatch:
+    """Distinct pairs (a, b) of names within runs of equal sig that have different labels, may be alike and whose sketches allow it."""
+    sig, label, g, n, pos, sketch = cols
+    run, size, held = np.cumsum(np.append(0, sig[1:] != sig[:-1])), n.astype(np.int64), Sketches(sketch)
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y in meetings(run, label, n, pos):
+        # members that differ are na + nb - 2 * both, and 9 * both >= 4 * (na + nb)
+        near = 9 * held.apart(x, y) <= size[x] + size[y]
+        a, b = g[x[near]], g[y[near]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def star(cols: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = hubs(cols)
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def in_runs(rows: DataFrame, keys: int, done: Callable[[list], pa.RecordBatch], schema: str, least: int, sketches: Callable | None = None) -> DataFrame:
+    """done over whole runs of rows that are sorted by their first ``keys`` columns, about ``least`` rows at a time.
+
+    sketches: what becomes of the last column, a list of bytes; it is left out otherwise.
+    """
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
+        held: list[list] = []
+        size = weight = 0
+
+        def joined(parts: list) -> list:
+            return [[x for p in parts for x in p[k]] if isinstance(parts[0][k], list) else np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)) for k in range(6)]
-            if not every:
-                cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BITS // 8))
+            cols: list = [np.asarray(batch.column(k)) for k in range(len(names) - 1)]
+            if sketches is not None:
+                cols.append(sketches(batch.column(len(names) - 1).to_pylist()))
             held.append(cols)
-            size += batch.num_rows
-            if size < (50_000 if every else MAX_RUN):
+            size, weight = size + batch.num_rows, weight + batch.nbytes
+            if size < least and weight < 1 << 26:
                 continue
-            tail = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            tail = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
             if len(tail):  # the last run may go on in the next batch
                 cut = int(tail[-1]) + 1
-                yield done([np.concatenate([*(h[k] for h in held[:-1]), cols[k][:cut]]) for k in range(len(cols))])
+                yield done(joined([*held[:-1], [c[:cut] for c in cols]]))
                 held = [[c[cut:] for c in cols]]
-                size = len(cols[0]) - cut
+                size, weight = len(cols[0]) - cut, 0
         if size:
-            yield done([np.concatenate([h[k] for h in held]) for k in range(len(held[0]))])
+            yield done(joined(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, schema)
+
+
+def candidates(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], every: bool) -> DataFrame:
+    """Distinct pairs (a, b) of partners() over all shingles, or of hubs() over the least ones of each set."""
+    rows = postings(sets, common, every).repartition("key", "block").sortWithinPartitions("key", "block", "n", "g")
+    if not every:
+        matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, BITS // 8)
+        return in_runs(rows, 2, star, "a long, b long", MAX_RUN, matrix).distinct()
+    met = in_runs(rows, 2, members, "sig long, label long, g long, n int, pos int", 50_000)
+    # in runs of the same members the least place of each is the one that rules out least
+    met = met.groupBy("sig", "g").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("pos").alias("pos"))
+    full = met.join(sets.select("g", "sketch"), "g").select("sig", "label", "g", "n", "pos", "sketch")
+    return in_runs(full.repartition("sig").sortWithinPartitions("sig", "n", "g"), 1, partners, "a long, b long", 20_000, list).distinct()
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,15 +307,16 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            # members that differ are na + nb - 2 * both, and 9 * both >= 4 * (na + nb)
+            k = np.arange(len(n))
+            apart = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist()).apart(k, k + len(n))
             good = pa.array(9 * apart <= n)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(good) for k in range(2)), pa.array(apart).filter(good)], names=["a", "b", "apart"])
 
     x = sets.select(F.col("g").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     y = sets.select(F.col("g").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, apart long")
+    small = F.least("na", "nb")
+    rows = pairs.join(x, "a").join(y, "b").where(4 * (F.col("na") + F.col("nb")) <= 9 * small)
+    return rows.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, apart long")
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -267,7 +348,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, see
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for k, (x, y) in enumerate(zip(shingle_sets(batch.column(2), width, seed), shingle_sets(batch.column(3), width, seed))):
+            # a text that stands in many pairs of a batch is cut once
+            texts = [batch.column(k).fill_null("").dictionary_encode() for k in (2, 3)]
+            cut = [list(shingle_sets(t.dictionary, width, seed)) for t in texts]
+            for k, (i, j) in enumerate(zip(texts[0].indices.to_pylist(), texts[1].indices.to_pylist())):
+                x, y = cut[0][i], cut[1][j]
                 # a repeated id has other texts too
                 same = name_of(x) == a[k] and name_of(y) == b[k]
                 good.append(bool(same and alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
@@ -294,7 +379,7 @@ def firsts(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
         tried, sure = (new, found) if tried is None else (tried.unionByName(new), sure.unionByName(found))
         label = written(components(sure), "labels")
         known = sets.join(label.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("root", "g"))
-    rest = written(possible(candidates(known, common, every=True), sets).drop("apart").join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = written(candidates(known, common, every=True).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = written(verified(rest, docs, sets, width, seed), "alike")
         label = components(sure.unionByName(more))

@@ -59,3 +59,34 @@ def test_near_dedup_links_at_the_bound_and_not_below(spark, monkeypatch, most):
     got = [x["doc_id"] for x in alike.keep_one(df).collect()]
     assert got.count(None) == 1 and sorted(x for x in got if x is not None) == sorted(want)
     assert alike.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [400, 3000])
+def test_pairs_below_the_bound_are_ruled_out_where_they_meet(spark, words):
+    """40 texts that share 82 % of their shingles (a similarity of 0.70): as pairs they would be 780 rows, at any length."""
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(words)]
+    texts = []
+    for k in range(40):
+        at = r.randrange(words - words * 18 // 100)
+        texts.append(" ".join(base[:at] + [f"o{k}x{i}" for i in range(words * 18 // 100)] + base[at + words * 18 // 100 :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = alike.common_shingles(docs, 5, 42)
+    sets = alike.nodes(docs, common, 5, 42).withColumn("label", alike.F.col("g"))
+    assert sets.count() == 40
+    near = sum(5 * len(shingles(a) & shingles(b)) >= 4 * len(shingles(a) | shingles(b)) for k, a in enumerate(texts) for b in texts[:k])
+    assert near <= alike.candidates(sets, common, every=True).count() <= near + 60
+
+
+def test_folded_sketches_are_those_of_fewer_cells(spark):
+    import numpy as np
+
+    some = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64))
+    wide = alike.parity(some)
+    assert len(wide) == 512 and len(alike.parity(some[:1024])) == 128
+    cells = np.bincount((some & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    assert alike.folded(wide, 128).tobytes() == np.packbits(cells.astype(bool)).tobytes()
+    both = alike.Sketches([wide, alike.parity(some[:2000]), alike.parity(some[:1000])])
+    assert both.apart(np.array([0, 0, 1]), np.array([0, 1, 2])).tolist()[0] == 0
+    # 2,000 members are 256 bytes, 1,000 are 128: a fold lies between them
+    assert 0 < both.apart(np.array([1]), np.array([2]))[0] <= 1000
