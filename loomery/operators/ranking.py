@@ -74,13 +74,13 @@ def envelope(as_of: datetime, cfg: EngineConfig = CONFIG) -> Column:
     return S.tier_boost(F.col("tier"), F.col("in_memory_index"), cfg) * S.recency_factor(F.col("modified"), as_of, cfg)
 
 
-def candidates(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, prepared: keyword.Prepared | None = None, index: Index | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``base`` above 0, term statistics): the whole ranking of each query before its best go on.
 
-    In keyword mode without filters nothing but the score is known of a row: no other column of a document is read for it.
+    most: in keyword mode without filters the first so many rows will do. In keyword mode without filters nothing but the score is known of a row: no other column of a document is read for it.
     """
     ready = prepared or (index.prepare(queries, cfg) if index is not None else keyword.prepare(queries, docs, cfg))
-    raw = keyword.bm25f(queries, docs, cfg, ready)
+    raw = keyword.best(ready, most, cfg) if most and semantic is None and filters is None else keyword.bm25f(queries, docs, cfg, ready)
     stats = keyword.term_stats(queries, docs, cfg, ready)
     if semantic is None:
         top = Window.partitionBy("query_id", "corpus")
@@ -115,7 +115,7 @@ def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: Dat
     semantic: (query_id, corpus, doc_ord, cos) makes the mode hybrid; without it the keyword score is
     scaled by each query's best, and nothing is ever refused.
     """
-    rows, stats = candidates(queries, docs, semantic, cfg, filters, prepared, index)
+    rows, stats = candidates(queries, docs, semantic, cfg, filters, prepared, index, most=max(cfg.rerank, limit))
     order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("base", 9)), "doc_ord")
     rows = rows.withColumn("_pass1", F.row_number().over(order)).where(F.col("_pass1") <= max(cfg.rerank, limit))
     left = ["body"] if "tier" in rows.columns else [*SHOWN, "body"]
