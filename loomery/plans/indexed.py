@@ -51,7 +51,7 @@ SELECT query_id, rank, doc_ord, round(raw, 4) AS raw FROM r WHERE rank <= 8""")
 def index_incremental_topk(spark: SparkSession, sf: str) -> DataFrame:
     """ST11: rankings of an index kept up by deltas are those of one built at once."""
     q = A.questions(spark, sf)
-    raw = keyword.bm25f(q, None, prepared=_grown(spark, sf).prepare(q))
+    raw = keyword.best(_grown(spark, sf).prepare(q), CONFIG.limit)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
     return raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CONFIG.limit).select("query_id", "rank", "doc_ord", F.round("raw", 4).alias("raw"))
 

@@ -50,7 +50,7 @@ SELECT query_id, rank, doc_ord, round(raw, 4) AS raw FROM r WHERE rank <= 8""")
 def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
     """A05, J01, J02, R02 in keyword mode: the eight best documents of every benchmark passage."""
     q = A.questions(spark, sf)
-    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
+    raw = keyword.best(A.index(spark, sf).prepare(q), CONFIG.limit)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
     return raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CONFIG.limit).select("query_id", "rank", "doc_ord", F.round("raw", 4).alias("raw"))
 
@@ -61,7 +61,7 @@ SELECT query_id, rank, doc_ord, round(score, 4) AS score FROM k WHERE rank <= 8"
 def normalised_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores over each query's best."""
     q = A.questions(spark, sf)
-    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
+    raw = keyword.best(A.index(spark, sf).prepare(q), CONFIG.limit)
     rows = raw.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_ord")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CONFIG.limit).select("query_id", "rank", "doc_ord", F.round("score", 4).alias("score"))
@@ -113,7 +113,7 @@ def absence_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """The refusal arithmetic, on the keyword evidence and a fixed phrase of 0.5."""
     q, d = A.questions(spark, sf), None
     p = A.index(spark, sf).prepare(q)
-    best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("best_raw"))
+    best = keyword.best(p, 1).groupBy("query_id", "corpus").agg(F.max("raw").alias("best_raw"))
     rows = keyword.term_stats(q, d, prepared=p).join(best, ["query_id", "corpus"]).withColumn("mode", F.lit("hybrid")).withColumn("top_phrase", F.lit(0.5)).withColumn("top_score", F.col("best_raw") / F.col("ideal"))
     return ranking.verdict(rows).select("query_id", F.round("lexical_coverage", 4).alias("lexical_coverage"), F.round("effective_phrase", 4).alias("effective_phrase"), "route", "confidence")
 
@@ -283,7 +283,7 @@ def requery_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Better question words from the three nearest documents of each passage."""
     q, d = A.questions(spark, sf), A.docs(spark, sf)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
-    weak = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q)).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    weak = keyword.best(A.index(spark, sf).prepare(q), 3).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     return ranking.requery_terms(weak, d, q).select("query_id", "term", F.round("weight", 4).alias("weight"), "pos")
 
 
@@ -297,6 +297,6 @@ def keyword_scale(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of two populations of questions at eight thresholds."""
     q, d = A.questions(spark, sf), None
     p = A.index(spark, sf).prepare(q)
-    best = keyword.bm25f(q, d, prepared=p).groupBy("query_id", "corpus").agg(F.max("raw").alias("raw"))
+    best = keyword.best(p, 1).groupBy("query_id", "corpus").agg(F.max("raw").alias("raw"))
     tops = best.join(keyword.term_stats(q, d, prepared=p).select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).select((F.col("query_id") % 2).cast("string").alias("population"), (F.col("raw") / F.col("ideal")).alias("ratio"))
     return querylog.keyword_scale(tops).withColumn("share", F.round("share", 4))
