@@ -22,6 +22,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """How many words there are, without a list of them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def stem(t: Column) -> Column:
     """Light suffix stripping of plain lower-case words of five letters or more."""
     n = F.length(t)
@@ -132,7 +137,9 @@ def trim_snippet(text: Column, limit: int = CONFIG.snippet_chars) -> Column:
 
 
 def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    """The first n words with single spaces; no more of the text is cut than they are."""
+    head = F.regexp_extract(F.coalesce(text, F.lit("")), rf"^{BLANK[:-1]}*+((?:[^\x20\x09-\x0D]++(?:{BLANK}+|\z)){{0,{n}}})", 1)
+    return F.array_join(F.slice(words(head), 1, n), " ")
 
 
 #: The named entities that are decoded, in the order in which that is done. Fixed values.

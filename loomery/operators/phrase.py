@@ -31,6 +31,13 @@ def stem(t: str) -> str:
     return t[:-1] if t.endswith("s") and not t.endswith("ss") else t
 
 
+def run_terms(run: str) -> tuple[str, ...]:
+    """The terms of what stands between two separators, as :func:`loomery.functions.text.tokenize` has them."""
+    clean = run.strip(".-/+")
+    parts = [p for p in re.split(r"[.\-/]", clean) if len(p) > 1]
+    return tuple(stem(form) for form in ([clean, *parts] if len(parts) > 1 else [clean]) if len(form) > 1 and form not in _STOP)
+
+
 def positions(text: str | None) -> list[tuple[str, int, int]]:
     """(term, start, end) of every search term; the parts of a compound share its span."""
     out = []

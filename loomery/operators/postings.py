@@ -4,8 +4,8 @@ Every build adds a *segment*, and a one-row manifest says which segments count.
 
 * ``documents``: its documents as they came, with ``own_chunks``, token counts by field and a content hash,
   partitioned by a hash of the document;
-* ``tokens``: the same documents' terms by field, partitioned by a hash of the file, which tells an update
-  what a replaced file had counted;
+* ``tokens``: the same documents' distinct terms with their counts by field, partitioned by a hash of the file, which
+  tells an update what a replaced file had counted;
 * ``postings``: (corpus, term, doc_ord, file) with term counts and lengths by field, partitioned by a hash of
   the term and sorted by term;
 * ``terms`` and ``stats``: signed changes of document frequencies and of a corpus's files, documents and token counts;
@@ -13,7 +13,8 @@ Every build adds a *segment*, and a one-row manifest says which segments count.
 
 All counts are whole numbers, so the sum of the changes of any series of updates equals a count of the
 documents that are left, and scores are those of an index built at once. A document is tokenised when it is
-new or changed, never when it is searched. Search reads the partitions of the terms that are asked for,
+new or changed, never when it is searched, and its terms are counted where it is tokenised: postings are dealt out
+once, by term. Search reads the partitions of the terms that are asked for,
 and of these the row groups that hold them.
 """
 
@@ -32,7 +33,7 @@ from . import keyword, upkeep
 
 FIELDS = ("name", "description", "headings", "facts", "body")
 #: What makes indexes of different code incompatible: such an index is built anew.
-FORMAT = 2
+FORMAT = 3
 #: Most terms or ids that are written into a scan as literals, and most dead files that are broadcast.
 LITERALS, BROADCAST_FILES = 256, 200_000
 
@@ -182,27 +183,26 @@ def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | Non
         kept[f"{segment}/{table}"] = _write(rows, path, table, segment, parts, order, ranged)
         return spark.read.schema(rows.schema).parquet(f"{path}/{table}/segment={segment}")
 
-    counts = {f: F.size(f"in_{f}") for f in FIELDS}
     # the document itself travels beside its tokens, so both come of one pass over the input
-    own = fresh.withColumn("content", _content(fresh)).withColumn("own_chunks", F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(CONFIG.chunk_cap)))
-    tokens = keyword.field_tokens(own, ["content"])
-    sized = tokens.select("corpus", "doc_ord", "file", "content", *[f"in_{f}" for f in FIELDS], *[n.alias(f"n_{f}") for f, n in counts.items()], _part(layout.file_parts, "corpus", "file").alias("part"))
+    own = fresh.withColumn("content", _content(fresh)).withColumn("own_chunks", F.least(T.chunk_total(T.word_count(F.col("body"))), F.lit(CONFIG.chunk_cap)))
+    sized = keyword.term_counts(own, ["content"]).withColumn("part", _part(layout.file_parts, "corpus", "file"))
     sized = write(sized, "tokens", layout.file_parts, ["file", "doc_ord"])
     write(own.withColumn("part", _part(layout.doc_parts, "corpus", "doc_ord")), "documents", layout.doc_parts, ["doc_ord"])
-    of = lambda k: lambda t: F.struct(t.alias("term"), F.lit(k).alias("f"))
-    tagged = F.concat(*[F.transform(F.col(f"in_{f}"), of(k)) for k, f in enumerate(FIELDS)])
     lens = [f"n_{f}" for f in FIELDS]
-    each = sized.select("corpus", "doc_ord", "file", *lens, F.explode(tagged).alias("x")).groupBy("corpus", "doc_ord", "file", *lens, "x.term").agg(*[F.count(F.when(F.col("x.f") == k, 1)).cast("int").alias(f"tf_{f}") for k, f in enumerate(FIELDS)])
-    posts = write(each.withColumn("part", _part(layout.term_parts, "term")), "postings", layout.term_parts, ["term", "doc_ord"], ranged=True)
-    plus = posts.groupBy("corpus", "term").agg(F.countDistinct("file").alias("df"))
+    each = sized.select("corpus", "doc_ord", "file", *lens, F.explode("hits").alias("x")).select("corpus", "doc_ord", "file", *lens, "x.*")
     total = lambda d, sign: d.groupBy("corpus").agg((sign * F.countDistinct("file")).alias("files"), (sign * F.count(F.lit(1))).alias("docs"), *[(sign * F.sum(c)).alias(c) for c in lens])
     stats = total(sized, 1)
+    files, ids, docs = sized.agg(F.countDistinct("corpus", "file"), F.countDistinct("corpus", "doc_ord", "file"), F.count(F.lit(1))).first()
+    if ids < docs:  # a document that came twice is counted as one
+        each = each.groupBy("corpus", "doc_ord", "file", *lens, "term").agg(*[F.sum(f"tf_{f}").cast("int").alias(f"tf_{f}") for f in FIELDS])
+    posts = write(each.withColumn("part", _part(layout.term_parts, "term")), "postings", layout.term_parts, ["term", "doc_ord"], ranged=True)
+    # where every file is one document, its terms are distinct as they are
+    plus = posts.groupBy("corpus", "term").agg((F.count(F.lit(1)) if files == docs else F.countDistinct("file")).alias("df"))
     if gone is not None and previous is not None:
         # what replaced and removed files had counted, out of their own partitions
         parts = [r[0] for r in gone.select(_part(layout.file_parts, "corpus", "file")).distinct().collect()]
         old = previous._alive(previous._read("tokens").where(F.col("part").isin(parts)).drop("part")).join(gone, ["corpus", "file"], "left_semi")
-        words = F.array_distinct(F.concat(*[f"in_{f}" for f in FIELDS]))
-        minus = old.select("corpus", "file", F.explode(words).alias("term")).groupBy("corpus", "term").agg((-F.countDistinct("file")).alias("df"))
+        minus = old.select("corpus", "file", F.explode("hits.term").alias("term")).groupBy("corpus", "term").agg((-F.countDistinct("file")).alias("df"))
         plus, stats = plus.unionByName(minus), stats.unionByName(total(old, -1))
         stats = stats.groupBy("corpus").agg(*[F.sum(c).alias(c) for c in ("files", "docs", *lens)])
     change = plus.groupBy("corpus", "term").agg(F.sum("df").alias("df")).where("df <> 0")
