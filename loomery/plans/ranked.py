@@ -8,6 +8,7 @@ from loomery.config import CONFIG, STOP_WORDS
 from loomery.functions import scoring as S, text as T
 from loomery.operators import dense, keyword, querylog, ranking
 from loomery.operators.phrase import phrase_window
+from loomery.sources import shared
 
 from . import adapters as A, sqltext as X
 
@@ -192,8 +193,7 @@ SELECT query_id, doc_ord, project, round(raw, 4) AS score FROM s WHERE slot <= 2
 def slot_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most two rows a file, the source standing for the file."""
     q, index = A.questions(spark, sf), A.index(spark, sf)
-    d = index.documents()
-    rows = keyword.bm25f(q, None, prepared=index.prepare(q)).join(d.select("corpus", "doc_ord", F.col("project").alias("file")), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
+    rows = keyword.best(index.prepare(q), 2, only=index.documents().select("corpus", "doc_ord", F.col("project").alias("file")), label="file").withColumn("score", F.round("raw", 6))
     return ranking.slot_cap(rows, 2).select("query_id", "doc_ord", F.col("file").alias("project"), F.round("raw", 4).alias("score"))
 
 
@@ -203,8 +203,8 @@ SELECT query_id, rank, doc_ord, tier FROM r WHERE rank <= 8""")
 def archive_share(spark: SparkSession, sf: str) -> DataFrame:
     """W05"""
     q, index = A.questions(spark, sf), A.index(spark, sf)
-    d = index.documents()
-    rows = keyword.bm25f(q, None, prepared=index.prepare(q)).join(d.select("corpus", "doc_ord", "tier"), ["corpus", "doc_ord"]).withColumn("score", F.round("raw", 6))
+    # of no tier more rows than the limit can be shown
+    rows = keyword.best(index.prepare(q), CONFIG.limit, only=index.documents(), label="tier").withColumn("score", F.round("raw", 6))
     return ranking.archive_cap(rows).select("query_id", "rank", "doc_ord", "tier")
 
 
@@ -218,8 +218,9 @@ SELECT r.query_id, r.doc_ord, round(CASE WHEN r.score >= 0.2 AND gain > 0 THEN r
 def graph_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Lending over a link graph made by rule; the scaled keyword score stands for the semantic one."""
     q = A.questions(spark, sf)
-    raw = keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q))
-    rows = raw.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 3)).withColumn("semantic_score", F.col("score"))
+    raw = shared.written(keyword.bm25f(q, None, prepared=A.index(spark, sf).prepare(q)), "raw")
+    best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))  # a row a question
+    rows = raw.join(keyword._bounded(best), "query_id").withColumn("score", F.round(F.col("raw") / F.col("best"), 3)).withColumn("semantic_score", F.col("score")).drop("best")
     return ranking.graph_spread(rows, A.edges(spark, sf)).select("query_id", "doc_ord", F.round("score", 4).alias("score"))
 
 
