@@ -74,36 +74,48 @@ def envelope(as_of: datetime, cfg: EngineConfig = CONFIG) -> Column:
     return S.tier_boost(F.col("tier"), F.col("in_memory_index"), cfg) * S.recency_factor(F.col("modified"), as_of, cfg)
 
 
-def candidates(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, prepared: keyword.Prepared | None = None, index: Index | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, prepared: keyword.Prepared | None = None, index: Index | None = None, most: int | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``base`` above 0, term statistics): the whole ranking of each query before its best go on.
 
-    most: in keyword mode without filters the first so many rows will do. In keyword mode without filters nothing but the score is known of a row: no other column of a document is read for it.
+    most: in keyword mode the first so many rows will do. only: (corpus, doc_ord) of the documents whose rows are asked for. In keyword mode without filters nothing but the score is known of a row: no other column of a document is read for it.
     """
     ready = prepared or (index.prepare(queries, cfg) if index is not None else keyword.prepare(queries, docs, cfg))
-    raw = keyword.best(ready, most, cfg) if most and semantic is None and filters is None else keyword.bm25f(queries, docs, cfg, ready)
     stats = keyword.term_stats(queries, docs, cfg, ready)
     if semantic is None:
         top = Window.partitionBy("query_id", "corpus")
-        found = raw.withColumn("keyword_score", F.col("raw") / F.max("raw").over(top)).withColumn("semantic_score", F.lit(0.0))
-        if filters is None:
-            return found.withColumn("base", F.col("keyword_score")).where("base > 0"), stats
-    else:
-        kw = raw.join(stats.select("query_id", "corpus", "ideal"), ["query_id", "corpus"]).withColumn("keyword_score", S.absolute_keyword(F.col("raw"), F.col("ideal"), cfg)).where("keyword_score is not null").drop("ideal")
-        sem = semantic.select("query_id", "corpus", "doc_ord", S.rescale_cosine(F.col("cos"), cfg).alias("semantic_score"))
-        found = kw.join(sem, ["query_id", "corpus", "doc_ord"], "full_outer").fillna(0.0, ["keyword_score", "semantic_score", "raw"])
+        scaled = lambda rows, best: rows.withColumn("keyword_score", F.col("raw") / best).withColumn("semantic_score", F.lit(0.0)).withColumn("base", F.col("keyword_score")).where("base > 0")
+        if most and only is None:
+            # the best row counts even where it does not pass
+            seen = None if filters is None else docs.select("corpus", "doc_ord", F.coalesce(filters, F.lit(False)).alias("_passes"))
+            rows = scaled(keyword.best(ready, most, cfg, seen, None if filters is None else "_passes"), F.max("raw").over(top))
+            if filters is None:
+                return rows, stats
+            return rows.where("_passes").drop("_passes"), stats
+        best = keyword.best(ready, 1, cfg).groupBy("query_id", "corpus").agg(F.max("raw").alias("_best"))
+        raw = keyword.bm25f(queries, docs, cfg, ready, only if filters is None else _passing(docs, filters, only))
+        return scaled(raw.join(keyword._bounded(best), ["query_id", "corpus"]), F.col("_best")).drop("_best"), stats
+    raw = keyword.bm25f(queries, docs, cfg, ready)
+    kw = raw.join(keyword._bounded(stats.select("query_id", "corpus", "ideal")), ["query_id", "corpus"]).withColumn("keyword_score", S.absolute_keyword(F.col("raw"), F.col("ideal"), cfg)).where("keyword_score is not null").drop("ideal")
+    sem = semantic.select("query_id", "corpus", "doc_ord", S.rescale_cosine(F.col("cos"), cfg).alias("semantic_score"))
+    found = kw.join(sem, ["query_id", "corpus", "doc_ord"], "full_outer").fillna(0.0, ["keyword_score", "semantic_score", "raw"])
     own = F.col("own_chunks") if "own_chunks" in docs.columns else F.least(T.chunk_total(F.size(T.words(F.col("body")))), F.lit(cfg.chunk_cap))
     section = F.coalesce(F.col("is_section"), F.lit(False)) if "is_section" in docs.columns else F.lit(False)
     meta = docs.select("corpus", "doc_ord", *SHOWN, own.alias("own_chunks"), section.alias("_section"), (F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))).alias("_passes"))
-    rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"]).withColumn("base", F.col("keyword_score"))
-    if semantic is not None:
-        bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("parent_chunks"))
-        reference = reference_chunks(bulk.select("corpus", F.col("parent_chunks").alias("n_chunks")))
-        # A section weighs as much of its file's bulk as cfg.section_beta says
-        heavy = F.when(F.col("_section"), S.section_chunks(F.col("own_chunks"), F.col("parent_chunks"), cfg.section_beta)).otherwise(F.col("parent_chunks"))
-        rows = rows.join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus").withColumn("n_chunks", heavy)
-        long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
-        rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
-    return rows.drop("_section").where("base > 0"), stats
+    rows = found.join(meta.where("_passes").drop("_passes"), ["corpus", "doc_ord"])
+    bulk = meta.groupBy("corpus", "file").agg(F.sum("own_chunks").alias("parent_chunks"))
+    reference = reference_chunks(bulk.select("corpus", F.col("parent_chunks").alias("n_chunks")))
+    # A section weighs as much of its file's bulk as cfg.section_beta says
+    heavy = F.when(F.col("_section"), S.section_chunks(F.col("own_chunks"), F.col("parent_chunks"), cfg.section_beta)).otherwise(F.col("parent_chunks"))
+    rows = rows.join(bulk, ["corpus", "file"]).join(F.broadcast(reference), "corpus").withColumn("n_chunks", heavy)
+    long_doc = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword_score"), cfg)
+    rows = rows.withColumn("base", cfg.fuse_keyword * F.col("keyword_score") + cfg.fuse_semantic * F.col("semantic_score") * long_doc)
+    rows = rows.drop("_section").where("base > 0")
+    return (rows if only is None else rows.join(only.select("corpus", "doc_ord"), ["corpus", "doc_ord"], "left_semi")), stats
+
+
+def _passing(docs: DataFrame, filters: Column, only: DataFrame | None) -> DataFrame:
+    passing = docs.where(filters).select("corpus", "doc_ord")
+    return passing if only is None else passing.join(only.select("corpus", "doc_ord"), ["corpus", "doc_ord"], "left_semi")
 
 
 def rank_one(queries: DataFrame, docs: DataFrame, as_of: datetime, semantic: DataFrame | None = None, cfg: EngineConfig = CONFIG, filters: Column | None = None, limit: int = CONFIG.limit, prepared: keyword.Prepared | None = None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +152,16 @@ def graph_spread(scored: DataFrame, edges: DataFrame, cfg: EngineConfig = CONFIG
     edges = edges.where(F.col("corpus").isin(*cfg.spread_corpora))
     both = edges.select("corpus", F.col("src").alias("donor"), F.col("dst").alias("doc_ord")).unionByName(edges.select("corpus", F.col("dst").alias("donor"), F.col("src").alias("doc_ord"))).where("donor <> doc_ord").distinct()
     order = Window.partitionBy("query_id", "corpus").orderBy(F.desc("score"), "doc_ord")
-    donors = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.spread_from).select("query_id", "corpus", F.col("doc_ord").alias("donor"), F.col("score").alias("lent"))
-    gain = donors.join(both, ["corpus", "donor"]).groupBy("query_id", "corpus", "doc_ord").agg((cfg.spread_alpha * F.sum("lent")).alias("gain"))
+    # a histogram of scores tells from which step on the first rows of a query lie: all others are neither shuffled nor sorted
+    step = F.floor(F.col("score") * 1000)
+    above = Window.partitionBy("query_id", "corpus").orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = scored.groupBy("query_id", "corpus", step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    least = steps.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).where(F.col("_above") < cfg.spread_from).groupBy("query_id", "corpus").agg(F.min("_step").alias("_least"))
+    first = scored.join(keyword._bounded(least), ["query_id", "corpus"]).where(step >= F.col("_least")).drop("_least")
+    donors = first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.spread_from).select("query_id", "corpus", F.col("doc_ord").alias("donor"), F.col("score").alias("lent"))
+    donors = keyword._bounded(shared.written(donors, "donors"))
+    gain = both.join(donors, ["corpus", "donor"]).groupBy("query_id", "corpus", "doc_ord").agg((cfg.spread_alpha * F.sum("lent")).alias("gain"))
+    gain = keyword._bounded(shared.written(gain, "gain"))
     joined = scored.join(gain, ["query_id", "corpus", "doc_ord"], "left")
     got = F.when(F.col("semantic_score") >= cfg.spread_gate, F.coalesce("gain", F.lit(0.0))).otherwise(0.0)
     return joined.withColumn("graph_spread", F.round(got, 4)).withColumn("score", F.when(got > 0, F.round(F.col("score") + got, 4)).otherwise(F.col("score"))).drop("gain")
@@ -238,7 +258,9 @@ def search_phrasings(queries: DataFrame, phrasings: DataFrame, docs: DataFrame |
     answered = own.join(labels, doc, "left").withColumn("matched_via", F.when(~F.col("weak"), F.col("matched_via"))).drop("variant")
     extra = strong.join(own.where("not weak").select(*doc), doc, "left_anti")
     best = extra.groupBy(*doc).agg(F.max_by(F.struct("name", "file", "score", "snippet"), F.struct("score", -F.col("variant"))).alias("x"), said(None).alias("matched_via"))
-    whole = candidates(queries, docs, semantic.where("variant = 0").drop("variant") if semantic is not None else None, filters=filters, cfg=cfg, index=index)[0]
+    best = shared.written(best, "via")
+    # the question's own score of these documents, and of no others
+    whole = candidates(queries, docs, semantic.where("variant = 0").drop("variant") if semantic is not None else None, filters=filters, cfg=cfg, index=index, only=best.select("corpus", "doc_ord").distinct())[0]
     mine = best.select(*doc).join(whole.select(*doc, "base"), doc)
     meta = index.of(best, ["tier", "in_memory_index", "modified"]) if index is not None else docs.select("corpus", "doc_ord", "tier", "in_memory_index", "modified")
     mine = mine.join(meta, ["corpus", "doc_ord"]).select(*doc, F.round(F.col("base") * envelope(as_of, cfg), 4).alias("_plain"))
