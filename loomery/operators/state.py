@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -120,9 +121,68 @@ def browse(docs: DataFrame, limit: int = 10) -> DataFrame:
     return docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+#: Characters of which a term lies whole between two others, and runs of which a task keeps what they hold.
+_PIECE = r"[a-z0-9._-]+"
+KNOWN_RUNS = 300_000
+
+
+def _held_by_run(rows: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    """(term, df, df_word) of a task's texts. A term lies in one run of its characters, so each distinct run is looked through once, not each text."""
+    import re
+
+    import ahocorasick
+
+    tree, piece = ahocorasick.Automaton(), re.compile(_PIECE)
+    for k, t in enumerate(terms):
+        tree.add_word(t, (k, len(t)))
+    if terms:
+        tree.make_automaton()
+    df, df_word, known = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64), {}
+
+    def look(run: str) -> tuple[frozenset, frozenset]:
+        held, alone = set(), set()
+        for end, (k, n) in tree.iter(run):
+            held.add(k)
+            if (end - n < 0 or run[end - n] in ".-") and (end + 1 == len(run) or run[end + 1] in ".-"):
+                alone.add(k)
+        return frozenset(held), frozenset(alone)
+
+    for batch in rows if terms else ():
+        for hay in batch.column(0):
+            text = hay.as_py()
+            held, alone = set(), set()
+            for run in set(piece.findall(text)):
+                found = known.get(run)
+                if found is None:
+                    if len(known) >= KNOWN_RUNS:
+                        known.clear()
+                    found = known[run] = look(run)
+                if found[0]:
+                    held |= found[0]
+                    alone |= found[1]
+            df[list(held)] += 1
+            df_word[list(alone)] += 1
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array([terms[k] for k in some], pa.string()), pa.array(df[some]), pa.array(df_word[some])], names=["term", "df", "df_word"])
+
+
 def term_frequencies(terms: DataFrame, docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
-    """(term, df, df_word): documents that hold a term at all, and as a whole word."""
-    found = occurrences(docs, terms, cfg, words=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("word"), 1)).alias("df_word"))
+    """(term, df, df_word): documents that hold a term at all, and as a whole word.
+
+    Tasks count by themselves and give a row a term; no pair of a term and a document is a row. Terms of other characters than a state question's are looked for in whole texts.
+    """
+    own = terms.select("term").where("term is not null").distinct()
+    plain = own.where(F.col("term").rlike(rf"\A{_PIECE}\z"))
+    parts = max(1, -(-plain.count() // cfg.state_terms))
+    others = own.join(plain, "term", "left_anti")
+    found = own.limit(0).select("term", F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("df_word"))
+    if others.limit(1).count():
+        found = occurrences(docs, others, cfg, words=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("word"), 1)).alias("df_word"))
+    hay = docs.select(haystack().alias("hay"))
+    for k in range(parts):
+        batch = [r["term"] for r in plain.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
+        counted = hay.mapInArrow(lambda rows, b=batch: _held_by_run(rows, b), "term string, df long, df_word long")
+        found = found.unionByName(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("df_word").alias("df_word")))
     return terms.select("term").distinct().join(found, "term", "left").fillna(0, ["df", "df_word"])
 
 
