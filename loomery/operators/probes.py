@@ -6,6 +6,9 @@ commits: (repo, sha, at, on_mainline).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomery.functions import text as T
@@ -17,6 +20,9 @@ COSTLY = ("port_listening", "http_status", "sqlite_query_ro", "cmd_output_matche
 REFUSED = r"[;&|\x60$<>(){}\\\n\r\"']"
 GIT_REF = r"^(?:[A-Za-z0-9._^~/-]+(?:\.\.\.?[A-Za-z0-9._^~/-]+)?(?:\^\{(?:commit|tag|tree|blob|object)?\})?|--since=[0-9T:.Z+-]+)$"
 
+#: Bytes of texts and literals of one path that meet in a block, bytes that are looked through at a time (whole lines), and most cells of a trie's table.
+BLOCK_BYTES, BLOCK_LITERALS, PIECE_BYTES, TABLE_CELLS = 16_000_000, 100_000, 1_000_000, 1 << 24
+
 
 def parse_probe(probe: Column) -> Column:
     """Predicate and arguments of ``predicate a :: b``."""
@@ -42,6 +48,98 @@ def _above(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.coalesce(F.nullif(F.array_join(F.slice(parts, 1, n), "/"), F.lit("")), F.lit("/")))
 
 
+class _Trie:
+    """The literals of several paths, each path with a root of its own (1 and up; 0 is nowhere), over bytes."""
+
+    def __init__(self, roots: int, literals: list[tuple[int, bytes]]):
+        # a literal with a line break is in no line
+        self.rank = np.zeros(256, np.int64)
+        used = sorted({b for _, text in literals for b in text} - {10})
+        self.rank[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        edges: dict[int, int] = {}
+        self.ends, nodes = {}, roots + 1
+        for n, (root, text) in enumerate(literals):
+            if 10 not in text:
+                at = root
+                for r in self.rank[list(text)].tolist():
+                    step = at * self.width + r
+                    if step not in edges:
+                        edges[step], nodes = nodes, nodes + 1
+                    at = edges[step]
+                self.ends[at] = n
+        self.end = np.full(nodes, -1)
+        self.end[list(self.ends)] = list(self.ends.values())
+        self.steps = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in self.steps.tolist()], np.int64)
+        self.table = None
+        if nodes * self.width <= TABLE_CELLS:
+            self.table = np.zeros(nodes * self.width, np.int32)
+            self.table[self.steps] = self.to
+
+    def walk(self, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Where each of the nodes ``at`` leads by its byte, 0 for nowhere."""
+        step = at * self.width + byte
+        if self.table is not None:
+            return np.where(byte > 0, self.table[step], 0)
+        if not len(self.steps):
+            return np.zeros(len(at), np.int64)
+        near = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        return np.where((byte > 0) & (self.steps[near] == step), self.to[near], 0)
+
+
+def _count_lines(literals: pa.Table, texts: pa.Table) -> pa.Table:
+    """(a0, a1, n): how many lines of the path's texts hold each literal (a0, a1).
+
+    All places of all texts walk the trie of their path's literals at once, a byte at a time; places that leave it are dropped.
+    """
+    names = literals.column("a0").combine_chunks().dictionary_encode() if len(literals) else pa.array([], pa.string()).dictionary_encode()
+    trie = _Trie(len(names.dictionary), list(zip((np.asarray(names.indices) + 1).tolist(), literals.column("a1").cast(pa.binary()).to_pylist())))
+    counts = np.zeros(len(literals), np.int64)
+    own = np.asarray(pc.fill_null(pc.index_in(texts.column("a0"), value_set=names.dictionary), -1)).astype(np.int64) + 1
+    if len(texts):
+        flat = pc.binary_join_element_wise(texts.column("text").cast(pa.binary()).combine_chunks(), b"", b"\n")
+        offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        stop = np.flatnonzero(data == 10) + 1
+        size = np.diff(stop, prepend=0)
+        root = own[np.searchsorted(offsets - offsets[0], stop - size, side="right") - 1]
+        cuts = [0, *(np.flatnonzero(np.diff(stop // PIECE_BYTES)) + 1).tolist(), len(stop)]
+        for i, j in zip(cuts, cuts[1:]):
+            byte = trie.rank[data[stop[i] - size[i] : stop[j - 1]]]
+            at, line, place = np.repeat(root[i:j], size[i:j]), np.repeat(np.arange(j - i), size[i:j]), np.arange(len(byte))
+            held = []
+            while len(place):  # the line break ends every walk
+                at = trie.walk(at, byte[place])
+                at, place, line = at[at > 0], place[at > 0] + 1, line[at > 0]
+                hit = trie.end[at]
+                held.append((hit * (j - i) + line)[hit >= 0])
+            counts += np.bincount(np.unique(np.concatenate(held)) // (j - i), minlength=len(counts))
+    return pa.table({"a0": literals.column("a0"), "a1": literals.column("a1"), "n": counts})
+
+
+def _line_counts(greps: DataFrame, below: DataFrame, files: DataFrame) -> DataFrame:
+    """(a0, a1, n): how many lines of the files at or below the path a0 hold the literal a1.
+
+    A path's files are dealt over blocks, and its literals go to each of these: a text is read once for all literals of a path, and no pair of a
+    literal and a file is a row. greps: distinct (a0, a1); below: distinct (path, key).
+    """
+    n, size = files.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    tasks, size = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), size or 0
+    blocks = max(1, -(-size // BLOCK_BYTES), min(tasks, size // PIECE_BYTES))
+    each = max(1, -(-n // blocks))
+    asked = greps.groupBy("a0").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LITERALS).cast("int").alias("parts"))
+    of = below.withColumnRenamed("key", "a0")
+    dealt = of.join(asked, "a0").groupBy("a0", "parts").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("shares"))
+    block = lambda share, part: F.pmod(F.xxhash64("a0") + share * F.col("parts") + part, F.lit(blocks)).alias("block")
+    literals = greps.join(dealt, "a0").select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    literals = literals.select(block(F.col("share"), F.pmod(F.xxhash64("a1"), F.col("parts"))), "a0", "a1").distinct()
+    texts = of.join(dealt, "a0").join(files, "path").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    texts = texts.select(block(F.pmod(F.xxhash64("path"), F.col("shares")), F.col("part")), "a0", F.coalesce("text", F.lit("")).alias("text"))
+    found = literals.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_count_lines, "a0 string, a1 string, n long")
+    return found.groupBy("a0", "a1").agg(F.sum("n").alias("n"))
+
+
 def _of_files(asks: DataFrame, files: DataFrame) -> DataFrame:
     """(predicate, a0, a1, actual, state) of the predicates on files. A folder is there if a file lies below it.
 
@@ -51,12 +149,12 @@ def _of_files(asks: DataFrame, files: DataFrame) -> DataFrame:
     parent = F.when(F.contains("a0", F.lit("/")), F.coalesce(F.nullif(F.regexp_replace("a0", r"/[^/]*$", ""), F.lit("")), F.lit("/")))
     asks = asks.withColumn("parent", parent)
     wanted = asks.select(F.explode(F.array_compact(F.array("a0", "parent"))).alias("key")).distinct()
-    below = files.select("path", F.explode(_above(F.col("path"))).alias("key")).join(wanted, "key")
+    below = files.select("path").distinct().select("path", F.explode(_above(F.col("path"))).alias("key")).join(wanted, "key")
     there = below.select("key").distinct()
     asks = asks.join(there.select(F.col("key").alias("a0"), F.lit(True).alias("found")), "a0", "left").join(there.select(F.col("key").alias("parent"), F.lit(True).alias("reachable")), "parent", "left")
     text = F.split(F.coalesce("text", F.lit("")), "\n")
-    greps = asks.where("predicate = 'grep_count' and a1 <> ''").select("a0", "a1").join(below.withColumnRenamed("key", "a0"), "a0").join(files, "path")
-    counted = greps.groupBy("a0", "a1").agg(F.sum(F.size(F.filter(text, lambda s: F.contains(s, F.col("a1"))))).cast("string").alias("value")).withColumn("predicate", F.lit("grep_count"))
+    greps = asks.where("predicate = 'grep_count' and a1 <> ''").select("a0", "a1")
+    counted = _line_counts(greps, below, files).select("a0", "a1", F.col("n").cast("string").alias("value"), F.lit("grep_count").alias("predicate"))
     span = lambda g: F.regexp_extract("a1", r"^(\d{1,9})-(\d{1,9})$", g).try_cast("int")
     spans = asks.where("predicate = 'file_hash_span'").select("a0", "a1", span(1).alias("first"), span(2).alias("last")).join(files.withColumnRenamed("path", "a0"), "a0").withColumn("lines", text)
     inside = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.size("lines"))
