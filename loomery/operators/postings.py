@@ -7,7 +7,7 @@ Every build adds a *segment*, and a one-row manifest says which segments count.
 * ``tokens``: the same documents' distinct terms with their counts by field, partitioned by a hash of the file, which
   tells an update what a replaced file had counted;
 * ``postings``: (corpus, term, doc_ord, file) with term counts and lengths by field, partitioned by a hash of
-  the term and sorted by term;
+  the term and sorted by term, ``lead`` on one document of each file that has the term;
 * ``terms`` and ``stats``: signed changes of document frequencies and of a corpus's files, documents and token counts;
 * ``gone``: files that it replaces or removes. Rows of earlier segments are dead where a later segment has their file here.
 
@@ -33,9 +33,11 @@ from . import keyword, upkeep
 
 FIELDS = ("name", "description", "headings", "facts", "body")
 #: What makes indexes of different code incompatible: such an index is built anew.
-FORMAT = 3
+FORMAT = 4
 #: Most terms or ids that are written into a scan as literals, and most dead files that are broadcast.
 LITERALS, BROADCAST_FILES = 256, 200_000
+#: Bytes of bodies from which a first build writes documents where they are, each task into all partitions.
+DIRECT_BYTES = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -159,7 +161,7 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, table: str, segment: str, parts: int, order: list[str], ranged: bool = False) -> str:
-    """A segment's rows of a table, partitioned by ``part`` and sorted in it.
+    """A segment's rows of a table, partitioned by ``part`` and sorted in it; without ``order`` each task writes what it has.
 
     ``ranged``: tasks take ranges of (part, order), so a value with very many rows is cut; else hashes of the first of order spread a part. Gives the schema, which a
     table without rows would not tell a reader.
@@ -167,15 +169,15 @@ def _write(rows: DataFrame, path: str, table: str, segment: str, parts: int, ord
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts and ranged:
         rows = rows.repartitionByRange(n, "part", *order).sortWithinPartitions("part", *order)
-    elif parts:
+    elif parts and order:
         rows = rows.repartition(n, "part", _part(-(-n // parts), order[0])).sortWithinPartitions("part", *order)
     w = rows.write.mode("errorifexists").option("compression", "zstd")
     (w.partitionBy("part") if parts else w).parquet(f"{path}/{table}/segment={segment}")
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
-def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | None, previous: Index | None, layout: Layout, segments: list[str], note: dict) -> Index:
-    """Writes one segment and the manifest that makes it count. fresh: whole documents; gone: (corpus, file)."""
+def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | None, previous: Index | None, layout: Layout, segments: list[str], note: dict, size: int = 0) -> Index:
+    """Writes one segment and the manifest that makes it count. fresh: whole documents, with ``size`` bytes of bodies (0: unknown); gone: (corpus, file)."""
     segment = uuid.uuid4().hex
     kept = {k: v for k, v in (previous.manifest["schemas"] if previous is not None else {}).items() if k.split("/")[0] in segments}
 
@@ -183,21 +185,24 @@ def _add(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | Non
         kept[f"{segment}/{table}"] = _write(rows, path, table, segment, parts, order, ranged)
         return spark.read.schema(rows.schema).parquet(f"{path}/{table}/segment={segment}")
 
-    # the document itself travels beside its tokens, so both come of one pass over the input
+    # the input is read once; a file's documents come together to be tokenised, so a term's files are counted without another shuffle
     own = fresh.withColumn("content", _content(fresh)).withColumn("own_chunks", F.least(T.chunk_total(T.word_count(F.col("body"))), F.lit(CONFIG.chunk_cap)))
-    sized = keyword.term_counts(own, ["content"]).withColumn("part", _part(layout.file_parts, "corpus", "file"))
-    sized = write(sized, "tokens", layout.file_parts, ["file", "doc_ord"])
-    write(own.withColumn("part", _part(layout.doc_parts, "corpus", "doc_ord")), "documents", layout.doc_parts, ["doc_ord"])
+    own = own.withColumn("part", _part(layout.doc_parts, "corpus", "doc_ord"))
+    direct = size >= DIRECT_BYTES
+    own = write(own.sortWithinPartitions("part", "doc_ord") if direct else own, "documents", layout.doc_parts, [] if direct else ["doc_ord"])
+    counted = [c for c in ("corpus", "doc_ord", "file", "name", "description", "headings", "key_facts", "body", "content") if c in own.columns]
+    part, n = _part(layout.file_parts, "corpus", "file"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = own.select(*counted, part.alias("part")).repartition(n, "part", _part(-(-n // layout.file_parts), "file")).sortWithinPartitions("part", "corpus", "file", "doc_ord")
+    sized = write(keyword.term_counts(near, ["content", "part"]), "tokens", layout.file_parts, [])
     lens = [f"n_{f}" for f in FIELDS]
     each = sized.select("corpus", "doc_ord", "file", *lens, F.explode("hits").alias("x")).select("corpus", "doc_ord", "file", *lens, "x.*")
     total = lambda d, sign: d.groupBy("corpus").agg((sign * F.countDistinct("file")).alias("files"), (sign * F.count(F.lit(1))).alias("docs"), *[(sign * F.sum(c)).alias(c) for c in lens])
     stats = total(sized, 1)
-    files, ids, docs = sized.agg(F.countDistinct("corpus", "file"), F.countDistinct("corpus", "doc_ord", "file"), F.count(F.lit(1))).first()
+    ids, docs = sized.agg(F.countDistinct("corpus", "doc_ord", "file"), F.count(F.lit(1))).first()
     if ids < docs:  # a document that came twice is counted as one
-        each = each.groupBy("corpus", "doc_ord", "file", *lens, "term").agg(*[F.sum(f"tf_{f}").cast("int").alias(f"tf_{f}") for f in FIELDS])
+        each = each.groupBy("corpus", "doc_ord", "file", *lens, "term").agg(*[F.sum(f"tf_{f}").cast("int").alias(f"tf_{f}") for f in FIELDS], F.max("lead").alias("lead"))
     posts = write(each.withColumn("part", _part(layout.term_parts, "term")), "postings", layout.term_parts, ["term", "doc_ord"], ranged=True)
-    # where every file is one document, its terms are distinct as they are
-    plus = posts.groupBy("corpus", "term").agg((F.count(F.lit(1)) if files == docs else F.countDistinct("file")).alias("df"))
+    plus = posts.where("lead").groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     if gone is not None and previous is not None:
         # what replaced and removed files had counted, out of their own partitions
         parts = [r[0] for r in gone.select(_part(layout.file_parts, "corpus", "file")).distinct().collect()]
@@ -230,7 +235,7 @@ def build(docs: DataFrame, path: str, layout: Layout | None = None, allow_shrink
     previous = Index.open(spark, path)
     layout = layout or (previous.layout if previous is not None else Layout())
     whole = F.col("corpus").isNotNull() & F.col("file").isNotNull() & F.col("doc_ord").isNotNull()
-    n, failed = docs.agg(F.count(F.when(whole, 1)), F.count(F.when(~whole, 1))).first()
+    n, failed, size, files = docs.agg(F.count(F.when(whole, 1)), F.count(F.when(~whole, 1)), F.sum(F.octet_length("body")), F.countDistinct(F.when(whole, F.struct("corpus", "file")))).first()
     before = previous.manifest["docs"] if previous is not None else 0
     if not (n == 0 and before and allow_shrink):
         why = upkeep.refusal(n, before, failed)
@@ -239,8 +244,7 @@ def build(docs: DataFrame, path: str, layout: Layout | None = None, allow_shrink
     docs = docs.where(whole)
     note = {"docs": n, "failed": failed, "vanished": 0, "added": 0, "changed": 0, "removed": 0}
     if previous is None or previous.manifest["contract"] != contract(layout):
-        files = docs.select("corpus", "file").distinct().count()
-        return _add(spark, path, docs, None, previous, layout, [], note | {"added": files})
+        return _add(spark, path, docs, None, previous, layout, [], note | {"added": files}, size or 0)
     now = _digests(docs.select("corpus", "file", "doc_ord", _content(docs).alias("content")))
     diff = now.withColumnRenamed("digest", "now").join(previous.listing().withColumnRenamed("digest", "then"), ["corpus", "file"], "full_outer")
     kind = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from loomery.config import CONFIG, EngineConfig
 from loomery.functions import text as T
@@ -30,14 +35,54 @@ def synth_description(body: Column, limit: int = 400) -> Column:
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: A fence line, or a line that could head a section. Fixed value.
+FENCE_OR_HEAD = re.compile(r"^(?:[ \t]*(?:```|~~~)|##[ \t]+\S)", re.MULTILINE | re.ASCII)
+
+
+CUT = ArrayType(StructType().add("ix", IntegerType()).add("line", StringType()).add("first", IntegerType()).add("stop", IntegerType()).add("text", StringType()))
+NUMBERS = ArrayType(StructType().add("again", IntegerType()).add("newest", IntegerType()))
+
+
+@F.arrow_udf(CUT)
+def _cut(body: pa.Array, least: pa.Array) -> pa.Array:
+    """The ## sections of each text that have at least so many characters."""
+    out = []
+    for text, n in zip(body.to_pylist(), least.to_pylist()):
+        heads, inside = [], False
+        for m in FENCE_OR_HEAD.finditer(text or ""):
+            if m.group().startswith("##"):
+                heads += [] if inside else [m.start()]
+            else:
+                inside = not inside
+        ends = [h - 1 for h in heads[1:]] + [len(text or "")]
+        out.append([{"ix": k, "line": text[i:j].split("\n", 1)[0], "first": i, "stop": j, "text": text[i:j]} for k, (i, j) in enumerate(zip(heads, ends)) if j - i >= n])
+    return pa.array(out, pa.list_(pa.struct([("ix", pa.int32()), ("line", pa.string()), ("first", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])))
+
+
+@F.arrow_udf(NUMBERS)
+def _numbered(slugs: pa.Array, versions: pa.Array) -> pa.Array:
+    """For each section of a document how often its slug came up to it, and the place of its version from the newest, the first of equals before."""
+    out = []
+    for names, numbers in zip(slugs.to_pylist(), versions.to_pylist()):
+        seen: Counter = Counter()
+        order = sorted((k for k, v in enumerate(numbers or []) if v is not None), key=lambda k: -numbers[k])
+        place = {k: n for n, k in enumerate(order, 1)}
+        rows = []
+        for k, name in enumerate(names or []):
+            seen[name] += 1
+            rows.append({"again": seen[name], "newest": place.get(k)})
+        out.append(rows)
+    return pa.array(out, pa.list_(pa.struct([("again", pa.int32()), ("newest", pa.int32())])))
+
+
+def _heading(line: Column) -> Column:
+    return T.squeeze(F.regexp_replace(line, r"^##[ \t]+", ""))
+
+
 def split_sections(docs: DataFrame, min_chars: int = CONFIG.section_min_chars, key: str = "doc_ord", body: str = "body") -> DataFrame:
-    """(key, ix, heading, first, stop, text) of each ## section of min_chars or more, fences respected."""
-    rows = lines(docs, key, body)
-    head = F.col("line").rlike(r"^##[ \t]+\S") & ~F.col("in_fence")
-    section = F.sum(head.cast("int")).over(Window.partitionBy(key).orderBy("line_no"))
-    rows = rows.withColumn("ix", section).where("ix > 0")
-    parts = rows.groupBy(key, "ix").agg(F.min("start").alias("first"), F.max(F.col("start") + F.length("line")).alias("stop"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.min_by("line", "line_no").alias("heading"))
-    return parts.where(F.length("text") >= min_chars).select(key, (F.col("ix") - 1).cast("int").alias("ix"), T.squeeze(F.regexp_replace("heading", r"^##[ \t]+", "")).alias("heading"), "first", "stop", "text")
+    """(key, ix, heading, first, stop, text) of each ## section of min_chars or more, fences respected. A text is cut where its row is."""
+    rows = docs.select(key, F.explode(_cut(F.col(body), F.lit(min_chars))).alias("x"))
+    return rows.select(key, "x.ix", _heading(F.col("x.line")).alias("heading"), "x.first", "x.stop", "x.text")
 
 
 #: How an author marks a section as stale. Fixed value.
@@ -54,41 +99,46 @@ def section_docs(docs: DataFrame, cfg: EngineConfig = CONFIG) -> DataFrame:
     number the newest keep their tier; older ones and those that their author marked stale go to the archive. The stub has the parent's description (or
     name) and the number of sections for a body, and of its headings those that no section has, four at most. So that every row has a number of
     its own, doc_ord becomes doc_ord * SECTION_ROOM, and a section's follows its parent's; a document has fewer sections than that.
+    A document is cut where its row is: nothing is shuffled.
     """
     own = ["doc_ord", "name", "description", "tier", "headings", "hash", "size", "links", "backlinks", "body", "parent_name", "heading", "char_range", "is_section", "is_section_parent", "section_count"]
     kind = F.coalesce(F.col("type"), F.lit("")) if "type" in docs.columns else F.lit("")
     heads = F.col("headings") if "headings" in docs.columns else T.headings(F.col("body"))
     docs = docs.withColumn("headings", heads)
-    able = docs.where((F.length("body") >= cfg.section_min_doc) & (kind != "exchange") & (F.col("name") != "MEMORY"))
-    found = split_sections(able, cfg.section_min_chars)
-    enough = found.groupBy("doc_ord").agg(F.count(F.lit(1)).alias("section_count"), F.collect_set("heading").alias("_heads")).where(F.col("section_count") >= cfg.section_min_count)
-    found = found.join(enough.select("doc_ord"), "doc_ord").withColumn("slug", T.slug(F.col("heading")))
-    again = F.row_number().over(Window.partitionBy("doc_ord", "slug").orderBy("ix"))
-    version = T.version_token(F.col("heading"))
-    newest = F.row_number().over(Window.partitionBy("doc_ord", F.col("version").isNotNull()).orderBy(F.desc("version"), "ix"))
-    found = found.withColumn("again", again).withColumn("version", version).withColumn("newest", newest)
-    stale = F.col("heading").rlike(STALE_MARK) | (F.col("version").isNotNull() & (F.col("newest") > cfg.section_keep))
-    rest = [c for c in docs.columns if c not in own]
+    able = (F.length("body") >= cfg.section_min_doc) & (kind != "exchange") & (F.col("name") != "MEMORY")
+    docs = docs.withColumn("_cut", _cut(F.when(able, F.col("body")), F.lit(cfg.section_min_chars)))
+    docs = docs.withColumn("_cut", F.when(F.size("_cut") >= cfg.section_min_count, F.col("_cut"))).withColumn("_heads", F.transform("_cut", lambda x: _heading(x["line"])))
+    docs = docs.withColumn("section_count", F.when(F.col("_cut").isNotNull(), F.size("_cut")))
+    docs = docs.withColumn("_no", _numbered(F.transform("_heads", lambda h: T.slug(h)), F.transform("_heads", lambda h: T.version_token(h))))
+    rest = [c for c in docs.columns if c not in own and c not in ("_cut", "_heads", "_no")]
     none, text = F.array().cast("array<string>"), lambda v, t: F.lit(v).cast(t)
-    also = {c: none for c in ("links", "backlinks") if c in docs.columns}
-    children = found.join(docs.drop("body"), "doc_ord").select(
-        (F.col("doc_ord") * SECTION_ROOM + F.col("ix") + 1).alias("doc_ord"), *rest,
-        F.concat("name", F.lit("#"), "slug", F.when(F.col("again") > 1, F.concat(F.lit("-"), F.col("again"))).otherwise("")).alias("name"),
-        F.concat("name", F.lit(" — "), "heading").alias("description"), F.when(stale, "archive").otherwise(F.col("tier")).alias("tier"), F.array("heading").alias("headings"),
-        F.sha2(F.concat("name", F.lit("#"), "heading", F.lit("\n"), "text"), 256).alias("hash"), F.length("text").cast("long").alias("size"), *[v.alias(c) for c, v in also.items()],
-        F.col("name").alias("parent_name"), "heading", F.array("first", "stop").alias("char_range"), F.lit(True).alias("is_section"), F.lit(False).alias("is_section_parent"), text(None, "int").alias("section_count"), F.col("text").alias("body"),
-    )
+    also = [c for c in ("links", "backlinks") if c in docs.columns]
+    kinds = {c: docs.schema[c].dataType for c in also}
+
+    def child(x: Column) -> Column:
+        heading, body, again, newest = x["_heads"], x["_cut"]["text"], x["_no"]["again"], x["_no"]["newest"]
+        slug = T.slug(heading)
+        stale = heading.rlike(STALE_MARK) | F.coalesce(newest > cfg.section_keep, F.lit(False))
+        return F.struct(
+            (F.col("doc_ord") * SECTION_ROOM + x["_cut"]["ix"] + 1).alias("doc_ord"),
+            F.concat("name", F.lit("#"), slug, F.when(again > 1, F.concat(F.lit("-"), again)).otherwise("")).alias("name"),
+            F.concat("name", F.lit(" — "), heading).alias("description"), F.when(stale, "archive").otherwise(F.col("tier")).alias("tier"), F.array(heading).alias("headings"),
+            F.sha2(F.concat("name", F.lit("#"), heading, F.lit("\n"), body), 256).alias("hash"), F.length(body).cast("long").alias("size"), *[none.cast(kinds[c]).alias(c) for c in also],
+            F.col("name").alias("parent_name"), heading.alias("heading"), F.array(x["_cut"]["first"], x["_cut"]["stop"]).alias("char_range"), F.lit(True).alias("is_section"), F.lit(False).alias("is_section_parent"), text(None, "int").alias("section_count"), body.alias("body"),
+        )
+
     said = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name"))
     stub = F.concat(said, F.lit("\n\n("), F.col("section_count").cast("string"), F.lit(" sections, indexed individually.)"))
     split = F.col("section_count").isNotNull()
     kept = F.slice(F.filter("headings", lambda h: ~F.exists("_heads", lambda x: F.contains(h, x))), 1, 4)
     old = lambda c, t: (F.col(c) if c in docs.columns else text(None, t)).alias(c)
-    parents = docs.join(enough, "doc_ord", "left").select(
-        (F.col("doc_ord") * SECTION_ROOM).alias("doc_ord"), *rest, "name", "description", "tier", F.when(split, kept).otherwise(F.col("headings")).alias("headings"), old("hash", "string"), old("size", "long"), *also,
+    parent = F.struct(
+        (F.col("doc_ord") * SECTION_ROOM).alias("doc_ord"), "name", "description", "tier", F.when(split, kept).otherwise(F.col("headings")).alias("headings"), old("hash", "string"), old("size", "long"), *also,
         text(None, "string").alias("parent_name"), text(None, "string").alias("heading"), text(None, "array<int>").alias("char_range"),
         F.lit(False).alias("is_section"), split.alias("is_section_parent"), F.col("section_count").cast("int").alias("section_count"), F.when(split, stub).otherwise(F.col("body")).alias("body"),
     )
-    return parents.unionByName(children)
+    rows = F.when(split, F.concat(F.array(parent), F.transform(F.arrays_zip("_cut", "_heads", "_no"), child))).otherwise(F.array(parent))
+    return docs.select(*rest, F.explode(rows).alias("_x")).select("_x.doc_ord", *rest, *[f"_x.{c}" for c in ("name", "description", "tier", "headings", "hash", "size", *also, "parent_name", "heading", "char_range", "is_section", "is_section_parent", "section_count", "body")])
 
 
 def outline(docs: DataFrame, key: str = "doc_ord", body: str = "body") -> DataFrame:
