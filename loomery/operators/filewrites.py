@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import fresh
+from . import probes
 from .capture import is_machine
 
 #: What an agent's content blocks hold, the tools that write files, and where files do not last. Fixed values.
@@ -38,14 +38,16 @@ def written(turns: DataFrame) -> DataFrame:
 def named(turns: DataFrame, files: DataFrame) -> DataFrame:
     """(session_id, path) of files that their session's prose names, by path or by a base name of 12 letters or more that no other of its files has.
 
-    Names meet prose through grams within a session, not by a join of all pairs.
+    A session's prose is read once for all its names, in blocks: no pair of a name and a turn is a row.
     """
     base = F.element_at(F.split("path", "/"), -1)
     owners = files.withColumn("base", base).groupBy("session_id", "base").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where((F.col("n") == 1) & (F.length("base") >= SHORT_BASE))
     terms = files.select("session_id", "path", F.col("path").alias("term")).unionByName(owners.select("session_id", "path", F.col("base").alias("term")))
-    prose = blocks(turns).where("role in ('user', 'assistant') and prose <> ''").select("session_id", "ix", "prose")
-    held = fresh.holding(terms, prose, ["ix"], "prose", scope=["session_id"], lower=False).select("session_id", "term").distinct()
-    return terms.join(held, ["session_id", "term"]).select("session_id", "path").distinct()
+    prose = blocks(turns).where("role in ('user', 'assistant') and prose <> ''")
+    own = F.col("session_id").cast("string").alias("a0")
+    texts = prose.select(own, F.concat_ws(" ", "session_id", "ix").alias("path"), F.col("prose").alias("text"))
+    held = probes.holding(terms.select(own, F.col("term").alias("a1")).distinct(), texts)
+    return terms.withColumn("a0", own).join(held.withColumnRenamed("a1", "term"), ["a0", "term"]).select("session_id", "path").distinct()
 
 
 def measure(turns: DataFrame) -> DataFrame:

@@ -51,16 +51,16 @@ def _above(path: Column) -> Column:
 class _Trie:
     """The literals of several paths, each path with a root of its own (1 and up; 0 is nowhere), over bytes."""
 
-    def __init__(self, roots: int, literals: list[tuple[int, bytes]]):
+    def __init__(self, roots: int, literals: list[tuple[int, bytes]], stop: int = 10):
         # a literal with a line break is in no line
         self.rank = np.zeros(256, np.int64)
-        used = sorted({b for _, text in literals for b in text} - {10})
+        used = sorted({b for _, text in literals for b in text} - {stop})
         self.rank[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
         edges: dict[int, int] = {}
         self.ends, nodes = {}, roots + 1
         for n, (root, text) in enumerate(literals):
-            if 10 not in text:
+            if stop not in text:
                 at = root
                 for r in self.rank[list(text)].tolist():
                     step = at * self.width + r
@@ -88,25 +88,25 @@ class _Trie:
         return np.where((byte > 0) & (self.steps[near] == step), self.to[near], 0)
 
 
-def _count_lines(literals: pa.Table, texts: pa.Table) -> pa.Table:
-    """(a0, a1, n): how many lines of the path's texts hold each literal (a0, a1).
+def _count_lines(literals: pa.Table, texts: pa.Table, stop: int = 10) -> pa.Table:
+    """(a0, a1, n): how many lines of the path's texts hold each literal (a0, a1); ``stop``: the byte that ends a line.
 
     All places of all texts walk the trie of their path's literals at once, a byte at a time; places that leave it are dropped.
     """
     names = literals.column("a0").combine_chunks().dictionary_encode() if len(literals) else pa.array([], pa.string()).dictionary_encode()
-    trie = _Trie(len(names.dictionary), list(zip((np.asarray(names.indices) + 1).tolist(), literals.column("a1").cast(pa.binary()).to_pylist())))
+    trie = _Trie(len(names.dictionary), list(zip((np.asarray(names.indices) + 1).tolist(), literals.column("a1").cast(pa.binary()).to_pylist())), stop)
     counts = np.zeros(len(literals), np.int64)
     own = np.asarray(pc.fill_null(pc.index_in(texts.column("a0"), value_set=names.dictionary), -1)).astype(np.int64) + 1
     if len(texts):
-        flat = pc.binary_join_element_wise(texts.column("text").cast(pa.binary()).combine_chunks(), b"", b"\n")
+        flat = pc.binary_join_element_wise(texts.column("text").cast(pa.binary()).combine_chunks(), b"", bytes([stop]))
         offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
         data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        stop = np.flatnonzero(data == 10) + 1
-        size = np.diff(stop, prepend=0)
-        root = own[np.searchsorted(offsets - offsets[0], stop - size, side="right") - 1]
-        cuts = [0, *(np.flatnonzero(np.diff(stop // PIECE_BYTES)) + 1).tolist(), len(stop)]
+        last = np.flatnonzero(data == stop) + 1
+        size = np.diff(last, prepend=0)
+        root = own[np.searchsorted(offsets - offsets[0], last - size, side="right") - 1]
+        cuts = [0, *(np.flatnonzero(np.diff(last // PIECE_BYTES)) + 1).tolist(), len(last)]
         for i, j in zip(cuts, cuts[1:]):
-            byte = trie.rank[data[stop[i] - size[i] : stop[j - 1]]]
+            byte = trie.rank[data[last[i] - size[i] : last[j - 1]]]
             at, line, place = np.repeat(root[i:j], size[i:j]), np.repeat(np.arange(j - i), size[i:j]), np.arange(len(byte))
             held = []
             while len(place):  # the line break ends every walk
@@ -118,28 +118,35 @@ def _count_lines(literals: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"a0": literals.column("a0"), "a1": literals.column("a1"), "n": counts})
 
 
-def _line_counts(greps: DataFrame, below: DataFrame, files: DataFrame) -> DataFrame:
+def _line_counts(greps: DataFrame, below: DataFrame | None, files: DataFrame, stop: int = 10) -> DataFrame:
     """(a0, a1, n): how many lines of the files at or below the path a0 hold the literal a1.
 
     A path's files are dealt over blocks, and its literals go to each of these: a text is read once for all literals of a path, and no pair of a
-    literal and a file is a row. greps: distinct (a0, a1); below: distinct (path, key).
+    literal and a file is a row. greps: distinct (a0, a1); below: distinct (path, key), None where each row of files has its one a0.
     """
     n, size = files.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     tasks, size = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), size or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(tasks, size // PIECE_BYTES))
     each = max(1, -(-n // blocks))
     asked = greps.groupBy("a0").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LITERALS).cast("int").alias("parts"))
-    of = below.withColumnRenamed("key", "a0")
+    of = files.select("path", "a0") if below is None else below.withColumnRenamed("key", "a0")
     dealt = of.join(asked, "a0").groupBy("a0", "parts").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("shares"))
     block = lambda share, part: F.pmod(F.xxhash64("a0") + share * F.col("parts") + part, F.lit(blocks)).alias("block")
     literals = greps.join(dealt, "a0").select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     literals = literals.select(block(F.col("share"), F.pmod(F.xxhash64("a1"), F.col("parts"))), "a0", "a1").distinct()
-    texts = of.join(dealt, "a0").join(files, "path").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    full = files.join(dealt, "a0") if below is None else of.join(dealt, "a0").join(files, "path")
+    texts = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     texts = texts.select(block(F.pmod(F.xxhash64("path"), F.col("shares")), F.col("part")), "a0", F.coalesce("text", F.lit("")).alias("text"))
-    found = literals.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_count_lines, "a0 string, a1 string, n long")
+    count = lambda asks, own: _count_lines(asks, own, stop)
+    found = literals.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(count, "a0 string, a1 string, n long")
     return found.groupBy("a0", "a1").agg(F.sum("n").alias("n"))
 
 
+def holding(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a0, a1) of the terms that a text of their own group holds, letter by letter. terms: distinct (a0, a1); texts: (a0, path, text), path any label."""
+    return _line_counts(terms, None, texts, stop=255).where("n > 0").select("a0", "a1")  # no UTF-8 text has this byte
+
+
 def _of_files(asks: DataFrame, files: DataFrame) -> DataFrame:
     """(predicate, a0, a1, actual, state) of the predicates on files. A folder is there if a file lies below it.
 
