@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, without a probabilistic candidate step.
+"""Near-duplicates by the exact Jaccard similarity of word shingles; deletion variants of fingerprints propose first, prefixes find all the rest.
 
 Two texts are linked when their sets of shingles (64-bit hashes) have a Jaccard similarity of at least
 4/5. Candidates come from prefix filtering, which loses none: in any one order of all shingles, the
@@ -6,6 +6,10 @@ first n - ceil(4n/5) + 1 shingles of two such sets have one in common, and from
 enough must be left on both sides. The order puts shingles that a sample finds common last; it decides
 what the search costs, never what it finds.
 
+The SimHash of each set goes through the one-wildcard segment variants of simhash.links first: fingerprints that
+differ in at most ``NEAR_BITS`` bits propose a link, which counts only if their sets are alike. What they connect is not looked
+for again; what they miss, prefixes find.
+
 Nothing emits all pairs of a group of copies. Equal sets are one node, and a set's parity sketch holds the
 parity of its members in each of its cells: a power of two, ``BITS`` at least and no fewer than members up to
 ``MOST_BITS``; folding a sketch gives the one of half the cells. First sets that share one of their ``HUBS`` least shingles
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import wordvec as V
 from .links import components
-from .simhash import shingle_hashes
+from .simhash import links, shingle_hashes, vote
 from .sparkutil import free_name, small_batches, written
 
 MAX_RUN = 4096
@@ -40,6 +44,8 @@ SAMPLE, COMMON = 5000, 100_000
 #: Fewest and most cells of a parity sketch, and cells of the filter that picks texts to be read again.
 BITS, MOST_BITS, CELLS = 1024, 1 << 16, 1 << 24
 HUBS = 4
+#: Bits in which fingerprints may differ that propose a link.
+NEAR_BITS = 4
 
 
 def alike(both, a, b):
@@ -123,14 +129,20 @@ def common_shingles(docs: DataFrame, width: int, seed: int) -> tuple[np.ndarray,
 
 
 def nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, seed: int) -> DataFrame:
-    """(g, node, th, n, prefix, sketch, least) of each distinct set: its name, the smallest id that has it and that one's
-    text hash, its size, first shingles, parities and least shingles."""
+    """(g, node, th, n, prefix, sketch, least, f0) of each distinct set: its name, the smallest id that has it and that one's
+    text hash, its size, first shingles, parities, least shingles and fingerprint."""
     keys, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g, n, prefix, sketch, least = [], [], [], [], []
+            held, size, prints = [], 0, []
             for s in shingle_sets(batch.column(1), width, seed):
+                held.append(s)
+                size += len(s)
+                if size > 1 << 20:
+                    prints.append(vote(held))
+                    held, size = [], 0
                 g.append(name_of(s))
                 n.append(len(s))
                 sketch.append(parity(s))
@@ -142,12 +154,21 @@ def nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, se
                         first = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
                     first = first[: len(s) - (4 * len(s) + 4) // 5 + 1]
                 prefix.append(first.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(g, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(least, pa.binary())], names=["doc_id", "th", "g", "n", "prefix", "sketch", "least"])
+            prints.append(vote(held))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(g, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(least, pa.binary()), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "th", "g", "n", "prefix", "sketch", "least", "f0"])
 
-    made = docs.select("doc_id", "text", text_hash("text").alias("th")).mapInArrow(run, "doc_id long, th long, g long, n int, prefix binary, sketch binary, least binary")
+    made = docs.select("doc_id", "text", text_hash("text").alias("th")).mapInArrow(run, "doc_id long, th long, g long, n int, prefix binary, sketch binary, least binary, f0 long")
     # all but the id and its text hash are the same for all rows of one g
-    found = made.groupBy("g").agg(F.min(F.struct("doc_id", "th")).alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "least")])
-    return found.select("g", F.col("id.doc_id").alias("node"), F.col("id.th").alias("th"), "n", "prefix", "sketch", "least")
+    found = made.groupBy("g").agg(F.min(F.struct("doc_id", "th")).alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "least", "f0")])
+    return found.select("g", F.col("id.doc_id").alias("node"), F.col("id.th").alias("th"), "n", "prefix", "sketch", "least", "f0")
+
+
+def proposed(sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of names that deletion variants of their fingerprints connect: stars, within one fingerprint and between them."""
+    prints = written(sets.groupBy("f0").agg(F.min("g").alias("node")), "prints")
+    same = sets.select("f0", "g").join(prints, "f0").where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b"))
+    pairs = same.unionByName(links(prints, NEAR_BITS))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], every: bool) -> DataFrame:
@@ -363,28 +384,35 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, see
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def labelled(sets: DataFrame, sure: DataFrame) -> DataFrame:
+    """sets with ``label``, the least name that the links ``sure`` connect them to."""
+    label = written(components(sure), "labels").withColumnRenamed("node", "g")
+    return sets.join(label, "g", "left").withColumn("label", F.coalesce("root", "g")).drop("root")
+
+
 def firsts(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, th), the smallest id and its text hash, of each group that links connect; docs: doc_id (not null) and text."""
     small_batches(docs.sparkSession)
     common = common_shingles(docs, width, seed)
     sets = written(nodes(docs, common, width, seed), "sets")
-    known, tried, sure = sets.withColumn("label", F.col("g")), None, None
+    # deletion variants first, then the hubs of what these leave
+    tried = written(possible(proposed(sets), sets).select("a", "b"), "tried")
+    sure = written(verified(tried, docs, sets, width, seed), "alike")
+    known = labelled(sets, sure)
     for _ in range(2):
         near = possible(candidates(known.where("label = g"), common, every=False), sets)
         both = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "apart")
         best = both.groupBy("p.a").agg(F.min(F.struct("apart", "p.b")).alias("best")).select("a", F.col("best.b").alias("b"))
         new = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "tried")
+        new = written(new.join(tried, ["a", "b"], "left_anti"), "tried")
         found = written(verified(new, docs, sets, width, seed), "alike")
-        tried, sure = (new, found) if tried is None else (tried.unionByName(new), sure.unionByName(found))
-        label = written(components(sure), "labels")
-        known = sets.join(label.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("root", "g"))
+        tried, sure = tried.unionByName(new), sure.unionByName(found)
+        known = labelled(sets, sure)
     rest = written(candidates(known, common, every=True).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = written(verified(rest, docs, sets, width, seed), "alike")
-        label = components(sure.unionByName(more))
-    joined = sets.select("g", "node", "th").join(label.select(F.col("node").alias("g"), "root"), "g", "left")
-    return joined.groupBy(F.coalesce("root", "g").alias("root")).agg(F.min(F.struct("node", "th")).alias("first")).select(F.col("first.node").alias("doc_id"), F.col("first.th").alias("th"))
+        known = labelled(sets, sure.unionByName(more))
+    return known.groupBy("label").agg(F.min(F.struct("node", "th")).alias("first")).select(F.col("first.node").alias("doc_id"), F.col("first.th").alias("th"))
 
 
 def keep_one(df: DataFrame, width: int = 5, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -90,3 +90,16 @@ def test_folded_sketches_are_those_of_fewer_cells(spark):
     assert both.apart(np.array([0, 0, 1]), np.array([0, 1, 2])).tolist()[0] == 0
     # 2,000 members are 256 bytes, 1,000 are 128: a fold lies between them
     assert 0 < both.apart(np.array([1]), np.array([2]))[0] <= 1000
+
+
+def test_deletion_variants_propose_links_that_are_then_counted(spark, monkeypatch):
+    """Without the exact search, what fingerprints propose is linked if its shingles are alike, and only then."""
+    none = lambda sets, common, every: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(alike, "candidates", none)
+    base = [f"v{k}" for k in range(500)]
+    texts = [" ".join(base[:499] + [f"last{k}"]) for k in range(12)] + [" ".join(f"z{k}" for k in range(300)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in alike.keep_one(docs).collect()) == [0, 12, 13]
+    every = lambda sets: sets.select(alike.F.col("g").alias("a")).join(sets.select(alike.F.col("g").alias("b"))).where("a < b")
+    monkeypatch.setattr(alike, "proposed", every)
+    assert sorted(x["doc_id"] for x in alike.keep_one(docs).collect()) == [0, 12, 13]
