@@ -275,27 +275,37 @@ def search_phrasings(queries: DataFrame, phrasings: DataFrame, docs: DataFrame |
 ID_WORDS = r"[/]|\.(md|json|js|mjs|txt)$|^[0-9a-f]{7,}$|^v\d"
 
 
-def requery_terms(weak: DataFrame, docs: DataFrame, queries: DataFrame, cfg: EngineConfig = CONFIG, keep: int = 6) -> DataFrame:
+def requery_terms(weak: DataFrame, docs: DataFrame | None, queries: DataFrame, cfg: EngineConfig = CONFIG, keep: int = 6, index: Index | None = None) -> DataFrame:
     """(query_id, corpus, term, weight, pos): words of the weak documents that could make a better question.
 
     weak: (query_id, corpus, doc_ord, rank). Each word of a name counts three times, of a heading twice, of a description
     once, all by 1 / (1 + (rank - 1) / 2) and by its idf over the corpus. Words of the query, words in over a quarter
     of the files, labels in over max(2, 10 %) of the names and id-like words go. Terms are surface forms, the
-    first that was met of each stem.
+    first that was met of each stem. index: read in place of docs; then no text is tokenised, frequencies and the weak documents come out of files.
     """
+    whole = docs
+    if index is not None:
+        weak, docs = shared.written(weak, "weak"), index.documents()
+        whole = index.of(weak, ["name", "description", *[c for c in ("headings",) if c in docs.columns]])
     heads = F.col("headings") if "headings" in docs.columns else F.array().cast("array<string>")
     trim = lambda t: F.regexp_replace(t, r"^[.\-/+]+|[.\-/+]+$", "")
     said = lambda c, w: F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z0-9][a-z0-9.+/-]*)"), F.lit(1)), lambda t: F.struct(trim(t).alias("surface"), F.lit(w).alias("w")))
     label = F.regexp_replace("name", "[-_]", " ")
     parts = F.concat(said(label, 3.0), said(F.array_join(heads, "\n"), 2.0), said(F.col("description"), 1.0))
-    near = weak.join(docs.select("corpus", "doc_ord", F.posexplode(parts).alias("at", "x")).select("corpus", "doc_ord", "at", "x.*"), ["corpus", "doc_ord"])
+    near = weak.join(whole.select("corpus", "doc_ord", F.posexplode(parts).alias("at", "x")).select("corpus", "doc_ord", "at", "x.*"), ["corpus", "doc_ord"])
     mixed = F.col("surface").rlike("[0-9]") & (F.length("surface") >= 5)
     near = near.where((F.length("surface") >= 3) & ~F.col("surface").isin(*STOP_WORDS) & ~F.col("surface").rlike(ID_WORDS) & ~mixed).withColumn("term", T.stem(F.col("surface")))
-    near = near.join(keyword.query_terms(queries), ["query_id", "term"], "left_anti")
-    tokens = keyword.field_tokens(docs)
-    stats = keyword.corpus_stats(keyword.lengths(tokens, cfg))
-    idf = keyword.document_frequency(keyword.postings(tokens, near.select("term").distinct(), cfg), stats)
-    names = docs.select("corpus", "doc_ord", F.explode(F.array_distinct(T.tokenize(label))).alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("labels"))
+    near = shared.written(near.join(keyword.query_terms(queries), ["query_id", "term"], "left_anti"), "near")
+    own = near.select("term").distinct()
+    if index is not None:
+        stats = index.stats(cfg)
+        idf = index.document_frequency(own).join(F.broadcast(stats.select("corpus", "n_docs")), "corpus").select("corpus", "term", S.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    else:
+        tokens = keyword.field_tokens(docs)
+        stats = keyword.corpus_stats(keyword.lengths(tokens, cfg))
+        idf = keyword.document_frequency(keyword.postings(tokens, own, cfg), stats)
+    said_names = docs.select("corpus", "doc_ord", F.explode(F.array_distinct(T.tokenize(label))).alias("term")).join(keyword._bounded(own), "term", "left_semi")
+    names = said_names.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("labels"))
     known = idf.join(F.broadcast(stats.select("corpus", "n_docs")), "corpus").join(names, ["corpus", "term"], "left")
     known = known.where((F.col("idf") >= S.idf(F.col("n_docs"), F.col("n_docs") / 4)) & (F.coalesce("labels", F.lit(0)) <= F.greatest(F.lit(2), F.ceil(0.1 * F.col("n_docs"))))).select("corpus", "term", "idf")
     rows = near.join(known, ["corpus", "term"]).groupBy("query_id", "corpus", "term").agg(F.sum(F.col("w") * F.col("idf") / (1 + 0.5 * (F.col("rank") - 1))).alias("weight"), F.min_by("surface", F.struct("rank", "at")).alias("surface"))

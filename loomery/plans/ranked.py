@@ -282,10 +282,10 @@ g AS (SELECT query_id, term, sum(w * idf / (1 + 0.5 * (rank - 1))) AS weight, ar
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 9) DESC, surface) AS pos FROM g) SELECT query_id, surface AS term, round(weight, 4) AS weight, pos FROM r WHERE pos <= 6""")
 def requery_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Better question words from the three nearest documents of each passage."""
-    q, d = A.questions(spark, sf), A.docs(spark, sf)
+    q, index = A.questions(spark, sf), A.index(spark, sf)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("raw", 6)), "doc_ord")
-    weak = keyword.best(A.index(spark, sf).prepare(q), 3).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    return ranking.requery_terms(weak, d, q).select("query_id", "term", F.round("weight", 4).alias("weight"), "pos")
+    weak = keyword.best(index.prepare(q), 3).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return ranking.requery_terms(weak, None, q, index=index).select("query_id", "term", F.round("weight", 4).alias("weight"), "pos")
 
 
 _T = f"""{_STATS}, raw AS (SELECT query_id, doc_ord, sum(idf * w * 2.2 / (1.2 + w)) AS raw FROM (
